@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import per_step
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words as they stand in the original, upper case included.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Upper case to lower, every separating byte to a space, all others as they are.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Characters of the patterns that one automaton holds.
