@@ -110,11 +110,11 @@ its AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)""",
     "op4_substring_dedup": r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT rid, doc_id, i, array_to_string(w[i:i+12], ' ') AS k FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
 firsts AS (SELECT k, min(doc_id) AS least FROM win GROUP BY k),
-gone AS (SELECT rid, list_distinct(flatten(list(range(i, i + 13)))) AS at FROM win JOIN firsts USING (k) WHERE least < doc_id GROUP BY rid),
-kept AS (SELECT d.rid, array_to_string(list(x ORDER BY p), ' ') AS s FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) AS d LEFT JOIN (SELECT rid, unnest(at) AS p FROM gone) AS g USING (rid, p) WHERE g.rid IS NULL GROUP BY d.rid)
-SELECT doc_id, len(w) AS n_words, coalesce(len(at), 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+gone AS (SELECT rid, list_distinct(flatten(list(range(i, i + 13)))) AS places FROM win JOIN firsts USING (k) WHERE least < doc_id GROUP BY rid),
+kept AS (SELECT d.rid, array_to_string(list(x ORDER BY p), ' ') AS s FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) AS d LEFT JOIN (SELECT rid, unnest(places) AS p FROM gone) AS g USING (rid, p) WHERE g.rid IS NULL GROUP BY d.rid)
+SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)""",
 }

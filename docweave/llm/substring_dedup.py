@@ -49,21 +49,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
+#: Inverse of _M1 modulo 2**64.
+_BACK = np.uint64(pow(int(_M1), -1, 1 << 64))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
-    out[1:] = _M1
     return np.cumprod(out)
 
 
 def word_hashes(joined: bytes, ends: np.ndarray) -> np.ndarray:
     """A hash of each word of ``joined`` (words, single spaces between), all at once: differences of running sums."""
     data = _BYTE[np.frombuffer(joined, np.uint8)]
-    rise = powers(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * rise[: len(data)])))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * powers(_M1, len(data)))))
     starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))
-    # words are aligned by the power of what follows them
-    return mixed((sums[ends] - sums[starts]) * rise[len(data) - starts] + (ends - starts).astype(np.uint64))
+    # dividing by the power at a word's start makes its hash independent of where it stands
+    return mixed((sums[ends] - sums[starts]) * powers(_BACK, len(data))[starts] + (ends - starts).astype(np.uint64))
 
 
 def window_anchors(words: list[bytes], window: int, run: int) -> np.ndarray:
