@@ -24,7 +24,7 @@ def without(tokens: Column, stop: list[str]) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cut after ., ! or ? before white space; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def collapsed(text: Column) -> Column:
