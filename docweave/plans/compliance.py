@@ -1 +1,110 @@
+"""Screening of documents, versions of customers, audit chains of events, scores of labels."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.operators import compliance as C
+from docweave.plans.base import query
+from docweave.sources.relations import table
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+@query("SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS INTEGER) AS {k}" for k, p in C.PII.items()) + " FROM documents")
+def pii_scan_counts(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", *(c.alias(k) for k, c in C.pii_counts(F.col("text")).items()))
+
+
+_RED = "text"
+for _k, _p in C.PII.items():
+    _RED = f"regexp_replace({_RED}, '{_p}', '<{_k.upper()}_REDACTED>', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_RED}) AS redacted_hash, len(regexp_extract_all({_RED}, '_REDACTED>')) AS n FROM documents")
+def redacted_texts(spark: SparkSession, d: str) -> DataFrame:
+    r = docs(spark, d).select("doc_id", C.redacted(F.col("text")).alias("r"))
+    return r.select("doc_id", F.sha2(F.col("r").cast("binary"), 256).alias("redacted_hash"), F.size(F.regexp_extract_all("r", F.lit("(_REDACTED>)"), F.lit(1))).cast("long").alias("n"))
+
+
+_THREAT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS threat, '{s}' AS severity, regexp_extract(lower(text), '{p}', 1) AS found FROM documents" for k, (s, p) in C.THREATS.items())
+
+
+@query(f"SELECT * FROM ({_THREAT}) WHERE found <> ''")
+def threat_scan(spark: SparkSession, d: str) -> DataFrame:
+    return C.threats(docs(spark, d), "doc_id", "text")
+
+
+@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(lower(text), '{p}')" for p in C.INJECTION) + " THEN 'reject' WHEN length(text) = 0 OR length(text) > 10000 THEN 'quarantine' ELSE 'pass' END AS verdict FROM documents")
+def ingestion_gate(spark: SparkSession, d: str) -> DataFrame:
+    return C.gate(docs(spark, d), "doc_id", "text", 10_000)
+
+
+@query("WITH a AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 11 <> 0) SELECT c_custkey, change FROM (SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'insert' WHEN b.c_custkey IS NULL THEN 'delete' WHEN a.v IS DISTINCT FROM b.v THEN 'update' END AS change FROM a FULL JOIN b ON a.c_custkey = b.c_custkey) WHERE change IS NOT NULL")
+def version_diff(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("v"))
+    new = c.where("c_custkey % 11 != 0").withColumn("v", F.when(F.col("c_custkey") % 5 == 0, "CHANGED").otherwise(F.col("v")))
+    return C.version_diff(c.where("c_custkey % 7 != 0"), new, ["c_custkey"], "v")
+
+
+_PAYLOAD = "concat_ws('|', CAST(event_id AS VARCHAR), event_type, props)"
+
+
+@query(f"SELECT event_id, sha256({_PAYLOAD}) AS own, coalesce(lag(sha256({_PAYLOAD})) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS previous FROM events")
+def audit_chain(spark: SparkSession, d: str) -> DataFrame:
+    return C.chained(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")).select("event_id", "own", "previous")
+
+
+@query("SELECT event_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_id % 1000 = 17 OR before % 1000 = 17")
+def broken_audit_links(spark: SparkSession, d: str) -> DataFrame:
+    """Events altered after they were chained show, and so do those that follow them."""
+    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
+    chain = C.chained(table(spark, d, "events"), "user_id", ["ts", "event_id"], payload)
+    altered = chain.withColumn("props", F.when(F.col("event_id") % 1000 == 17, "altered").otherwise(F.col("props")))
+    return C.broken_links(altered, "user_id", ["ts", "event_id"], payload).select("event_id")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, grouping(event_type) AS all_types FROM events GROUP BY GROUPING SETS ((event_type), ())")
+def audit_statistics(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.groupingSets([[F.col("event_type")], []], F.col("event_type")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.grouping("event_type").cast("long").alias("all_types"))
+
+
+_LONG = r"list_distinct(list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 4))"
+
+
+@query(f"WITH c AS (SELECT item_id AS id, {_LONG.format(t='text')} AS c FROM benchmark), s AS (SELECT doc_id AS id, {_LONG.format(t='text')} AS s FROM documents) SELECT id, round(x, 6) AS overlap, x >= 0.5 AS grounded FROM (SELECT id, CASE WHEN len(c) > 0 THEN len(list_intersect(c, coalesce(s, []))) / len(c) ELSE 0 END AS x FROM c LEFT JOIN s USING (id))")
+def claim_grounding(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return C.grounded(c, docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id", "text").withColumn("overlap", F.round("overlap", 6))
+
+
+_SETS = "t AS (SELECT label, list(vec_id) FILTER (vec_id % 3 = 0) AS f, list(vec_id) FILTER (vec_id % 2 = 0) AS e FROM embeddings GROUP BY 1), s AS (SELECT label, len(list_intersect(f, e)) AS tp, len(list_filter(f, lambda x: NOT list_contains(e, x))) AS fp, len(list_filter(e, lambda x: NOT list_contains(f, x))) AS fn FROM t)"
+
+
+@query(f"WITH {_SETS} SELECT label, CAST(tp AS INTEGER) AS tp, CAST(fp AS INTEGER) AS fp, CAST(fn AS INTEGER) AS fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM s")
+def precision_recall(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").groupBy("label").agg(F.collect_set(F.when(F.col("vec_id") % 3 == 0, F.col("vec_id"))).alias("f"), F.collect_set(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id"))).alias("e"))
+    s = e.select("label", *(c.alias(k) for k, c in C.set_scores(F.col("f"), F.col("e")).items()))
+    return s.withColumn("precision", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6)).withColumn("recall", F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6))
+
+
+_CONF = "n AS (SELECT quality AS t, toxic AS p, count(*) AS n FROM labels GROUP BY 1, 2), c AS (SELECT class, sum(s) AS support, sum(d) AS said, sum(tp) AS tp FROM (SELECT t AS class, n AS s, 0 AS d, CASE WHEN t = p THEN n ELSE 0 END AS tp FROM n UNION ALL SELECT p, 0, n, 0 FROM n) GROUP BY 1)"
+
+
+@query(f"WITH {_CONF} SELECT class, CAST(support AS BIGINT) AS support, round(tp / said, 6) AS precision, round(tp / support, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (said + support) ELSE 0 END, 6) AS f1 FROM c")
+def confusion_scores(spark: SparkSession, d: str) -> DataFrame:
+    c = C.confusion(table(spark, d, "labels"), "quality", "toxic")
+    return c.select("class", "support", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
+
+
+_W = r"list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+'))"
+
+
+@query(f"WITH w AS (SELECT b.item_id AS id, {_W.format(t='b.text')} AS x, {_W.format(t='d.text')} AS y FROM benchmark b JOIN documents d ON b.item_id = d.doc_id) SELECT id, round(CASE WHEN len(list_intersect(x, y)) > 0 THEN 2 * len(list_intersect(x, y)) / (len(x) + len(y)) ELSE 0 END, 6) AS f1 FROM w")
+def answer_token_f1(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("a"))
+    return b.join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id").select("id", F.round(C.token_f1(F.col("a"), F.col("text")), 6).alias("f1"))
