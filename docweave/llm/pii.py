@@ -21,7 +21,7 @@ from docweave.llm.common import materialize
 
 #: What to look for: (type, pattern), tried in this order at each place.
 ENTITIES = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"),
+    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bsk-[A-Za-z0-9_-]{20,}|\bAIza[A-Za-z0-9_-]{35}"),
     ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?=[A-Za-z+/_.~-]*[0-9])[A-Za-z0-9+/_.~-]{8,}"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -31,7 +31,10 @@ ENTITIES = [
     ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"),
     ("name", r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Sr)\b\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
 ]
-ANY = "|".join(f"(?:{p})" for _, p in ENTITIES)
+#: No entity begins inside a word, which spares most places of a text all these patterns.
+ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for _, p in ENTITIES) + ")"
+#: What every entity holds: a digit, an @, a key's first letters, or a title before a capital.  Most texts have none.
+HINT = r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|AIza|\b(?:M(?:rs?|s|iss|me|onsieur|adame)|Herr|Frau|Señora?|Sra?)\b\.? \p{Lu}"
 #: Given names for surrogates by gender, and family names; fixed values.
 FEMALE = ["Alice", "Anna", "Berta", "Carla", "Clara", "Diana", "Elena", "Emma", "Greta", "Helena", "Irene", "Julia", "Laura", "Lucia", "Maria", "Marta", "Nina", "Olga", "Paula", "Rosa", "Sara", "Sofia", "Teresa", "Vera"]
 MALE = ["Adam", "Albert", "Bruno", "Carlos", "Daniel", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jakob", "Karl", "Leon", "Lukas", "Marco", "Martin", "Oscar", "Pablo", "Paul", "Robert", "Simon", "Thomas", "Victor"]
@@ -165,23 +168,27 @@ def with_surrogates(found: DataFrame, key: str) -> DataFrame:
 
 
 def replace_private(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
-    """All columns, the text with surrogates, and n_entities."""
-    text = F.col(text_column)
-    source = docs.withColumn("_found", F.coalesce(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), F.array().cast("array<string>"))).withColumn("_text_key", F.when(F.size("_found") > 0, F.xxhash64(text)))
-    raw = F.col("raw")
+    """All columns, the text with surrogates, and n_entities (which takes the place of a column of that name)."""
+    text, raw = F.col("_text"), F.col("raw")
+    # a row travels as one column, so that its names meet none of those used here
+    source = docs.select(F.struct("*").alias("_row"), F.col(text_column).alias("_text"))
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    source = source.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
+    some, none = source.where("size(_found) > 0").withColumn("_text_key", F.xxhash64(text)), source.where("size(_found) = 0")
     # identical texts count once; then identical spellings
-    spelled = source.where("size(_found) > 0").select("_text_key", F.explode(F.array_distinct("_found")).alias("raw")).distinct()
+    spelled = some.select("_text_key", F.explode(F.array_distinct("_found")).alias("raw")).distinct()
     spelled = spelled.withColumn("kind", kind_of(raw)).where("kind IS NOT NULL").withColumn("value", canonical(raw, F.col("kind")))
     spelled = materialize(spelled, "spellings")
     mapped = spelled.join(with_surrogates(spelled.select("kind", "value").distinct(), key), ["kind", "value"])
     mapped = mapped.select("_text_key", "raw", written(raw, F.col("kind"), F.col("value"), F.col("surrogate")).alias("new"))
     of_text = mapped.groupBy("_text_key").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("_map"))
-    changed = source.where("size(_found) > 0").join(of_text, "_text_key", "left")
+    changed = some.join(of_text, "_text_key", "left")
     # entities as they follow one another, and the text between them
     between = F.split(text, ANY, -1)
     news = F.transform("_found", lambda x: F.coalesce(F.element_at("_map", x), x))
     woven = F.array_join(F.flatten(F.zip_with(between, F.concat(news, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    done = changed.withColumn("n_entities", F.size(F.filter("_found", lambda x: F.element_at("_map", x).isNotNull()))).withColumn(text_column, woven)
-    rest = source.where("size(_found) = 0").withColumn("n_entities", F.lit(0))
-    columns = [*docs.columns, "n_entities"]
-    return done.select(*columns).unionByName(rest.select(*columns))
+    n = F.size(F.filter("_found", lambda x: F.element_at("_map", x).isNotNull()))
+    done = changed.select("_row", woven.alias("_text"), F.when(F.col("_map").isNull(), 0).otherwise(n).alias("_n"))
+    every = done.unionByName(none.select("_row", "_text", F.lit(0).alias("_n")))
+    kept = [F.col("_text").alias(c) if c == text_column else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "n_entities"]
+    return every.select(*kept, F.col("_n").alias("n_entities"))
