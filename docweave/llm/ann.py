@@ -67,17 +67,18 @@ def adaptive_scan(query: np.ndarray, turned: np.ndarray, columns: list[np.ndarra
         probe = alive[np.linspace(0, len(alive) - 1, 4 * k).astype(int)]
         bound = np.partition(((original[probe] - query) ** 2).sum(1), k - 1)[k - 1]
         partial, seen = np.zeros(n), 0
+        slack = 1e-9 * float(query @ query)  # rotation rounds: equal vectors must not be told apart
         for block in columns:
             part = block[:, alive] if len(alive) < n else block
             partial[alive] += ((part - turned[seen : seen + len(block), None]) ** 2).sum(0)
             seen += len(block)
             if seen < dim:
-                keep = partial[alive] * (dim / seen) <= bound * (1 + EPSILON / np.sqrt(seen)) ** 2
+                keep = partial[alive] * (dim / seen) <= bound * (1 + EPSILON / np.sqrt(seen)) ** 2 + slack
                 alive = alive[keep]
                 if len(alive) > 8 * k:  # the bound tightens with what looks nearest so far
                     near = alive[np.argpartition(partial[alive], 2 * k)[: 2 * k]]
                     bound = min(bound, np.partition(((original[near] - query) ** 2).sum(1), k - 1)[k - 1])
-        alive = alive[partial[alive] <= bound * (1 + 1e-9)]
+        alive = alive[partial[alive] <= bound * (1 + 1e-9) + slack]
         if len(alive) < k:
             alive = np.union1d(alive, probe)
     exact = np.sqrt(((original[alive] - query) ** 2).sum(1))
