@@ -3,14 +3,17 @@
 A word goes if it lies in a window (``window`` consecutive words) that also starts in a document with a smaller id.
 
 1. Anchors.  A window's anchor is the least hash of its runs of ``RUN`` words.  Equal windows have equal anchors, so a window
-   can only recur if its anchor stands in two documents.  Anchors, about one for five words, are what is shuffled; not texts.
-2. Passages.  Each text meets its recurring anchors; windows that have one form passages of up to ``PASSAGE`` windows.
+   can only recur if its anchor stands in two documents.  Anchors, about one for four words, are what is shuffled; not texts.
+2. Passages.  Windows whose anchor recurs form passages of up to ``PASSAGE`` windows.  While a filter of all recurring
+   anchors has at most ``MAX_FILTER_KEYS`` keys, it goes to the texts (false hits do no harm: windows are compared later);
+   beyond, anchors are joined and texts shuffled to them.
 3. Confirmation.  Equal passages are counted once.  All passages of an anchor meet in one shard, which compares windows word
    by word: those of two documents are confirmed, with the smallest id.
 4. Automata.  A shard compiles its confirmed windows into Aho-Corasick automata of bounded size over word numbers, and streams
    its passages through them to locate every occurrence.  A document's text meets the automata of just those anchors that it
    holds, so the work grows with the input and not with input times shards.
-5. Removal.  Occurrences with a smaller first document return to their texts.
+5. Removal.  Occurrences with a smaller first document return to their texts; texts that lose nothing are not shuffled
+   while a filter of those that do is small enough.
 
 Edge cases: null and empty texts, and texts shorter than a window, lose nothing.  A row with a null id loses nothing and
 takes nothing from others.  Rows that share an id never take from one another; each is judged by itself.  Texts of any length
@@ -20,23 +23,27 @@ are handled whole.  Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard as zstd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm import bloom
 from docweave.llm.common import materialize, per_step, steps
 
 WINDOW = 13
 #: Words of the runs whose least hash is a window's anchor.
-RUN = 5
+RUN = 7
 #: Windows in a passage at most.
 PASSAGE = 16
+#: Keys of a filter that is sent to all workers: 16 bits each, so 32 MB.
+MAX_FILTER_KEYS = 16 << 20
 #: Windows that an automaton holds.
 AUTOMATON_WINDOWS = 20_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,48 +107,71 @@ def anchors_of(docs: DataFrame, window: int, run: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(per_step(find, "text"), "doc_id long, anchors array<long>")
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, packed): texts are compressed before they are shuffled.  row_key tells rows of one id apart."""
+def key_of(text: bytes) -> int:
+    """Tells rows of one id apart."""
+    return xxhash.xxh3_64_intdigest(text, 1) - (1 << 63)
 
-    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = b.column(1).cast(pa.binary()).to_pylist()
-        c = zstd.ZstdCompressor(level=3)
-        keys = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array([c.compress(t) for t in texts], pa.binary())], ["doc_id", "row_key", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_step(pack, "text"), "doc_id long, row_key long, packed binary")
+def squeeze(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+    c = zstd.ZstdCompressor(level=3)
+    return pa.RecordBatch.from_arrays([ids, pa.array([key_of(t) for t in texts], pa.int64()), pa.array([c.compress(t) for t in texts], pa.binary())], ["doc_id", "row_key", "packed"])
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, packed): texts are compressed before they are shuffled."""
+    return docs.select("doc_id", "text").mapInArrow(per_step(lambda b: squeeze(b.column(0), b.column(1).cast(pa.binary()).to_pylist()), "text"), "doc_id long, row_key long, packed binary")
 
 
 def unpack(packed: bytes) -> bytes:
     return zstd.ZstdDecompressor().decompress(packed) if packed else b""
 
 
-def passages(texts: DataFrame, window: int, run: int) -> DataFrame:
-    """(doc_id, row_key, first, n, anchor, key, passage) from (doc_id, row_key, packed, anchors)."""
-    fields = [("doc_id", pa.int64()), ("row_key", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("key", pa.binary()), ("passage", pa.string())]
+PASSAGES = [("doc_id", pa.int64()), ("row_key", pa.int64()), ("first", pa.int32()), ("anchor", pa.int64()), ("key", pa.int64()), ("passage", pa.string())]
+PASSAGES_SCHEMA = "doc_id long, row_key long, first int, anchor long, key long, passage string"
 
-    def find(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        for i, key, packed, known in zip(*(b.column(k) for k in range(4))):
-            words = unpack(packed.as_py()).split()
-            if len(words) < window:
-                continue
+
+def cut_passages(words: list[bytes], least: np.ndarray, recurs: np.ndarray, window: int) -> Iterator[tuple[int, int, int, str]]:
+    """(first window, anchor, key, words): runs of windows with one recurring anchor, in pieces of up to PASSAGE windows."""
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(least)]))
+    kept = recurs[starts]
+    for s, e, anchor in zip(starts[kept].tolist(), ends[kept].tolist(), least[starts[kept]].tolist()):
+        for f in range(s, e, PASSAGE):
+            text = b" ".join(words[f : min(f + PASSAGE, e) + window - 1])
+            yield f, anchor, xxhash.xxh3_64_intdigest(text) - (1 << 63), text.decode()
+
+
+def passages_of(texts: Iterator[tuple[int, int, bytes, Callable[[np.ndarray], np.ndarray]]], window: int, run: int) -> pa.RecordBatch:
+    rows: list[tuple] = []
+    for doc_id, row_key, text, recurs in texts:
+        words = text.split()
+        if len(words) >= window:
             least = window_anchors(words, window, run).view(np.int64)
-            open_at = np.isin(least, known.values.to_numpy())
-            # a passage ends where the anchor changes, and after PASSAGE windows
-            new = np.concatenate(([True], (least[1:] != least[:-1]))) & open_at
-            starts = np.flatnonzero(new)
-            ends = np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]))
-            for s in starts.tolist():
-                e = int(ends[np.searchsorted(ends, s, side="right")])
-                for f in range(s, e, PASSAGE):
-                    n = min(PASSAGE, e - f)
-                    text = b" ".join(words[f : f + n + window - 1])
-                    rows.append((i.as_py(), key.as_py(), f, n, int(least[f]), xxhash.xxh3_128_digest(text), text.decode()))
-        columns = list(zip(*rows)) if rows else [[]] * len(fields)
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], [n for n, _ in fields])
-
-    return texts.select("doc_id", "row_key", "packed", "anchors").mapInArrow(per_step(find, "packed"), "doc_id long, row_key long, first long, n long, anchor long, key binary, passage string")
+            rows += ((doc_id, row_key, *x) for x in cut_passages(words, least, recurs(least), window))
+    columns = list(zip(*rows)) if rows else [[]] * len(PASSAGES)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, PASSAGES)], [n for n, _ in PASSAGES])
+
+
+def passages_by_filter(docs: DataFrame, bits: Broadcast, window: int, run: int) -> DataFrame:
+    """Passages whose anchor the filter lets pass, found where the texts are."""
+
+    def find(b: pa.RecordBatch) -> pa.RecordBatch:
+        recurs = lambda least: bloom.contains(bits.value, least.view(np.uint64))
+        texts = b.column(1).cast(pa.binary()).to_pylist()
+        return passages_of(((i, key_of(t), t, recurs) for i, t in zip(b.column(0).to_pylist(), texts)), window, run)
+
+    return docs.select("doc_id", "text").mapInArrow(per_step(find, "text"), PASSAGES_SCHEMA)
+
+
+def passages_by_join(docs: DataFrame, anchors: DataFrame, recurring: DataFrame, window: int, run: int) -> DataFrame:
+    """Passages of recurring anchors, which are joined with texts by document."""
+    known = anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+
+    def find(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3))
+        return passages_of(((i, key, unpack(z), lambda least, a=a.values.to_numpy(): np.isin(least, a)) for i, key, z, a in rows), window, run)
+
+    return squeezed(docs).join(known, "doc_id").select("doc_id", "row_key", "packed", "anchors").mapInArrow(per_step(find, "packed"), PASSAGES_SCHEMA)
 
 
 class Shard:
@@ -149,16 +179,16 @@ class Shard:
 
     def __init__(self, window: int):
         self.window, self.numbers = window, {}
-        self.rows: list[tuple[int, bytes, tuple[int, ...], int, int]] = []
+        self.rows: list[tuple[int, int, tuple[int, ...], int, int]] = []
         self.windows = 0
 
-    def add(self, anchor: int, key: bytes, passage: str, least: int, most: int) -> None:
+    def add(self, anchor: int, key: int, passage: str, least: int, most: int) -> None:
         numbers = self.numbers
         words = tuple(numbers.setdefault(w, len(numbers)) for w in passage.split(" "))
         self.rows.append((anchor, key, words, least, most))
         self.windows += len(words) - self.window + 1
 
-    def located(self) -> Iterator[tuple[int, bytes, list[int | None]]]:
+    def located(self) -> Iterator[tuple[int, int, list[int | None]]]:
         """For each passage, its windows' smallest id, None where only one document has the window."""
         w, seen = self.window, {}
         for _, _, words, least, most in self.rows:
@@ -189,7 +219,7 @@ def locate(distinct: DataFrame, window: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             found = [x for x in shard.located() if any(v is not None for v in x[2])]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.list_(pa.int64()))], ["anchor", "key", "firsts"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))], ["anchor", "key", "firsts"])
 
         for b in steps(batches, "passage", rows=4096):
             for anchor, key, passage, least, most in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -201,44 +231,96 @@ def locate(distinct: DataFrame, window: int) -> DataFrame:
         if shard.rows:
             yield done()
 
-    return distinct.select("anchor", "key", "passage", "least", "most").mapInArrow(run, "anchor long, key binary, firsts array<long>")
+    return distinct.select("anchor", "key", "passage", "least", "most").mapInArrow(run, "anchor long, key long, firsts array<long>")
+
+
+def without_windows(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, int, bytes, list[dict[str, int]]]:
+    """Words, words removed, the others single-spaced, and the word ranges removed."""
+    change = np.zeros(len(words) + 1, np.int64)
+    change[starts] += 1
+    change[starts + window] -= 1
+    gone = np.cumsum(change[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+    kept = words if not len(edges) else [x for x, g in zip(words, gone.tolist()) if not g]
+    return len(words), int(gone.sum()), b" ".join(kept), [{"first": int(s), "words": int(e - s)} for s, e in zip(edges[::2], edges[1::2])]
+
+
+RESULT = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))]
+RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,words:long>>"
+
+
+def results(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *(pa.array([x[i] for x in found], kind) for i, (_, kind) in enumerate(RESULT))], ["doc_id", *(n for n, _ in RESULT)])
 
 
 def removed(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, spans) from (doc_id, packed, starts): starts are windows to remove, or null."""
-    span = pa.struct([("first", pa.int64()), ("words", pa.int64())])
+    """From (doc_id, packed, starts): starts are the windows to remove, or null."""
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for packed, starts in zip(b.column(1), b.column(2)):
-            words = unpack(packed.as_py()).split()
-            at = np.zeros(0, np.int64) if not starts.is_valid else np.unique(starts.values.to_numpy())
-            change = np.zeros(len(words) + 1, np.int64)
-            change[at] += 1
-            change[at + window] -= 1
-            gone = np.cumsum(change[:-1]) > 0
-            kept = words if not gone.any() else [x for x, g in zip(words, gone.tolist()) if not g]
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-            out.append((len(words), int(gone.sum()), b" ".join(kept), [{"first": int(s), "words": int(e - s)} for s, e in zip(edges[::2], edges[1::2])]))
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.list_(span))))], ["doc_id", "n_words", "n_removed", "kept", "spans"])
-
-    return texts.select("doc_id", "packed", "starts").mapInArrow(per_step(cut, "packed"), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,words:long>>")
-
-
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+        at = (np.unique(s.values.to_numpy()) if s.is_valid else np.zeros(0, np.int64) for s in b.column(2))
+        return results(b.column(0), [without_windows(unpack(z).split(), s, window) for z, s in zip(b.column(1).to_pylist(), at)])
+
+    return texts.select("doc_id", "packed", "starts").mapInArrow(per_step(cut, "packed"), RESULT_SCHEMA)
+
+
+def parted(docs: DataFrame, bits: Broadcast, window: int) -> tuple[DataFrame, DataFrame]:
+    """Results of the rows that lose nothing, and (doc_id, row_key, packed) of those that may: the filter holds hashes of
+    (doc_id, row_key).  Each row falls to one of the two by the same test."""
+
+    def passes(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+        texts = b.column(1).cast(pa.binary()).to_pylist()
+        ids = b.column(0).to_pylist()
+        h = np.array([row_hash(i, key_of(t)) for i, t in zip(ids, texts)], dtype=np.uint64)
+        return texts, bloom.contains(bits.value, h)
+
+    def same(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, may = passes(b)
+        none = np.zeros(0, np.int64)
+        return results(b.column(0).filter(pa.array(~may)), [without_windows(t.split(), none, window) for t, m in zip(texts, may) if not m])
+
+    def others(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, may = passes(b)
+        return squeeze(b.column(0).filter(pa.array(may)), [t for t, m in zip(texts, may) if m])
+
+    source = docs.select("doc_id", "text")
+    return source.mapInArrow(per_step(same, "text"), RESULT_SCHEMA), source.mapInArrow(per_step(others, "text"), "doc_id long, row_key long, packed binary")
+
+
+def row_hash(doc_id: int | None, row_key: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{doc_id}/{row_key}")
+
+
+def hashed_rows(rows: DataFrame) -> DataFrame:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.array([row_hash(i, k) for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    return rows.select("doc_id", "row_key").mapInArrow(add, "h long")
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_filter_keys: int = MAX_FILTER_KEYS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans): ``kept`` is the text's other words, single-spaced; spans are word ranges."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    run = min(run, window)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run, spark = min(run, window), docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.where("doc_id IS NOT NULL")
     anchors = anchors_of(named, window, run).select("doc_id", F.explode("anchors").alias("anchor"))
     # minima are pre-aggregated before the shuffle, so an anchor that a third of the texts hold costs a row for each task
-    recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    known = anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    found = materialize(passages(squeezed(named).join(known, "doc_id"), window, run), "passages")
+    recurring = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor"), "anchors")
+    keys = recurring.count()
+    if keys <= max_filter_keys:
+        cut = passages_by_filter(named, spark.sparkContext.broadcast(bloom.build(recurring, keys, 2 * MAX_FILTER_KEYS)), window, run)
+    else:
+        cut = passages_by_join(named, anchors, recurring, window, run)
+    found = materialize(cut, "passages")
     distinct = found.groupBy("anchor", "key").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     located = locate(distinct.repartition(n, "anchor").sortWithinPartitions("anchor"), window)
     hits = found.select("doc_id", "row_key", "first", "anchor", "key").join(located, ["anchor", "key"])
-    windows = hits.select("doc_id", "row_key", F.expr("filter(transform(firsts, (x, i) -> if(x < doc_id, first + i, null)), x -> x is not null)").alias("at")).where("size(at) > 0")
-    starts = windows.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("at")).alias("starts"))
-    return removed(squeezed(docs).join(starts, ["doc_id", "row_key"], "left"), window)
+    windows = hits.select("doc_id", "row_key", F.expr("filter(transform(firsts, (x, i) -> if(x < doc_id, cast(first + i as long), null)), x -> x is not null)").alias("at")).where("size(at) > 0")
+    starts = materialize(windows.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("at")).alias("starts")), "starts")
+    changed = starts.count()
+    if changed > max_filter_keys:
+        return removed(squeezed(docs).join(starts, ["doc_id", "row_key"], "left"), window)
+    same, others = parted(docs, spark.sparkContext.broadcast(bloom.build(hashed_rows(starts), changed, 2 * MAX_FILTER_KEYS)), window)
+    return same.unionByName(removed(others.join(starts, ["doc_id", "row_key"], "left"), window))

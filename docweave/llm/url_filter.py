@@ -18,14 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.llm import bloom
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of 32 bits in a block; a key sets one bit in each, so a probe touches 32 adjacent bytes.
-WORDS = 8
-#: Odd multipliers, one for each word: successive multiples of the golden ratio's fraction of 2**32.
-SALTS = np.array([(0x9E3779B1 * (2 * i + 1)) & 0xFFFFFFFF | 1 for i in range(WORDS)], dtype=np.uint64)
 #: The filter never exceeds this, whatever the list's length: beyond it more false hits pass on to the exact join.
 MAX_FILTER_BYTES = 8 << 20
-BITS_PER_KEY = 16
 
 
 def host_of(url: Column) -> Column:
@@ -54,38 +51,19 @@ def hashes(keys: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def masks(h: np.ndarray) -> np.ndarray:
-    """One bit in each of the block's words, of the hash's low half."""
-    low = (h & np.uint64(0xFFFFFFFF))[:, None]
-    return (np.uint64(1) << (((low * SALTS) & np.uint64(0xFFFFFFFF)) >> np.uint64(27))).astype(np.uint32)
-
-
-def blocks(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def keys_of(host: str, path: str) -> tuple[str, str]:
     return "h|" + host, f"{host}|{path}"
 
 
 def build_filter(listed: DataFrame) -> np.ndarray:
-    """Blocks x 8 words, OR-ed together in Spark; its size is bounded by MAX_FILTER_BYTES."""
-    n_keys = 2 * listed.count()
-    n = max(1, min(MAX_FILTER_BYTES // (4 * WORDS), -(-n_keys * BITS_PER_KEY // (32 * WORDS))))
+    """The filter of all entries: a key for each host, and one for each host and path."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = hashes([k for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in keys_of(host, path)])
-            m = masks(h).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks(h, n)), *(pa.array(m[:, i]) for i in range(WORDS))], ["block", *(f"w{i}" for i in range(WORDS))])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    parts = listed.select("host", "path").mapInArrow(words, "block long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
-    found = parts.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS))).toArrow()
-    out = np.zeros((n, WORDS), dtype=np.uint32)
-    at = found.column("block").to_numpy()
-    for i in range(WORDS):
-        out[at, i] = found.column(f"w{i}").to_numpy().astype(np.uint32)
-    return out
+    return bloom.build(listed.select("host", "path").mapInArrow(hashed, "h long"), 2 * listed.count(), MAX_FILTER_BYTES)
 
 
 def possible_hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
@@ -98,8 +76,7 @@ def possible_hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
         bits = shared.value
 
         def passes(keys: list[str]) -> np.ndarray:
-            m = masks(h := hashes(keys))
-            return ((bits[blocks(h, len(bits))] & m) == m).all(axis=1)
+            return bloom.contains(bits, hashes(keys))
 
         for b in batches:
             hosts, paths = b.column(0).to_pylist(), b.column(1).to_pylist()
