@@ -80,13 +80,13 @@ def label_centroids(spark: SparkSession, d: str) -> DataFrame:
     return R.centroids(v, "label").withColumn("mean", F.round("mean", 6))
 
 
-@query(f"""WITH a AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id AS item_id, {_COS} AS score FROM a JOIN embeddings ON vec_id <> qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, item_id) AS rank FROM s) SELECT qid, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+@query(f"""WITH a AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS item_id, {_COS} AS score FROM a JOIN embeddings ON vec_id <> qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, item_id) AS rank FROM s) SELECT qid, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def similar_to_each(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest others of each query row; queries are a stated set and are sent to the vectors once their size is checked."""
     from docweave.operators.text_stats import top_within
 
     v = vectors(spark, d)
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
     small = asked.limit(20_001).count() <= 20_000
     s = v.join(F.broadcast(asked) if small else asked, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("item_id"), V.cosine(F.col("embedding"), F.col("qv")).alias("score"))
     return top_within(s, ["qid"], 5, [F.desc(F.round("score", 9)), F.asc("item_id")]).withColumn("score", F.round("score", 6))

@@ -93,3 +93,48 @@ def test_entry_runs_and_names_are_unique(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_chunks_cover_all_elements_within_budget(spark):
+    found = registry.QUERIES["element_chunks"](spark, DATA).toPandas().sort_values(["doc_id", "chunk"])
+    for _, g in found.groupby("doc_id"):
+        assert g["first"].iloc[0] == 0 and (g["first"].to_numpy()[1:] == g["last"].to_numpy()[:-1] + 1).all()
+        assert ((g.tokens <= 400) | (g["first"] == g["last"])).all()
+
+
+def test_sentence_ranks_sum_to_at_most_one(spark):
+    found = registry.QUERIES["sentence_ranks"](spark, DATA).toPandas()
+    total = found.groupby("doc_id").score.sum()
+    assert (found.score > 0).all() and (total <= 1 + 1e-9).all()
+
+
+def test_singular_values_match_numpy(spark):
+    x = np.stack(spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas().embedding).astype(float)
+    got = registry.QUERIES["singular_values"](spark, DATA).toPandas().sort_values("i").value
+    assert np.allclose(got, np.linalg.svd(x, compute_uv=False)[:10], rtol=1e-6)
+
+
+def test_cache_against_a_list(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").toPandas().sort_values(["ts", "event_id"])
+    want = {}
+    for user, g in events.groupby("user_id"):
+        cache, hits = [], 0
+        for x in g.event_type:
+            hits += x in cache
+            cache = ([y for y in cache if y != x] + [x])[-2:]
+        want[user] = (len(g), hits)
+    assert {r.user_id: (r.accesses, r.hits) for r in registry.QUERIES["cache_hit_rates"](spark, DATA).collect()} == want
+
+
+def test_p_values_and_stationary_shares(spark):
+    p = registry.QUERIES["experiment_p_values"](spark, DATA).toPandas()
+    assert p.p.between(0, 1).all() and ((p.t.abs() > 1.96) == (p.p < 0.05)).all()
+    s = registry.QUERIES["stationary_events"](spark, DATA).toPandas()
+    assert s.share.sum() == pytest.approx(1)
+
+
+def test_loops_and_clusters(spark):
+    b = registry.QUERIES["page_loops"](spark, DATA).toPandas()
+    assert (b.loops == b.edges - b.vertices + b.parts).all() and (b.loops >= 0).all() and (b.parts >= 1).all()
+    c = registry.QUERIES["embedding_clusters"](spark, DATA).toPandas()
+    assert c.node.is_unique and (c.component <= c.node).all() and len(c) == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
