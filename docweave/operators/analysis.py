@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from docweave.operators.tables import average_ranks
 
@@ -73,7 +74,7 @@ def signed_ranks(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return s.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Of a normal deviate."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
