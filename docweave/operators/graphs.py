@@ -19,6 +19,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
