@@ -31,6 +31,8 @@ from docweave.llm.common import per_step
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Upper case to lower, every separating byte to a space, all others as they are.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Characters of all items: what is sent to the workers is bounded.  A longer benchmark is refused, and can be given in parts.
+MAX_ITEM_CHARS = 32 << 20
 #: Characters of the patterns that one automaton holds.
 MAX_PATTERN_CHARS = 8 << 20
 _built: dict[str, list[ahocorasick.Automaton]] = {}
@@ -49,6 +51,9 @@ def windows_of(text: bytes | None, window: int) -> set[str]:
 
 def patterns(items: DataFrame, window: int, id_column: str, text_column: str) -> list[tuple[str, tuple[str, ...]]]:
     """(framed window, item ids), each window once."""
+    held = items.agg(F.sum(F.length(text_column)).alias("chars")).first().chars or 0
+    if held > MAX_ITEM_CHARS:
+        raise ValueError(f"{held} characters of items; give them in parts of at most {MAX_ITEM_CHARS}")
     of: dict[str, set[str]] = defaultdict(set)
     for row in items.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
         for w in windows_of(row.t.encode(), window):

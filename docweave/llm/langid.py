@@ -24,6 +24,8 @@ from docweave.llm.common import per_step, share_of
 UND = "und"
 #: Training characters for each language.
 CHARS = 40_000
+#: Training characters in all, which bounds the tables that are sent to the workers.
+ALL_CHARS = 400_000
 #: Characters parsed as a unit.
 CUT = 96
 #: Symbols of the shared alphabet besides space and the unknown letter; rarer ones count as unknown.
@@ -114,6 +116,7 @@ class Alphabet:
 class Model:
     def __init__(self, texts: dict[str, list[str]], chars: int = CHARS):
         self.languages = sorted(texts)
+        chars = min(chars, ALL_CHARS // max(1, len(texts)))
         self.alphabet = Alphabet([t for lang in self.languages for t in texts[lang]])
         joined = {lang: np.concatenate([np.append(self.alphabet.symbols(t), 1) for t in texts[lang]])[:chars].astype(np.int32) for lang in self.languages}
         size = min(map(len, joined.values()), default=0)  # equal amounts, so that counts compare
