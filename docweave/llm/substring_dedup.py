@@ -174,6 +174,34 @@ def passages_by_join(docs: DataFrame, anchors: DataFrame, recurring: DataFrame,
     return squeezed(docs).join(known, "doc_id").select("doc_id", "row_key", "packed", "anchors").mapInArrow(per_step(find, "packed"), PASSAGES_SCHEMA)
 
 
+#: Rows that are aggregated at once before the shuffle.
+MERGED_ROWS = 1 << 16
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """(anchor, key, passage, least, most): equal passages of a task in one row, as far as MERGED_ROWS reach.
+
+    Spark's own partial aggregation would need one shuffle by passage and another by anchor.
+    """
+    names = ["anchor", "key", "passage", "least", "most"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merge() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).group_by(["anchor", "key"], use_threads=False).aggregate([("passage", "first"), ("doc_id", "min"), ("doc_id", "max")])
+            yield from t.select(["anchor", "key", "passage_first", "doc_id_min", "doc_id_max"]).rename_columns(names).to_batches(max_chunksize=8192)
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= MERGED_ROWS:
+                yield from merge()
+                held = []
+        if held:
+            yield from merge()
+
+    return found.select("anchor", "key", "passage", "doc_id").mapInArrow(run, "anchor long, key long, passage string, least long, most long")
+
+
 class Shard:
     """Passages of some anchors, all that have those anchors, with the least and greatest id of each passage."""
 
@@ -314,8 +342,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_
     else:
         cut = passages_by_join(named, anchors, recurring, window, run)
     found = materialize(cut, "passages")
-    distinct = found.groupBy("anchor", "key").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    located = locate(distinct.repartition(n, "anchor").sortWithinPartitions("anchor"), window)
+    by_anchor = merged(found).repartition(n, "anchor")
+    distinct = by_anchor.groupBy("anchor", "key").agg(F.first("passage").alias("passage"), F.min("least").alias("least"), F.max("most").alias("most"))
+    located = locate(distinct.sortWithinPartitions("anchor"), window)
     hits = found.select("doc_id", "row_key", "first", "anchor", "key").join(located, ["anchor", "key"])
     windows = hits.select("doc_id", "row_key", F.expr("filter(transform(firsts, (x, i) -> if(x < doc_id, cast(first + i as long), null)), x -> x is not null)").alias("at")).where("size(at) > 0")
     starts = materialize(windows.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("at")).alias("starts")), "starts")
