@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from docweave.functions import vectors as V
+from docweave.operators.graphs import written
 from docweave.operators.tables import average_ranks
 
+#: Blocks at least, vectors of a block about at most, and rows of a block that are multiplied at once.
+BLOCKS, BLOCK, STRIP = 8, 16384, 256
+
 
 def chunks(elements: DataFrame, by: str, budget: int, protected: list[str]) -> DataFrame:
     """(by, chunk, first, last, tokens): runs of elements; a protected type stands alone, and a chunk ends before its budget is
@@ -170,3 +178,60 @@ def betti(points: DataFrame, by: list[str], key: str, near: Column) -> DataFrame
             yield pd.DataFrame(rows, columns=[*by, "vertices", "edges", "parts", "loops"])
 
     return nodes.join(links, by, "left").mapInPandas(count, f"{kinds}, vertices long, edges long, parts long, loops long")
+
+
+def linked(x: np.ndarray, y: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Labels of the rows of x, then of y (or x against itself): the smallest position that cosines of ``threshold`` or more lead to."""
+    other = x if y is None else y
+    base = 0 if y is None else len(x)
+    label = np.arange(base + len(other))
+    nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((other * other).sum(1))
+    for i in range(0, len(x), STRIP):
+        a, b = np.nonzero(x[i : i + STRIP] @ other.T / (nx[i : i + STRIP, None] * ny[None, :]) >= threshold)
+        a, b = a + i, b + base
+        while (differ := (p := label[a]) != (q := label[b])).any():
+            np.minimum.at(label, np.maximum(p, q)[differ], np.minimum(p, q)[differ])
+            while (label != (up := label[label])).any():
+                label = up
+    return label
+
+
+def cosine_links(vectors: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """(src, dst): edges along which exactly those vectors reach one another that all pairs of cosine ``threshold`` or more join.
+
+    All pairs are compared, block by block, as matrix products, so work grows with the square of the table.  A pair of blocks gives
+    a forest, never all its pairs: vectors x blocks edges at most.  Equal vectors are compared once.  Null ids, zero vectors, and vectors with nulls or NaN
+    link to nothing, nor do vectors of unequal length.  ``threshold`` is over 0.
+    """
+    kind = dict(vectors.dtypes)[key]
+    length = V.norm(F.col(vector))
+    v = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & (length > 0) & ~F.isnan(length))
+    least = written(v.groupBy("x").agg(F.min("id").alias("first")), "vectors")
+    equal = v.join(least, "x").where("id != first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
+    n = max(BLOCKS, -(-least.count() // BLOCK))
+    row = F.struct(F.col("first").alias("id"), "x")
+    blocks = written(least.groupBy(F.size("x").alias("width"), F.pmod(F.xxhash64("x"), F.lit(n)).alias("block")).agg(F.collect_list(row).alias("rows")), "blocks")
+    spark = vectors.sparkSession
+    a, b = (blocks.select("width", F.col("block").alias(k), F.col("rows").alias(f"{k}_rows")) for k in ("lo", "hi"))
+    places = blocks.select("width", F.col("block").alias("lo"))
+    pairs = places.join(places.withColumnRenamed("lo", "hi"), "width").where("lo <= hi")
+    tasks = min(n * (n + 1) // 2, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    met = pairs.repartition(tasks).join(a, ["width", "lo"]).join(b, ["width", "hi"]).select("lo", "hi", "lo_rows", "hi_rows")
+
+    def matrix(rows: pa.ListArray, i: int) -> tuple[pa.Array, np.ndarray]:
+        s = rows.slice(i, 1).flatten()
+        return s.field("id"), s.field("x").flatten().to_numpy().reshape(len(s), -1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, x = matrix(batch.column(2), i)
+                y = None
+                if batch.column(0)[i] != batch.column(1)[i]:
+                    more, y = matrix(batch.column(3), i)
+                    ids = pa.concat_arrays([ids, more])
+                label = linked(x, y, threshold)
+                k = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(label[k])), ids.take(pa.array(k))], ["src", "dst"])
+
+    return written(equal.unionByName(met.mapInArrow(compare, f"src {kind}, dst {kind}")), "links")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from docweave.functions import text as T
 from docweave.operators import analysis as A
 from docweave.operators.graphs import components
-from docweave.functions import vectors as V
 from docweave.plans import behavior
 from docweave.plans.base import query
 from docweave.sources.relations import elements, table
@@ -75,9 +74,7 @@ def page_loops(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Components of vectors of one label with cosine 0.3 or more, single ones included; the label blocks the pairs."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    a, b = (v.select(F.col("vec_id").alias(n), "label", F.col("embedding").alias(f"e{n}")) for n in ("src", "dst"))
-    e = a.join(b, "label").where((F.col("src") < F.col("dst")) & (V.cosine(F.col("esrc"), F.col("edst")) >= 0.3)).select("src", "dst")
+    """Components of vectors with cosine 0.3 or more, whatever their labels, single ones included."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
     loops = v.select(F.col("vec_id").alias("src"), F.col("vec_id").alias("dst"))
-    return components(e.unionByName(loops))
+    return components(A.cosine_links(v, "vec_id", "embedding", 0.3).unionByName(loops))

@@ -138,3 +138,36 @@ def test_loops_and_clusters(spark):
     assert (b.loops == b.edges - b.vertices + b.parts).all() and (b.loops >= 0).all() and (b.parts >= 1).all()
     c = registry.QUERIES["embedding_clusters"](spark, DATA).toPandas()
     assert c.node.is_unique and (c.component <= c.node).all() and len(c) == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+
+
+def roots_of(ids, pairs):
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_clusters_against_all_pairs(spark, monkeypatch):
+    """Across labels and blocks."""
+    from docweave.operators import analysis, graphs
+
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
+    x = np.stack(e.embedding).astype(float)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.3, 1))
+    assert (e.label.to_numpy()[a] != e.label.to_numpy()[b]).any()
+    want = roots_of(e.vec_id.tolist(), zip(e.vec_id[a].tolist(), e.vec_id[b].tolist()))
+    assert {r.node: r.component for r in registry.QUERIES["embedding_clusters"](spark, DATA).collect()} == want
+    monkeypatch.setattr(analysis, "BLOCK", 40)
+    rows = [(i, [1.0, 0.0]) for i in range(100)] + [(100 + i, [0.0, 1.0 + i]) for i in range(100)] + [(300, [0.0, 0.0]), (301, [0.0, 0.0]), (302, None), (303, [float("nan"), 1.0]), (304, [1.0, None]), (305, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    links = analysis.cosine_links(df, "k", "v", 0.9).unionByName(df.selectExpr("k AS src", "k AS dst"))
+    assert {r.node: r.component for r in graphs.components(links).collect()} == {i: i // 100 * 100 if i < 200 else i for i, _ in rows}
+    assert analysis.cosine_links(df.limit(0), "k", "v", 0.9).count() == 0
