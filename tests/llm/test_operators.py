@@ -441,6 +441,26 @@ def test_pipeline_against_brute_force(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "private_data", "packing"]
 
 
+def test_near_duplicate_stage_keeps_rows_with_null_or_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(rng.choice("kara lose minu peti vozu rase tilo nupe".split()) + str(rng.randint(0, 999)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, d), (9, c), (None, d), (10, e), (11, e)]
+    out = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows, extra=False), SF)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(None, a), (None, b), (7, c), (7, d), (10, e)])
+
+
+def test_pipeline_carries_rows_without_an_id_to_packing(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None, "the quiet river runs under the old stone bridge at night"), (None, "mein Freund kommt morgen mit dem Zug aus Berlin an"), (3, "call me at jo@example.com about the very bright house"), (1, "nobody has seen the green car since last summer"), (5, "we walk home when rain begins to fall on the hill")]
+    documents(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some other benchmark text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter([None, None, 1, 3, 5])
+
+
 def test_digests_match_their_definition():
     assert decontam.digest(["b", "a"]) == hashlib.sha256(b"a,b").hexdigest()
     assert pa.types.is_struct(substring_dedup.RESULT[3][1].value_type)
