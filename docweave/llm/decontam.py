@@ -6,7 +6,7 @@ by spaces, with the items it stands in; texts are scanned in the same form.  Wor
 the original text.
 
 Edge cases: null and empty texts have no words and no hits; items without words give no window; repeated items and windows
-are held once; windows may overlap and each occurrence counts.  Rows are judged one by one, whatever their ids.  If the
+are held once; windows may overlap and each occurrence counts.  Windows of items with a null id count as hits, without an id.  Rows are judged one by one, whatever their ids.  If the
 items are too long for one automaton of ``MAX_PATTERN_CHARS``, several are used one after another on each text, each of
 bounded size; results are the same.
 """
@@ -45,19 +45,19 @@ def normal(text: bytes | None) -> bytes:
 
 
 def windows_of(text: bytes | None, window: int) -> set[str]:
-    words = normal(text).decode().split()
-    return {" " + " ".join(words[i : i + window]) + " " for i in range(max(1, len(words) - window + 1))} if words else set()
+    words = normal(text).decode().strip(" ").split(" ")  # as scan() does: white space beyond ASCII stays within words
+    return {" " + " ".join(words[i : i + window]) + " " for i in range(max(1, len(words) - window + 1))} if words[0] else set()
 
 
 def patterns(items: DataFrame, window: int, id_column: str, text_column: str) -> list[tuple[str, tuple[str, ...]]]:
-    """(framed window, item ids), each window once."""
+    """(framed window, item ids), each window once; an item without an id gives windows that hit and name no item."""
     held = items.agg(F.sum(F.length(text_column)).alias("chars")).first().chars or 0
     if held > MAX_ITEM_CHARS:
         raise ValueError(f"{held} characters of items; give them in parts of at most {MAX_ITEM_CHARS}")
     of: dict[str, set[str]] = defaultdict(set)
-    for row in items.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for row in items.select(F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")).where("t IS NOT NULL").toLocalIterator():
         for w in windows_of(row.t.encode(), window):
-            of[w].add(row.i)
+            of[w].update([] if row.i is None else [row.i])
     return [(w, tuple(sorted(ids))) for w, ids in sorted(of.items())]
 
 

@@ -320,6 +320,16 @@ def test_decontamination_against_all_windows(spark, some_texts, monkeypatch):
     assert all(decontam.scan(t.encode() if t else None, machines)[0] == brute_hits(t, items, 10)[0] and len(decontam.scan(t.encode() if t else None, machines)[1]) == brute_hits(t, items, 10)[1] for _, t in texts)
 
 
+def test_decontamination_keeps_other_spaces_in_words_and_items_without_an_id(spark):
+    odd = "un\u00a0deux tro\u2009is qua\u3000tre \u2028 ci\u0085nq"
+    items = [(1, odd), (2, "plain\u00a0words"), (None, "nobody owns this"), (3, "\u00a0")]
+    texts = [(1, "x " + odd + ". y"), (2, "un deux tro is qua tre ci nq"), (3, "plain words"), (4, "plain\u00a0words"), (5, "so nobody owns this item"), (6, "a \u00a0 b")]
+    got = decontam.contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), window=3).collect()
+    want = {i: (brute_hits(t, items, 3)[1], [x for x in brute_hits(t, items, 3)[2] if x != "None"]) for i, t in texts}
+    assert {r.doc_id: (r.n_hit, r.item_ids) for r in got} == want
+    assert want[1][1] == ["1"] and want[2][0] == want[3][0] == 0 and want[5] == (3, [])
+
+
 # --- 9 nearest neighbours
 
 
