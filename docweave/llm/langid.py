@@ -2,13 +2,15 @@
 
 Text is reduced to lower-case letters, single spaces and a stand-in for letters that no training text has.  A language's
 automaton recognises every substring of its training text.  A text is parsed greedily: each phrase is the longest that the
-automaton still recognises.  The language that needs the fewest phrases for each character wins.
+automaton still recognises.  Each language is trained on all of its own sample, so a phrase costs log2(training symbols + symbols
+of the alphabet) bits: it names a place of the training text, or a symbol.  The language with the fewest bits for each character
+wins.  Languages with under ``LEAST`` training letters win only if no language has as many.
 
 All rows of a batch are parsed together, step by step, over dense transition tables, in cuts of ``CUT`` characters (a phrase
 ends at a cut's end, in every language alike).  Training text is a bounded sample: ``chars`` characters for each language.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0.  With no labelled text every text is ``und``.
-Equal phrase counts go to the language first in order.  Repeated rows are judged alike; ids may be null.
+Edge cases: a null text, or one without a letter, is ``und`` with score 0.  With no labelled text that has a letter every
+text is ``und``, and a language whose labelled texts have none is left out.  Equal costs go to the language first in order.  Repeated rows are judged alike; ids may be null.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ UND = "und"
 CHARS = 40_000
 #: Training characters in all, which bounds the tables that are sent to the workers.
 ALL_CHARS = 400_000
+#: Training letters from which a language is told reliably.
+LEAST = 1_000
 #: Characters parsed as a unit.
 CUT = 96
 #: Symbols of the shared alphabet besides space and the unknown letter; rarer ones count as unknown.
@@ -115,12 +119,15 @@ class Alphabet:
 
 class Model:
     def __init__(self, texts: dict[str, list[str]], chars: int = CHARS):
-        self.languages = sorted(texts)
         chars = min(chars, ALL_CHARS // max(1, len(texts)))
-        self.alphabet = Alphabet([t for lang in self.languages for t in texts[lang]])
-        joined = {lang: np.concatenate([np.append(self.alphabet.symbols(t), 1) for t in texts[lang]])[:chars].astype(np.int32) for lang in self.languages}
-        size = min(map(len, joined.values()), default=0)  # equal amounts, so that counts compare
-        self.automata = [SuffixAutomaton(joined[lang][:size], self.alphabet.width) for lang in self.languages]
+        self.alphabet = Alphabet([t for lang in sorted(texts) for t in texts[lang]])
+        joined = {lang: np.concatenate([np.append(self.alphabet.symbols(t), 1) for t in texts[lang]])[:chars].astype(np.int32) for lang in sorted(texts) if texts[lang]}
+        letters = {lang: int((x != 1).sum()) for lang, x in joined.items()}
+        self.languages = [lang for lang in joined if letters[lang]]
+        self.automata = [SuffixAutomaton(joined[lang], self.alphabet.width) for lang in self.languages]
+        self.phrase_bits = np.log2([len(joined[lang]) + self.alphabet.width for lang in self.languages])
+        enough = np.array([letters[lang] >= LEAST for lang in self.languages], dtype=bool)
+        self.wins = enough if enough.any() else ~enough
 
     def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases for each character (text x language), and which texts have a letter."""
@@ -151,8 +158,9 @@ class Model:
         return out / np.maximum(n, 1)[:, None], n > 0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages, and scores: how far the best rate lies below the second best (1 if there is one language)."""
+        """Languages, and scores: how far the lowest cost lies below the second lowest (1 if one language can win)."""
         rates, lettered = self.rates(texts)
+        rates = np.where(self.wins, rates * self.phrase_bits, np.inf)
         if not self.languages:
             return [UND] * len(texts), np.zeros(len(texts))
         best = rates.argmin(axis=1)

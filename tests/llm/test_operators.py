@@ -407,6 +407,22 @@ def test_languages_of_held_out_documents(spark):
     assert set(langid.identify(docs, langid.Model({})).toPandas().lang_pred) == {"und"}
 
 
+def test_a_rare_language_does_not_cut_the_others(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rare = [(9001, "kurz und selten ist dieser eine Text, mehr gibt es nicht", "rare", "s", 56), (9002, "42", "none", "s", 2)]
+    train = queries.langid.training_texts(docs.unionByName(spark.createDataFrame(rare, DOCS)), F.lit(True), chars=queries.LANG_CHARS)
+    model = langid.Model(train, queries.LANG_CHARS)
+    assert model.languages == ["de", "en", "es", "fr", "rare"]
+    assert [len(a.table) > queries.LANG_CHARS for a in model.automata] == [True] * 4 + [False]
+    rows = docs.where(queries.bucket(of=3) == 1).collect()
+    assert np.mean([x == r.lang for x, r in zip(model.predict([r.text for r in rows])[0], rows)]) >= 0.97
+    train["fr"] = ["".join(train["fr"])[:3000]]  # unequal amounts above the minimum
+    assert np.mean([x == r.lang for x, r in zip(langid.Model(train, queries.LANG_CHARS).predict([r.text for r in rows])[0], rows)]) >= 0.97
+    few = langid.Model({"a": ["one two three"], "b": ["uno dos tres cuatro cinco"], "c": ["1"]})
+    assert few.languages == ["a", "b"] and few.predict(["two three", "cuatro dos"])[0] == ["a", "b"]
+    assert langid.Model({"c": ["1"], "d": []}).predict(["two"])[0] == ["und"]
+
+
 # --- queries and pipeline
 
 
