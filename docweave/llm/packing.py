@@ -12,6 +12,7 @@ Edge cases: a null or empty text is its end id alone.  Repeated rows are packed
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,22 +28,28 @@ from docweave.llm.common import materialize, steps
 
 SIZE = 2048
 END_ID = 1
-_loaded: dict[str, tiktoken.Encoding] = {}
+_loaded: dict[tuple, tiktoken.Encoding] = {}
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The special tokens that a tokenizers JSON file adds to its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
 
-def load(path: str, pattern: str) -> tiktoken.Encoding:
+
+def load(path: str, pattern: str, special: dict[str, int]) -> tiktoken.Encoding:
     """A byte-level BPE vocabulary given as tiktoken ranks, read once in each worker."""
-    if path not in _loaded:
+    of = path, pattern, tuple(sorted(special.items()))
+    if of not in _loaded:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        _loaded[of] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return _loaded[of]
 
 
 def encode(tokens: tiktoken.Encoding, text: str) -> bytes:
     """Ids as little-endian 32-bit numbers."""
-    return tokens.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    return tokens.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 class OpenWindows:
@@ -110,14 +117,14 @@ def layout(counts: dict[int, int], size: int) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 
-def pieces_of(docs: DataFrame, id_column: str, text_column: str, vocabulary: str, pattern: str, size: int, end_id: int) -> DataFrame:
+def pieces_of(docs: DataFrame, id_column: str, text_column: str, vocabulary: str, pattern: str, size: int, end_id: int, special: dict[str, int]) -> DataFrame:
     """A row for each piece, with the task that made it and its number there among pieces of its length."""
     kind = docs.schema[id_column].dataType
     end = np.array([end_id], dtype="<u4").tobytes()
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task, seen = load(vocabulary, pattern), TaskContext.get().partitionId(), defaultdict(int)
+        tokens, task, seen = load(vocabulary, pattern, special), TaskContext.get().partitionId(), defaultdict(int)
         for b in steps(batches, text_column):
             out = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -134,9 +141,10 @@ def pieces_of(docs: DataFrame, id_column: str, text_column: str, vocabulary: str
     return docs.select(id_column, text_column).mapInArrow(cut, f"`{id_column}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long")
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece."""
-    pieces = materialize(pieces_of(docs, id_column, text_column, vocabulary, pattern, size, end_id), "pieces")
+def pack(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, end_id: int = END_ID, special: dict[str, int] | None = None) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece.  ``special`` tokens that stand in a
+    text become their ids; without any, all is plain text."""
+    pieces = materialize(pieces_of(docs, id_column, text_column, vocabulary, pattern, size, end_id, special or {}), "pieces")
     counted = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     bases = counted.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))

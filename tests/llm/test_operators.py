@@ -266,6 +266,27 @@ def test_packing_round_trip(spark, some_texts):
     assert packing.pack(documents(spark, []), public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN).count() == 0
 
 
+def test_special_tokens_are_encoded_as_the_unmodified_tokenizer_does(spark):
+    from tokenizers import Tokenizer
+
+    texts = list(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n y", " <|endoftext|", "<|ENDOFTEXT|> z", "plain é", "", None]))
+    t = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
+    want = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in texts}
+    special = packing.special_tokens(public_tokenizers.path(queries.TOKENIZER))
+    got = packing.pack(documents(spark, texts), public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN, special=special).collect()
+    assert want[0] == [64, 220, 50256, 275, 1]
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
+def test_op6_and_the_packing_stage_know_special_tokens(spark, tmp_path):
+    import corpus_pipeline
+
+    documents(spark, [(1, "a <|endoftext|> b")], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries.op6_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        assert [(r.length, r.ids_crc32) for r in out.collect()] == [(5, zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes()))]
+
+
 # --- 7 quality
 
 
