@@ -104,7 +104,12 @@ def minhash(tokens: Column, n: int = 64) -> Column:
 
 
 def band_candidates(signatures: DataFrame, by: str, bands: int, rows: int) -> DataFrame:
-    """(a, b): ids that share a band, smaller first.  A band's members link to its smallest, so a large band costs its size."""
+    """(a, b): all pairs of ids that share a band, smaller first.  Rows of equal signatures should be one row: see ``signature_classes``."""
     banded = signatures.select(by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, F.lit(rows))))).alias("band", "h"))
-    least = banded.groupBy("band", "h").agg(F.min(by).alias("a"))
-    return banded.join(least, ["band", "h"]).where(F.col(by) != F.col("a")).select("a", F.col(by).alias("b")).distinct()
+    a, b = (banded.select(F.col(by).alias(x), "band", "h") for x in "ab")
+    return a.join(b, ["band", "h"]).where("a < b").select("a", "b").distinct()
+
+
+def signature_classes(signatures: DataFrame, by: str) -> DataFrame:
+    """(by, signature): each distinct signature once, under its smallest id."""
+    return signatures.groupBy("signature").agg(F.min(by).alias(by)).select(by, "signature")

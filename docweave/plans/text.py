@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as T
 from docweave.functions import vectors as V
 from docweave.operators import text_stats as S
+from docweave.operators.graphs import written
 from docweave.plans.base import query
 from docweave.sources.relations import ELEMENTS_SQL, elements, table
 
@@ -196,11 +197,18 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def minhash_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of MinHash bands with their estimated similarity; banding has no SQL counterpart of equal hashes."""
-    s = docs(spark, d).select("doc_id", S.minhash(T.words(F.col("text"))).alias("signature")).where("signature[0] < 2147483647")
-    pairs = S.band_candidates(s, "doc_id", 16, 4)
-    both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("signature").alias("x")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("signature").alias("y")), "b")
-    return both.select("a", "b", (V.total(F.zip_with("x", "y", lambda p, q: (p == q).cast("int"))) / 64).alias("similarity"))
+    """Candidates of 32 MinHash bands of 4 with their estimated similarity; banding has no SQL counterpart of equal hashes.
+
+    Pairs are between the smallest ids of distinct signatures; each other id of a signature is paired with its smallest
+    (``member``, similarity 1), so all pairs of ids can be had from these.
+    """
+    s = written(docs(spark, d).select("doc_id", S.minhash(T.words(F.col("text")), 128).alias("signature")).where("signature[0] < 2147483647"), "signatures")
+    classes = written(S.signature_classes(s, "doc_id"), "classes")
+    a, b = (classes.select(F.col("doc_id").alias(k), F.col("signature").alias(v)) for k, v in ("ax", "by"))
+    both = S.band_candidates(classes, "doc_id", 32, 4).join(a, "a").join(b, "b")
+    pairs = both.select("a", "b", (V.total(F.zip_with("x", "y", lambda p, q: (p == q).cast("int"))) / 128).alias("similarity"), F.lit(False).alias("member"))
+    members = s.join(a, s.signature == a.x).where("doc_id != a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("member"))
+    return pairs.unionByName(members)
 
 
 @query(f"WITH {ELEMENTS_SQL} SELECT doc_id, seq, content, substr(sha256(lower(trim(regexp_replace(content, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')))), 1, 16) AS content_hash, '[' || section || ' | Page ' || page || '] ' || content AS prefixed, CASE WHEN len(string_split(content, ' ')) > 10 THEN array_to_string((string_split(content, ' '))[1:len(string_split(content, ' ')) // 2], ' ') ELSE content END AS coarse FROM elements")

@@ -171,3 +171,15 @@ def test_clusters_against_all_pairs(spark, monkeypatch):
     links = analysis.cosine_links(df, "k", "v", 0.9).unionByName(df.selectExpr("k AS src", "k AS dst"))
     assert {r.node: r.component for r in graphs.components(links).collect()} == {i: i // 100 * 100 if i < 200 else i for i, _ in rows}
     assert analysis.cosine_links(df.limit(0), "k", "v", 0.9).count() == 0
+
+
+def test_minhash_pairs_all_members_of_a_band(spark, tmp_path):
+    rng = np.random.RandomState(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join([*base, *(f"x{i}y{j}" for j in range(3))]) for i in range(6)}  # near copies of one another
+    texts |= {10 + i: texts[3] for i in range(3)} | {20 + i: " ".join(f"z{k}" for k in rng.randint(0, 10**6, 40)) for i in range(5)}
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["minhash_candidates"](spark, str(tmp_path)).toPandas()
+    assert set(zip(found.a[~found.member], found.b[~found.member])) == {(i, j) for i in range(6) for j in range(i + 1, 6)}
+    assert set(zip(found.a[found.member], found.b[found.member])) == {(3, 10), (3, 11), (3, 12)}
+    assert ((found.similarity * 128) % 1 == 0).all() and (found.similarity > 0.7).all()
