@@ -1,55 +1,67 @@
 """Sequence packing: best-fit decreasing over a segment tree indexed by remaining capacity.
 
-Texts become token ids plus one end id.  Documents longer than a window are cut into full windows and a tail, so a piece has
+Texts become token ids, as ``tokenizers`` gives them, plus one end id.  Documents longer than a window are cut into full windows and a tail, so a piece has
 1 to ``size`` ids.  Best-fit decreasing needs only how many pieces have each length, at most ``size`` numbers whatever the
 input: the driver lays out windows for these counts (open windows of equal capacity are handled as ranges), and each piece
 finds its place by its rank among pieces of its length.  Ranks are counted in each task while pieces are written, and joined
 with the tasks' running totals, so no length, however common, meets in one task.
 
-Edge cases: a null or empty text is its end id alone.  Repeated rows are packed each.  An empty table gives no sequence.
+A pre-token never crosses a single space between two other characters, so a text is cut there, and ids of short parts are
+remembered in each worker: the tokenizer sees a part once.  Parts are of any length, so texts are encoded whole.
+
+Edge cases: a null or empty text is its end id alone.  Repeated rows are packed each.  An empty table gives no sequence.  Ids may
+be of any type, and null.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-import base64
-import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docweave.llm.common import materialize, steps
 
 SIZE = 2048
 END_ID = 1
-_loaded: dict[tuple, tiktoken.Encoding] = {}
+#: Where a text may be cut without a change to its ids: before a space that stands alone between characters that are no spaces.
+PART = re.compile(r"(?<=\S)(?= \S)")
+#: Parts of up to this many characters are remembered, at most so many; then all are forgotten.
+PART_CHARS, PARTS = 48, 200_000
+_loaded: dict[str, Parts] = {}
+
 
+class Parts(dict):
+    """Ids of a text's parts, as little-endian 32-bit numbers."""
 
-def special_tokens(path: str) -> dict[str, int]:
-    """The special tokens that a tokenizers JSON file adds to its vocabulary."""
-    with open(path, encoding="utf-8") as f:
-        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+    def __init__(self, vocabulary: str):
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(vocabulary)
 
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(part) <= PART_CHARS:
+            if len(self) >= PARTS:
+                self.clear()
+            self[part] = ids
+        return ids
 
-def load(path: str, pattern: str, special: dict[str, int]) -> tiktoken.Encoding:
-    """A byte-level BPE vocabulary given as tiktoken ranks, read once in each worker."""
-    of = path, pattern, tuple(sorted(special.items()))
-    if of not in _loaded:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _loaded[of] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return _loaded[of]
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, PART.split(text))) if text else b""
 
 
-def encode(tokens: tiktoken.Encoding, text: str) -> bytes:
-    """Ids as little-endian 32-bit numbers."""
-    return tokens.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+def load(vocabulary: str) -> Parts:
+    """The tokenizer of a file, read once in each worker."""
+    if vocabulary not in _loaded:
+        _loaded[vocabulary] = Parts(vocabulary)
+    return _loaded[vocabulary]
 
 
 class OpenWindows:
@@ -117,34 +129,33 @@ def layout(counts: dict[int, int], size: int) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
 
 
-def pieces_of(docs: DataFrame, id_column: str, text_column: str, vocabulary: str, pattern: str, size: int, end_id: int, special: dict[str, int]) -> DataFrame:
+def pieces_of(docs: DataFrame, id_column: str, text_column: str, vocabulary: str, size: int, end_id: int) -> DataFrame:
     """A row for each piece, with the task that made it and its number there among pieces of its length."""
-    kind = docs.schema[id_column].dataType
     end = np.array([end_id], dtype="<u4").tobytes()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task, seen = load(vocabulary, pattern, special), TaskContext.get().partitionId(), defaultdict(int)
-        for b in steps(batches, text_column):
+        parts, task, seen = load(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
+        for b in steps(batches, "_text"):
             out = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(tokens, text or "") + end
+            for row, text in enumerate(b.column(1).to_pylist()):
+                ids = parts.encode(text or "") + end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     piece = ids[4 * start : 4 * (start + size)]
                     n = len(piece) // 4
-                    out.append((i, start, n, zlib.crc32(piece), total, task, seen[n]))
+                    out.append((row, start, n, zlib.crc32(piece), total, task, seen[n]))
                     seen[n] += 1
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], arrow_id), *(pa.array(c, pa.int64()) for c in columns[1:])], [id_column, "start", "length", "ids_crc32", "doc_tokens", "task", "nth"])
+            rows, *columns = (pa.array(c, pa.int64()) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *columns], ["_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"])
 
-    return docs.select(id_column, text_column).mapInArrow(cut, f"`{id_column}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long")
+    source = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    return source.mapInArrow(cut, f"_id {source.schema['_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long")
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, end_id: int = END_ID, special: dict[str, int] | None = None) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece.  ``special`` tokens that stand in a
-    text become their ids; without any, all is plain text."""
-    pieces = materialize(pieces_of(docs, id_column, text_column, vocabulary, pattern, size, end_id, special or {}), "pieces")
+def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece.  ``vocabulary``: a JSON file of
+    ``tokenizers`` with byte-level pre-tokens; its special tokens that stand in a text become their ids."""
+    pieces = materialize(pieces_of(docs, id_column, text_column, vocabulary, size, end_id), "pieces")
     counted = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     bases = counted.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))
@@ -162,8 +173,9 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_i
             row = rows[np.searchsorted(keys, (at["length"] << 48) + rank, side="right") - 1]
             beyond = rank - row[:, 1]
             sequence, nth = row[:, 4] + beyond // np.maximum(row[:, 3], 1), beyond % np.maximum(row[:, 3], 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(row[:, 5] + nth * at["length"])], [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(row[:, 5] + nth * at["length"])], ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    placed = pieces.join(bases, ["length", "task"]).select(id_column, "start", "length", "ids_crc32", "doc_tokens", "nth", "base")
-    return placed.mapInArrow(place, f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = pieces.join(bases, ["length", "task"]).select("_id", "start", "length", "ids_crc32", "doc_tokens", "nth", "base")
+    kind = placed.schema["_id"].dataType.simpleString()
+    out = placed.mapInArrow(place, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return out.withColumnRenamed("_id", id_column)

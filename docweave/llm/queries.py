@@ -20,9 +20,7 @@ LISTED_URLS = [f"http://{site}.example.{tld}/" for site in LISTED_SITES for tld
 PII_KEY = "docweave-surrogates"
 QUALITY_THRESHOLD = 0.3
 LANG_CHARS = 20_000
-VOCABULARY = "byte_bpe_50k.tiktoken"
-#: The same vocabulary as tokenizers read it; names the special tokens.
-TOKENIZER = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +47,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, special=packing.special_tokens(public_tokenizers.path(TOKENIZER)))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:

@@ -246,9 +246,8 @@ def test_packing_round_trip(spark, some_texts):
 
     texts = [(i, t) for i, t in enumerate([t for _, t in some_texts] + ["wörter und 123 <|endoftext|> \U0001f600 " * 900])]
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: e.ids + [1] for (i, _), e in zip(texts, t.encode_batch([x or "" for _, x in texts], add_special_tokens=False))}
-    got = packing.pack(documents(spark, texts).repartition(3), public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN, size=256).collect()
+    got = packing.pack(documents(spark, texts).repartition(3), public_tokenizers.path(queries.VOCABULARY), size=256).collect()
     seen, windows = defaultdict(list), defaultdict(list)
     for r in got:
         piece = ids[r.doc_id][r.start : r.start + r.length]
@@ -263,19 +262,37 @@ def test_packing_round_trip(spark, some_texts):
         assert at == total if total else at <= 256
     assert sorted(windows) == list(range(len(windows)))
     assert sorted(256 - sum(n for _, n in w) for w in windows.values()) == brute_fill([r.length for r in got], 256)
-    assert packing.pack(documents(spark, []), public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN).count() == 0
+    assert packing.pack(documents(spark, []), public_tokenizers.path(queries.VOCABULARY)).count() == 0
 
 
-def test_special_tokens_are_encoded_as_the_unmodified_tokenizer_does(spark):
+def test_ids_are_those_of_the_unmodified_tokenizer():
     from tokenizers import Tokenizer
 
-    texts = list(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n y", " <|endoftext|", "<|ENDOFTEXT|> z", "plain é", "", None]))
-    t = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
-    want = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in texts}
-    special = packing.special_tokens(public_tokenizers.path(queries.TOKENIZER))
-    got = packing.pack(documents(spark, texts), public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN, special=special).collect()
-    assert want[0] == [64, 220, 50256, 275, 1]
-    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+    path = public_tokenizers.path(queries.VOCABULARY)
+    t, parts = Tokenizer.from_file(path), packing.Parts(path)
+    rng = random.Random(11)
+    pieces = ["a", "be", "See", "'s", "'ll", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b", "12", "3,4", "...", "é", "ß", "中文", "\U0001f600", "e\u0301", "<|endoftext|>", "<|endoftext", "\r\n", "_", "don't"]
+    texts = ["a <|endoftext|> b", " <|endoftext|", "", " ", " x", "x ", "x  y", "x \n y", "x\n y"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(parts.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(parts.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    long = " " * 1_200_000 + "\n" * 1_200_000  # one part
+    assert np.frombuffer(parts.encode(long), "<u4").tolist() == t.encode(long, add_special_tokens=False).ids
+
+
+def test_forgotten_parts_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "PARTS", 3)
+    parts = packing.Parts(public_tokenizers.path(queries.VOCABULARY))
+    text = "one two three four five six one two " * 20
+    assert np.frombuffer(parts.encode(text), "<u4").tolist() == parts.tokenizer.encode(text, add_special_tokens=False).ids and len(parts) <= 3
+
+
+def test_packing_takes_ids_of_any_type(spark):
+    docs = documents(spark, [(1, "one two"), (None, "three")])
+    for kind in ("double", "date", "string"):
+        named = docs.withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit("2024-01-01" if kind == "date" else "1").cast(kind)))
+        got = packing.pack(named, public_tokenizers.path(queries.VOCABULARY)).collect()
+        assert sorted((r.doc_id is None, r.length) for r in got) == [(False, 3), (True, 2)]
 
 
 def test_op6_and_the_packing_stage_know_special_tokens(spark, tmp_path):
