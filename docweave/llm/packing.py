@@ -6,8 +6,8 @@ input: the driver lays out windows for these counts (open windows of equal capac
 finds its place by its rank among pieces of its length.  Ranks are counted in each task while pieces are written, and joined
 with the tasks' running totals, so no length, however common, meets in one task.
 
-A pre-token never crosses a single space between two other characters, so a text is cut there, and ids of short parts are
-remembered in each worker: the tokenizer sees a part once.  Parts are of any length, so texts are encoded whole.
+With byte-level pre-tokens, none crosses a single space between two other characters, so a text is cut there, and ids of short
+parts are remembered in each worker: the tokenizer sees a part once.  Parts are of any length, so texts are encoded whole.
 
 Edge cases: a null or empty text is its end id alone.  Repeated rows are packed each.  An empty table gives no sequence.  Ids may
 be of any type, and null.  Other columns are not read.
@@ -15,8 +15,11 @@ be of any type, and null.  Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,27 +36,55 @@ SIZE = 2048
 END_ID = 1
 #: Where a text may be cut without a change to its ids: before a space that stands alone between characters that are no spaces.
 PART = re.compile(r"(?<=\S)(?= \S)")
-#: Parts of up to this many characters are remembered, at most so many; then all are forgotten.
-PART_CHARS, PARTS = 48, 200_000
+#: A part of one word, with what follows the word: here too pre-tokens end.
+WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Parts of up to this many characters are remembered, up to twice so many.
+PART_CHARS, PARTS = 48, 400_000
 _loaded: dict[str, Parts] = {}
 
 
 class Parts(dict):
-    """Ids of a text's parts, as little-endian 32-bit numbers."""
+    """Ids of a text's parts, as little-endian 32-bit numbers.
+
+    Once ``PARTS`` are held they become the older ones, and those before are forgotten; older parts that come again are kept.
+    """
 
     def __init__(self, vocabulary: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.older: dict[str, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        before = rules["pre_tokenizer"] or {}
+        self.cut = not rules["normalizer"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and rules["model"]["type"] == "BPE"
+        self.cut = self.cut and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        # the pre-tokenizer writes each byte as one character: itself where that can be seen, those from 256 on for all others
+        seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        unseen = [b for b in range(256) if b not in seen]
+        self.written = {b: b if b in seen else 256 + unseen.index(b) for b in range(256)}
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older.get(part)
+        if ids is None:
+            m = WORD.fullmatch(part)
+            if m and not any(t in part for t in self.added):
+                ids = self[m[1]] + self[m[2]] if m[2] else self.bytes_of([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.written))])
+            else:
+                ids = self.bytes_of(self.tokenizer.encode(part, add_special_tokens=False).ids)
         if len(part) <= PART_CHARS:
             if len(self) >= PARTS:
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids
 
+    @staticmethod
+    def bytes_of(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if not self.cut:
+            return self.bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.__getitem__, PART.split(text))) if text else b""
 
 
@@ -154,7 +185,7 @@ def pieces_of(docs: DataFrame, id_column: str, text_column: str, vocabulary: str
 
 def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece.  ``vocabulary``: a JSON file of
-    ``tokenizers`` with byte-level pre-tokens; its special tokens that stand in a text become their ids."""
+    ``tokenizers``; its special tokens that stand in a text become their ids."""
     pieces = materialize(pieces_of(docs, id_column, text_column, vocabulary, size, end_id), "pieces")
     counted = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
