@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of this machine only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of this machine only where that is unset on a local master."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="docweave-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -43,6 +45,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, keep: list[str], own: Iterable[str]) -> tuple[list[Column], list[str]]:
+    """Columns to carry through an operator under names that meet none of its own (``_c0``, ``_c1``, ...), and their names.
+
+    A kept column that is named as one of the operator's ``own`` gives way to it.
+    """
+    taken = {c.lower() for c in own}
+    names = [c for c in keep if c.lower() not in taken]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in names]
+    return [docs[c].alias(f"_c{i}") for i, c in enumerate(quoted)], names
+
+
 def steps(batches: Iterable[pa.RecordBatch], sized_by: str, rows: int = STEP_ROWS, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each part has at most ``rows`` rows and, beyond its first row, ``size`` bytes in ``sized_by``."""
     for batch in batches:

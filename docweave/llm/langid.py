@@ -1,12 +1,13 @@
 """Language identification by cross-parsing: suffix automata of labelled text, one for each language.
 
-Text is reduced to lower-case letters, single spaces and a stand-in for letters that no training text has.  A language's
+Text is reduced to lower-case letters, single spaces and a stand-in for letters that no training text has.  The commonest
+letters are one symbol each, rarer ones (as in Chinese) two or three, so tables stay narrow and no letter is lost.  A language's
 automaton recognises every substring of its training text.  A text is parsed greedily: each phrase is the longest that the
 automaton still recognises.  Each language is trained on all of its own sample, so a phrase costs log2(training symbols + symbols
 of the alphabet) bits: it names a place of the training text, or a symbol.  The language with the fewest bits for each character
 wins.  Languages with under ``LEAST`` training letters win only if no language has as many.
 
-All rows of a batch are parsed together, step by step, over dense transition tables, in cuts of ``CUT`` characters (a phrase
+All rows of a batch are parsed together, step by step, over dense transition tables, in cuts of ``CUT`` symbols (a phrase
 ends at a cut's end, in every language alike).  Training text is a bounded sample: ``chars`` characters for each language.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.  With no labelled text that has a letter every
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from docweave.llm.common import per_step, share_of
+from docweave.llm.common import aside, per_step, share_of
 
 UND = "und"
 #: Training characters for each language.
@@ -30,10 +32,14 @@ CHARS = 40_000
 ALL_CHARS = 400_000
 #: Training letters from which a language is told reliably.
 LEAST = 1_000
-#: Characters parsed as a unit.
-CUT = 96
-#: Symbols of the shared alphabet besides space and the unknown letter; rarer ones count as unknown.
-ALPHABET = 254
+#: Symbols parsed as a unit.
+CUT = 512
+#: Languages learned at most: those with most labelled text.
+LANGUAGES = 200
+#: Letters of the shared alphabet that are one symbol each, the commonest; all others are written as ``DIGITS`` of a kind.
+ALPHABET = 190
+#: Symbols that write a rarer letter, most significant first: two of them for the first 4,096 letters, otherwise three for all.
+DIGITS = 64
 
 
 class SuffixAutomaton:
@@ -86,29 +92,54 @@ class SuffixAutomaton:
 
 
 class Alphabet:
-    """Code points to symbols: 0 padding, 1 white space and all that is no letter, 2 unknown letters, then the training text's."""
+    """Code points to symbols: 0 padding, 1 white space and all that is no letter, 2 letters that no training text has, then those
+    of the training text: the ``ALPHABET`` commonest as a symbol each, the others as two or three digits, so none is lost."""
 
     def __init__(self, texts: list[str]):
         points = np.frombuffer("".join(texts).lower().encode("utf-32-le"), np.uint32)
         seen, n = np.unique(points, return_counts=True)
-        known = sorted(int(p) for p in seen[np.argsort(-n, kind="stable")] if chr(p).isalpha())
-        most = {int(p): int(k) for p, k in zip(seen, n)}
-        self.letters = sorted(sorted(known, key=lambda p: (-most[p], p))[:ALPHABET])
-        self.width = 3 + len(self.letters)
+        by_count = sorted((-int(k), int(p)) for p, k in zip(seen, n) if chr(p).isalpha())
+        common, rare = sorted(p for _, p in by_count[:ALPHABET]), [p for _, p in by_count[ALPHABET:]]
+        self.letters = common
+        places = 2 if len(rare) <= DIGITS**2 else 3
+        codes = {p: (3 + i, 0, 0) for i, p in enumerate(common)}
+        for i, p in enumerate(rare):
+            digits = [3 + len(common) + i // DIGITS**k % DIGITS for k in reversed(range(places))]
+            codes[p] = (*digits, *[0] * (3 - places))
+        self.points = np.array(sorted(codes), dtype=np.uint32)
+        self.codes = np.array([codes[p] for p in sorted(codes)], dtype=np.int32).reshape(-1, 3)
+        self.width = 3 + len(common) + (DIGITS if rare else 0)
+        # the first code points are looked up in a table, which also tells letters from others
         self.low = np.array([2 if chr(i).isalpha() else 1 for i in range(0x3000)], dtype=np.int32)
-        for i, p in enumerate(self.letters):
-            if p < len(self.low):
-                self.low[p] = 3 + i
-        self.high = {p: 3 + i for i, p in enumerate(self.letters) if p >= len(self.low)}
+        under = self.points < len(self.low)
+        self.low[self.points[under]] = self.codes[under, 0]
+        self.long = np.zeros(len(self.low), dtype=bool)
+        self.long[self.points[under]] = self.codes[under, 1] > 0
 
     def symbols(self, text: str) -> np.ndarray:
         """Runs of what is no letter become one space; leading and trailing ones go."""
         points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
         out = self.low.take(points, mode="clip")
-        if len(points) and points.max() >= len(self.low):
-            for i in np.flatnonzero(points >= len(self.low)):
-                p = int(points[i])
-                out[i] = self.high.get(p, 2 if chr(p).isalpha() else 1)
+        high = np.flatnonzero(points >= len(self.low))
+        long = self.long.take(points, mode="clip")
+        if len(high):
+            kinds, of = np.unique(points[high], return_inverse=True)
+            at = np.minimum(np.searchsorted(self.points, kinds), max(0, len(self.points) - 1))
+            known = self.points[at] == kinds if len(self.points) else np.zeros(len(kinds), bool)
+            first = np.array([2 if chr(p).isalpha() else 1 for p in kinds.tolist()], dtype=np.int32)
+            first[known] = self.codes[at[known], 0]
+            second = np.zeros(len(kinds), bool)
+            second[known] = self.codes[at[known], 1] > 0
+            out[high], long[high] = first[of], second[of]
+        if long.any():
+            spelled = self.codes[np.searchsorted(self.points, points[long])]
+            n = np.ones(len(points), np.int64)
+            n[long] = (spelled > 0).sum(1)
+            begin = np.cumsum(n) - n
+            out = np.repeat(out, n)
+            for k in (1, 2):
+                more = spelled[:, k] > 0
+                out[begin[long][more] + k] = spelled[more, k]
         keep = out != 1
         if not keep.any():
             return out[:0]
@@ -172,49 +203,49 @@ class Model:
         return [self.languages[i] if ok else UND for i, ok in zip(best, lettered)], np.where(lettered, score, 0.0)
 
 
-def training_texts(docs: DataFrame, where: Column, lang_column: str = "lang", text_column: str = "text", id_column: str = "doc_id", chars: int = CHARS, most_languages: int = 200) -> dict[str, list[str]]:
-    """A bounded sample of whole labelled texts for each language: those of smallest id hash that reach twice ``chars``.
+def training_texts(docs: DataFrame, where: Column, lang_column: str = "lang", text_column: str = "text", id_column: str = "doc_id", chars: int = CHARS, most_languages: int = LANGUAGES) -> dict[str, list[str]]:
+    """A bounded sample of labelled texts for each language: those of smallest id hash that reach twice ``chars``, the longest text
+    cut to as much.
 
-    Languages beyond ``most_languages`` (the rarest) are refused rather than dropped in silence.
+    Two scans, whatever the number of languages: one counts, one takes each language's share.  Languages are learned up to
+    ``most_languages``, those with most labelled characters, the others not at all.
     """
     labelled = docs.where(where & F.col(lang_column).isNotNull() & (F.length(text_column) > 0))
-    sizes = labelled.groupBy(lang_column).agg(F.count("*").alias("n"), F.sum(F.length(text_column)).alias("chars")).limit(most_languages + 1).collect()
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages are labelled")
+    sizes = labelled.groupBy(F.col(lang_column).alias("lang")).agg(F.count("*").alias("n"), F.sum(F.length(text_column)).alias("chars")).orderBy(F.desc("chars"), "lang").limit(most_languages)
     rank = share_of(F.col(id_column), F.lit("sample"))
-    out: dict[str, list[str]] = {}
-    for row in sizes:
-        # hashes are even over 64 bits, so this share of them holds about 3 x chars; the rest is never sorted
-        share = min(1.0, 3 * chars / row.chars + 40 / row.n)
-        some = labelled.where((F.col(lang_column) == row[lang_column]) & (rank < share))
-        out[row[lang_column]] = sample(some.select(rank.alias("rank"), F.col(text_column).alias("text")), 2 * chars)
-    return out
-
-
-def sample(some: DataFrame, chars: int) -> list[str]:
-    """Texts in the order of ``rank`` until they hold ``chars`` characters; each distinct text once."""
+    # hashes are even over 64 bits, so this share of them holds about 3 x chars; the rest is never sorted
+    share = F.least(F.lit(1.0), 3 * chars / F.col("chars") + 40 / F.col("n"))
+    shares = docs.sparkSession.createDataFrame(sizes.select("lang", share.alias("share")).collect(), "lang string, share double")
+    source = labelled.select(F.col(lang_column).alias("lang"), rank.alias("rank"), F.substring(text_column, 1, 2 * chars).alias("text"))
+    some = source.join(F.broadcast(shares), "lang").where("rank < share").select("lang", "rank", "text")
+    rows: dict[str, list[tuple[float, str]]] = {}
+    for row in some.collect():  # about 3 x chars for each language
+        rows.setdefault(row.lang, []).append((row.rank, row.text))
+    return {lang: sample(rows[lang], 2 * chars) for lang in sorted(rows)}
+
+
+def sample(some: list[tuple[float, str]], chars: int) -> list[str]:
+    """Texts in the order of their ranks until they hold ``chars`` characters; each distinct text once."""
     texts: dict[str, None] = {}
     held = 0
-    for row in sorted(some.collect(), key=lambda r: (r.rank, r.text)):
+    for _, text in sorted(some):
         if held >= chars:
             break
-        if row.text not in texts:
-            texts[row.text] = None
-            held += len(row.text)
+        if text not in texts:
+            texts[text] = None
+            held += len(text)
     return list(texts)
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The rows, with ``lang_pred`` and ``score``."""
+    """The rows, with ``lang_pred`` and ``score``, which take the place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "lang_pred", "score"]
-    source = docs.select("*", F.col(text_column).alias("_judged"))
+    carried, names = aside(docs, docs.columns, ["lang_pred", "score"])
+    source = docs.select(*carried, F.col(text_column).alias("_judged"))
 
     def judge(b: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores = shared.value.predict(b.column(b.num_columns - 1).to_pylist())
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return source.mapInArrow(per_step(judge, "_judged"), f"{schema}, lang_pred string, score double")
-
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
+    schema = StructType(source.schema.fields[:-1]).add("lang_pred", StringType()).add("score", DoubleType())
+    return source.mapInArrow(per_step(judge, "_judged"), schema).toDF(*names, "lang_pred", "score")

@@ -9,7 +9,8 @@ Training uses a bounded sample: ``TRAIN_BYTES`` of text for each label for the d
 
 Edge cases: null and empty texts have size difference zero and get the score of the label's share alone.  If a label is missing
 from the training rows, every score is the share of label 1 (0.5 without any labelled row).  Repeated rows score alike;
-several labels of one id each count as a training row; a null id is never labelled.
+several labels of one id each count as a training row; a null id is never labelled.  ``score`` takes the place of a kept column
+of that name.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from docweave.llm.common import per_step, share_of
+from docweave.llm.common import aside, per_step, share_of
 
 CUT = 512
 LEVEL = 3
@@ -121,13 +123,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, where: Column, label: str,
 
 def score_quality(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all by default) and ``score``, the probability of label 1."""
-    keep = keep or docs.columns
+    carried, names = aside(docs, keep or docs.columns, ["score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text_column).alias("_judged"))
+    source = docs.select(*carried, F.col(text_column).alias("_judged"))
 
     def judge(b: pa.RecordBatch) -> pa.RecordBatch:
         scores = [shared.value.score(t or b"") for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*keep, "score"])
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
-    return source.mapInArrow(per_step(judge, "_judged"), f"{schema}, score double")
+    schema = StructType(source.schema.fields[:-1]).add("score", DoubleType())
+    return source.mapInArrow(per_step(judge, "_judged"), schema).toDF(*names, "score")

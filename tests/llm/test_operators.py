@@ -141,6 +141,98 @@ def test_extraction(page, want):
     assert html_extract.extract(page, None) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        *((f"<body><div class='{c}'><article><p>kept</p></article></div></body>", "kept") for c in ("layout with-sidebar", "site has-sidebar", "no-comments", "menu-open", "sidebar", "header")),
+        *((f"<body><div class='{c}'><p>kept</p></div></body>", "kept") for c in ("layout with-sidebar", "no-comments", "menu-open", "post tag-widgets")),
+        ("<p>\u0130 first</p><SCRIPT>x</SCRIPT><p>second</p>", "\u0130 first\n\nsecond"),
+        ("<article><p>a <math><mi>x</mi></math> b</p></article>", "a x b"),
+        ("<form id='all'><article><p>kept</p><input><select><option>o</select></article></form>", "kept"),
+        ("<article><p>kept</p></article><div id='comments'><article class='comment'><p>so long a comment that it outweighs all</p></article></div>", "kept"),
+        ("<article><p>kept</p><div class='jetpack-related-posts'><p>no</p></div><div hidden>no</div><p role='alert'>no</p></article>", "kept"),
+        ("<article><p>one <a href=x>two</p><p>three</p></article>", "one two\n\nthree"),
+        ("<div><b><div>a</b></div>b</div>", "a\n\nb"),
+    ],
+)
+def test_wrappers_and_odd_markup(page, want):
+    assert html_extract.extract(page, None) == want
+
+
+@pytest.mark.parametrize("part", ["<div>", "</div>", "<p>", "<b>", "<span class=ad>", "<table><tr><td>", "<a '", '<a "', "<div class='sidebar'>", "<div class='sidebar'><article>x", "<!--", "<script>", "<![CDATA[", "<", "<svg>", "<article>", "<div class=ad-x>y"])
+def test_reading_takes_time_in_proportion_to_the_page(part):
+    import time
+
+    start = time.process_time()
+    html_extract.extract(part * 50_000 + "x", ">div")
+    assert time.process_time() - start < 10
+
+
+class Marked(__import__("html.parser").parser.HTMLParser):
+    """The text blocks of an independent parser: what stands in elements marked ``data-keep`` and in none marked ``data-drop``."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.run = [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if text := " ".join("".join(self.run).split()):
+            self.blocks.append(text)
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCK:
+            self.end()
+        if tag not in ("br", "img", "input"):
+            self.open.append((tag, {k for k, _ in attrs}))
+        elif tag == "br":
+            self.run.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK:
+            self.end()
+        while self.open and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        marks = set().union(*(m for _, m in self.open)) if self.open else set()
+        if "data-keep" in marks and "data-drop" not in marks and not {"script", "style"} & {t for t, _ in self.open}:
+            self.run.append(data)
+
+
+def layouts(rng):
+    """Pages of hosts that differ in how they hold an article; what is kept and dropped is marked."""
+    words = lambda n: " ".join(rng.choice(["rain", "caf&eacute;", "a&lt;b", "stone", "&#8364;5", "<b>bold</b>", "<i>it</i>al", "<a href='/x'>link</a>", "night<br>fall", "river"]) for _ in range(n))
+    drop = lambda: rng.choice([
+        f"<nav data-drop><ul><li>{words(3)}</ul></nav>", f"<aside data-drop><p>{words(5)}</aside>", f"<div data-drop class='ad-box'>{words(6)}</div>", f"<div data-drop class='share-buttons'>{words(2)}</div>", f"<form data-drop><label>{words(2)}</label><input></form>",
+        "<script data-drop>if (a < b) document.write('<p>x</p>')</script>", "<style data-drop>p > a {}</style>", f"<div data-drop class=\"cookie-notice\">{words(4)}</div>", f"<footer data-drop>{words(4)}</footer>", "<!-- <p>gone</p> -->",
+    ])
+    body = lambda: "".join(rng.choice([f"<p>{words(rng.randint(8, 30))}</p>", f"<h2>{words(3)}</h2>", f"<ul><li>{words(5)}</li><li>{words(6)}</li></ul>", f"<blockquote>{words(9)}</blockquote>", drop()]) for _ in range(rng.randint(4, 12)))
+    article = lambda: f"<h1>{words(4)}</h1><p>{words(30)}</p>{body()}"
+    return {
+        "semantic": lambda: f"<html><body class='home has-sidebar'>{drop()}<div class='layout with-sidebar'><article data-keep>{article()}</article>{drop()}</div><div id='comments' data-drop><article class='comment'><p>{words(40)}</article></div>{drop()}</body></html>",
+        "main": lambda: f"<body>{drop()}<main data-keep><div class='post-{rng.randint(1, 999)}'>{article()}</div></main>{drop()}</body>",
+        "plain": lambda: f"<body><div id='top' class='site-header' data-drop><a href='/'>{words(2)}</a></div><div class='story s{rng.randint(1, 99)}' data-keep>{article()}</div>{drop()}<div class='page-footer' data-drop>{words(5)}</div></body>",
+        "table": lambda: f"<body><table><tr><td class='menu' data-drop>{words(3)}</td><td class='text' data-keep>{article()}</td></tr></table></body>",
+    }
+
+
+def test_extraction_agrees_with_an_independent_parser(spark):
+    rng = random.Random(21)
+    made = [(host, make()) for host, make in layouts(rng).items() for _ in range(25)]
+    rows = [(i, f"https://{host}.example/{i}", page) for i, (host, page) in enumerate(made)]
+    pages = spark.createDataFrame([(i, u, h, "k", 1, "p") for i, u, h in rows], "page_id long, url string, html string, text string, _host int, host_path string")
+    got = html_extract.extract_main_text(pages, ["page_id", "text", "_host"]).collect()
+    assert got[0].asDict().keys() == {"page_id", "_host", "text", "host_path"}
+    by = {r.page_id: r for r in got}
+    for i, _, page in rows:
+        assert by[i].text == "\n\n".join(Marked(page).blocks), page
+    assert {by[i].host_path for i, _, _ in rows} == {">body>div.layout.with-sidebar>article", ">body>main", ">body>div.s.story", ">body>td.text"} or len({by[i].host_path for i, _, _ in rows}) == 4
+
+
 def test_hosts_agree_on_a_path(spark):
     body = lambda i: f"<body><div class='story'><p>{'Words of the story. ' * 8}{i}</p></div><div class='extra'><p>{'Other words. ' * (30 if i == 0 else 1)}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", body(i), "z") for i in range(6)] + [(6, None, None, "z"), (7, "http://other.example/", "<p>alone</p>", "z"), (7, "http://other.example/", "<p>alone</p>", "z")]
@@ -271,7 +363,7 @@ def test_ids_are_those_of_the_unmodified_tokenizer():
     path = public_tokenizers.path(queries.VOCABULARY)
     t, parts = Tokenizer.from_file(path), packing.Parts(path)
     rng = random.Random(11)
-    pieces = ["a", "be", "See", "'s", "'ll", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b", "12", "3,4", "...", "é", "ß", "中文", "\U0001f600", "e\u0301", "<|endoftext|>", "<|endoftext", "\r\n", "_", "don't"]
+    pieces = ["a", "be", "See", "'s", "'ll", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b", "12", "3,4", "...", "é", "ß", "中文", "\U0001f600", "e\u0301", "<|endoftext|>", "<|endoftext", "\r\n", "_", "don't", "Ünïcode,", "naïve's", "ª", "º", "×", "÷", "word<|endoftext|>", "x²"]
     texts = ["a <|endoftext|> b", " <|endoftext|", "", " ", " x", "x ", "x  y", "x \n y", "x\n y"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
     for text in texts:
         assert np.frombuffer(parts.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
@@ -285,6 +377,8 @@ def test_forgotten_parts_are_encoded_again(monkeypatch):
     parts = packing.Parts(public_tokenizers.path(queries.VOCABULARY))
     text = "one two three four five six one two " * 20
     assert np.frombuffer(parts.encode(text), "<u4").tolist() == parts.tokenizer.encode(text, add_special_tokens=False).ids and len(parts) <= 3
+    other = packing.Parts(public_tokenizers.path("word_bpe_49k.json"))  # not byte-level: encoded whole
+    assert np.frombuffer(other.encode("Two  words, x"), "<u4").tolist() == other.tokenizer.encode("Two  words, x", add_special_tokens=False).ids
 
 
 def test_packing_takes_ids_of_any_type(spark):
@@ -316,7 +410,8 @@ def test_quality_tells_held_out_rows_apart(spark):
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, 1, 0), (5000, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.Model(quality.training_rows(docs, labels, queries.bucket(of=5) != 0, "quality"))
-    got = {r.doc_id: r.score for r in quality.score_quality(docs, model, keep=["doc_id"]).collect()}
+    assert quality.score_quality(docs, model).columns == [*(c for c in docs.columns if c != "score"), "score"]
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
     held = [i for i in range(200) if fold_of(i, 5) == 0]
     assert held and all((got[i] >= 0.3) == (i % 2) for i in held)
     assert all(0 <= s <= 1 for s in got.values()) and got[900] == got[901] == model.share
@@ -351,11 +446,35 @@ def test_decontamination_against_all_windows(spark, some_texts, monkeypatch):
     row = next(r for r in got if r.doc_id == 500)
     assert [row.text[s.start : s.end] for s in row.spans] == ["KARA--lose; kara\nlose"]
     assert decontam.contamination(documents(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
-    shared = type("Shared", (), {"value": decontam.patterns(bench, 10, "item_id", "text")})
-    monkeypatch.setattr(decontam, "MAX_PATTERN_CHARS", 100)
-    machines = decontam.automata("many", shared)
-    assert len(machines) > 1
-    assert all(decontam.scan(t.encode() if t else None, machines)[0] == brute_hits(t, items, 10)[0] and len(decontam.scan(t.encode() if t else None, machines)[1]) == brute_hits(t, items, 10)[1] for _, t in texts)
+    parted = decontam.contamination(documents(spark, texts), bench, keep=["doc_id", "text", "n_hit"], part_chars=100)  # several automata, a pass each
+    assert parted.columns == ["doc_id", "text", "n_words", "n_hit", "item_ids", "spans"]
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_hit, tuple(r.item_ids)) for r in parted.collect()) == want
+
+
+def test_seeds_find_every_window():
+    rng = random.Random(1)
+    for _ in range(1500):
+        window, voc = rng.choice([1, 2, 3, 4, 5, 7, 10]), ["a", "b", "c", "d"][: rng.randint(1, 4)]
+        items = [(i, " ".join(rng.choice(voc) for _ in range(rng.randint(1, 16)))) for i in range(rng.randint(1, 4))]
+        part = decontam.Items()
+        for i, t in items:
+            part.add(decontam.words_of(t.encode()), [str(i)])
+        text = " ".join(rng.choice([*voc, "z"]) for _ in range(rng.randint(0, 30)))
+        ranges, ids = decontam.Machine(part.packed(), window).scan(text.encode().split())
+        n, hit, want = brute_hits(text, items, window)
+        assert (sum(e - f for f, e in decontam.runs(ranges)), sorted(ids)) == (hit, want)
+
+
+def test_a_long_benchmark_and_a_long_text_are_scanned_whole():
+    rng = np.random.RandomState(3)
+    voc = np.array([f"w{i}".encode() for i in range(5000)], dtype=object)
+    part = decontam.Items()
+    texts = [voc[rng.randint(0, 5000, 40)].tolist() for _ in range(20_000)]
+    for i, t in enumerate(texts):
+        part.add(t, [str(i)])
+    machine = decontam.Machine(part.packed(), 10)
+    ranges, ids = machine.scan(voc[rng.randint(0, 5000, 200_000)].tolist() + texts[77][5:25] + [b"the"] * 300_000 + texts[19_999])
+    assert ids == {"77", "19999"} and decontam.runs(ranges) == [(200_000, 200_020), (500_020, 500_060)]
 
 
 def test_decontamination_keeps_other_spaces_in_words_and_items_without_an_id(spark):
@@ -433,11 +552,56 @@ def test_rates_of_long_and_short_texts_follow_the_definition():
             assert row[k] * max(1, len(s)) == pytest.approx(want)
 
 
+def test_rare_letters_stay_apart():
+    rng = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(6000)]
+    north, south = rng.sample(han, 3000), rng.sample(han, 3000)
+    line = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    texts = {"n": [line(north[:1500], 9000)], "s": [line(south[:1500], 9000)]}
+    alphabet = langid.Alphabet([t for x in texts.values() for t in x])
+    assert alphabet.width == 3 + langid.ALPHABET + langid.DIGITS
+    seen = sorted(set("".join(t for x in texts.values() for t in x)))
+    spelled = {tuple(alphabet.symbols(c)) for c in seen}
+    assert len(spelled) == len(seen) and all(1 not in x and 2 not in x for x in spelled)
+    assert list(alphabet.symbols(f"a {seen[0]}!{seen[1]}")) == [2, 1, *alphabet.symbols(seen[0]), 1, *alphabet.symbols(seen[1])]
+    model = langid.Model(texts)
+    assert model.predict([line(north[:1500], 60), line(south[:1500], 60), "\u30a0" * 3, "12"])[0][:2] == ["n", "s"]
+
+
+def test_languages_beyond_the_bound_are_not_learned(spark):
+    docs = documents(spark, [(i, "some words here " * (5 - i)) for i in range(4)], extra=False).withColumn("lang", F.concat(F.lit("l"), "doc_id"))
+    assert sorted(langid.training_texts(docs, F.lit(True), most_languages=2)) == ["l0", "l1"]
+
+
+def test_op10_query_against_brute_force(spark, tmp_path):
+    """The query's languages are those of fewest bits, found by plain greedy parsing of the same training text."""
+    rng = random.Random(9)
+    voc = {"x": ["kara", "lose", "minu", "kala"], "y": ["tile", "zovu", "peti", "toze"], "z": ["graf", "schnu", "brel"]}
+    rows = [(i, " ".join(rng.choice(voc[lang]) for _ in range(rng.randint(3, 30))), lang, "s", 0) for i in range(180) for lang in [rng.choice("xyz")]]
+    rows += [(900, None, "x", "s", 0), (901, "12 !", None, "s", 0), (902, "", "y", "s", 0), (903, "kara tile kara", None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    model = queries.language_model(docs)
+    # training text as symbols, in the order the model takes it
+    train = langid.training_texts(docs, queries.bucket(of=3) != 1, chars=queries.LANG_CHARS)
+    known = {lang: [int(c) for t in train[lang] for c in [*model.alphabet.symbols(t), 1]] for lang in train}
+    show = lambda a: "".join(chr(97 + int(c)) for c in a)
+    got = {r.doc_id: r for r in queries.op10_language(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, text, _, _, _ in rows:
+        s = show(model.alphabet.symbols(text or ""))
+        cost = {lang: brute_phrases(show(known[lang]), s) * np.log2(len(known[lang]) + model.alphabet.width) for lang in sorted(known)}
+        assert got[i].lang_pred == (min(cost, key=cost.get) if s else "und"), text
+        low = sorted(cost.values())
+        assert got[i].score == pytest.approx(1 - low[0] / low[1] if s else 0) and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = docs.unionByName(spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "12 !?", None, "s", 5), (None, "the thing of", "en", "s", 9)], DOCS))
     model = queries.language_model(more)
-    got = langid.identify(more.withColumn("score", F.lit("clash")).drop("score"), model).toPandas()
+    got = langid.identify(more.withColumns({"score": F.lit("clash"), "Lang_Pred": F.lit("x")}), model).toPandas()
+    assert list(got.columns) == [*more.columns, "lang_pred", "score"]
     held = got[got.doc_id.notna() & (got.doc_id < 9000)]
     held = held[[zlib.crc32(str(int(i)).encode()) % 3 == 1 for i in held.doc_id]]
     assert (held.lang_pred == held.lang).mean() >= 0.97
