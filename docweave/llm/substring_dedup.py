@@ -7,11 +7,13 @@ A word goes if it lies in a window (``window`` consecutive words) that also star
 2. Passages.  Windows whose anchor recurs form passages of up to ``PASSAGE`` windows.  While a filter of all recurring
    anchors has at most ``MAX_FILTER_KEYS`` keys, it goes to the texts (false hits do no harm: windows are compared later);
    beyond, anchors are joined and texts shuffled to them.
-3. Confirmation.  Equal passages are counted once.  All passages of an anchor meet in one shard, which compares windows word
-   by word: those of two documents are confirmed, with the smallest id.
-4. Automata.  A shard compiles its confirmed windows into Aho-Corasick automata of bounded size over word numbers, and streams
-   its passages through them to locate every occurrence.  A document's text meets the automata of just those anchors that it
-   holds, so the work grows with the input and not with input times shards.
+3. Confirmation.  Equal passages are counted once.  All passages of an anchor meet in one shard, which finds the windows of two
+   documents, with the smallest id: runs of them are the recurring passages.
+4. Automata.  A shard compiles its recurring passages into an Aho-Corasick automaton over word numbers, by seeds of ``window // 2``
+   words that every window holds, and streams the text of all documents that hold its anchors through it; windows about a seed
+   are compared word by word.  A document's text meets the automata of just those anchors that it holds, so the work grows
+   with the input and not with input times shards.  An anchor of over ``HOT`` different passages is cut into single windows,
+   which are spread over the shards by their words, so no anchor, however common, meets in one task.
 5. Removal.  Occurrences with a smaller first document return to their texts; texts that lose nothing are not shuffled
    while a filter of those that do is small enough.
 
@@ -44,8 +46,10 @@ RUN = 7
 PASSAGE = 16
 #: Keys of a filter that is sent to all workers: 16 bits each, so 32 MB.
 MAX_FILTER_KEYS = 16 << 20
-#: Windows that an automaton holds.
-AUTOMATON_WINDOWS = 20_000
+#: Windows that a shard holds, unless one anchor has more: up to HOT x PASSAGE.
+SHARD_WINDOWS = 200_000
+#: Different passages of an anchor beyond which it is cut into windows.
+HOT = 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") | 1 for b in range(256)], dtype=np.uint64)
 
@@ -203,40 +207,83 @@ def merged(found: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Passages of some anchors, all that have those anchors, with the least and greatest id of each passage."""
+    """Passages of some anchors, all that have those anchors, with the least and greatest id of each passage.
+
+    Passages stand one after another in a line of word numbers (from 1), with a zero after each.
+    """
 
     def __init__(self, window: int):
-        self.window, self.numbers = window, {}
-        self.rows: list[tuple[int, int, tuple[int, ...], int, int]] = []
+        self.window, self.seed, self.numbers = window, max(1, window // 2), {}
+        self.line: list[int] = []
+        self.rows: list[tuple[int, int, int, int, int]] = []  # anchor, key, windows, least, most
         self.windows = 0
 
     def add(self, anchor: int, key: int, passage: str, least: int, most: int) -> None:
-        numbers = self.numbers
-        words = tuple(numbers.setdefault(w, len(numbers)) for w in passage.split(" "))
-        self.rows.append((anchor, key, words, least, most))
-        self.windows += len(words) - self.window + 1
-
-    def located(self) -> Iterator[tuple[int, int, list[int | None]]]:
-        """For each passage, its windows' smallest id, None where only one document has the window."""
-        w, seen = self.window, {}
-        for _, _, words, least, most in self.rows:
-            for i in range(len(words) - w + 1):
-                old = seen.get(part := words[i : i + w])
-                seen[part] = (least, most) if old is None else (min(old[0], least), max(old[1], most))
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        confirmed = False
-        for part, (least, most) in seen.items():
-            if least < most:
-                machine.add_word(part, least)
-                confirmed = True
-        if not confirmed:
-            return
+        numbers, before = self.numbers, len(self.line)
+        self.line += [numbers.setdefault(w, len(numbers) + 1) for w in passage.split(" ")]
+        n = len(self.line) - before - self.window + 1
+        self.line.append(0)
+        self.rows.append((anchor, key, n, least, most))
+        self.windows += n
+
+    def confirmed(self, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window a number that equal windows share, and for each number the smallest id, -1 where one document has it."""
+        n = np.array([r[2] for r in self.rows])
+        least, most = (np.repeat(np.array([r[i] for r in self.rows], dtype=np.int64), n) for i in (3, 4))
+        for salt in range(1, 100):
+            hashes = np.zeros(len(starts), np.uint64)
+            for k in range(self.window):
+                hashes += line[starts + k].astype(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15 + 2 * salt, k + 1, 1 << 64))
+            order = np.argsort(mixed(hashes), kind="stable")
+            sorted_hashes = hashes[order]
+            new = np.concatenate(([True], sorted_hashes[1:] != sorted_hashes[:-1]))
+            first = np.flatnonzero(new)
+            numbers = np.empty(len(starts), np.int64)
+            numbers[order] = np.cumsum(new) - 1
+            lead = starts[order][first][numbers]
+            if all((line[starts + k] == line[lead + k]).all() for k in range(self.window)):
+                least, most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+                return numbers, np.where(least < most, least, np.iinfo(np.int64).min)
+        raise ValueError("no base tells the windows apart")
+
+    def automaton(self, line: np.ndarray, starts: np.ndarray) -> ahocorasick.Automaton:
+        """Of the recurring passages: runs of the confirmed windows that start at ``starts``."""
+        cut = np.flatnonzero(np.diff(starts) != 1) + 1
+        first, last = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut, [len(starts)])) - 1] + self.window - self.seed
+        step = self.window - self.seed + 1
+        n = -(-(last - first) // step)  # besides the one at the end
+        at = np.repeat(first, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        seeds = line[np.concatenate((at, last))[:, None] + np.arange(self.seed)]
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for seed in set(map(tuple, seeds.tolist())):
+            machine.add_word(seed)
         machine.make_automaton()
-        for anchor, key, words, _, _ in self.rows:
-            firsts: list[int | None] = [None] * (len(words) - w + 1)
-            for end, least in machine.iter(words):
-                firsts[end - w + 1] = least
-            yield anchor, key, firsts
+        return machine
+
+    def located(self) -> pa.RecordBatch | None:
+        """(anchor, key, firsts) of passages with confirmed windows: each window's smallest id, null where one document has it."""
+        w, s = self.window, self.seed
+        line = np.array(self.line, dtype=np.int64)
+        n = np.array([r[2] for r in self.rows])
+        begin = np.cumsum(n + w) - (n + w)  # of each passage in the line
+        before = np.cumsum(n) - n  # windows of the passages before it
+        starts = np.repeat(begin - before, n) + np.arange(n.sum())
+        numbers, least = self.confirmed(line, starts)
+        none = np.iinfo(np.int64).min
+        recurring = starts[least[numbers] != none]
+        if not len(recurring):
+            return None
+        near = np.array([end for end, _ in self.automaton(line, recurring).iter(tuple(self.line))], dtype=np.int64) - s + 1
+        change = np.zeros(len(line) + w + 1, np.int64)
+        np.add.at(change, np.maximum(near - (w - s), 0), 1)
+        np.add.at(change, near + 1, -1)
+        about_seeds = np.cumsum(change)[starts] > 0
+        found = np.where(about_seeds, least[numbers], none)
+        some = np.add.reduceat(found != none, before) > 0
+        rows = np.flatnonzero(some)
+        values = found[np.repeat(some, n)]
+        firsts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[rows]))), pa.int32()), pa.array(values, pa.int64(), mask=values == none))
+        return pa.RecordBatch.from_arrays([pa.array([self.rows[i][0] for i in rows], pa.int64()), pa.array([self.rows[i][1] for i in rows], pa.int64()), firsts], ["anchor", "key", "firsts"])
 
 
 def locate(distinct: DataFrame, window: int) -> DataFrame:
@@ -244,24 +291,48 @@ def locate(distinct: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, last = Shard(window), None
-
-        def done() -> pa.RecordBatch:
-            found = [x for x in shard.located() if any(v is not None for v in x[2])]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))], ["anchor", "key", "firsts"])
-
         for b in steps(batches, "passage", rows=4096):
             for anchor, key, passage, least, most in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if shard.windows >= AUTOMATON_WINDOWS and anchor != last:
-                    yield done()
+                if shard.windows >= SHARD_WINDOWS and anchor != last:
+                    if (out := shard.located()) is not None:
+                        yield out
                     shard = Shard(window)
                 shard.add(anchor, key, passage, least, most)
                 last = anchor
-        if shard.rows:
-            yield done()
+        if shard.rows and (out := shard.located()) is not None:
+            yield out
 
     return distinct.select("anchor", "key", "passage", "least", "most").mapInArrow(run, "anchor long, key long, firsts array<long>")
 
 
+def by_window(passages: DataFrame, window: int) -> DataFrame:
+    """Passages cut into single windows, each with a hash of its own words for an anchor."""
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc_id, row_key, first, _, _, passage in zip(*(c.to_pylist() for c in b.columns)):
+            words = passage.split(" ")
+            for i in range(len(words) - window + 1):
+                part = " ".join(words[i : i + window])
+                rows.append((doc_id, row_key, first + i, xxhash.xxh3_64_intdigest(part, 2) - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), part))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), PASSAGES)], [n for n, _ in PASSAGES])
+
+    return passages.select(*(n for n, _ in PASSAGES)).mapInArrow(per_step(cut, "passage"), PASSAGES_SCHEMA)
+
+
+def without_hot_anchors(found: DataFrame, recurring: DataFrame, window: int, hot: int) -> DataFrame:
+    """``found``, the passages of anchors with over ``hot`` different ones cut into windows."""
+    many = recurring.where(F.col("n") > hot).select("anchor")  # only what many documents hold can have as many passages
+    if many.isEmpty():
+        return found
+    crowded = found.select("anchor", "key").join(many, "anchor", "left_semi").distinct().groupBy("anchor").count().where(F.col("count") > hot)
+    crowded = materialize(crowded.select("anchor"), "hot")
+    if crowded.isEmpty():
+        return found
+    cut = materialize(by_window(found.join(crowded, "anchor", "left_semi"), window), "windows")
+    return found.join(crowded, "anchor", "left_anti").unionByName(cut)
+
+
 def without_windows(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, int, bytes, list[dict[str, int]]]:
     """Words, words removed, the others single-spaced, and the word ranges removed."""
     change = np.zeros(len(words) + 1, np.int64)
@@ -327,7 +398,7 @@ def hashed_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_key").mapInArrow(add, "h long")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_filter_keys: int = MAX_FILTER_KEYS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_filter_keys: int = MAX_FILTER_KEYS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans): ``kept`` is the text's other words, single-spaced; spans are word ranges."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     run, spark = min(run, window), docs.sparkSession
@@ -335,13 +406,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, run: int = RUN, max_
     named = docs.where("doc_id IS NOT NULL")
     anchors = anchors_of(named, window, run).select("doc_id", F.explode("anchors").alias("anchor"))
     # minima are pre-aggregated before the shuffle, so an anchor that a third of the texts hold costs a row for each task
-    recurring = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor"), "anchors")
+    recurring = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("anchor", "n"), "anchors")
     keys = recurring.count()
     if keys <= max_filter_keys:
-        cut = passages_by_filter(named, spark.sparkContext.broadcast(bloom.build(recurring, keys, 2 * MAX_FILTER_KEYS)), window, run)
+        cut = passages_by_filter(named, spark.sparkContext.broadcast(bloom.build(recurring.select("anchor"), keys, 2 * MAX_FILTER_KEYS)), window, run)
     else:
-        cut = passages_by_join(named, anchors, recurring, window, run)
-    found = materialize(cut, "passages")
+        cut = passages_by_join(named, anchors, recurring.select("anchor"), window, run)
+    found = without_hot_anchors(materialize(cut, "passages"), recurring, window, hot)
     by_anchor = merged(found).repartition(n, "anchor")
     distinct = by_anchor.groupBy("anchor", "key").agg(F.first("passage").alias("passage"), F.min("least").alias("least"), F.max("most").alias("most"))
     located = locate(distinct.sortWithinPartitions("anchor"), window)
