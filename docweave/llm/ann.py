@@ -6,7 +6,8 @@ dimensions, is a sample of the full one, and a hypothesis test (the bound ``1 +
 hardly enter the best k.  What is left is measured exactly on the original vectors.
 
 Centroids are fitted on a bounded sample; every vector is indexed.  Long lists are cut into chunks of at most ``CHUNK`` vectors
-(on average), which are scanned apart and merged, so no list, however hot, meets in one task.  A query probes lists until they
+(on average), which are scanned apart and merged, so no list, however hot, meets in one task; nor do all queries: they come in
+blocks of ``QUERIES`` (on average), each of which meets every chunk that it probes.  A query probes lists until they
 hold ``probe_share`` of all vectors and at least ``LEAST_PER_K`` x k of them.  The default share is high because vectors that
 form no clusters spread their neighbours over most lists; a smaller one serves clustered vectors.
 
@@ -29,6 +30,7 @@ from docweave.llm.common import materialize, share_of
 
 SAMPLE = 20_000
 CHUNK = 4096
+QUERIES = 4096
 BLOCK = 16
 EPSILON = 2.1
 PROBE_SHARE = 0.75
@@ -110,7 +112,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1).astype(np.float64)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", probe_share: float = PROBE_SHARE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", probe_share: float = PROBE_SHARE, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (over ``vec_id``) holds, the nearest others."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -170,6 +172,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
         out = [(q, *x) for q, v in zip(asked["query_id"], asked["q"]) for v in [np.asarray(v, dtype=np.float64)] for x in adaptive_scan(v, v @ shared.value.turn, columns, original, ids, q, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = stored.groupBy("list", "chunk").cogroup(queries.groupBy("list", "chunk")).applyInPandas(scan, "query_id long, vec_id long, score double")
+    blocks = max(1, -(-placed.where(is_query).count() // query_block))
+    if blocks > 1:  # every chunk goes to each block of queries
+        queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int"))
+        stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = ["list", "chunk", "block"] if blocks > 1 else ["list", "chunk"]
+    found = stored.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,7 +15,8 @@ from docweave.llm.common import bucket, table
 #: Rules of the URL filter, and sites that its list blocks where no rule fits.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 LISTED_SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-LISTED_URLS = [f"http://{site}.example.{tld}/" for site in LISTED_SITES for tld in ("com", "net", "org")]
+LISTED_PATHS = [("example.net", "/en/9"), ("example.com", "/es/7")]
+LISTED_URLS = [f"http://{site}.example.{tld}/" for site in LISTED_SITES for tld in ("com", "net", "org")] + [f"https://{host}{path}" for host, path in LISTED_PATHS]
 #: Key of the surrogates; a deployment passes its own.
 PII_KEY = "docweave-surrogates"
 QUALITY_THRESHOLD = 0.3
@@ -85,17 +86,21 @@ QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_html_extract
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
 _RULES = ", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for v, r in URL_RULES)
-_LISTED = ", ".join(f"('{u.removeprefix('http://').removesuffix('/')}')" for u in LISTED_URLS)
+_LISTED = ", ".join(f"('{site}.example.{tld}', '/')" for site in LISTED_SITES for tld in ("com", "net", "org")) + "".join(f", ('{host}', '{path}')" for host, path in LISTED_PATHS)
+#: The parts of a canonical address that the tables' urls need: no user, port or final dot; a path.
+_CLEAN_HOST = r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')"
+_CLEAN_PATH = "CASE WHEN path = '' THEN '/' ELSE path END"
 
 ORACLE_SQL = {
     "op1_url_filter": f"""
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 r(verdict, host, path, rule) AS (VALUES {_RULES}),
-l(host) AS (VALUES {_LISTED}),
+l(host, path) AS (VALUES {_LISTED}),
+c AS (SELECT rid, {_CLEAN_HOST} AS host, {_CLEAN_PATH} AS path FROM p),
 best AS (
   SELECT p.rid, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
   FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.rid),
-hit AS (SELECT DISTINCT p.rid FROM p JOIN l ON (p.host = l.host OR ends_with(p.host, '.' || l.host)))
+hit AS (SELECT DISTINCT c.rid FROM c JOIN l ON (c.host = l.host OR ends_with(c.host, '.' || l.host)) AND starts_with(c.path, l.path))
 SELECT page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN hit.rid IS NOT NULL THEN 'block' END, 'allow') AS verdict, hit.rid IS NOT NULL AS listed
 FROM p LEFT JOIN best USING (rid) LEFT JOIN hit USING (rid)""",
     "op8_decontamination": r"""

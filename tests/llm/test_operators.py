@@ -59,6 +59,22 @@ def test_url_filter_rules_and_list(spark):
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
 
 
+def test_listed_urls_are_held_against_canonical_ones(spark):
+    listed = url_filter.entries(spark, [("allow", "good.example/")], spark.createDataFrame([(u,) for u in ("http://spam-farm.example.com/", "https://www.Straße.example/a%2fb/../c", "http://x.example/%7Euser/./d", "no url", None)], "url string"))
+    blocked = ["http://spam-farm.example.com:80/x", "http://user@spam-farm.example.com/x", "http://spam-farm.example.com./x", "http://SPAM-farm.example.com", "ftp://a.b.spam%2Dfarm.example.com/", "https://strasse.example/cd", "https://straße.example/z/../c", "http://x.example/~user/d/e", "http://x.example:8080/%7euser/a/../d"]
+    allowed = ["http://notspam-farm.example.com/", "http://spam-farm.example.com.org/", "https://strasse.example/a", "http://x.example/~user/D", "http://good.example:80/", "http://good.example/"]
+    pages = spark.createDataFrame(list(enumerate(blocked + allowed)), "page_id int, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, listed).collect()}
+    assert [got[i].verdict for i in range(len(got))] == ["block"] * len(blocked) + ["allow"] * len(allowed)
+    assert got[0].host == "spam-farm.example.com:80" and got[len(got) - 1].rule == "good.example/" and got[len(got) - 2].rule is None
+
+
+def test_canonical_paths():
+    same = lambda p: url_filter.canonical("h", p)[1]
+    assert [same(p) for p in ("", "/", "/.", "/..", "/a/.", "/a/..", "/a/./b", "/a/../../b", "/%41%2f%c3", "/a..b/.c")] == ["/", "/", "/", "/", "/a/", "/", "/a/b", "/b", "/A%2F%C3", "/a..b/.c"]
+    assert [url_filter.canonical(h, "")[0] for h in ("[::1]:80", "a@b@h.:8", "\u2603" * 80)] == ["[::1]", "h", "\u2603" * 80]
+
+
 def test_bloom_has_no_false_negatives_and_few_false_hits(spark):
     keys = np.arange(5000, dtype=np.int64) ** 2
     bits = bloom.build(spark.createDataFrame([(int(k),) for k in keys], "h long").repartition(3), len(keys), 1 << 20)
@@ -264,13 +280,54 @@ def brute_substrings(texts, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("keys", [substring_dedup.MAX_FILTER_KEYS, -1])
-def test_substrings_against_all_windows(spark, some_texts, keys):
-    got = substring_dedup.dedup_substrings(documents(spark, some_texts), max_filter_keys=keys).collect()
+@pytest.mark.parametrize("keys,hot", [(substring_dedup.MAX_FILTER_KEYS, 1), (substring_dedup.MAX_FILTER_KEYS, substring_dedup.HOT), (-1, 2)])
+def test_substrings_against_all_windows(spark, some_texts, keys, hot):
+    got = substring_dedup.dedup_substrings(documents(spark, some_texts), max_filter_keys=keys, hot=hot).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_substrings(some_texts, 13)
     assert all(sum(s.words for s in r.spans) == r.n_removed for r in got)
 
 
+def test_shards_locate_recurring_passages_by_their_automata(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(400):
+        window, voc = rng.choice([1, 2, 3, 5, 13]), "abcd"[: rng.randint(1, 4)]
+        shard, rows = substring_dedup.Shard(window), []
+        for key in range(rng.randint(1, 12)):
+            least = rng.randint(0, 5)
+            rows.append((key, [rng.choice(voc) for _ in range(window + rng.randint(0, 15))], least, least + rng.choice([0, 0, 1])))
+            shard.add(7, key, " ".join(rows[-1][1]), *rows[-1][2:])
+        ids = defaultdict(set)
+        for _, words, least, most in rows:
+            for i in range(len(words) - window + 1):
+                ids[tuple(words[i : i + window])] |= {least, most}
+        want = {key: [min(x) if len(x := ids[tuple(words[i : i + window])]) > 1 else None for i in range(len(words) - window + 1)] for key, words, _, _ in rows}
+        out = shard.located()
+        got = dict(zip(out.column("key").to_pylist(), out.column("firsts").to_pylist())) if out else {}
+        assert got == {k: v for k, v in want.items() if any(x is not None for x in v)}
+    # nothing is located without them
+    monkeypatch.setattr(substring_dedup.Shard, "automaton", lambda *_: type("Blind", (), {"iter": lambda self, line: iter(())})())
+    shard = substring_dedup.Shard(2)
+    shard.add(1, 1, "a b c", 0, 1)
+    assert not shard.located().num_rows
+
+
+def test_a_common_phrase_does_not_meet_in_one_task(spark):
+    """A run of words in every third text, with ever new surroundings: its windows spread over the shards."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    phrase = " ".join(f"p{i}" for i in range(8))
+    texts = [(i, " ".join([word() for _ in range(20)] + ([phrase] if i % 3 == 0 else []) + [word() for _ in range(20)])) for i in range(900)]
+    docs = documents(spark, texts)
+    named = docs.select(F.col("doc_id"), "text")
+    anchors = substring_dedup.anchors_of(named, 13, 7).select("doc_id", F.explode("anchors").alias("anchor"))
+    recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most")
+    found = substring_dedup.passages_by_join(named, anchors, recurring.select("anchor"), 13, 7)
+    most = lambda df: df.groupBy("anchor").agg(F.countDistinct("key").alias("n")).agg(F.max("n")).first()[0]
+    assert most(found) > 100 and most(substring_dedup.without_hot_anchors(found, recurring, 13, 50)) <= 50
+    got = substring_dedup.dedup_substrings(docs, hot=50).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_substrings(texts, 13)
+
+
 def test_substrings_of_an_empty_table(spark):
     assert substring_dedup.dedup_substrings(documents(spark, [])).count() == 0
 
@@ -510,6 +567,8 @@ def test_nearest_neighbours_against_all_distances(spark):
         assert np.allclose([s for _, s in got[q]], d[[v for v, _ in got[q]]])
     assert set(got) == set(range(0, 3000, 100)) and np.mean(recall) >= 0.9
     assert [v for v, _ in got[100]] == list(range(101, 111))
+    blocked = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") % 100 == 0, query_block=7).collect())
+    assert blocked == sorted((q, i, v) for q, found in got.items() for i, (v, _) in enumerate(found, 1))
     few = ann.search(df.where("vec_id < 5 OR vec_id > 8000"), F.col("vec_id") % 100 == 0)
     assert few.count() == 4 and ann.search(df.limit(0), F.lit(True)).count() == 0
 
