@@ -17,7 +17,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 LISTED_SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 LISTED_PATHS = [("example.net", "/en/9"), ("example.com", "/es/7")]
 LISTED_URLS = [f"http://{site}.example.{tld}/" for site in LISTED_SITES for tld in ("com", "net", "org")] + [f"https://{host}{path}" for host, path in LISTED_PATHS]
-#: Key of the surrogates; a deployment passes its own.
+#: Key of the surrogates where the session's setting ``spark.docweave.surrogates.key`` names none.
 PII_KEY = "docweave-surrogates"
 QUALITY_THRESHOLD = 0.3
 LANG_CHARS = 20_000
@@ -43,8 +43,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.docweave.surrogates.key", PII_KEY)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_private(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+    return pii.replace_private(table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
