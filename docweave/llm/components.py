@@ -9,7 +9,8 @@ from docweave.llm.common import materialize
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step.  Minima are pre-aggregated before the shuffle and joined back, so a hub's edges never meet in one task."""
+    """One step.  Minima are pre-aggregated before the shuffle and joined back; a hub's edges, which that join would bring
+    together, are split by Spark where they are many (adaptive skew join)."""
     e = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = e.join(least, "u")
@@ -21,7 +22,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u long, v long): root is the smallest node reachable.
+    """(node, root) for every node of ``edges`` (u, v of one type that has an order): root is the smallest node reachable.
 
     Each round writes its edges to the shared folder, so lineage stays short.  Ends when every edge leads to a root that has
     no edge upwards, which is when the graph is a set of stars; an empty table gives an empty result.

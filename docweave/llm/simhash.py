@@ -8,8 +8,13 @@ top node fingerprints are sorted by Gray rank, and runs of 16 are factored into
 differ, and drops a pair of whole groups once that exceeds the distance.
 
 A top node with over ``HOT`` members is split again by blocks of its remaining bits, which loses no pair for the same reason.
-A node gives star edges (member, smallest linked member), never all pairs, so output stays linear in the input.  At most
-41,729 fingerprints are within three bits of one another's centre, which bounds the members that a second split can't part.
+A node gives star edges (member, smallest linked member), never all pairs, so output stays linear in the input.  A split parts
+members by 24 bits of 64 at distance three; those that agree on them meet in one task, where the index prunes them by groups.
+
+``similar_documents`` finds documents whose word shingles have a given Jaccard similarity, of which one fingerprint in three bits
+sees only the most similar.  It takes several fingerprints of the distinct words and pairs of words, in which an edit changes few
+features, has each indexed in the same way, and checks every linked pair exactly on the shingles.  How likely a pair is found grows with its
+similarity; it is never linked without the check.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero and are linked like any other.  Texts with
 fewer words than a shingle give one shingle of all words.  Repeated rows link at distance zero.  Rows with a null id keep
@@ -37,10 +42,16 @@ FAN = 16
 #: Node pairs looked at at once; bounds memory.
 FRONTIER = 1 << 19
 LANES = np.uint64(0x0101010101010101)
+LOWER, SPACES = "abcdefghijklmnopqrstuvwxyz", r"[\x20\x09-\x0D]+"
 
 
 def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     """SimHash of each text (UTF-8): bit set if set in over half of the shingles' XXH64 (seed 42)."""
+    return majority(*shingle_hashes(texts, shingle))
+
+
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[list[np.ndarray], list[int]]:
+    """Hashes of each text's shingles, without those of texts that have none, and how many each text has."""
     digest, hashed, counts = xxhash.xxh64_intdigest, [], []
     for text in texts:
         words = text.lower().split()  # bytes: A-Z and ASCII white space only
@@ -56,8 +67,13 @@ def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
             h = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
         hashed.append(np.array(h, dtype=np.uint64))
         counts.append(len(h))
+    return hashed, counts
+
+
+def majority(hashed: list[np.ndarray], counts: list[int]) -> np.ndarray:
+    """The bits set in over half of each text's hashes; zero for none."""
     n = np.array(counts, dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros(len(counts), dtype=np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
@@ -154,25 +170,32 @@ def link(key: np.ndarray, codes: np.ndarray, distance: int) -> np.ndarray:
     return label
 
 
-def star_edges(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node long, fp long) sorted by node, in; edges (u, v) out.  A node that crosses a batch's end waits for the next."""
-    held: tuple[np.ndarray, np.ndarray] | None = None
+def star_edges(batches: Iterator[pa.RecordBatch], distance: int, direct: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (node long, fp long, tag int) sorted by node, in; edges (u, v, tag) out.  A node that crosses a batch's end waits for
+    the next.  ``direct`` adds each code's edge to the smallest within the distance, which may not be the smallest reached."""
+    held: tuple[np.ndarray, ...] | None = None
 
-    def out(key: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        roots = codes[label := link(key, codes, distance)]
-        if (linked := label != np.arange(len(label))).any():
-            yield pa.RecordBatch.from_arrays([pa.array(codes[linked].view(np.int64)), pa.array(roots[linked].view(np.int64))], ["u", "v"])
+    def out(key: np.ndarray, codes: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        every = [link(key, codes, distance)]
+        if direct:
+            near = np.arange(len(codes))
+            for a, b in GrayIndex(key, codes).pairs(distance):
+                np.minimum.at(near, np.maximum(a, b), np.minimum(a, b))
+            every.append(np.where(near == every[0], np.arange(len(codes)), near))
+        for label in every:
+            if (linked := label != np.arange(len(label))).any():
+                yield pa.RecordBatch.from_arrays([pa.array(codes[linked].view(np.int64)), pa.array(codes[label][linked].view(np.int64)), pa.array(tag[linked])], ["u", "v", "tag"])
 
     for b in batches:
-        key, codes = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        now = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
         if held:
-            key, codes = np.concatenate((held[0], key)), np.concatenate((held[1], codes))
-        if not len(key):
+            now = tuple(np.concatenate(x) for x in zip(held, now))
+        if not len(now[0]):
             continue
-        cut = np.searchsorted(key, key[-1])  # sorted: the last node starts here
-        held = key[cut:].copy(), codes[cut:].copy()
+        cut = np.searchsorted(now[0], now[0][-1])  # sorted: the last node starts here
+        held = tuple(x[cut:].copy() for x in now)
         if cut:
-            yield from out(key[:cut], codes[:cut])
+            yield from out(*(x[:cut] for x in now))
     if held:
         yield from out(*held)
 
@@ -187,32 +210,97 @@ def blocks_of(bits: int, n: int, at: int = 0) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(codes: DataFrame, distance: int) -> DataFrame:
-    """Star edges (u, v) among distinct fingerprints ``fp``; reaching along them equals reaching along all links."""
+def links(codes: DataFrame, distance: int, direct: bool = False) -> DataFrame:
+    """Star edges (u, v, tag) among distinct fingerprints (fp, tag), within each tag; reaching along them equals reaching along all
+    links.  Without a column ``tag`` all have tag zero."""
+    if "tag" not in codes.columns:
+        codes = codes.select("fp", F.lit(0).alias("tag"))
     wide = blocks_of(64, distance + 1)
-    nodes = codes.select("fp", F.explode(block_key(F.col("fp"), wide)).alias("top"))
-    hot = nodes.groupBy("top").count().where(F.col("count") > HOT).select("top")
-    cool = nodes.join(hot, "top", "left_anti").select(F.xxhash64("top", F.lit(0)).alias("node"), "fp", "top")
+    nodes = codes.select("fp", "tag", F.explode(block_key(F.col("fp"), wide)).alias("top"))
+    hot = nodes.groupBy("tag", "top").count().where(F.col("count") > HOT).select("tag", "top")
+    cool = nodes.join(hot, ["tag", "top"], "left_anti").select(F.xxhash64("tag", "top", F.lit(0)).alias("node"), "fp", "tag")
     # at most `distance` of the other blocks' bits differ, so two members agree on one of 2 * distance parts of them
     parts = []
     for i in range(distance + 1):
         rest = [w for j, w in enumerate(wide) if j != i]
         fine = [p for s, w in rest for p in blocks_of(w, 2, s)]
         parts.append(F.when(F.shiftrightunsigned("top", 32) == i + 1, block_key(F.col("fp"), fine)))
-    warm = nodes.join(hot, "top", "left_semi").select("fp", "top", F.explode(F.coalesce(*parts)).alias("part"))
-    warm = warm.select(F.xxhash64("top", "part").alias("node"), "fp", "top")
-    every = cool.unionByName(warm).select("node", "fp")
+    warm = nodes.join(hot, ["tag", "top"], "left_semi").select("fp", "tag", "top", F.explode(F.coalesce(*parts)).alias("part"))
+    every = cool.unionByName(warm.select(F.xxhash64("tag", "top", "part").alias("node"), "fp", "tag"))
     n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return every.repartition(n, "node").sortWithinPartitions("node").mapInArrow(lambda b: star_edges(b, distance), "u long, v long")
+    return every.repartition(n, "node").sortWithinPartitions("node").mapInArrow(lambda b: star_edges(b, distance, direct), "u long, v long, tag int")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """(id, fingerprint hex, component_id): component_id is the smallest id reachable over links, the row's own included."""
     prints = materialize(with_fingerprints(docs, id_column, text_column, shingle), "fingerprints")
     least = prints.groupBy("fp").agg(F.min(id_column).alias("least"))
-    roots = components(links(prints.select("fp").distinct(), distance))
+    roots = components(links(prints.select("fp").distinct(), distance).select("u", "v"))
     # edges order fingerprints, not ids: the smallest id of a component is found afterwards
     placed = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.join(smallest, "root").select("fp", "component_id")
     return prints.join(of, "fp").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def word_fingerprints(texts: list[bytes], n: int) -> np.ndarray:
+    """``n`` fingerprints of each text: the majority bits of as many mixtures of the hashes of its distinct words, for every third
+    one, or of its distinct pairs of words, which tell texts of few words apart."""
+    out = np.empty((len(texts), n), dtype=np.uint64)
+    for size in (1, 2):
+        hashed = [np.unique(h) for h in shingle_hashes(texts, size)[0]]
+        sizes = iter(hashed)
+        counts = [len(next(sizes)) if t.split() else 0 for t in texts]
+        for k in range(n):
+            if (k % 3 == 0) == (size == 1):
+                mixed = []
+                for h in hashed:
+                    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+                    mixed.append((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
+                out[:, k] = majority(mixed, counts)
+    return out
+
+
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    """Of the sets of word shingles, lower case."""
+    (x, y), _ = shingle_hashes([a, b], shingle)
+    both = len(np.intersect1d(x, y))
+    return both / (len(np.unique(x)) + len(np.unique(y)) - both)
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: int = 12, distance: int = 3) -> DataFrame:
+    """(id, component_id): component_id is the smallest id reachable over links, the row's own included.
+
+    Texts with the same words in the same order are linked; others by a pair of fingerprints within ``distance`` bits whose
+    shingles have the Jaccard similarity.  Null and empty texts are one group.
+    """
+    text = F.regexp_replace(F.translate(F.coalesce(text_column, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", LOWER), SPACES, " ")
+    keyed = docs.select(F.col(id_column).alias("_id"), F.trim(text).alias("_text")).withColumn("_key", F.substring(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)), 1, 16))
+    rows = materialize(keyed.select("_id", "_key"), "rows")
+    texts = materialize(keyed.select("_key", "_text").dropDuplicates(["_key"]), "texts")
+
+    def add(b: pa.RecordBatch) -> pa.RecordBatch:
+        codes = word_fingerprints(b.column(1).cast(pa.binary()).to_pylist(), fingerprints).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(codes.reshape(-1)), fingerprints).cast(pa.list_(pa.int64()))], ["_key", "codes"])
+
+    # an empty text has no word and no similarity: exact copies are all that it is like
+    found = texts.where("_text != ''").mapInArrow(per_step(add, "_text"), "_key binary, codes array<long>")
+    prints = materialize(found.select("_key", F.posexplode("codes").alias("tag", "fp")), "fingerprints")
+    least = materialize(prints.groupBy("tag", "fp").agg(F.min("_key").alias("least"), F.count("*").alias("n")), "codes")
+    same = prints.join(least.where("n > 1"), ["tag", "fp"]).where("_key != least").select(F.col("_key").alias("a"), F.col("least").alias("b"))
+    near = links(least.select("fp", "tag"), distance, direct=True).distinct()
+    left, right = (least.select("tag", F.col("fp").alias(c), F.col("least").alias(x)) for c, x in (("u", "a"), ("v", "b")))
+    pairs = same.unionByName(near.join(left, ["tag", "u"]).join(right, ["tag", "v"]).select("a", "b"))
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
+
+    def check(b: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+        return b.select([0, 1]).filter(pa.array([jaccard(p, q, shingle) >= similarity for p, q in zip(x, y)]))
+
+    of = lambda c: texts.select(F.col("_key").alias(c), F.col("_text").alias(f"{c}_text"))
+    alike = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(per_step(check, "a_text"), "a binary, b binary")
+    roots = components(alike.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = rows.join(roots, rows._key == roots.node, "left").select("_id", F.coalesce("root", "_key").alias("root"))
+    # smallest ids are pre-aggregated before the shuffle, whatever the size of a group
+    smallest = placed.groupBy("root").agg(F.min("_id").alias("component_id"))
+    return placed.join(smallest, "root").select(F.col("_id").alias(id_column), "component_id")

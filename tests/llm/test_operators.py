@@ -140,6 +140,39 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def brute_similar(texts, k=5, least=0.8):
+    words = [WORD.findall((t or "").translate(FOLD)) for t in texts]
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+    return {(i, j) for i in range(len(texts)) for j in range(i) if (words[i] == words[j]) or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]))}
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(31)
+    voc = [a + b + c for a in ("ka", "lo", "mi", "nu", "pe", "gu", "do", "ze") for b in ("ra", "se", "ti", "vo", "xu", "ny") for c in ("", "n", "s", "rt", "ll", "k")]
+    texts = [None, "", " \n", "one two three", "One  TWO three", "one two", "a a a a a a a", "a a a a a a a a a"]
+    for _ in range(40):
+        w = [rng.choice(voc) for _ in range(rng.choice([8, 30, 120, 400]))]
+        texts.append(" ".join(w))
+        for _ in range(rng.randint(0, 4)):
+            x = list(w)
+            for _ in range(rng.randint(1, 1 + len(w) // 60)):
+                x[rng.randrange(len(x))] = rng.choice(voc)
+            texts.append(" ".join(x))
+    texts += texts[10:14]
+    links = brute_similar(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, list(enumerate(texts)))).collect()}
+    assert len(got) == len(texts)
+    together = {(i, j) for i in range(len(texts)) for j in range(i) if got[i] == got[j]}
+    up = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
+    reachable = {(i, j) for i in range(len(texts)) for j in range(i) if up[i] == up[j]}
+    assert together <= reachable and len(together & links) >= 0.95 * len(links)
+    assert all(got[i] == min(k for k in range(len(texts)) if got[k] == got[i]) for i in got)
+    assert simhash.similar_documents(documents(spark, [])).count() == 0
+
+
 # --- 3 html
 
 
@@ -791,12 +824,26 @@ def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     kept = {i: t for i, t in rows.items() if t and re.search(r"[^\W\d_]", t)}
-    of = dict(zip(kept, brute_components(list(kept), [brute_fingerprint(t) for t in kept.values()])))
+    names, of = list(kept), {i: i for i in kept}
+    alike = brute_similar(list(kept.values()))
+    for _ in range(5):
+        for i, j in alike:
+            of[names[i]] = of[names[j]] = min(of[names[i]], of[names[j]])
     kept = {i: t for i, t in kept.items() if of[i] == i}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = {i: t for i, t in kept.items() if not brute_hits(t, bench, 10)[1]}
+    from tokenizers import Tokenizer
+
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) == set(kept) and len(kept) < len(rows)
+    kept_docs = docs.where(F.col("doc_id").isin(list(kept)))
+    private = {r.doc_id: r.text for r in pii.replace_private(kept_docs, queries.surrogate_key(spark)).where("n_entities > 0").collect()}
+    assert private and all(private[i] != kept[i] for i in private)
+    tokens = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
+    for i, parts in out.sort_values("start").groupby("doc_id"):
+        ids = tokens.encode(kept[i], add_special_tokens=False).ids + [1]
+        if i not in private:  # texts without private data are packed as they were
+            assert [(r.start, r.ids_crc32) for r in parts.itertuples()] == [(r.start, zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())) for r in parts.itertuples()]
     assert (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all()
     assert (out.groupby("sequence_id").length.sum() <= 2048).all()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "private_data", "packing"]
@@ -822,6 +869,14 @@ def test_pipeline_carries_rows_without_an_id_to_packing(spark, tmp_path):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter([None, None, 1, 3, 5])
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    documents(spark, [], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_digests_match_their_definition():
     assert decontam.digest(["b", "a"]) == hashlib.sha256(b"a,b").hexdigest()
     assert pa.types.is_struct(substring_dedup.RESULT[3][1].value_type)
