@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,13 +12,14 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage of a loop: a table in ``spark.checkpoint.dir``, or a checkpoint in a folder of its own where unset."""
+    """Cuts lineage: a table in ``spark.checkpoint.dir``; in a folder of this machine only where that is unset on a local master."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="docweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as T
 from docweave.functions import vectors as V
+from docweave.operators.graphs import written
 from docweave.operators.text_stats import bm25_idf, plain_idf
 
 
@@ -28,14 +29,15 @@ def query_terms(query: str) -> list[tuple[str, int]]:
 def lexical(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", kind: str = "bm25", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(item_id, score, matched): BM25 or tf x ln(N / df) over words; a query word that occurs twice counts twice.
 
-    Only the query's words are counted in each text, so no posting list is built or shuffled.
+    Only the query's words are counted in each text, so no posting list is built or shuffled.  Texts are cut into words once: the
+    counts are written, a few numbers a row, and both the statistics and the scores are taken from them.
     """
     terms = query_terms(query)
     listed = F.array(*(F.lit(t) for t, _ in terms)) if terms else F.array().cast("array<string>")
     w = docs.select(F.col(key).alias("item_id"), T.words(F.col(text)).alias("w"))
     counted = w.select("item_id", F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains(listed, x)).alias("hits"))
     tf = lambda t: F.size(F.filter("hits", lambda x: x == t))
-    wide = counted.select("item_id", "len", *(tf(t).alias(f"tf{i}") for i, (t, _) in enumerate(terms)))
+    wide = written(counted.select("item_id", "len", *(tf(t).alias(f"tf{i}") for i, (t, _) in enumerate(terms))), "counts")
     stats = wide.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     score: Column = F.lit(0.0)
     for i, (_, times) in enumerate(terms):

@@ -14,8 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; of this machine only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docweave-")
+    """A new folder under ``spark.checkpoint.dir``; of this machine only where that is unset on a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="docweave-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
