@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 WORD = r"([\p{L}\p{N}_]+)"
 #: Words left out where an operator asks for it; fixed values.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
-POSITIVE = "good great excellent positive success successful improve improved gain growth profit strong best effective benefit".split()
-NEGATIVE = "bad poor negative fail failed failure loss decline weak worst risk problem error damage decrease".split()
+#: Words of sentiment; fixed values.
+POSITIVE = "good great excellent positive success successful profit growth increase improved best win won achievement outstanding strong high up rise".split()
+NEGATIVE = "bad poor negative loss decrease decline failed worst weak low down fall fell drop risk concern issue problem challenge difficult".split()
 
 
 def words(text: Column) -> Column:

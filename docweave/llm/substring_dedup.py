@@ -47,9 +47,11 @@ PASSAGE = 16
 #: Keys of a filter that is sent to all workers: 16 bits each, so 32 MB.
 MAX_FILTER_KEYS = 16 << 20
 #: Windows that a shard holds, unless one anchor has more: up to HOT x PASSAGE.
-SHARD_WINDOWS = 200_000
+SHARD_WINDOWS = 10_000
 #: Different passages of an anchor beyond which it is cut into windows.
 HOT = 4096
+#: Keys of eight bytes that a broadcast table may have.
+BROADCAST_KEYS = 1 << 18
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") | 1 for b in range(256)], dtype=np.uint64)
 
@@ -249,13 +251,15 @@ class Shard:
     def automaton(self, line: np.ndarray, starts: np.ndarray) -> ahocorasick.Automaton:
         """Of the recurring passages: runs of the confirmed windows that start at ``starts``."""
         cut = np.flatnonzero(np.diff(starts) != 1) + 1
-        first, last = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut, [len(starts)])) - 1] + self.window - self.seed
+        first, n = starts[np.concatenate(([0], cut))], np.diff(np.concatenate(([0], cut, [len(starts)])))
+        # a window holds the seeds that start at its first ``step`` words: one at the last of each ``step`` windows lies in all
         step = self.window - self.seed + 1
-        n = -(-(last - first) // step)  # besides the one at the end
-        at = np.repeat(first, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        seeds = line[np.concatenate((at, last))[:, None] + np.arange(self.seed)]
+        seeds = -(-n // step)
+        nth = np.arange(seeds.sum()) - np.repeat(np.cumsum(seeds) - seeds, seeds)
+        at = np.repeat(first, seeds) + np.minimum(step * nth + step - 1, np.repeat(n, seeds) - 1)
+        patterns = line[at[:, None] + np.arange(self.seed)]
         machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for seed in set(map(tuple, seeds.tolist())):
+        for seed in set(map(tuple, patterns.tolist())):
             machine.add_word(seed)
         machine.make_automaton()
         return machine
@@ -320,14 +324,20 @@ def by_window(passages: DataFrame, window: int) -> DataFrame:
     return passages.select(*(n for n, _ in PASSAGES)).mapInArrow(per_step(cut, "passage"), PASSAGES_SCHEMA)
 
 
+def few(keys: DataFrame) -> DataFrame | None:
+    """None if there are no keys; keys of a counted number that is small are broadcast, others joined."""
+    n = keys.count()
+    return None if not n else F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+
+
 def without_hot_anchors(found: DataFrame, recurring: DataFrame, window: int, hot: int) -> DataFrame:
     """``found``, the passages of anchors with over ``hot`` different ones cut into windows."""
-    many = recurring.where(F.col("n") > hot).select("anchor")  # only what many documents hold can have as many passages
-    if many.isEmpty():
+    many = few(recurring.where(F.col("n") > hot).select("anchor"))  # only what many documents hold can have as many passages
+    if many is None:
         return found
-    crowded = found.select("anchor", "key").join(many, "anchor", "left_semi").distinct().groupBy("anchor").count().where(F.col("count") > hot)
-    crowded = materialize(crowded.select("anchor"), "hot")
-    if crowded.isEmpty():
+    different = found.select("anchor", "key").join(many, "anchor", "left_semi").distinct().groupBy("anchor").count()
+    crowded = few(materialize(different.where(F.col("count") > hot).select("anchor"), "hot"))
+    if crowded is None:
         return found
     cut = materialize(by_window(found.join(crowded, "anchor", "left_semi"), window), "windows")
     return found.join(crowded, "anchor", "left_anti").unionByName(cut)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from docweave.functions import text as T
 
@@ -52,15 +57,73 @@ def version_diff(old: DataFrame, new: DataFrame, key: list[str], text: str) -> D
 
 
 def chained(events: DataFrame, by: str, order: list[str], payload: Column) -> DataFrame:
-    """With ``hash`` over the payload and ``previous``, the hash before it in its chain: what an audit log stores."""
-    h = events.withColumn("own", F.sha2(payload.cast("binary"), 256))
-    return h.withColumn("previous", F.coalesce(F.lag("own").over(Window.partitionBy(by).orderBy(*order)), F.lit("")))
+    """With ``own``, the hash of the previous hash and the payload, and ``previous``, the hash before it in its chain.
+
+    A chain is made in order, so one chain's rows pass through one task, sorted; a task holds one hash, not a chain.
+    """
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.withColumn("_payload", payload).repartition(n, by).sortWithinPartitions(by, *order)
+    at = rows.columns.index(by)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = None, ""
+        for b in batches:
+            own, previous = [], []
+            for key, text in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if chain is None or key != chain[0]:
+                    chain, last = (key,), ""
+                previous.append(last)
+                last = hashlib.sha256(f"{last}|{text or ''}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.string()), pa.array(previous, pa.string())], [*b.schema.names[:-1], "own", "previous"])
+
+    schema = StructType(rows.schema.fields[:-1]).add("own", StringType()).add("previous", StringType())
+    return rows.mapInArrow(link, schema)
 
 
 def broken_links(chain: DataFrame, by: str, order: list[str], payload: Column) -> DataFrame:
-    """Rows whose stored hash or link does not follow from their payload and predecessor."""
-    again = chained(chain.withColumnRenamed("own", "stored").withColumnRenamed("previous", "stored_previous"), by, order, payload)
-    return again.where("own != stored OR previous != stored_previous")
+    """Rows whose hash does not follow from their payload and the hash before, or whose link is not their predecessor's hash."""
+    before = F.coalesce(F.lag("own").over(Window.partitionBy(by).orderBy(*order)), F.lit(""))
+    again = F.sha2(F.concat_ws("|", "previous", F.coalesce(payload, F.lit(""))).cast("binary"), 256)
+    return chain.withColumn("before", before).withColumn("again", again).where("own != again OR previous != before").drop("before", "again")
+
+
+def best_evidence(claims: DataFrame, known: DataFrame, least: float = 0.3, partial: float = 0.4, full: float = 0.75) -> DataFrame:
+    """(claim_id, known_id, similarity, status): the known text nearest to each claim by Jaccard of words, at least ``least``.
+
+    Two sets that similar share one of the rarest words of each, down to the bound: only texts that share one of these meet.
+    """
+
+    def sets(df: DataFrame, key: str, text: str) -> DataFrame:
+        return df.select(F.col(key).alias("id"), F.array_distinct(T.words(F.col(text))).alias("w")).where("size(w) > 0")
+
+    c, k = sets(claims, "claim_id", "claim"), sets(known, "known_id", "known")
+    seen = c.select(F.explode("w").alias("x")).unionByName(k.select(F.explode("w").alias("x"))).groupBy("x").agg(F.count("*").alias("df"))
+
+    def rarest(s: DataFrame) -> DataFrame:
+        ranked = s.select("id", F.explode("w").alias("x")).join(seen, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
+        keep = F.size("r") - F.ceil(least * F.size("r") - 1e-9) + 1
+        return ranked.select("id", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("r")).select("id", "r.x")
+
+    pairs = rarest(c).withColumnRenamed("id", "claim_id").join(rarest(k).withColumnRenamed("id", "known_id"), "x").select("claim_id", "known_id").distinct()
+    j = pairs.join(c.select(F.col("id").alias("claim_id"), F.col("w").alias("cw")), "claim_id").join(k.select(F.col("id").alias("known_id"), F.col("w").alias("kw")), "known_id")
+    both = F.size(F.array_intersect("cw", "kw"))
+    scored = j.select("claim_id", "known_id", (both / (F.size("cw") + F.size("kw") - both)).alias("s")).where(F.col("s") >= least)
+    best = scored.groupBy("claim_id").agg(F.min_by(F.struct("known_id", "s"), F.struct(-F.round("s", 9), F.col("known_id"))).alias("b"))
+    status = F.when(F.col("s") >= full, "supported").when(F.col("s") >= partial, "partially_supported").otherwise("unverified")
+    found = best.select("claim_id", "b.known_id", "b.s").select("claim_id", "known_id", F.col("s").alias("similarity"), status.alias("status"))
+    return claims.select("claim_id").join(found, "claim_id", "left").select("claim_id", "known_id", F.coalesce("similarity", F.lit(0.5)).alias("similarity"), F.coalesce("status", F.lit("unverified")).alias("status"))
+
+
+#: Two or more capitalised words in a row.
+NAMES = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
+
+
+def unknown_names(responses: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name): names in responses that no source has."""
+    of = lambda df, *keep: df.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(NAMES), F.lit(1))).alias("name"))
+    known = of(sources).select(F.lower("name").alias("lower")).distinct()
+    return of(responses, key).withColumn("lower", F.lower("name")).join(known, "lower", "left_anti").select(key, "name")
 
 
 def grounded(claims: DataFrame, sources: DataFrame, block: str, text: str, limit: float = 0.5) -> DataFrame:
@@ -91,3 +154,23 @@ def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
     return g.select("class", "support", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
+def page_references(question: Column) -> Column:
+    """Pages that a question names ("page 3", "pages 1, 2 and 4", "p.5", "pg. 7"), sorted; null if none."""
+    lists = F.regexp_extract_all(question, F.lit(r"(?i)\b(pages?\s+\d+(?:\s*[,&and]+\s*\d+)*|pg\.?\s*\d+|p\.\d+)"), F.lit(1))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(lists, lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)), lambda n: n.cast("int"))))))
+    return F.when(F.size(found) > 0, found)
+
+
+def glob(topic: Column, pattern: str) -> Column:
+    """Whether a topic fits a pattern in which * stands for anything."""
+    import re
+
+    return topic.rlike("^" + ".*".join(map(re.escape, pattern.split("*"))) + "$")
+
+
+def entities(docs: DataFrame, by: str, text: str, families: dict[str, str]) -> DataFrame:
+    """(by, type, entity): every match of each family's pattern, lower case."""
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("type"), F.lower(x).alias("entity")))
+
+    return docs.select(by, F.explode(F.concat(*(found(k, p) for k, p in families.items()))).alias("e")).select(by, "e.type", "e.entity")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.operators.ranks import with_below
+
 
 def normalised(weights: dict[str, float], methods: list[str], default: float) -> dict[str, float]:
     """Weights of the methods present, scaled to sum 1."""
@@ -20,14 +22,29 @@ def weight_of(weights: dict[str, float]) -> Column:
     return out
 
 
-def ranked(scores: DataFrame) -> DataFrame:
-    """With rank within each method, from 1; ties to the smaller item."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("score"), "item_id")))
+def starts(scores: DataFrame) -> Column:
+    """Rows of the methods before a row's own, in order; there are few methods."""
+    out, held = F.lit(0), 0
+    for r in sorted(scores.groupBy("method").count().collect(), key=lambda r: r.method):
+        out = F.when(F.col("method") == r.method, F.lit(held)).otherwise(out)
+        held += r["count"]
+    return out
+
+
+def ranked(scores: DataFrame, bounded: bool = False) -> DataFrame:
+    """With rank within each method, from 1; ties to the smaller item.
+
+    Whole score lists are ranked by ranges, so a method's rows never meet in one task; ``bounded`` lists (a few rows) in a window.
+    """
+    if bounded:
+        return scores.withColumn("rank", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("score"), "item_id")))
+    placed = with_below(scores.withColumn("_at", F.struct("method", (-F.col("score")).alias("s"), "item_id")), "_at")
+    return placed.withColumn("rank", (F.col("below") - starts(scores) + 1).cast("int")).drop("_at", "below")
 
 
-def reciprocal_rank(scores: DataFrame, weights: dict[str, float], k: int = 60, first: int = 1) -> DataFrame:
+def reciprocal_rank(scores: DataFrame, weights: dict[str, float], k: int = 60, first: int = 1, bounded: bool = False) -> DataFrame:
     """Sum of weight / (k + rank); ``first`` is the best rank (0 or 1)."""
-    r = ranked(scores)
+    r = ranked(scores, bounded)
     return r.groupBy("item_id").agg(F.sum(weight_of(weights) / (k + F.col("rank") + (first - 1))).alias("fused"), F.array_sort(F.collect_set("method")).alias("methods"))
 
 
@@ -51,21 +68,22 @@ def weighted_sum(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def strict_wins(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Sum of weight x items that score strictly lower."""
-    lower = F.rank().over(Window.partitionBy("method").orderBy("score")) - 1
-    return scores.withColumn("lower", lower).groupBy("item_id").agg(F.sum(weight_of(weights) * F.col("lower")).alias("fused"))
+    placed = with_below(scores.withColumn("_at", F.struct("method", "score")), "_at")
+    lower = F.col("below") - starts(scores)
+    return placed.groupBy("item_id").agg(F.sum(weight_of(weights) * lower).alias("fused"))
 
 
-def copeland(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
+def copeland(scores: DataFrame, weights: dict[str, float], top: int = 60) -> DataFrame:
     """Pairwise contests: an item beats another if methods that rank it better weigh more; wins less losses, scaled to 0..1.
 
-    Contestants are the items of bounded top lists, not the corpus.
+    Every pair is a contest, so contestants are the items of the methods' ``top`` lists: a bounded number.
     """
-    r = ranked(scores)
+    r = ranked(scores).where(F.col("rank") <= top)
     methods = list(weights)
     wide = r.groupBy("item_id").agg(*(F.coalesce(F.max(F.when(F.col("method") == m, F.col("rank"))), F.lit(999999)).alias(f"r{i}") for i, m in enumerate(methods)))
     other = wide.select(F.col("item_id").alias("other"), *(F.col(f"r{i}").alias(f"o{i}") for i in range(len(methods))))
     margin = sum((F.signum(F.col(f"o{i}") - F.col(f"r{i}")) * weights[m] for i, m in enumerate(methods)), F.lit(0.0))
-    won = wide.join(other, F.col("item_id") != F.col("other")).groupBy("item_id").agg(F.sum(F.signum(F.round(margin, 9))).alias("score"))
+    won = wide.join(F.broadcast(other), F.col("item_id") != F.col("other")).groupBy("item_id").agg(F.sum(F.signum(F.round(margin, 9))).alias("score"))
     return min_max(won.withColumn("method", F.lit("copeland"))).select("item_id", F.col("score").alias("fused"))
 
 

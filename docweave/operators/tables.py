@@ -71,8 +71,8 @@ def markdown(df: DataFrame, by: str, row: str, columns: list[str]) -> DataFrame:
 
 
 def parsed_markdown(text: Column) -> Column:
-    """Rows of cells of a markdown table, its separator line left out; null without a separator."""
+    """Rows of cells of a markdown table, its separator line left out, escaped bars as bars; null without a separator."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(r"^\|.*\|$"))
     rule = lambda x: F.trim(x).rlike(r"^\|[\s:|-]+\|$")
-    rows = F.transform(F.filter(lines, lambda x: ~rule(x)), lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
+    rows = F.transform(F.filter(lines, lambda x: ~rule(x)), lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||(?<!\\)\|$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))))
     return F.when(F.exists(lines, rule), rows)

@@ -53,14 +53,18 @@ def version_diff(spark: SparkSession, d: str) -> DataFrame:
 _PAYLOAD = "concat_ws('|', CAST(event_id AS VARCHAR), event_type, props)"
 
 
-@query(f"SELECT event_id, sha256({_PAYLOAD}) AS own, coalesce(lag(sha256({_PAYLOAD})) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS previous FROM events")
+_CHAIN = f"""WITH RECURSIVE o AS (SELECT event_id, user_id, {_PAYLOAD} AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+c AS (SELECT event_id, user_id, nth, sha256('|' || payload) AS own, '' AS previous FROM o WHERE nth = 1 UNION ALL SELECT o.event_id, o.user_id, o.nth, sha256(c.own || '|' || payload), c.own FROM c JOIN o ON o.user_id = c.user_id AND o.nth = c.nth + 1)"""
+
+
+@query(f"{_CHAIN} SELECT event_id, own, previous FROM c")
 def audit_chain(spark: SparkSession, d: str) -> DataFrame:
     return C.chained(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")).select("event_id", "own", "previous")
 
 
-@query("SELECT event_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_id % 1000 = 17 OR before % 1000 = 17")
+@query("SELECT event_id FROM events WHERE event_id % 1000 = 17")
 def broken_audit_links(spark: SparkSession, d: str) -> DataFrame:
-    """Events altered after they were chained show, and so do those that follow them."""
+    """Events altered after they were chained show."""
     payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
     chain = C.chained(table(spark, d, "events"), "user_id", ["ts", "event_id"], payload)
     altered = chain.withColumn("props", F.when(F.col("event_id") % 1000 == 17, "altered").otherwise(F.col("props")))
@@ -108,3 +112,76 @@ _W = r"list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+'))"
 def answer_token_f1(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("a"))
     return b.join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id").select("id", F.round(C.token_f1(F.col("a"), F.col("text")), 6).alias("f1"))
+
+
+_CLAIMS = "claims AS (SELECT item_id AS claim_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark WHERE item_id % 2 = 0), known AS (SELECT item_id AS known_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark WHERE item_id % 2 = 1)"
+
+
+@query(f"""WITH {_CLAIMS}, s AS (SELECT claim_id, known_id, len(list_intersect(c.w, k.w)) / CAST(len(c.w) + len(k.w) - len(list_intersect(c.w, k.w)) AS DOUBLE) AS s FROM claims c, known k WHERE len(c.w) > 0 AND len(k.w) > 0),
+b AS (SELECT claim_id, arg_min(known_id, (-round(s, 9), known_id)) AS known_id, max(s) AS s FROM s WHERE s >= 0.1 GROUP BY 1)
+SELECT claim_id, known_id, round(coalesce(s, 0.5), 6) AS similarity, CASE WHEN s >= 0.75 THEN 'supported' WHEN s >= 0.2 THEN 'partially_supported' ELSE 'unverified' END AS status FROM claims LEFT JOIN b USING (claim_id)""")
+def fact_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark")
+    claims = b.where("item_id % 2 = 0").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    known = b.where("item_id % 2 = 1").select(F.col("item_id").alias("known_id"), F.col("text").alias("known"))
+    return C.best_evidence(claims, known, least=0.1, partial=0.2).withColumn("similarity", F.round("similarity", 6))
+
+
+_NAMES = r"'[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+'"
+
+
+@query(f"WITH r AS (SELECT conv_id, unnest(regexp_extract_all(text, {_NAMES})) AS name FROM conversations WHERE role = 'assistant'), s AS (SELECT lower(unnest(regexp_extract_all(text, {_NAMES}))) AS name FROM documents) SELECT conv_id, name FROM r WHERE lower(name) NOT IN (SELECT name FROM s)")
+def unknown_names(spark: SparkSession, d: str) -> DataFrame:
+    return C.unknown_names(table(spark, d, "conversations").where("role = 'assistant'"), table(spark, d, "documents"), "conv_id", "text")
+
+
+_CITED = "cited AS (SELECT o_orderkey, 'as shown [page ' || (o_orderkey % 9) || ', section ' || o_orderstatus || '] and [' || (o_custkey % 50) || ']' AS text FROM orders)"
+
+
+@query(f"WITH {_CITED} SELECT o_orderkey, CAST(p AS INTEGER) AS page FROM (SELECT o_orderkey, unnest(regexp_extract_all(text, '\\[(?:page )?([0-9]+)', 1)) AS p FROM cited)")
+def parsed_citations(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("as shown [page "), (F.col("o_orderkey") % 9).cast("string"), F.lit(", section "), F.col("o_orderstatus"), F.lit("] and ["), (F.col("o_custkey") % 50).cast("string"), F.lit("]"))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(F.regexp_extract_all(text, F.lit(r"(?i)\[(?:page\s+)?(\d+)(?:,\s*(?:section\s+)?[a-zA-Z0-9\s_.-]+)?\]"), F.lit(1))).alias("page")).select("o_orderkey", F.col("page").cast("int"))
+
+
+ASKED = ["see page 3 and page 7", "pages 1, 2 and 4", "p.5 or pg. 12", "what is the revenue?", "Page 10 of pages 9 & 10"]
+
+
+@query("SELECT * FROM (VALUES ('see page 3 and page 7', [3, 7]), ('pages 1, 2 and 4', [1, 2, 4]), ('p.5 or pg. 12', [5, 12]), ('what is the revenue?', NULL), ('Page 10 of pages 9 & 10', [9, 10])) AS t(question, pages)")
+def asked_pages(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in ASKED], "question string").select("question", C.page_references(F.col("question")).alias("pages"))
+
+
+@query("SELECT topic, count(*) AS n, bool_or(regexp_full_match(topic, 'order\\..*\\.urgent')) AS matches FROM (SELECT 'order.' || o_orderstatus || '.' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE 'normal' END AS topic FROM orders) GROUP BY 1")
+def topic_matches(spark: SparkSession, d: str) -> DataFrame:
+    topic = F.concat(F.lit("order."), F.col("o_orderstatus"), F.lit("."), F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise("normal"))
+    return table(spark, d, "orders").groupBy(topic.alias("topic")).agg(F.count("*").alias("n")).withColumn("matches", C.glob(F.col("topic"), "order.*.urgent"))
+
+
+@query("SELECT doc_id, count(*) AS numbers, CAST(min(len(CAST(CAST(v AS BIGINT) AS VARCHAR))) AS INTEGER) AS shortest, CAST(max(len(CAST(CAST(v AS BIGINT) AS VARCHAR))) AS INTEGER) AS longest FROM (SELECT doc_id, CAST(unnest(regexp_extract_all(text, '[0-9]{1,15}')) AS DOUBLE) AS v FROM documents) WHERE v > 0 GROUP BY 1 HAVING count(*) >= 3 AND max(len(CAST(CAST(v AS BIGINT) AS VARCHAR))) - min(len(CAST(CAST(v AS BIGINT) AS VARCHAR))) >= 4")
+def number_inconsistencies(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9]{1,15})"), F.lit(1))).alias("v")).select("doc_id", F.col("v").cast("bigint").alias("v")).where("v > 0")
+    size = F.length(F.col("v").cast("string"))
+    return v.groupBy("doc_id").agg(F.count("*").alias("numbers"), F.min(size).alias("shortest"), F.max(size).alias("longest")).where("numbers >= 3 AND longest - shortest >= 4")
+
+
+_FAMILIES = {"money": r"[$€£¥₹]\s?[0-9,]+(?:\.[0-9]+)?", "percent": r"[0-9]+(?:\.[0-9]+)?\s?%", "email": r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+", "url": r"https?://[^ \t\n\r\f\v]+", "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "phone": r"\+?[0-9]{1,3}[-. ]?\(?[0-9]{3}\)?[-. ]?[0-9]{3,4}[-. ]?[0-9]{4}"}
+_ENTITIES = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, lower(unnest(regexp_extract_all(text, '{p}'))) AS entity FROM documents" for k, p in _FAMILIES.items())
+
+
+@query(f"SELECT doc_id, type, entity, count(*) AS mentions FROM ({_ENTITIES}) GROUP BY 1, 2, 3")
+def text_entities(spark: SparkSession, d: str) -> DataFrame:
+    return C.entities(table(spark, d, "documents"), "doc_id", "text", _FAMILIES).groupBy("doc_id", "type", "entity").agg(F.count("*").alias("mentions"))
+
+
+@query("SELECT event_id, CAST(user_id % 4 AS INTEGER) AS page, event_type FROM events WHERE user_id % 7 = 3 AND event_type IN ('click', 'view') AND contains(props, '9') ORDER BY page, ts, event_id LIMIT 100")
+def listed_annotations(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where((F.col("user_id") % 7 == 3) & F.col("event_type").isin("click", "view") & F.contains("props", F.lit("9")))
+    return e.withColumn("page", (F.col("user_id") % 4).cast("int")).orderBy("page", "ts", "event_id").select("event_id", "page", "event_type").limit(100)
+
+
+@query("SELECT c_custkey, round(least(1, CASE WHEN c_custkey = 7 THEN 1 ELSE greatest(0, c_acctbal / 10000) * 0.5 + CASE WHEN contains(lower(c_name), '00') THEN 0.3 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 0.2 ELSE 0 END END), 8) AS score FROM customer ORDER BY score DESC, c_custkey LIMIT 15")
+def recalled_items(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    score = F.greatest(F.lit(0.0), F.col("c_acctbal") / 10000) * 0.5 + F.when(F.contains(F.lower("c_name"), F.lit("00")), 0.3).otherwise(0.0) + F.when(F.col("c_mktsegment") == "BUILDING", 0.2).otherwise(0.0)
+    return c.select("c_custkey", F.round(F.least(F.lit(1.0), F.when(F.col("c_custkey") == 7, 1.0).otherwise(score)), 8).alias("score")).orderBy(F.desc("score"), "c_custkey").limit(15)

@@ -107,7 +107,7 @@ def hybrid_rrf_topk(spark: SparkSession, d: str) -> DataFrame:
     for name, leg in legs:
         part = R.top(leg, 50).select(F.lit(name).alias("method"), "item_id", F.round("score", 9).alias("score"))
         scores = part if scores is None else scores.unionByName(part)
-    fused = fusion.reciprocal_rank(scores, fusion.normalised({"frequency": 0.2, "semantic": 0.3}, ["frequency", "semantic"], 1.0))
+    fused = fusion.reciprocal_rank(scores, fusion.normalised({"frequency": 0.2, "semantic": 0.3}, ["frequency", "semantic"], 1.0), bounded=True)
     out = fused.select("item_id", F.round("fused", 9).alias("fused_score"), F.array_join("methods", ",").alias("methods_found"))
     # at most 100 rows: two lists of 50
     return out.withColumn("final_rank", F.row_number().over(Window.orderBy(F.desc("fused_score"), "item_id"))).where("final_rank <= 20")

@@ -23,7 +23,7 @@ def con():
 def text(x):
     if isinstance(x, (list, tuple, np.ndarray)):
         return "[" + ",".join(map(text, x)) + "]"
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "NULL"
     return repr(round(float(x), 6) + 0.0) if isinstance(x, (float, np.floating)) else str(x)
 
