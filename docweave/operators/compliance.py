@@ -174,3 +174,14 @@ def entities(docs: DataFrame, by: str, text: str, families: dict[str, str]) -> D
         return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("type"), F.lower(x).alias("entity")))
 
     return docs.select(by, F.explode(F.concat(*(found(k, p) for k, p in families.items()))).alias("e")).select(by, "e.type", "e.entity")
+
+
+def checked_citations(cited: DataFrame, elements: DataFrame) -> DataFrame:
+    """(doc_id, seq, status) of citations (doc_id, seq, page, excerpt): exact on its page, partial elsewhere in its document, none,
+    or missing where there is no such page."""
+    lines = F.array_sort(F.collect_list(F.struct("seq", "content")))
+    pages = elements.groupBy("doc_id", "page").agg(F.array_join(F.transform(lines, lambda x: x["content"]), "\n").alias("body"))
+    whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda x: x["body"]), "\n").alias("whole"))
+    j = cited.join(pages, ["doc_id", "page"], "left").join(whole, "doc_id")
+    status = F.when(F.col("body").isNull(), "missing").when(F.contains("body", "excerpt"), "exact_match").when(F.contains("whole", "excerpt"), "partial_match").otherwise("no_match")
+    return j.select("doc_id", "seq", status.alias("status"))

@@ -13,12 +13,12 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from docweave.operators.graphs import written
 
 
-def below(df: DataFrame, value: str) -> DataFrame:
-    """(value, n, below): for each distinct value, its rows and the number of rows that are strictly lower.
+def below(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """(value, n, below): for each distinct value, its rows (or their weights in sum) and those of strictly lower values.
 
     Counts are pre-aggregated, sorted by ranges and summed within partitions; the driver sees one total for each partition.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("n"))
+    counts = df.groupBy(value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = counts.repartitionByRange(n, value).sortWithinPartitions(value)
 

@@ -15,6 +15,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function under its name; ``sql`` is DuckDB SQL for the same rows."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql

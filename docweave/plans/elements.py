@@ -113,7 +113,7 @@ templates AS (SELECT doc_id, page, CAST(min(other) AS INTEGER) AS template FROM
 
 
 @query(f"{_templates_sql(0.85)} SELECT doc_id, page, template FROM templates")
-def page_templates(spark: SparkSession, d: str) -> DataFrame:
+def page_template_families(spark: SparkSession, d: str) -> DataFrame:
     return _templates(spark, d, 0.85)
 
 
