@@ -47,7 +47,12 @@ LOWER, SPACES = "abcdefghijklmnopqrstuvwxyz", r"[\x20\x09-\x0D]+"
 
 def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     """SimHash of each text (UTF-8): bit set if set in over half of the shingles' XXH64 (seed 42)."""
-    return majority(*shingle_hashes(texts, shingle))
+    hashed, counts = shingle_hashes(texts, shingle)
+    return majority(joined(hashed), counts)
+
+
+def joined(hashed: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[list[np.ndarray], list[int]]:
@@ -70,15 +75,14 @@ def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[list[np.ndarray],
     return hashed, counts
 
 
-def majority(hashed: list[np.ndarray], counts: list[int]) -> np.ndarray:
-    """The bits set in over half of each text's hashes; zero for none."""
+def majority(h: np.ndarray, counts: list[int]) -> np.ndarray:
+    """The bits set in over half of each text's hashes, which follow one another; zero for none."""
     n = np.array(counts, dtype=np.int64)
     out = np.zeros(len(counts), dtype=np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
     # eight bit positions are counted at once, in the bytes of a word, over at most 255 hashes; these sums are then added up
-    h = np.concatenate(hashed)
     first = np.concatenate(([0], np.cumsum(n[full])[:-1]))
     pieces = -(-n[full] // 255)
     at = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
@@ -243,21 +247,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(of, "fp").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
 def word_fingerprints(texts: list[bytes], n: int) -> np.ndarray:
     """``n`` fingerprints of each text: the majority bits of as many mixtures of the hashes of its distinct words, for every third
     one, or of its distinct pairs of words, which tell texts of few words apart."""
+    known, words, pairs = WordHashes(), [], []
+    for text in texts:
+        split = text.lower().split()
+        h = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
+        words.append(np.unique(h))
+        # a word alone is a pair with nothing
+        both = h[:-1] * np.uint64(0x9FB21C651E98DF25) + (h[1:] ^ (h[1:] >> np.uint64(29))) if len(h) > 1 else h
+        pairs.append(np.unique(both))
     out = np.empty((len(texts), n), dtype=np.uint64)
-    for size in (1, 2):
-        hashed = [np.unique(h) for h in shingle_hashes(texts, size)[0]]
-        sizes = iter(hashed)
-        counts = [len(next(sizes)) if t.split() else 0 for t in texts]
+    for first, hashed in ((True, words), (False, pairs)):
+        h, counts = joined(hashed), list(map(len, hashed))
         for k in range(n):
-            if (k % 3 == 0) == (size == 1):
-                mixed = []
-                for h in hashed:
-                    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-                    mixed.append((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
-                out[:, k] = majority(mixed, counts)
+            if (k % 3 == 0) == first:
+                x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+                out[:, k] = majority((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), counts)
     return out
 
 
