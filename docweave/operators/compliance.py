@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from docweave.functions import text as T
+from docweave.operators.text_stats import rarest
 
 #: What screening looks for.
 INJECTION = ["ignore (all )?(previous|prior) instructions", "disregard (the )?(above|system)", "you are now"]
@@ -100,12 +101,7 @@ def best_evidence(claims: DataFrame, known: DataFrame, least: float = 0.3, parti
     c, k = sets(claims, "claim_id", "claim"), sets(known, "known_id", "known")
     seen = c.select(F.explode("w").alias("x")).unionByName(k.select(F.explode("w").alias("x"))).groupBy("x").agg(F.count("*").alias("df"))
 
-    def rarest(s: DataFrame) -> DataFrame:
-        ranked = s.select("id", F.explode("w").alias("x")).join(seen, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
-        keep = F.size("r") - F.ceil(least * F.size("r") - 1e-9) + 1
-        return ranked.select("id", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("r")).select("id", "r.x")
-
-    pairs = rarest(c).withColumnRenamed("id", "claim_id").join(rarest(k).withColumnRenamed("id", "known_id"), "x").select("claim_id", "known_id").distinct()
+    pairs = rarest(c, seen, least).withColumnRenamed("id", "claim_id").join(rarest(k, seen, least).withColumnRenamed("id", "known_id"), "x").select("claim_id", "known_id").distinct()
     j = pairs.join(c.select(F.col("id").alias("claim_id"), F.col("w").alias("cw")), "claim_id").join(k.select(F.col("id").alias("known_id"), F.col("w").alias("kw")), "known_id")
     both = F.size(F.array_intersect("cw", "kw"))
     scored = j.select("claim_id", "known_id", (both / (F.size("cw") + F.size("kw") - both)).alias("s")).where(F.col("s") >= least)

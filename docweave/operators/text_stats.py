@@ -113,3 +113,28 @@ def band_candidates(signatures: DataFrame, by: str, bands: int, rows: int) -> Da
 def signature_classes(signatures: DataFrame, by: str) -> DataFrame:
     """(by, signature): each distinct signature once, under its smallest id."""
     return signatures.groupBy("signature").agg(F.min(by).alias(by)).select(by, "signature")
+
+
+def rarest(sets: DataFrame, seen: DataFrame, least: float) -> DataFrame:
+    """(id, x): of each set the rarest members, so many that two sets of a Jaccard similarity of ``least`` share one of them."""
+    ranked = sets.select("id", F.explode("w").alias("x")).join(seen, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
+    keep = F.size("r") - F.ceil(least * F.size("r") - 1e-9) + 1
+    return ranked.select("id", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("r")).select("id", "r.x")
+
+
+def similar_sets(docs: DataFrame, by: str, tokens: Column, least: float) -> DataFrame:
+    """(a, b, jaccard): every pair of different sets of that similarity, between the smallest ids of equal sets, and each other id of
+    equal sets with the smallest (1.0).  Empty sets are left out.
+
+    Sets meet by their rarest members only, which loses no pair; equal sets count once, so copies are not paired with one another.
+    """
+    rows = docs.select(F.col(by).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("w")).where("size(w) > 0").withColumn("key", F.sha2(F.array_join("w", "\x01").cast("binary"), 256))
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "w")).alias("m")).select("key", "m.id", "m.w")
+    members = rows.select("id", "key").join(first.select("key", F.col("id").alias("a")), "key").where("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    seen = first.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    few = rarest(first, seen, least)
+    met = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "x").where("a < b").select("a", "b").distinct()
+    x, y = (first.select(F.col("id").alias(i), F.col("w").alias(w)) for i, w in (("a", "x"), ("b", "y")))
+    both = F.size(F.array_intersect("x", "y"))
+    scored = met.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= least).unionByName(members)

@@ -9,11 +9,16 @@ from docweave.functions import text as T
 from docweave.operators import analysis as A
 from docweave.operators.graphs import components
 from docweave.plans import behavior
-from docweave.plans.base import query
-from docweave.sources.relations import elements, table
+from docweave.plans.base import ORACLE_SQL, query
+from docweave.sources.relations import ELEMENTS_SQL, elements, table
 
 
-@query()
+_CHUNKS = f"""WITH RECURSIVE {ELEMENTS_SQL}, e AS (SELECT doc_id, seq, type = 'table' AS alone, CAST(ceil(length(content) / 4.0) AS BIGINT) AS n FROM elements),
+c AS (SELECT doc_id, seq, alone, n AS held, CAST(0 AS INTEGER) AS chunk, n FROM e WHERE seq = 0
+  UNION ALL SELECT e.doc_id, e.seq, e.alone, CASE WHEN c.alone OR e.alone OR c.held + e.n > 400 THEN e.n ELSE c.held + e.n END, c.chunk + CASE WHEN c.alone OR e.alone OR c.held + e.n > 400 THEN 1 ELSE 0 END, e.n FROM c JOIN e ON e.doc_id = c.doc_id AND e.seq = c.seq + 1)"""
+
+
+@query(f'{_CHUNKS} SELECT doc_id, chunk, min(seq) AS "first", max(seq) AS "last", CAST(sum(n) AS BIGINT) AS tokens FROM c GROUP BY 1, 2')
 def element_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of 400 tokens; tables stand alone."""
     e = elements(spark, d).withColumn("tokens", T.tokens_by_chars(F.col("content")).cast("long"))
@@ -54,17 +59,29 @@ def singular_values(spark: SparkSession, d: str) -> DataFrame:
     return A.singular_values(table(spark, d, "embeddings"), "embedding", 10)
 
 
-@query()
+_LRU = """WITH RECURSIVE e AS (SELECT user_id, event_type AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+c AS (SELECT user_id, i, [x] AS held, 0 AS hit FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, list_prepend(x, list_filter(held, lambda h: h <> x))[1:2], CASE WHEN list_contains(held, x) THEN 1 ELSE 0 END FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1)"""
+
+
+@query(f"{_LRU} SELECT user_id, count(*) AS accesses, CAST(sum(hit) AS BIGINT) AS hits FROM c GROUP BY 1")
 def cache_hit_rates(spark: SparkSession, d: str) -> DataFrame:
     return A.cache_trace(table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("item")), "user_id", ["ts", "event_id"], "item", 2)
 
 
-@query()
+_ROUNDS = "".join(f", s{i} AS (SELECT b AS state, sum(share * p) AS share FROM s{i - 1} JOIN m ON a = state GROUP BY 1)" for i in range(1, 26))
+
+
+@query(f"WITH t AS ({ORACLE_SQL['markov_transitions']}), m AS (SELECT a, b, p / sum(p) OVER (PARTITION BY a) AS p FROM t), s0 AS (SELECT a AS state, 1 / CAST(count(*) OVER () AS DOUBLE) AS share FROM (SELECT DISTINCT a FROM m)){_ROUNDS} SELECT state, round(share / sum(share) OVER (), 6) AS share FROM s25")
 def stationary_events(spark: SparkSession, d: str) -> DataFrame:
-    return A.stationary(behavior.markov_transitions(spark, d), "a", "b", "p")
+    return A.stationary(behavior.markov_transitions(spark, d), "a", "b", "p").withColumn("share", F.round("share", 6))
 
 
-@query()
+_LOOPS = f"""WITH RECURSIVE {ELEMENTS_SQL}, n AS (SELECT a.doc_id, a.page, a.seq AS a, b.seq AS b FROM elements a JOIN elements b ON a.doc_id = b.doc_id AND a.page = b.page AND a.seq <> b.seq WHERE sqrt(pow(a.x0 - b.x0, 2) + pow(a.y0 - b.y0, 2)) <= 0.25),
+reach AS (SELECT doc_id, page, seq, seq AS other FROM elements UNION SELECT r.doc_id, r.page, r.seq, n.b FROM reach r JOIN n ON n.doc_id = r.doc_id AND n.page = r.page AND n.a = r.other),
+least AS (SELECT doc_id, page, seq, min(other) AS part FROM reach GROUP BY 1, 2, 3), v AS (SELECT doc_id, page, count(*) AS vertices, count(DISTINCT part) AS parts FROM least GROUP BY 1, 2), e AS (SELECT doc_id, page, count(*) // 2 AS edges FROM n GROUP BY 1, 2)"""
+
+
+@query(f"{_LOOPS} SELECT doc_id, page, vertices, coalesce(edges, 0) AS edges, parts, coalesce(edges, 0) - vertices + parts AS loops FROM v LEFT JOIN e USING (doc_id, page)")
 def page_loops(spark: SparkSession, d: str) -> DataFrame:
     """Parts and loops of each page's elements whose corners lie within 0.25 of one another."""
     p = elements(spark, d).select("doc_id", "page", "seq", F.col("x0").alias("x"), F.col("y0").alias("y"))
@@ -72,7 +89,11 @@ def page_loops(spark: SparkSession, d: str) -> DataFrame:
     return A.betti(p, ["doc_id", "page"], "seq", near)
 
 
-@query()
+_DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id, embedding AS e, sqrt({_DOT.format('embedding', 'embedding')}) AS n FROM embeddings), near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.n * b.n > 0 AND {_DOT.format('a.e', 'b.e')} / (a.n * b.n) >= 0.3),
+reach AS (SELECT vec_id AS node, vec_id AS other FROM v UNION SELECT r.node, near.b FROM reach r JOIN near ON near.a = r.other) SELECT node, min(other) AS component FROM reach GROUP BY 1""")
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Components of vectors with cosine 0.3 or more, whatever their labels, single ones included."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding")

@@ -105,7 +105,12 @@ def bandit_arms(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.arm_statistics(e, "arm", "reward"))
 
 
-@query()
+_LIMITED = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+c AS (SELECT user_id, event_id, ts, i, [t] AS kept, true AS allowed FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.ts, e.i, CASE WHEN len(list_filter(kept, lambda k: k > e.t - 3600)) < 3 THEN list_append(list_filter(kept, lambda k: k > e.t - 3600), e.t) ELSE list_filter(kept, lambda k: k > e.t - 3600) END,
+  len(list_filter(kept, lambda k: k > e.t - 3600)) < 3 FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1)"""
+
+
+@query(f"{_LIMITED} SELECT user_id, event_id, ts, allowed FROM c")
 def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     """At most three hits in an hour for each user; tests hold it to a fold in plain Python."""
     return B.limited(events(spark, d), "user_id", "ts", 3600, 3)

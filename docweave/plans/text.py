@@ -180,19 +180,14 @@ def section_statistics(spark: SparkSession, d: str) -> DataFrame:
     return n.join(t, "source").select("source", "docs", "tokens", "types", F.round(F.col("tokens") / F.col("docs"), 6).alias("mean_tokens"), F.round(F.col("types") / F.col("tokens"), 6).alias("type_ratio"))
 
 
-@query(rf"""WITH w AS (SELECT doc_id, source, list_sort(list_distinct({TOKENS})) AS w FROM documents),
-k AS (SELECT doc_id, unnest(w) AS term FROM w), df AS (SELECT term, count(*) AS df FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN df USING (term) JOIN k b USING (term) WHERE a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) AS jaccard FROM c JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b WHERE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.5""")
+_SETS = r"""w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS w FROM documents), f AS (SELECT w, min(doc_id) AS id FROM w WHERE len(w) > 0 GROUP BY 1), k AS (SELECT id, len(w) AS n, unnest(w) AS term FROM f),
+met AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS m FROM k a JOIN k b USING (term) WHERE a.id < b.id GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SETS} SELECT a, b, round(m / (x + y - m), 6) AS jaccard FROM met WHERE m / (x + y - m) >= 0.5 UNION ALL SELECT f.id, doc_id, 1 FROM w JOIN f USING (w) WHERE doc_id <> f.id")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that share a rare word (in 2 to 4 texts) and have Jaccard similarity 0.5 or more; the word blocks the join."""
-    w = docs(spark, d).select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("w"))
-    k = w.select("doc_id", F.explode("w").alias("term"))
-    rare = k.groupBy("term").agg(F.count("*").alias("df")).where("df BETWEEN 2 AND 4").select("term")
-    known = k.join(rare, "term")
-    c = known.select(F.col("doc_id").alias("a"), "term").join(known.select(F.col("doc_id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    both = c.join(w.select(F.col("doc_id").alias("a"), F.col("w").alias("x")), "a").join(w.select(F.col("doc_id").alias("b"), F.col("w").alias("y")), "b")
-    return both.select("a", "b", V.jaccard(F.col("x"), F.col("y")).alias("j")).where("j >= 0.5").select("a", "b", F.round("j", 6).alias("jaccard"))
+    """All pairs of different word sets with Jaccard similarity 0.5 or more, and the ids of equal sets."""
+    return S.similar_sets(docs(spark, d), "doc_id", T.words(F.col("text")), 0.5).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query()
