@@ -92,8 +92,16 @@ def exact_knapsack(value: np.ndarray, size: np.ndarray, budget: int) -> np.ndarr
 
 
 def knapsack(candidates: DataFrame, by: str, key: str, budget: int, exact: bool) -> DataFrame:
-    """(by, key): what to take of each group's candidates (value, size) within the budget; a group is one query's list."""
+    """(by, key): what to take of each group's candidates (value, size) within the budget.
+
+    Of one size at most budget / size candidates can be taken, those of most value: the others go before the groups meet, so a
+    group in memory has at most about budget x ln(budget) candidates, however many there are.
+    """
+    from pyspark.sql import Window
+
     solve = exact_knapsack if exact else greedy_knapsack
+    nth = F.row_number().over(Window.partitionBy(by, "size").orderBy(F.desc("value"), key))
+    candidates = candidates.where(F.col("size") <= budget).withColumn("nth", nth).where((F.col("size") <= 0) | (F.col("nth") * F.col("size") <= budget))
     kinds = dict(candidates.dtypes)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

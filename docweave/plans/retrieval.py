@@ -87,7 +87,7 @@ def similar_to_each(spark: SparkSession, d: str) -> DataFrame:
 
     v = vectors(spark, d)
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    small = asked.limit(20_001).count() <= 20_000
+    small = (asked.agg(F.sum(F.size("qv"))).first()[0] or 0) <= 4 << 20  # numbers sent to every task: 32 MB
     s = v.join(F.broadcast(asked) if small else asked, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("item_id"), V.cosine(F.col("embedding"), F.col("qv")).alias("score"))
     return top_within(s, ["qid"], 5, [F.desc(F.round("score", 9)), F.asc("item_id")]).withColumn("score", F.round("score", 6))
 
@@ -126,7 +126,7 @@ def inverted_lists(spark: SparkSession, d: str) -> DataFrame:
     """Vectors assigned to the nearest of strided centroids: list sizes and mean distances."""
     v = vectors(spark, d)
     c = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("list"), F.col("embedding").alias("cv"))
-    small = c.limit(20_001).count() <= 20_000
+    small = (c.agg(F.sum(F.size("cv"))).first()[0] or 0) <= 4 << 20
     s = v.join(F.broadcast(c) if small else c).select(F.col("vec_id").alias("item_id"), "list", V.l2(F.col("embedding"), F.col("cv")).alias("dist"))
     near = s.groupBy("item_id").agg(F.min_by(F.struct("list", "dist"), F.struct(F.round("dist", 9), "list")).alias("best"))
     return near.groupBy(F.col("best.list").alias("list")).agg(F.count("*").alias("members"), F.round(F.avg("best.dist"), 6).alias("mean_distance"))
