@@ -78,7 +78,7 @@ def copeland(scores: DataFrame, weights: dict[str, float], top: int = 60) -> Dat
 
     Every pair is a contest, so contestants are the items of the methods' ``top`` lists: a bounded number.
     """
-    r = ranked(scores).where(F.col("rank") <= top)
+    r = ranked(scores, bounded=True).where(F.col("rank") <= top)  # each task keeps its first rows before the window
     methods = list(weights)
     wide = r.groupBy("item_id").agg(*(F.coalesce(F.max(F.when(F.col("method") == m, F.col("rank"))), F.lit(999999)).alias(f"r{i}") for i, m in enumerate(methods)))
     other = wide.select(F.col("item_id").alias("other"), *(F.col(f"r{i}").alias(f"o{i}") for i in range(len(methods))))
