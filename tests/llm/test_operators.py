@@ -791,6 +791,29 @@ def test_a_rare_language_does_not_cut_the_others(spark):
     assert langid.Model({"c": ["1"], "d": []}).predict(["two"])[0] == ["und"]
 
 
+# --- very long texts
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """What stands at the end of a text of 60,000 words counts as much as what stands at its beginning."""
+    rng = random.Random(41)
+    voc = [a + b for a in ("kara", "lose", "minu", "peti") for b in ("vo", "zu", "rti", "ssen", "la", "mor")]
+    long = [rng.choice(voc) for _ in range(60_000)]
+    end = [f"end{i}" for i in range(40)]
+    texts = [(1, " ".join(long + end)), (2, " ".join(["other"] * 50 + end)), (3, " ".join(long)), (4, "short text")]
+    docs = documents(spark, texts)
+    prints = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs).collect()}
+    assert prints == {i: f"{brute_fingerprint(t):016x}" for i, t in texts}
+    kept = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert kept[2].n_removed == 40 and kept[2].kept == " ".join(["other"] * 50) and kept[3].n_removed == 60_000 and kept[1].n_removed == 0
+    model = langid.Model({"x": [" ".join(long[:3000])], "y": ["end one two three four five six seven eight nine " * 60]})
+    rates, _ = model.rates([texts[0][1], texts[2][1]])
+    assert rates[0][0] > rates[1][0] and {r.lang_pred for r in langid.identify(docs.where("doc_id IN (1, 3)"), model).collect()} == {"x"}
+    scored = quality.Model([(b"good words of a river " * 40, 1), (b"### $$$ %%% " * 60, 0)] * 20)
+    plain, spoilt = scored.score(" ".join(long).encode()), scored.score((" ".join(long) + " ### $$$ %%%" * 60_000).encode())
+    assert spoilt < plain or scored.share in (plain, spoilt)
+
+
 # --- queries and pipeline
 
 
