@@ -41,6 +41,8 @@ HOT = 20_000
 FAN = 16
 #: Node pairs looked at at once; bounds memory.
 FRONTIER = 1 << 19
+#: Hot top nodes (twelve bytes each) that are broadcast.
+BROADCAST_NODES = 1 << 18
 LANES = np.uint64(0x0101010101010101)
 LOWER, SPACES = "abcdefghijklmnopqrstuvwxyz", r"[\x20\x09-\x0D]+"
 
@@ -159,10 +161,11 @@ class GrayIndex:
                     todo.append((level - 1, c[keep], d[keep]))
 
 
-def link(key: np.ndarray, codes: np.ndarray, distance: int) -> np.ndarray:
-    """For each code, the smallest position that links of its own key lead to."""
-    label = np.arange(len(codes))
+def link(key: np.ndarray, codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each code, the smallest position that links of its own key lead to, and the smallest that it is linked with itself."""
+    label, near = np.arange(len(codes)), np.arange(len(codes))
     for a, b in GrayIndex(key, codes).pairs(distance):
+        np.minimum.at(near, np.maximum(a, b), np.minimum(a, b))
         while True:
             x, y = label[a], label[b]
             differ = x != y
@@ -171,7 +174,7 @@ def link(key: np.ndarray, codes: np.ndarray, distance: int) -> np.ndarray:
             np.minimum.at(label, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
             while (label != (up := label[label])).any():
                 label = up
-    return label
+    return label, near
 
 
 def star_edges(batches: Iterator[pa.RecordBatch], distance: int, direct: bool) -> Iterator[pa.RecordBatch]:
@@ -180,13 +183,8 @@ def star_edges(batches: Iterator[pa.RecordBatch], distance: int, direct: bool) -
     held: tuple[np.ndarray, ...] | None = None
 
     def out(key: np.ndarray, codes: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        every = [link(key, codes, distance)]
-        if direct:
-            near = np.arange(len(codes))
-            for a, b in GrayIndex(key, codes).pairs(distance):
-                np.minimum.at(near, np.maximum(a, b), np.minimum(a, b))
-            every.append(np.where(near == every[0], np.arange(len(codes)), near))
-        for label in every:
+        reached, near = link(key, codes, distance)
+        for label in (reached, np.where(near == reached, np.arange(len(codes)), near)) if direct else (reached,):
             if (linked := label != np.arange(len(label))).any():
                 yield pa.RecordBatch.from_arrays([pa.array(codes[linked].view(np.int64)), pa.array(codes[label][linked].view(np.int64)), pa.array(tag[linked])], ["u", "v", "tag"])
 
@@ -221,16 +219,21 @@ def links(codes: DataFrame, distance: int, direct: bool = False) -> DataFrame:
         codes = codes.select("fp", F.lit(0).alias("tag"))
     wide = blocks_of(64, distance + 1)
     nodes = codes.select("fp", "tag", F.explode(block_key(F.col("fp"), wide)).alias("top"))
-    hot = nodes.groupBy("tag", "top").count().where(F.col("count") > HOT).select("tag", "top")
-    cool = nodes.join(hot, ["tag", "top"], "left_anti").select(F.xxhash64("tag", "top", F.lit(0)).alias("node"), "fp", "tag")
-    # at most `distance` of the other blocks' bits differ, so two members agree on one of 2 * distance parts of them
-    parts = []
-    for i in range(distance + 1):
-        rest = [w for j, w in enumerate(wide) if j != i]
-        fine = [p for s, w in rest for p in blocks_of(w, 2, s)]
-        parts.append(F.when(F.shiftrightunsigned("top", 32) == i + 1, block_key(F.col("fp"), fine)))
-    warm = nodes.join(hot, ["tag", "top"], "left_semi").select("fp", "tag", "top", F.explode(F.coalesce(*parts)).alias("part"))
-    every = cool.unionByName(warm.select(F.xxhash64("tag", "top", "part").alias("node"), "fp", "tag"))
+    hot = materialize(nodes.groupBy("tag", "top").count().where(F.col("count") > HOT).select("tag", "top"), "hot")
+    crowded = hot.count()
+    every = nodes.select(F.xxhash64("tag", "top", F.lit(0)).alias("node"), "fp", "tag")
+    if crowded:
+        if crowded <= BROADCAST_NODES:
+            hot = F.broadcast(hot)
+        cool = nodes.join(hot, ["tag", "top"], "left_anti").select(F.xxhash64("tag", "top", F.lit(0)).alias("node"), "fp", "tag")
+        # at most `distance` of the other blocks' bits differ, so two members agree on one of 2 * distance parts of them
+        parts = []
+        for i in range(distance + 1):
+            rest = [w for j, w in enumerate(wide) if j != i]
+            fine = [p for s, w in rest for p in blocks_of(w, 2, s)]
+            parts.append(F.when(F.shiftrightunsigned("top", 32) == i + 1, block_key(F.col("fp"), fine)))
+        warm = nodes.join(hot, ["tag", "top"], "left_semi").select("fp", "tag", "top", F.explode(F.coalesce(*parts)).alias("part"))
+        every = cool.unionByName(warm.select(F.xxhash64("tag", "top", "part").alias("node"), "fp", "tag"))
     n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return every.repartition(n, "node").sortWithinPartitions("node").mapInArrow(lambda b: star_edges(b, distance, direct), "u long, v long, tag int")
 
