@@ -181,7 +181,7 @@ def passages_by_join(docs: DataFrame, anchors: DataFrame, recurring: DataFrame,
 
 
 #: Rows that are aggregated at once before the shuffle.
-MERGED_ROWS = 1 << 16
+MERGED_ROWS = 1 << 15
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def locate(distinct: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, last = Shard(window), None
-        for b in steps(batches, "passage", rows=4096):
+        for b in steps(batches, "passage", rows=1024):
             for anchor, key, passage, least, most in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if shard.windows >= SHARD_WINDOWS and anchor != last:
                     if (out := shard.located()) is not None:
