@@ -71,11 +71,11 @@ def steps(batches: Iterable[pa.RecordBatch], sized_by: str, rows: int = STEP_ROW
             yield batch.slice(start)
 
 
-def per_step(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], sized_by: str) -> Callable:
+def per_step(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], sized_by: str, size: int = STEP_BYTES) -> Callable:
     """A ``mapInArrow`` function that applies ``f`` to small parts of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, sized_by):
+        for part in steps(batches, sized_by, size=size):
             if (out := f(part)) is not None and out.num_rows:
                 yield out
 

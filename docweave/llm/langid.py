@@ -34,6 +34,8 @@ ALL_CHARS = 400_000
 LEAST = 1_000
 #: Symbols parsed as a unit.
 CUT = 512
+#: Bytes of text parsed at once; their symbols and states take some twenty times as much.
+STEP = 1 << 20
 #: Languages learned at most: those with most labelled text.
 LANGUAGES = 200
 #: Letters of the shared alphabet that are one symbol each, the commonest; all others are written as ``DIGITS`` of a kind.
@@ -248,4 +250,4 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
     schema = StructType(source.schema.fields[:-1]).add("lang_pred", StringType()).add("score", DoubleType())
-    return source.mapInArrow(per_step(judge, "_judged"), schema).toDF(*names, "lang_pred", "score")
+    return source.mapInArrow(per_step(judge, "_judged", STEP), schema).toDF(*names, "lang_pred", "score")
