@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, decontam, html_extract, langid, packing, pii, quality, simhash, substring_dedup, url_filter
+from docweave.llm import ann, decontam, html_extract, langid, line_dedup, packing, pii, quality, simhash, sort_means, substring_dedup, url_filter, whitening
 from docweave.llm.common import bucket, table
 
 #: Rules of the URL filter, and sites that its list blocks where no rule fits.
@@ -85,7 +85,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket(of=3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_html_extract, op4_substring_dedup, op5_pii, op6_packing, op7_quality, op8_decontamination, op9_nearest, op10_language)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sort_means.cluster(table(spark, sf_dir, "embeddings"), centroids=16, rounds=3, dimensions=64, scale=64, seed=1)
+    whole = (F.col(c).try_cast("long").alias(c) for c in ("distance", "cluster_inertia", "inertia"))
+    text = F.array_join(F.transform("centroid", lambda v: v.cast("string")), ",")
+    return out.select("vec_id", "cluster", *whole, F.sha2(text.cast("binary"), 256).alias("centroid_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_html_extract, op4_substring_dedup, op5_pii, op6_packing, op7_quality, op8_decontamination, op9_nearest, op10_language, op11_whitening, op12_line_dedup, op13_sort_means)}
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
@@ -95,7 +112,41 @@ _LISTED = ", ".join(f"('{site}.example.{tld}', '/')" for site in LISTED_SITES fo
 _CLEAN_HOST = r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')"
 _CLEAN_PATH = "CASE WHEN path = '' THEN '/' ELSE path END"
 
+_FLOOR_MEAN = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+_ROUNDS = "".join(
+    f"""
+a{i} AS MATERIALIZED (SELECT v.rid, arg_min(c.cluster, (c.dist, c.cluster)) AS cluster, min(c.dist) AS distance
+  FROM v JOIN (SELECT e.rid, k.cluster, sum((e.x - k.x) * (e.x - k.x)) AS dist FROM e JOIN c{i} AS k USING (i) GROUP BY ALL) AS c USING (rid) GROUP BY v.rid),"""
+    + (
+        f"""
+c{i + 1} AS MATERIALIZED (SELECT k.cluster, k.i, coalesce(m.x, k.x) AS x FROM c{i} AS k
+  LEFT JOIN (SELECT cluster, i, {_FLOOR_MEAN} AS x FROM e JOIN a{i} USING (rid) GROUP BY cluster, i) AS m USING (cluster, i)),"""
+        if i < 3
+        else ""
+    )
+    for i in range(4)
+)
+
 ORACLE_SQL = {
+    "op12_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+line AS (SELECT rid, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p FROM d),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+least AS (SELECT k, min(doc_id) AS least FROM keyed WHERE length(k) >= 10 GROUP BY k),
+judged AS (SELECT rid, p, line, coalesce(doc_id > least, false) AS gone FROM keyed LEFT JOIN least USING (k)),
+done AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone) AS kept FROM judged GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN done USING (rid)""",
+    "op13_sort_means": f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS MATERIALIZED (SELECT rid, unnest(x) AS x, unnest(range(1, 65)) AS i FROM v),
+first AS (SELECT x, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), x) - 1 AS cluster FROM v QUALIFY cluster < 16),
+c0 AS MATERIALIZED (SELECT cluster, unnest(x) AS x, unnest(range(1, 65)) AS i FROM first),{_ROUNDS}
+named AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY cluster),
+sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, cluster_inertia, CAST((SELECT sum(distance) FROM a3) AS BIGINT) AS inertia, centroid_sha256
+FROM v JOIN a3 USING (rid) JOIN named USING (cluster) JOIN sums USING (cluster)""",
     "op1_url_filter": f"""
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 r(verdict, host, path, rule) AS (VALUES {_RULES}),
