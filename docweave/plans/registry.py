@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.plans import analysis, behavior, compliance, corpus, decisions, elements, fusion, graphs, hybrid, kernels, layout, matrix, numeric, paths, recurrence, retrieval, routing, sources, streams, tables, text  # noqa: F401
+from docweave.plans import analysis, behavior, compliance, corpus, decisions, elements, factors, fusion, graphs, hybrid, kernels, layout, matrix, numeric, paths, recurrence, retrieval, routing, sources, streams, tables, text  # noqa: F401
 from docweave.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
