@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.plans.base import query
+from docweave.sources import office
 from docweave.sources import readers as R
-from docweave.sources.relations import table
+from docweave.sources.relations import ELEMENTS_SQL, elements, table
 
 
 @query("WITH b AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n{2,}'), lambda x: trim(x)), lambda x: x <> '') AS b FROM documents), e AS (SELECT doc_id, unnest(range(0, len(b))) AS i, unnest(b) AS content FROM b) SELECT doc_id, CAST(i AS INTEGER) AS i, CASE WHEN starts_with(content, '#') THEN 'title' WHEN len(list_filter(string_split(content, chr(10)), lambda x: contains(x, '|'))) >= 2 THEN 'table' ELSE 'text' END AS type, sha256(content) AS hash FROM e")
@@ -37,3 +41,58 @@ def vector_store(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, CAST(sum(length(text)) AS BIGINT) AS chars, arg_min(text, turn) AS opening FROM conversations GROUP BY 1")
 def conversation_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.length("text")).alias("chars"), F.min_by("text", "turn").alias("opening"))
+
+
+def packed(rows: DataFrame, kind: str, make: Callable[[object], bytes]) -> DataFrame:
+    """(path, content): an office file for each row (id, body), made where the row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, body in zip(b.column(0).to_pylist(), b.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array([f"{i}.{kind}"]), pa.array([make(body.as_py())], pa.binary())], ["path", "content"])
+
+    return rows.select("id", "body").mapInArrow(run, "path string, content binary")
+
+
+_NUMBER = F.regexp_extract("path", r"^(-?\d+)\.", 1).cast("long")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS n, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+t AS (SELECT doc_id, n, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM l),
+y AS (SELECT *, coalesce(sum(CASE WHEN line = '' THEN 10 ELSE 20 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y0 FROM t)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS seq, CASE WHEN n = 0 THEN 'title' ELSE 'text' END AS type, sha256(line) AS hash, CAST(y0 AS DOUBLE) AS y0 FROM y WHERE line <> ''""")
+def office_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document written as DOCX, a paragraph for each line, and read back."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    files = packed(rows, "docx", lambda text: office.docx([("text" if i else "title", line) for i, line in enumerate(text.split("\n"))]))
+    return office.parsed(files).where("error IS NULL").select(_NUMBER.alias("doc_id"), "seq", "type", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "y0")
+
+
+@query(rf"""WITH {ELEMENTS_SQL}, t AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS line FROM elements)
+SELECT doc_id, page - 1 AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INTEGER) AS seq, CASE WHEN type = 'heading' THEN 'title' ELSE 'text' END AS type, sha256(line) AS hash,
+  round(x0 * 720, 2) AS x0, round(y0 * 540, 2) AS y0, round(x1 * 720, 2) AS x1, round(y1 * 540, 2) AS y1 FROM t WHERE line <> ''""")
+def office_slides(spark: SparkSession, d: str) -> DataFrame:
+    """Every document written as PPTX, a slide for each page and a shape for each element, and read back."""
+    shape = F.struct("seq", "page", "type", "content", "x0", "y0", "x1", "y1")
+    rows = elements(spark, d).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(shape)).alias("body"))
+
+    def slides(shapes: list[dict]) -> bytes:
+        out: list[list] = [[] for _ in range(max(s["page"] for s in shapes))]
+        for s in shapes:
+            out[s["page"] - 1].append(("title" if s["type"] == "heading" else "text", s["content"], s["x0"] * 720, s["y0"] * 540, s["x1"] * 720, s["y1"] * 540))
+        return office.pptx(out)
+
+    read = office.parsed(packed(rows, "pptx", slides)).where("error IS NULL")
+    return read.select(_NUMBER.alias("doc_id"), "page", "seq", "type", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), *(F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query(r"""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice, '| ' || l_linenumber || ' | ' || l_returnflag || ' | ' || CAST(l_extendedprice AS VARCHAR) || ' |' AS line FROM lineitem)
+SELECT l_orderkey AS order_id, 'items' AS name, 20.0 * (1 + count(*)) AS used, sha256('| item | flag | price |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_returnflag, l_extendedprice)) AS hash FROM r GROUP BY 1""")
+def office_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Every order written as XLSX, a row for each of its items, and read back as tables."""
+    item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("price"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("body"))
+    files = packed(rows, "xlsx", lambda items: office.xlsx([("items", [["item", "flag", "price"], *([i["n"], i["flag"], i["price"]] for i in items)])]))
+    read = office.parsed(files).where("error IS NULL")
+    lines = F.size(F.split("text", "\n")) - 1
+    return read.select(_NUMBER.alias("order_id"), "name", (lines * 20.0).alias("used"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
