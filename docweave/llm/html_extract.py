@@ -2,15 +2,18 @@
 
 Pass one scores each page's containers: the text that stands in them outside boilerplate, less what stands in links, and
 notes the best one's generalised path (tags with their classes, digits left out).  Spark adds up these votes for each host.
-Pass two extracts every page from the containers on its host's winning path; a page that has none, or little text there,
-falls back to its own best container.
+Pass two extracts every page from the containers on its host's winning path; a page that has none, or clearly less text there,
+falls back to its own best container.  That is the article or main element with most text, or else the deepest container of the best
+score: it loses no unlinked text.  From there the search goes down into a container inside only if it leaves behind under a tenth of the
+score, all of it in other containers of another kind; text beside a container, as a lead, and sections alike stay together.
 
 Boilerplate inside a container is left out, on three grounds.  *Tags and roles* (navigation, headers, footers, asides, forms,
 scripts, dialogs).  *Names*: a class or id all of whose parts are boilerplate words or words for parts of a page ("sidebar",
 "comment-list", "page-header").  *Hints*: a class or id with such a word among others ("jetpack-related-posts").  A word that a
-modifier leads or follows says nothing ("has-sidebar", "no-comments", "menu-open").  An element that holds an article or main
-element of its own is a wrapper, whatever its name; one judged by a hint, and a form, is also kept if it holds over half of the
-page's text.  Blocks are the runs of text between block-level tags.
+modifier leads or follows says nothing ("has-sidebar", "no-comments", "menu-open"), and of a single paragraph, heading or list item
+only words for adverts and notices count.  An element that holds an article or main element of its own is a wrapper, whatever its
+name; one judged by a hint, and a form, is also kept if it holds over half of the page's text, and one judged by its name if it holds
+over four fifths (readers' comments may well outweigh an article) and no article or main element has text elsewhere.  Blocks are the runs of text between block-level tags.
 
 A page is read once from left to right; the work is linear in its length, however deep or broken its tags are.
 
@@ -54,18 +57,26 @@ MODIFIERS = frozenset("has is no not with without open opened closed hide hidden
 #: Elements that an opening tag of the same kind closes, and those beyond which it doesn't look.
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 SCOPES = CONTAINER | frozenset("ul ol dl table blockquote".split())
+#: Of these names, those that a paragraph of its own may have; elements that hold one paragraph.
+SKIPPED_LINES = frozenset("ad ads adv advert adverts advertisement advertising consent cookie cookies gdpr newsletter notice notices popup promo promos signup sponsor sponsored subscribe".split())
+LINES = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary".split())
 #: Share of a page's best container's text that its host's path must give, or the page's own container is taken.
-ENOUGH = 0.5
+ENOUGH = 0.8
+#: Share of the score that a container inside must have for the search to go on there.
+DESCEND = 0.9
 #: Why an element is boilerplate: surely; unless it holds an article; unless it also holds over half of the text.
 SURE, NAMED, HINTED = 1, 2, 3
+#: Shares of the page's text beyond which an element is a wrapper all the same.
+WRAPS = {NAMED: 0.8, HINTED: 0.5}
 
 
 class Container:
-    __slots__ = ("path", "depth", "first", "last", "chars", "linked")
+    __slots__ = ("path", "depth", "first", "last", "chars", "linked", "inner")
 
     def __init__(self, path: int, depth: int, first: int):
         self.path, self.depth, self.first, self.last = path, depth, first, -1
         self.chars = self.linked = 0
+        self.inner: list[Container] = []
 
     def score(self) -> float:
         """Text less linked text; deeper containers win ties, as those around them hold no more."""
@@ -81,12 +92,12 @@ class Suspect:
         self.why, self.first, self.last, self.holds = why, first, -1, False
 
 
-def judged_name(value: str) -> int:
+def judged_name(value: str, words: frozenset[str] = SKIPPED_NAMES) -> int:
     """What the tokens of a class or id say: NAMED, HINTED or 0."""
     found = 0
     for token in value.lower().split():
         parts = [p for p in NAME_PARTS.split(token) if p]
-        said = [p for p in parts if p in SKIPPED_NAMES]
+        said = [p for p in parts if p in words]
         if said and not any(p in MODIFIERS for p in parts):
             if all(p in SKIPPED_NAMES or p in PLACES for p in parts):
                 return NAMED
@@ -104,7 +115,7 @@ def boilerplate(tag: str, attributes: str) -> int:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            why = judged_name(value)
+            why = judged_name(value, SKIPPED_LINES if tag in LINES else SKIPPED_NAMES)
             # an article is one unless it is a comment or an advert by its whole name
             found = min(found or why, why or found) if tag != "article" or why == NAMED else found
         elif name == "role":
@@ -146,6 +157,7 @@ class Page:
         places: dict[str, list[int]] = {}  # where each tag is open
         scopes: list[int] = []  # where tags are open beyond which none is closed by an opening tag
         path, skipping, link_from = [0], 0, -1  # the depth of a link that is open
+        within = [self.containers[0]]
         at = 0
         doubtful: list[Suspect] = []  # open suspects that hold no article yet
 
@@ -179,6 +191,7 @@ class Page:
                 if container:
                     container.last = len(blocks)
                     path.pop()
+                    within.pop()
                 if suspect:
                     suspect.last = len(blocks)
                     if doubtful and doubtful[-1] is suspect:
@@ -252,6 +265,8 @@ class Page:
                 path.append(self.numbers[step])
                 container = Container(path[-1], len(open_tags) + 1, len(blocks))
                 self.containers.append(container)
+                within[-1].inner.append(container)
+                within.append(container)
             if tag in SCOPES:
                 scopes.append(len(open_tags))
             skipping += skips
@@ -276,23 +291,38 @@ class Page:
             return [0, *accumulate(x if k else 0 for k, x in zip(kept, of))]
 
         sizes = [len(b) for b in self.blocks]
-        named = [s for s in self.suspects if s.why == NAMED and not s.holds]
-        self.kept = without(named)
-        hinted = [s for s in self.suspects if s.why == HINTED and not s.holds]
-        if hinted:
-            held = sums(self.kept, sizes)
-            self.kept = without(named + [s for s in hinted if 2 * (held[s.last] - held[s.first]) <= held[n]])
+        self.kept = [True] * n
+        taken: list[Suspect] = []
+        for why in (NAMED, HINTED):
+            held, of_kind = sums(self.kept, sizes), [s for s in self.suspects if s.why == why and not s.holds]
+            wraps = WRAPS[why]
+            if why == NAMED and of_kind:  # where an article stands elsewhere, nothing named wraps it
+                left = sums(without(of_kind), sizes)
+                if any(left[c.last] > left[c.first] for c in self.containers if self.is_article(c)):
+                    wraps = 1.0
+            taken += [s for s in of_kind if held[s.last] - held[s.first] <= wraps * held[n]]
+            self.kept = without(taken)
         chars, linked = sums(self.kept, sizes), sums(self.kept, self.linked)
         for c in self.containers:
             c.chars, c.linked = chars[c.last] - chars[c.first], linked[c.last] - linked[c.first]
 
+    def is_article(self, c: Container) -> bool:
+        return self.paths[c.path][1].partition(".")[0] in ("article", "main")
+
     def best(self) -> Container:
-        """The container that keeps most of the text while holding the least else: the deepest with over 60 % of the top score."""
-        top = max(c.score() for c in self.containers)
-        named = [c for c in self.containers if c.chars and self.paths[c.path][1].partition(".")[0] in ("article", "main") and c.score() >= 0.3 * top]
+        """The container of the article: by its tag, or the smallest that loses no unlinked text but odd small neighbours."""
+        top = max(self.containers, key=Container.score)
+        named = [c for c in self.containers if c.chars and self.is_article(c) and c.score() >= 0.3 * top.score()]
         if named:
             return max(named, key=lambda c: (c.score(), -c.depth))
-        return max((c for c in self.containers if c.score() >= 0.6 * top), key=lambda c: (c.depth, c.score()))
+        now = top
+        while now.inner:
+            down = max(now.inner, key=Container.score)
+            beside = now.chars - now.linked - sum(c.chars - c.linked for c in now.inner)
+            if beside > 0 or down.score() < DESCEND * top.score() or any(c.path == down.path and c.chars for c in now.inner if c is not down):
+                break
+            now = down
+        return now
 
     def path(self, number: int) -> str:
         steps = []

@@ -202,6 +202,12 @@ def test_extraction(page, want):
         ("<article><p>kept</p><div class='jetpack-related-posts'><p>no</p></div><div hidden>no</div><p role='alert'>no</p></article>", "kept"),
         ("<article><p>one <a href=x>two</p><p>three</p></article>", "one two\n\nthree"),
         ("<div><b><div>a</b></div>b</div>", "a\n\nb"),
+        (f"<div id=content><h1>T</h1><p>{'lead ' * 64}</p><div class=rest><p>{'rest ' * 144}</p></div></div>", f"T\n\n{('lead ' * 64).strip()}\n\n{('rest ' * 144).strip()}"),
+        (f"<div id=content><section><p>{'one ' * 90}</p></section><section><p>{'two ' * 9}</p></section></div>", f"{('one ' * 90).strip()}\n\n{('two ' * 9).strip()}"),
+        *((f"<body><div {name}><p>all of the page</p></div></body>", "all of the page") for name in ("class='social-content'", "id=newsletter", "class=widget", "class='post comment'")),
+        ("<div class=widget><div class=sidebar><p>no</p></div><p>all of the page but what is beside it</p></div>", "all of the page but what is beside it"),
+        ("<article><p>one</p><p class=related>two</p><h2 class='section-header'>three</h2><p class=advert>no</p><li class=share>four</li></article>", "one\n\ntwo\n\nthree\n\nfour"),
+        (f"<body><div class=story><p>{'short story ' * 9}</p></div><div class=comments><p>{'long comments ' * 20}</p></div></body>", ("short story " * 9).strip()),
     ],
 )
 def test_wrappers_and_odd_markup(page, want):
@@ -282,6 +288,31 @@ def test_extraction_agrees_with_an_independent_parser(spark):
     assert {by[i].host_path for i, _, _ in rows} == {">body>div.layout.with-sidebar>article", ">body>main", ">body>div.s.story", ">body>td.text"} or len({by[i].host_path for i, _, _ in rows}) == 4
 
 
+def test_articles_without_their_tag_agree_with_an_independent_parser(spark):
+    """Leads, sections side by side and odd class names; nothing but what is marked is lost."""
+    rng = random.Random(77)
+    names = ["story", "x12", "mod-a b", "rest", "main-col", "no-sidebar", "entry"]
+    text = lambda n: " ".join(rng.choice(["rain", "caf&eacute;", "stone", "<b>bold</b>", "river", "<i>it</i>al"]) for _ in range(n))
+    drop = lambda: rng.choice([f"<nav data-drop>{text(4)}</nav>", f"<div data-drop class='sidebar'><p>{text(5)}</p></div>", f"<footer data-drop>{text(4)}</footer>", f"<div data-drop id='ad-box'>{text(3)}</div>", "<script data-drop>x</script>", ""])
+    part = lambda: "".join(f"<p{rng.choice(['', ' class=related', ' class=lead', ' id=social'])}>{text(rng.randint(3, 60))}</p>" for _ in range(rng.randint(1, 4)))
+
+    def content(depth):
+        kind = rng.choice(["lead", "sections", "plain"] if depth else ["plain"])
+        if kind == "plain":
+            return part()
+        if kind == "lead":
+            return f"<h1>{text(3)}</h1>{part()}<div class='{rng.choice(names)}'>{content(depth - 1)}</div>{drop()}"
+        return "".join(f"<section class='s{i}'>{part()}</section>" for i in range(rng.randint(2, 4)))
+
+    made = []
+    for host in range(60):
+        outer = rng.choice([*names, "social-content", "post-share-content", "promo-story"])
+        made += [(host, f"<body>{drop()}<div class='{outer}' data-keep>{content(2)}</div>{drop()}</body>") for _ in range(rng.choice([1, 1, 3]))]
+    pages = spark.createDataFrame([(i, f"http://h{host}.example/{i}", page) for i, (host, page) in enumerate(made)], "page_id long, url string, html string")
+    for r in html_extract.extract_main_text(pages, ["page_id"]).collect():
+        assert r.text == "\n\n".join(Marked(made[r.page_id][1]).blocks), made[r.page_id][1]
+
+
 def test_hosts_agree_on_a_path(spark):
     body = lambda i: f"<body><div class='story'><p>{'Words of the story. ' * 8}{i}</p></div><div class='extra'><p>{'Other words. ' * (30 if i == 0 else 1)}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", body(i), "z") for i in range(6)] + [(6, None, None, "z"), (7, "http://other.example/", "<p>alone</p>", "z"), (7, "http://other.example/", "<p>alone</p>", "z")]
