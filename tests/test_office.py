@@ -67,7 +67,7 @@ def test_data_source(spark, folder):
 
 def test_rows_of_any_store_read_the_same(spark, folder):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!~]*.{docx,pptx,xlsx}").load(str(folder))
-    assert held(O.parsed(files)) == (WANT, ERRORS)
+    assert held(O.parsed(files)) == (WANT, {k: v for k, v in ERRORS.items() if k != "none.pptx"})  # Spark leaves empty files out
     odd = spark.createDataFrame([("x.docx", None, 1), (None, bytearray(b"x"), 2), ("y.txt", bytearray(b"x"), 3)], "path string, content binary, page int")
     assert sorted((r.path, r.error.split(":")[0]) for r in O.parsed(odd).collect()) == [("", "ValueError"), ("x.docx", "BadZipFile"), ("y.txt", "ValueError")]
     assert O.parsed(odd.limit(0)).count() == 0
