@@ -13,7 +13,8 @@ scripts, dialogs).  *Names*: a class or id all of whose parts are boilerplate wo
 modifier leads or follows says nothing ("has-sidebar", "no-comments", "menu-open"), and of a single paragraph, heading or list item
 only words for adverts and notices count.  An element that holds an article or main element of its own is a wrapper, whatever its
 name; one judged by a hint, and a form, is also kept if it holds over half of the page's text, and one judged by its name if it holds
-over four fifths (readers' comments may well outweigh an article) and no article or main element has text elsewhere.  Blocks are the runs of text between block-level tags.
+over four fifths (readers' comments may well outweigh an article) and no article or main element has text elsewhere; of a page that would lose all of
+its text the largest one stays.  Blocks are the runs of text between block-level tags.
 
 A page is read once from left to right; the work is linear in its length, however deep or broken its tags are.
 
@@ -300,8 +301,12 @@ class Page:
                 left = sums(without(of_kind), sizes)
                 if any(left[c.last] > left[c.first] for c in self.containers if self.is_article(c)):
                     wraps = 1.0
-            taken += [s for s in of_kind if held[s.last] - held[s.first] <= wraps * held[n]]
-            self.kept = without(taken)
+            gone = [s for s in of_kind if held[s.last] - held[s.first] <= wraps * held[n]]
+            self.kept = without(taken + gone)
+            if gone and held[n] and not any(self.kept):  # all of the page is in them: the largest is what it is about
+                gone.remove(max(gone, key=lambda s: held[s.last] - held[s.first]))
+                self.kept = without(taken + gone)
+            taken += gone
         chars, linked = sums(self.kept, sizes), sums(self.kept, self.linked)
         for c in self.containers:
             c.chars, c.linked = chars[c.last] - chars[c.first], linked[c.last] - linked[c.first]
