@@ -7,13 +7,14 @@ A word goes if it lies in a window (``window`` consecutive words) that also star
 2. Passages.  Windows whose anchor recurs form passages of up to ``PASSAGE`` windows.  While a filter of all recurring
    anchors has at most ``MAX_FILTER_KEYS`` keys, it goes to the texts (false hits do no harm: windows are compared later);
    beyond, anchors are joined and texts shuffled to them.
-3. Confirmation.  Equal passages are counted once.  All passages of an anchor meet in one shard, which finds the windows of two
-   documents, with the smallest id: runs of them are the recurring passages.
-4. Automata.  A shard compiles its recurring passages into an Aho-Corasick automaton over word numbers, by seeds of ``window // 2``
-   words that every window holds, and streams the text of all documents that hold its anchors through it; windows about a seed
-   are compared word by word.  A document's text meets the automata of just those anchors that it holds, so the work grows
-   with the input and not with input times shards.  An anchor of over ``HOT`` different passages is cut into single windows,
-   which are spread over the shards by their words, so no anchor, however common, meets in one task.
+3. Confirmation.  Equal passages are counted once.  All passages of an anchor meet in one shard, which finds the windows that stand
+   in two documents, with the smallest id: these are the recurring passages.
+4. Automata.  A shard compiles its recurring passages, window by window, into an Aho-Corasick automaton over word numbers, and streams
+   through it the text about its anchors of all documents; offsets and smallest ids are what the automaton reports.  A window can only
+   recur in text about a recurring anchor, so all other text needs no automaton, equal stretches of text are streamed once, and a
+   stretch meets the automata of just those anchors that it holds: the work grows with the input and not with input times
+   shards.  An anchor of over ``HOT`` different passages is cut into single windows, which are spread over the shards by their words, so
+   no anchor, however common, meets in one task.
 5. Removal.  Occurrences with a smaller first document return to their texts; texts that lose nothing are not shuffled
    while a filter of those that do is small enough.
 
@@ -215,7 +216,7 @@ class Shard:
     """
 
     def __init__(self, window: int):
-        self.window, self.seed, self.numbers = window, max(1, window // 2), {}
+        self.window, self.numbers = window, {}
         self.line: list[int] = []
         self.rows: list[tuple[int, int, int, int, int]] = []  # anchor, key, windows, least, most
         self.windows = 0
@@ -228,65 +229,49 @@ class Shard:
         self.rows.append((anchor, key, n, least, most))
         self.windows += n
 
-    def confirmed(self, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window a number that equal windows share, and for each number the smallest id, -1 where one document has it."""
+    def recurring(self, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where one of each sort of equal windows that two documents hold starts, and the smallest id of each sort."""
         n = np.array([r[2] for r in self.rows])
         least, most = (np.repeat(np.array([r[i] for r in self.rows], dtype=np.int64), n) for i in (3, 4))
         for salt in range(1, 100):
             hashes = np.zeros(len(starts), np.uint64)
             for k in range(self.window):
                 hashes += line[starts + k].astype(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15 + 2 * salt, k + 1, 1 << 64))
-            order = np.argsort(mixed(hashes), kind="stable")
-            sorted_hashes = hashes[order]
-            new = np.concatenate(([True], sorted_hashes[1:] != sorted_hashes[:-1]))
+            order = np.argsort(hashes, kind="stable")
+            new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
             first = np.flatnonzero(new)
-            numbers = np.empty(len(starts), np.int64)
-            numbers[order] = np.cumsum(new) - 1
-            lead = starts[order][first][numbers]
-            if all((line[starts + k] == line[lead + k]).all() for k in range(self.window)):
+            one = starts[order][first]
+            lead = np.repeat(one, np.diff(np.concatenate((first, [len(starts)]))))
+            if all((line[starts[order] + k] == line[lead + k]).all() for k in range(self.window)):
                 least, most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
-                return numbers, np.where(least < most, least, np.iinfo(np.int64).min)
+                return one[least < most], least[least < most]
         raise ValueError("no base tells the windows apart")
 
-    def automaton(self, line: np.ndarray, starts: np.ndarray) -> ahocorasick.Automaton:
-        """Of the recurring passages: runs of the confirmed windows that start at ``starts``."""
-        cut = np.flatnonzero(np.diff(starts) != 1) + 1
-        first, n = starts[np.concatenate(([0], cut))], np.diff(np.concatenate(([0], cut, [len(starts)])))
-        # a window holds the seeds that start at its first ``step`` words: one at the last of each ``step`` windows lies in all
-        step = self.window - self.seed + 1
-        seeds = -(-n // step)
-        nth = np.arange(seeds.sum()) - np.repeat(np.cumsum(seeds) - seeds, seeds)
-        at = np.repeat(first, seeds) + np.minimum(step * nth + step - 1, np.repeat(n, seeds) - 1)
-        patterns = line[at[:, None] + np.arange(self.seed)]
-        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for seed in set(map(tuple, patterns.tolist())):
-            machine.add_word(seed)
+    def automaton(self, line: np.ndarray, windows: np.ndarray, least: np.ndarray) -> ahocorasick.Automaton:
+        """Of the recurring passages, window by window: a match tells where one ends and the smallest id that holds it."""
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for words, i in zip(map(tuple, line[windows[:, None] + np.arange(self.window)].tolist()), least.tolist()):
+            machine.add_word(words, i)
         machine.make_automaton()
         return machine
 
     def located(self) -> pa.RecordBatch | None:
-        """(anchor, key, firsts) of passages with confirmed windows: each window's smallest id, null where one document has it."""
-        w, s = self.window, self.seed
+        """(anchor, key, firsts) of passages in which the automaton finds occurrences: each window's smallest id, or null."""
+        w = self.window
         line = np.array(self.line, dtype=np.int64)
         n = np.array([r[2] for r in self.rows])
         begin = np.cumsum(n + w) - (n + w)  # of each passage in the line
         before = np.cumsum(n) - n  # windows of the passages before it
         starts = np.repeat(begin - before, n) + np.arange(n.sum())
-        numbers, least = self.confirmed(line, starts)
-        none = np.iinfo(np.int64).min
-        recurring = starts[least[numbers] != none]
-        if not len(recurring):
+        windows, least = self.recurring(line, starts)
+        if not len(windows):
             return None
-        near = np.array([end for end, _ in self.automaton(line, recurring).iter(tuple(self.line))], dtype=np.int64) - s + 1
-        change = np.zeros(len(line) + w + 1, np.int64)
-        np.add.at(change, np.maximum(near - (w - s), 0), 1)
-        np.add.at(change, near + 1, -1)
-        about_seeds = np.cumsum(change)[starts] > 0
-        found = np.where(about_seeds, least[numbers], none)
-        some = np.add.reduceat(found != none, before) > 0
-        rows = np.flatnonzero(some)
-        values = found[np.repeat(some, n)]
-        firsts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[rows]))), pa.int32()), pa.array(values, pa.int64(), mask=values == none))
+        first, found = np.zeros(len(line), np.int64), np.zeros(len(line), bool)
+        for end, i in self.automaton(line, windows, least).iter(tuple(self.line)):
+            first[end - w + 1], found[end - w + 1] = i, True
+        some = np.add.reduceat(found[starts], before) > 0
+        rows, held = np.flatnonzero(some), starts[np.repeat(some, n)]
+        firsts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[rows]))), pa.int32()), pa.array(first[held], pa.int64(), mask=~found[held]))
         return pa.RecordBatch.from_arrays([pa.array([self.rows[i][0] for i in rows], pa.int64()), pa.array([self.rows[i][1] for i in rows], pa.int64()), firsts], ["anchor", "key", "firsts"])
 
 

@@ -368,11 +368,22 @@ def test_shards_locate_recurring_passages_by_their_automata(monkeypatch):
         out = shard.located()
         got = dict(zip(out.column("key").to_pylist(), out.column("firsts").to_pylist())) if out else {}
         assert got == {k: v for k, v in want.items() if any(x is not None for x in v)}
-    # nothing is located without them
-    monkeypatch.setattr(substring_dedup.Shard, "automaton", lambda *_: type("Blind", (), {"iter": lambda self, line: iter(())})())
-    shard = substring_dedup.Shard(2)
-    shard.add(1, 1, "a b c", 0, 1)
-    assert not shard.located().num_rows
+    # what they report is what is located, nothing else
+    reports = {"nothing": lambda line: iter(()), "one place": lambda line: iter([(2, 8)]), "every place": lambda line: ((i, 5) for i in range(1, len(line)))}
+    want = {"nothing": [], "one place": [[None, 8]], "every place": [[5, 5]]}
+    for name, report in reports.items():
+        monkeypatch.setattr(substring_dedup.Shard, "automaton", lambda *_: type("Told", (), {"iter": lambda self, line: report(line)})())
+        shard = substring_dedup.Shard(2)
+        shard.add(1, 1, "a b c", 0, 1)
+        assert shard.located().column("firsts").to_pylist() == want[name]
+    monkeypatch.undo()
+    # documents' text meets them apart from the windows they were compiled of
+    shard = substring_dedup.Shard(3)
+    shard.add(1, 1, "a b c d", 4, 9)
+    line = np.array(shard.line)
+    machine = shard.automaton(line, np.array([0, 1]), np.array([4, 4]))
+    stream = [shard.numbers.get(w, 0) for w in "x a b c y b c d a b c d".split()]
+    assert list(machine.iter(tuple(stream))) == [(3, 4), (7, 4), (10, 4), (11, 4)]
 
 
 def test_a_common_phrase_does_not_meet_in_one_task(spark):
