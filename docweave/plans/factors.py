@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import factors as X
+from docweave.operators import spectral as S
+from docweave.operators import tensor_factors as T
 from docweave.plans.base import query
 from docweave.sources.relations import table
 
@@ -52,3 +54,35 @@ def vector_projections(spark: SparkSession, d: str) -> DataFrame:
     each = found.left.select(F.col("id").alias("vec_id"), F.posexplode("v").alias("at", "x"))
     sizes = F.array(*(F.lit(float(s)) for s in found.values)) if len(found.values) else F.array(F.lit(0.0))
     return each.select("vec_id", (F.col("at") + 1).alias("component"), (F.col("x") * sizes[F.col("at")]).alias("score"))
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a tensor of user, type and hour of the day."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("kind"), F.hour("ts").cast("string").alias("hour"), F.lit(1.0).alias("value"))
+
+
+_MODES = ["user", "kind", "hour"]
+
+
+@query()
+def activity_components(spark: SparkSession, d: str) -> DataFrame:
+    """(mode, id, component, loading): three rank-one parts of the events' tensor without negative entries."""
+    found = T.cp(activity(spark, d), _MODES, 3, rounds=10, tolerance=1e-4)
+    each = [f.select(F.lit(m).alias("mode"), "id", F.posexplode("v").alias("component", "loading")) for m, f in zip(_MODES, found.factors)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query()
+def activity_core(spark: SparkSession, d: str) -> DataFrame:
+    """(i, j, k, value) of the core of ranks 3, 2, 2 of the events' tensor; signs are free."""
+    core = T.tucker(activity(spark, d), _MODES, [3, 2, 2], rounds=6, tolerance=1e-6).core
+    return spark.createDataFrame([(*map(int, at), float(v)) for at, v in np.ndenumerate(core)], "i int, j int, k int, value double")
+
+
+@query()
+def market_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """(node, cluster): customers and parts' brands that trade with one another, in four clusters."""
+    orders, lines, parts = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
+    sold = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
+    edges = sold.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("b"), "p_brand").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    return S.spectral_clusters(edges, 4, rounds=15, tolerance=1e-5)

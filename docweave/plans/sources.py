@@ -54,7 +54,7 @@ def packed(rows: DataFrame, kind: str, make: Callable[[object], bytes]) -> DataF
     return rows.select("id", "body").mapInArrow(run, "path string, content binary")
 
 
-_NUMBER = F.regexp_extract("path", r"^(-?\d+)\.", 1).cast("long")
+_NUMBER = F.regexp_extract("path", r"^(-?\d+)\.", 1).try_cast("long")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS n, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
