@@ -36,7 +36,7 @@ def linear_trend(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     slope, r2 = F.regr_slope(y, x), F.regr_r2(y, x)
     rest = F.regr_syy(y, x) - slope * F.regr_sxy(y, x)
     n = F.regr_count(y, x)
-    agg = df.groupBy(*by).agg(slope.alias("slope"), F.regr_intercept(y, x).alias("intercept"), r2.alias("r2"), F.sqrt(F.greatest(rest, F.lit(0.0)) / (n - 2) / F.regr_sxx(y, x)).alias("slope_error"))
+    agg = df.groupBy(*by).agg(slope.alias("slope"), F.regr_intercept(y, x).alias("intercept"), r2.alias("r2"), F.sqrt(F.try_divide(F.try_divide(F.greatest(rest, F.lit(0.0)), n - 2), F.regr_sxx(y, x))).alias("slope_error"))
     return agg.withColumn("direction", F.when(F.col("slope") > 1e-5, "up").when(F.col("slope") < -1e-5, "down").otherwise("flat"))
 
 
@@ -45,9 +45,9 @@ def two_sample(df: DataFrame, variant: str, value: str, control: str) -> DataFra
     m = df.groupBy(variant).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
     c = m.where(F.col(variant) == control).select(F.col("n").alias("n0"), F.col("mean").alias("mean0"), F.col("var").alias("var0"))
     both = m.where(F.col(variant) != control).join(F.broadcast(c))  # the control is one row
-    pooled = ((F.col("n") - 1) * F.col("var") + (F.col("n0") - 1) * F.col("var0")) / (F.col("n") + F.col("n0") - 2)
-    t = (F.col("mean") - F.col("mean0")) / F.sqrt(pooled * (1 / F.col("n") + 1 / F.col("n0")))
-    return both.select(variant, "n", "mean", t.alias("t"), ((F.col("mean") - F.col("mean0")) / F.col("mean0")).alias("lift"))
+    pooled = F.try_divide((F.col("n") - 1) * F.col("var") + (F.col("n0") - 1) * F.col("var0"), F.col("n") + F.col("n0") - 2)
+    t = F.try_divide(F.col("mean") - F.col("mean0"), F.sqrt(pooled * (F.try_divide(F.lit(1), F.col("n")) + F.try_divide(F.lit(1), F.col("n0")))))
+    return both.select(variant, "n", "mean", t.alias("t"), F.try_divide(F.col("mean") - F.col("mean0"), F.col("mean0")).alias("lift"))
 
 
 def arm_statistics(df: DataFrame, arm: str, reward: str) -> DataFrame:

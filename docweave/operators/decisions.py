@@ -21,7 +21,7 @@ def moments(df: DataFrame, by: list[str], value: Column) -> DataFrame:
 def one_sample(m: DataFrame, expected: float, known_sd: float) -> DataFrame:
     """Student's t against an expected mean, z with a known deviation, and Cohen's d, from moments."""
     away, root = F.col("mean") - expected, F.sqrt("n")
-    return m.withColumns({"t": away / (F.col("sd") / root), "z": away / (known_sd / root), "d": away / F.col("sd"), "df": F.col("n") - 1})
+    return m.withColumns({"t": F.try_divide(away, F.try_divide(F.col("sd"), root)), "z": F.try_divide(away, F.try_divide(F.lit(known_sd), root)), "d": F.try_divide(away, F.col("sd")), "df": F.col("n") - 1})
 
 
 def bootstrap(df: DataFrame, by: str, key: str, value: str, resamples: int) -> DataFrame:

@@ -53,10 +53,10 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, weighted: boo
     every = nodes(edges)
     n = every.count()
     if seeds is None:
-        start = every.withColumn("s", F.lit(1.0 / n))
+        start = every.withColumn("s", F.lit(1.0 / max(1, n)))
     else:
         k = seeds.count()
-        start = every.join(seeds.select("node", F.lit(1.0 / k).alias("s")), "node", "left").select("node", F.coalesce("s", F.lit(0.0)).alias("s"))
+        start = every.join(seeds.select("node", F.lit(1.0 / max(1, k)).alias("s")), "node", "left").select("node", F.coalesce("s", F.lit(0.0)).alias("s"))
     start = written(start.join(share.select(F.col("src").alias("node"), F.lit(True).alias("has")).distinct(), "node", "left").select("node", "s", F.coalesce("has", F.lit(False)).alias("has")), "nodes")
     rank = start.select("node", F.col("s").alias("rank"))
     for i in range(rounds):

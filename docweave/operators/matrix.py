@@ -107,6 +107,8 @@ def markdown_tables(docs: DataFrame, text: str = "text") -> DataFrame:
 def signature_search(pages: DataFrame, doc_id: int, page: int, k: int) -> DataFrame:
     """(doc_id, page, cosine, hamming): the k pages whose signatures are nearest to one page's, and how many bits their hashes differ in."""
     row = pages.where((F.col("doc_id") == doc_id) & (F.col("page") == page)).select("signature", "content_hash").first()
+    if row is None:
+        return pages.select("doc_id", "page", F.lit(0.0).alias("cosine"), F.lit(0).alias("hamming")).limit(0)
     q = F.array(*(F.lit(float(x)) for x in row.signature))
     other = pages.where(~((F.col("doc_id") == doc_id) & (F.col("page") == page)))
     bits = F.bit_count(F.conv(F.substring("content_hash", 1, 8), 16, 10).cast("long").bitwiseXOR(F.lit(int(row.content_hash[:8], 16)))) + F.bit_count(F.conv(F.substring("content_hash", 9, 8), 16, 10).cast("long").bitwiseXOR(F.lit(int(row.content_hash[8:], 16))))

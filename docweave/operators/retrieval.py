@@ -68,7 +68,8 @@ def dense(vectors: DataFrame, query: list[float], measure: str = "cosine", key:
 
 def vector_of(vectors: DataFrame, key: str, vector: str, of: int | None = None) -> list[float]:
     """One stored vector: that of an id, or of the smallest."""
-    row = vectors.where(F.col(key) == of).select(vector).first() if of is not None else vectors.orderBy(key).select(vector).first()
+    whole = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    row = whole.where(F.col(key) == of).select(vector).first() if of is not None else whole.orderBy(key).select(vector).first()
     return [float(x) for x in row[0]] if row else []
 
 

@@ -93,7 +93,7 @@ _SETS = "t AS (SELECT label, list(vec_id) FILTER (vec_id % 3 = 0) AS f, list(vec
 def precision_recall(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").groupBy("label").agg(F.collect_set(F.when(F.col("vec_id") % 3 == 0, F.col("vec_id"))).alias("f"), F.collect_set(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id"))).alias("e"))
     s = e.select("label", *(c.alias(k) for k, c in C.set_scores(F.col("f"), F.col("e")).items()))
-    return s.withColumn("precision", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6)).withColumn("recall", F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6))
+    return s.withColumn("precision", F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), 6)).withColumn("recall", F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), 6))
 
 
 _CONF = "n AS (SELECT quality AS t, toxic AS p, count(*) AS n FROM labels GROUP BY 1, 2), c AS (SELECT class, sum(s) AS support, sum(d) AS said, sum(tp) AS tp FROM (SELECT t AS class, n AS s, 0 AS d, CASE WHEN t = p THEN n ELSE 0 END AS tp FROM n UNION ALL SELECT p, 0, n, 0 FROM n) GROUP BY 1)"

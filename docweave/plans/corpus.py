@@ -25,7 +25,7 @@ def corpus_health(spark: SparkSession, d: str) -> DataFrame:
     click = F.col("event_type") == "click"
     v = table(spark, d, "events").agg(F.round(F.count_if(click) / F.greatest(F.lit(1), F.count_if(F.col("event_type") == "view")), 6).alias("ctr"), F.round(F.avg(F.when(click, 1 / (1 + F.col("event_id") % 10))), 6).alias("mrr"))
     one_row = docs.crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(ends).crossJoin(v)  # four one-row aggregates
-    return one_row.select("documents", "mean_chars", "empty", "edges", F.round(F.col("edges") / F.col("n") / (F.col("n") - 1), 9).alias("density"), "ctr", "mrr")
+    return one_row.select("documents", "mean_chars", "empty", "edges", F.round(F.try_divide(F.try_divide("edges", "n"), F.col("n") - 1), 9).alias("density"), "ctr", "mrr")
 
 
 @query(f"SELECT type, count(*) AS mentions, count(DISTINCT entity) AS entities, count(DISTINCT doc_id) AS documents FROM ({_ENTITIES}) GROUP BY 1")

@@ -25,7 +25,7 @@ def paired_tests(spark: SparkSession, d: str) -> DataFrame:
     diff = F.col("l_extendedprice") * (1 - F.col("l_discount")) - F.col("l_extendedprice") / (1 + F.col("l_tax"))
     m = D.moments(table(spark, d, "lineitem").withColumn("flag", F.col("l_returnflag")), ["flag"], diff)
     half = 1.96 * F.col("sd") / F.sqrt("n")
-    return rounded(m.withColumns({"t": F.col("mean") / (F.col("sd") / F.sqrt("n")), "low": F.col("mean") - half, "high": F.col("mean") + half, "df": F.col("n") - 1}))
+    return rounded(m.withColumns({"t": F.try_divide(F.col("mean"), F.try_divide(F.col("sd"), F.sqrt("n"))), "low": F.col("mean") - half, "high": F.col("mean") + half, "df": F.col("n") - 1}))
 
 
 _U = "CAST(('0x' || substr(md5(c_custkey || ':' || b), 1, 8)) AS BIGINT) / 4294967296.0"

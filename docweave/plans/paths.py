@@ -98,4 +98,4 @@ def graph_statistics(spark: SparkSession, d: str) -> DataFrame:
     deg = ends.agg(F.count("*").alias("nodes"), F.avg("n").alias("mean"), F.max("n").alias("most_degree"))
     parts = G.components(edges(spark, d)).agg(F.count_distinct("component").alias("components"))
     one_row = deg.crossJoin(e.agg(F.count("*").alias("edges"))).crossJoin(parts)  # three one-row aggregates
-    return one_row.select("nodes", "edges", F.round(F.col("edges") / F.col("nodes") / (F.col("nodes") - 1), 9).alias("density"), "components", F.round("mean", 6).alias("mean_degree"), "most_degree", (F.col("components") == 1).alias("connected"))
+    return one_row.select("nodes", "edges", F.round(F.try_divide(F.try_divide("edges", "nodes"), F.col("nodes") - 1), 9).alias("density"), "components", F.round("mean", 6).alias("mean_degree"), "most_degree", (F.col("components") == 1).alias("connected"))

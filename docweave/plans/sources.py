@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.plans.base import query
@@ -54,7 +54,9 @@ def packed(rows: DataFrame, kind: str, make: Callable[[object], bytes]) -> DataF
     return rows.select("id", "body").mapInArrow(run, "path string, content binary")
 
 
-_NUMBER = F.regexp_extract("path", r"^(-?\d+)\.", 1).try_cast("long")
+def number() -> Column:
+    """The id that a file is named by; null for none."""
+    return F.regexp_extract("path", r"^(-?\d+)\.", 1).try_cast("long")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS n, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
@@ -65,7 +67,7 @@ def office_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Every document written as DOCX, a paragraph for each line, and read back."""
     rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
     files = packed(rows, "docx", lambda text: office.docx([("text" if i else "title", line) for i, line in enumerate(text.split("\n"))]))
-    return office.parsed(files).where("error IS NULL").select(_NUMBER.alias("doc_id"), "seq", "type", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "y0")
+    return office.parsed(files).where("error IS NULL").select(number().alias("doc_id"), "seq", "type", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "y0")
 
 
 @query(rf"""WITH {ELEMENTS_SQL}, t AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS line FROM elements)
@@ -83,7 +85,7 @@ def office_slides(spark: SparkSession, d: str) -> DataFrame:
         return office.pptx(out)
 
     read = office.parsed(packed(rows, "pptx", slides)).where("error IS NULL")
-    return read.select(_NUMBER.alias("doc_id"), "page", "seq", "type", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), *(F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return read.select(number().alias("doc_id"), "page", "seq", "type", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), *(F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 @query(r"""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice, '| ' || l_linenumber || ' | ' || l_returnflag || ' | ' || CAST(l_extendedprice AS VARCHAR) || ' |' AS line FROM lineitem)
@@ -95,4 +97,4 @@ def office_sheets(spark: SparkSession, d: str) -> DataFrame:
     files = packed(rows, "xlsx", lambda items: office.xlsx([("items", [["item", "flag", "price"], *([i["n"], i["flag"], i["price"]] for i in items)])]))
     read = office.parsed(files).where("error IS NULL")
     lines = F.size(F.split("text", "\n")) - 1
-    return read.select(_NUMBER.alias("order_id"), "name", (lines * 20.0).alias("used"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return read.select(number().alias("order_id"), "name", (lines * 20.0).alias("used"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
