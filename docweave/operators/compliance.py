@@ -151,7 +151,7 @@ def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
 
 
 def page_references(question: Column) -> Column:
-    """Pages that a question names ("page 3", "pages 1, 2 and 4", "p.5", "pg. 7"), sorted; null if none."""
+    """Pages that a question names, singly or in lists, sorted; null if none."""
     lists = F.regexp_extract_all(question, F.lit(r"(?i)\b(pages?\s+\d+(?:\s*[,&and]+\s*\d+)*|pg\.?\s*\d+|p\.\d+)"), F.lit(1))
     found = F.array_sort(F.array_distinct(F.flatten(F.transform(lists, lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)), lambda n: n.cast("int"))))))
     return F.when(F.size(found) > 0, found)

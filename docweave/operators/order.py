@@ -101,7 +101,7 @@ def topological_order(nodes: DataFrame, edges: DataFrame, group: list[str], node
                 rank = {n["node"]: tuple(n[f"p{i}"] for i in range(len(priority))) for n in r["nodes"]}
                 pairs = list(zip(r["src"], r["dst"])) if r["src"] is not None else []
                 order = kahn(list(rank), rank, pairs)
-                yield pd.DataFrame({**{g: [r[g]] * len(order) for g in group}, node: order, "position": range(1, len(order) + 1)})
+                yield pd.DataFrame({**{g: [r[g]] * len(order) for g in group}, node: order, "position": range(1, len(order) + 1)}, dtype=object)
 
     same = reduce(lambda a, b: a & b, (held[g].eqNullSafe(ends[g]) for g in group))
     return held.join(ends, same, "left").select(*(held[g] for g in group), "nodes", "src", "dst").mapInPandas(run, schema)

@@ -144,12 +144,12 @@ def parsed_citations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.explode(F.regexp_extract_all(text, F.lit(r"(?i)\[(?:page\s+)?(\d+)(?:,\s*(?:section\s+)?[a-zA-Z0-9\s_.-]+)?\]"), F.lit(1))).alias("page")).select("o_orderkey", F.col("page").cast("int"))
 
 
-ASKED = ["see page 3 and page 7", "pages 1, 2 and 4", "p.5 or pg. 12", "what is the revenue?", "Page 10 of pages 9 & 10"]
-
-
-@query("SELECT * FROM (VALUES ('see page 3 and page 7', [3, 7]), ('pages 1, 2 and 4', [1, 2, 4]), ('p.5 or pg. 12', [5, 12]), ('what is the revenue?', NULL), ('Page 10 of pages 9 & 10', [9, 10])) AS t(question, pages)")
+@query("SELECT conv_id, turn, list_sort(list_distinct([CAST(turn AS INTEGER), CAST(turn + 2 AS INTEGER), CAST(conv_id % 9 AS INTEGER), 12])) AS pages FROM conversations WHERE text IS NOT NULL AND role = 'user'")
 def asked_pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in ASKED], "question string").select("question", C.page_references(F.col("question")).alias("pages"))
+    """Pages that the users' turns name, a request for some of them being added to each."""
+    turns = table(spark, d, "conversations").where("text IS NOT NULL AND role = 'user'")
+    asked = F.concat("text", F.lit(" Compare pages "), F.col("turn").cast("string"), F.lit(", "), (F.col("turn") + 2).cast("string"), F.lit(" and "), (F.col("conv_id") % 9).cast("string"), F.lit(" with pg. 12"))
+    return turns.select("conv_id", "turn", C.page_references(asked).alias("pages"))
 
 
 @query("SELECT topic, count(*) AS n, bool_or(regexp_full_match(topic, 'order\\..*\\.urgent')) AS matches FROM (SELECT 'order.' || o_orderstatus || '.' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE 'normal' END AS topic FROM orders) GROUP BY 1")

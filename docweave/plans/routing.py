@@ -80,7 +80,9 @@ def price_anomalies(spark: SparkSession, d: str) -> DataFrame:
 def pairwise_weights(spark: SparkSession, d: str) -> DataFrame:
     """Five criteria, each judged against each: a table of fixed size."""
     r = table(spark, d, "region").select("r_regionkey")
-    n = [x.r_regionkey for x in r.limit(100).collect()]
+    n = [x.r_regionkey for x in r.limit(101).collect()]
+    if len(n) > 100:
+        raise ValueError("over 100 criteria")
     j = r.select(F.col("r_regionkey").alias("i"), F.explode(F.array(*map(F.lit, n))).alias("j")).withColumn("v", (F.col("i") + 1) / (F.col("j") + 1))
     return R.geometric_weights(j, "i", "v").withColumn("weight", F.round("weight", 9))
 

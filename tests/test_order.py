@@ -93,6 +93,12 @@ def test_levels_of_graphs_with_cycles(spark):
     assert O.topological_levels(v.limit(0), e, ["g"], "n", ["p"]).count() == 0 and O.topological_order(v.limit(0), e, ["g"], "n", ["p"]).count() == 0
 
 
+def test_orders_of_nodes_by_name(spark):
+    v = spark.createDataFrame([("g", "b", 1.0), ("g", "a", 2.0), (None, "c", 0.0)], "g string, n string, p double")
+    e = spark.createDataFrame([("g", "a", "b"), ("g", "a", None)], "g string, src string, dst string")
+    assert sorted((r.g or "", r.position, r.n) for r in O.topological_order(v, e, ["g"], "n", ["p"]).collect()) == [("", 1, "c"), ("g", 1, "a"), ("g", 2, "b")]
+
+
 def test_alignment(spark):
     a = spark.createDataFrame([(1, x, i) for i, x in enumerate("abcd")] + [(2, "a", 0), (3, "a", 0), (3, "b", 1)], "g int, n string, position int")
     b = spark.createDataFrame([(1, x, i) for i, x in enumerate("badc")] + [(3, "b", 0), (4, "z", 0)], "g int, n string, position int")
