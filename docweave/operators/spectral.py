@@ -121,3 +121,39 @@ def spectral_clusters(edges: DataFrame, k: int, **how) -> DataFrame:
     found, _ = k_means(unit_rows(vectors), k)
     first = found.groupBy("cluster").agg(F.min("id").alias("first")).withColumn("number", F.row_number().over(Window.orderBy("first")) - 1)  # k rows
     return found.join(F.broadcast(first), "cluster").select(F.col("id").alias("node"), F.col("number").alias("cluster"))
+
+
+def eigenvector_centrality(edges: DataFrame, directed: bool = True, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
+    """(node, centrality): of unit length, in proportion to the sum of the nodes that point at it (all neighbours if not ``directed``).
+
+    Each round adds to a node what the last one gave its neighbours, which is power iteration with the identity added, so two-sided graphs
+    settle too; it ends when the changes sum to less than ``tolerance`` a node.  Repeated edges add up; a node without any has none.
+    """
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "weight")
+    if not directed:
+        e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    e = written(e.groupBy("src", "dst").agg(F.sum("weight").alias("w")), "edges")
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    n = nodes.count()
+    now = written(nodes.withColumn("x", F.lit(1.0 / max(1, n))), "centrality")
+    for _ in range(rounds):
+        got = e.join(now, e.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("got"))
+        raw = written(now.join(got, "node", "left").select("node", F.col("x").alias("old"), (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("x")), "raw")
+        size = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+        if not size:
+            break
+        moved = raw.agg(F.sum(F.abs(F.col("x") / size - F.col("old")))).first()[0]
+        now = raw.select("node", (F.col("x") / size).alias("x"))
+        if moved < n * tolerance:
+            break
+    return now.select("node", F.col("x").alias("centrality"))
+
+
+def bipartition(edges: DataFrame, **how) -> tuple[float, DataFrame]:
+    """(second eigenvalue of the Laplacian, (node, side)): the graph cut by the signs of the second eigenvector; side 0 holds the smallest node."""
+    values, vectors = laplacian_vectors(edges, 2, **how)
+    if len(values) < 2:
+        return 0.0, vectors.select(F.col("id").alias("node"), F.lit(0).alias("side"))
+    signed = vectors.select(F.col("id").alias("node"), (F.col("v")[1] < 0).alias("negative"))
+    first = signed.orderBy("node").first()
+    return float(values[1]), signed.select("node", (F.col("negative") != F.lit(first.negative)).cast("int").alias("side"))

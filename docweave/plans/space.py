@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions import text as T
+from docweave.operators import coverage as C
+from docweave.operators import spectral as S
 from docweave.operators.flow import hitting_times
 from docweave.operators.space import nearest
 from docweave.plans.base import query
@@ -28,3 +31,19 @@ def region_hitting_times(spark: SparkSession, d: str) -> DataFrame:
     """(node, steps): how many steps a walk over customers, nations and suppliers takes on average to a region; null where none is reached."""
     targets = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
     return hitting_times(edges(spark, d), targets).steps
+
+
+@query()
+def influence(spark: SparkSession, d: str) -> DataFrame:
+    """(node, centrality): eigenvector centrality of customers, nations, regions and suppliers by their links."""
+    return S.eigenvector_centrality(edges(spark, d), directed=False, rounds=60)
+
+
+@query()
+def covering_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of 4,000 tokens in all that cover the rarest words of the corpus."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    items = docs.select(F.col("doc_id").alias("item"), T.tokens_by_chars(F.col("text")).alias("size"))
+    covers = docs.select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("concept"))
+    weights = covers.groupBy("concept").agg((1 / F.count("*")).alias("weight"))
+    return C.best_coverage(items, covers, weights, 4000)
