@@ -6,7 +6,9 @@ stand in the url, and *listed* URLs (block where no rule fits), which are canoni
 information, port and final dots of the host go, international names become ASCII, escapes of unreserved characters are
 decoded, those that stay are upper case, and dot segments are resolved.
 
-Edge cases: a null url, or one without ``://``, has empty host and path, fits nothing and is allowed.  Repeated entries count
+A listed url whose host begins with "www." stands for the whole site, as the same url without it does.
+
+Edge cases: of two rules of one host and path that differ in their verdict, block holds.  A null url, or one without ``://``, has empty host and path, fits nothing and is allowed.  Repeated entries count
 once.  Repeated page rows each get their own verdict.  Extra columns of the pages are not read.  With an empty list every
 page is allowed.  A host that is no valid international name stays as it is.
 """
@@ -83,7 +85,9 @@ def entries(spark: SparkSession, rules: list[tuple[str, str]], listed: DataFrame
         url = F.col("url")
         clean_urls = listed.select(host_of(url).alias("host"), path_of(url).alias("path")).mapInArrow(clean, "host string, path string").where("host != ''")
         out = out.unionByName(clean_urls.select(F.lit("L").alias("kind"), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")))
-    return out.dropDuplicates(["kind", "host", "path"])
+    # block is greater than allow; of one verdict's spellings the last
+    best = out.groupBy("kind", "host", "path").agg(F.max(F.struct("verdict", "rule")).alias("best"))
+    return best.select("kind", "host", "path", "best.rule", "best.verdict")
 
 
 def hashes(keys: list[str]) -> np.ndarray:

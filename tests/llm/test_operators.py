@@ -69,6 +69,13 @@ def test_listed_urls_are_held_against_canonical_ones(spark):
     assert got[0].host == "spam-farm.example.com:80" and got[len(got) - 1].rule == "good.example/" and got[len(got) - 2].rule is None
 
 
+def test_opposite_rules_and_sites_listed_by_www(spark):
+    for rules in ([("allow", "a.org/x"), ("block", "A.org/x")], [("block", "A.org/x"), ("allow", "a.org/x")]):
+        listed = url_filter.entries(spark, rules, spark.createDataFrame([("http://www.site.example/x",)], "url string"))
+        pages = spark.createDataFrame(list(enumerate(["http://a.org/x/y", "http://shop.site.example/x", "http://site.example/x", "http://site.example/"])), "page_id int, url string")
+        assert [r.verdict for r in sorted(url_filter.filter_urls(pages, listed).collect())] == ["block", "block", "block", "allow"]
+
+
 def test_canonical_paths():
     same = lambda p: url_filter.canonical("h", p)[1]
     assert [same(p) for p in ("", "/", "/.", "/..", "/a/.", "/a/..", "/a/./b", "/a/../../b", "/%41%2f%c3", "/a..b/.c")] == ["/", "/", "/", "/", "/a/", "/", "/a/b", "/b", "/A%2F%C3", "/a..b/.c"]
