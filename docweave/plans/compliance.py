@@ -114,17 +114,20 @@ def answer_token_f1(spark: SparkSession, d: str) -> DataFrame:
     return b.join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id").select("id", F.round(C.token_f1(F.col("a"), F.col("text")), 6).alias("f1"))
 
 
-_CLAIMS = "claims AS (SELECT item_id AS claim_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark WHERE item_id % 2 = 0), known AS (SELECT item_id AS known_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark WHERE item_id % 2 = 1)"
+_CLAIMS = """
+opening AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\\p{L}\\p{N}_]+')) AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+claims AS (SELECT doc_id AS claim_id, w FROM opening WHERE doc_id % 2 = 0), known AS (SELECT doc_id AS known_id, w FROM opening WHERE doc_id % 2 = 1)"""
 
 
 @query(f"""WITH {_CLAIMS}, s AS (SELECT claim_id, known_id, len(list_intersect(c.w, k.w)) / CAST(len(c.w) + len(k.w) - len(list_intersect(c.w, k.w)) AS DOUBLE) AS s FROM claims c, known k WHERE len(c.w) > 0 AND len(k.w) > 0),
-b AS (SELECT claim_id, arg_min(known_id, (-round(s, 9), known_id)) AS known_id, max(s) AS s FROM s WHERE s >= 0.1 GROUP BY 1)
-SELECT claim_id, known_id, round(coalesce(s, 0.5), 6) AS similarity, CASE WHEN s >= 0.75 THEN 'supported' WHEN s >= 0.2 THEN 'partially_supported' ELSE 'unverified' END AS status FROM claims LEFT JOIN b USING (claim_id)""")
+b AS (SELECT claim_id, arg_min(known_id, (-round(s, 9), known_id)) AS known_id, max(s) AS s FROM s WHERE s >= 0.3 GROUP BY 1)
+SELECT claim_id, known_id, round(coalesce(s, 0.5), 6) AS similarity, CASE WHEN s >= 0.75 THEN 'supported' WHEN s >= 0.4 THEN 'partially_supported' ELSE 'unverified' END AS status FROM claims LEFT JOIN b USING (claim_id)""")
 def fact_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark")
-    claims = b.where("item_id % 2 = 0").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-    known = b.where("item_id % 2 = 1").select(F.col("item_id").alias("known_id"), F.col("text").alias("known"))
-    return C.best_evidence(claims, known, least=0.1, partial=0.2).withColumn("similarity", F.round("similarity", 6))
+    """The first lines of every other document held against those of the rest."""
+    opening = table(spark, d, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    claims = opening.where("doc_id % 2 = 0").select(F.col("doc_id").alias("claim_id"), F.col("line").alias("claim"))
+    known = opening.where("doc_id % 2 = 1").select(F.col("doc_id").alias("known_id"), F.col("line").alias("known"))
+    return C.best_evidence(claims, known).withColumn("similarity", F.round("similarity", 6))
 
 
 _NAMES = r"'[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+'"
