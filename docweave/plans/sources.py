@@ -51,7 +51,9 @@ def packed(rows: DataFrame, kind: str, make: Callable[[object], bytes]) -> DataF
             for i, body in zip(b.column(0).to_pylist(), b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array([f"{i}.{kind}"]), pa.array([make(body.as_py())], pa.binary())], ["path", "content"])
 
-    return rows.select("id", "body").mapInArrow(run, "path string, content binary")
+    # few bytes make much work: rows are dealt to all cores, whatever their size
+    dealt = rows.select("id", "body").repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    return dealt.mapInArrow(run, "path string, content binary")
 
 
 def number() -> Column:
