@@ -77,7 +77,7 @@ def buffers(events: DataFrame, size: int, seconds: float, ends: list[str]) -> Da
     ``seconds`` after the first ("time").
 
     The state is first and last time and a count.  Where no later event of the user does it, a timer flushes what is held once the watermark
-    is past its time, and the state goes.  Events older than the watermark are dropped.  What is held when the stream stops stays in its
+    is past its time, and the state goes.  Events older than the watermark, or without a time or user, are dropped.  What is held when the stream stops stays in its
     checkpoint, and the next run goes on from there.
     """
 
@@ -105,7 +105,7 @@ def buffers(events: DataFrame, size: int, seconds: float, ends: list[str]) -> Da
         if out:
             yield pd.DataFrame([(key[0], *row) for row in out], columns=["user_id", "first", "last", "n", "why"])
 
-    found = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(fold, "user_id long, first double, last double, n long, why string", "first double, last double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    found = events.where("ts IS NOT NULL AND user_id IS NOT NULL").select("user_id", "event_id", "ts", "event_type").groupBy("user_id").applyInPandasWithState(fold, "user_id long, first double, last double, n long, why string", "first double, last double, n long", "append", GroupStateTimeout.EventTimeTimeout)
     at = lambda c: F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long")).alias(c)
     return found.select("user_id", at("first"), at("last"), "n", "why")
 
