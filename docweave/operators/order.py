@@ -150,3 +150,16 @@ def alignment(found: DataFrame, wanted: DataFrame, group: list[str], node: str)
     both = a.join(b, [*group, node], "full").groupBy(*group).agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.abs(F.col("a") - F.col("b")))).alias("moved"), F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("alone"))
     distance = F.when((F.col("na") == 0) | (F.col("nb") == 0), 1.0).otherwise((F.coalesce("moved", F.lit(0)) / F.greatest("na", "nb") + F.col("alone")) / F.col("na"))
     return both.select(*group, distance.alias("distance"))
+
+
+def curvatures(edges: DataFrame, nodes: DataFrame, group: list[str], node: str, fragile: float = -0.3) -> DataFrame:
+    """(group, src, dst, curvature, is_fragile): 1 less the distance of an edge's ends, and whether that is under ``fragile``; 0 for an edge with
+    an end that is not there or has no place.
+
+    nodes: (group, node, x, y); an edge within a group meets just its two ends.
+    """
+    at = lambda end: nodes.select(*group, F.col(node).alias(end), F.col("x").alias(f"{end}_x"), F.col("y").alias(f"{end}_y"))
+    placed = edges.join(at("src"), [*group, "src"], "left").join(at("dst"), [*group, "dst"], "left")
+    dx, dy = F.col("src_x") - F.col("dst_x"), F.col("src_y") - F.col("dst_y")
+    out = placed.select(*group, "src", "dst", F.coalesce(1 - F.sqrt(dx * dx + dy * dy), F.lit(0.0)).alias("curvature"))
+    return out.withColumn("is_fragile", F.col("curvature") < fragile)

@@ -65,3 +65,13 @@ def order_alignment(spark: SparkSession, d: str) -> DataFrame:
 
     by_columns = elements(spark, d).select(*_PAGE, "seq", F.row_number().over(Window.partitionBy(*_PAGE).orderBy("x0", "y0", "seq")).alias("position"))
     return O.alignment(graph_order(spark, d), by_columns, _PAGE, "seq").withColumn("distance", F.round("distance", 9))
+
+
+@query(f"""{_PAIRS}
+SELECT doc_id, page, src, dst, round(1 - sqrt(dx * dx + dy * dy), 6) AS curvature, round(1 - sqrt(dx * dx + dy * dy), 6) < 0.3 AS is_fragile FROM edge""")
+def edge_curvatures(spark: SparkSession, d: str) -> DataFrame:
+    """Of the pages' reading graphs; edges of a page are short, so those under .3 count as fragile."""
+    e = elements(spark, d)
+    places = e.select(*_PAGE, "seq", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    found = O.curvatures(O.reading_graph(e), places, _PAGE, "seq").withColumn("curvature", F.round("curvature", 6))
+    return found.withColumn("is_fragile", F.col("curvature") < 0.3)

@@ -112,3 +112,10 @@ def test_nothing_is_read_after_what_has_no_box(spark):
     order = O.topological_order(df, O.reading_graph(df), ["doc_id", "page"], "seq", ["y0", "x0"]).orderBy("position").select("seq").collect()
     assert [r.seq for r in order] == [2, 1, 3]
     assert O.reading_graph(df.where(F.lit(False))).count() == 0
+
+
+def test_curvatures(spark):
+    nodes = spark.createDataFrame([(1, "a", 0.0, 0.0), (1, "b", 3.0, 4.0), (1, "c", 0.0, 0.0), (1, "d", None, 1.0), (2, "a", 9.0, 9.0)], "g int, n string, x double, y double")
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (1, "a", "d"), (1, "z", "a"), (2, "a", "b")], "g int, src string, dst string")
+    got = {(r.g, r.src, r.dst): (r.curvature, r.is_fragile) for r in O.curvatures(edges, nodes, ["g"], "n").collect()}
+    assert got == {(1, "a", "b"): (-4.0, True), (1, "a", "c"): (1.0, False), (1, "a", "d"): (0.0, False), (1, "z", "a"): (0.0, False), (2, "a", "b"): (0.0, False)}
