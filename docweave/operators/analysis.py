@@ -74,11 +74,14 @@ def co_members(incidence: DataFrame, edge: str, node: str) -> DataFrame:
 
 
 def signed_ranks(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, w_plus, w_minus, z): Wilcoxon's sums over non-zero differences, ties sharing ranks, and the normal deviate."""
+    """(n, w_plus, w_minus, z): Wilcoxon's sums over non-zero differences, ties sharing ranks, and the normal deviate.
+
+    The variance is taken in doubles: n cubed leaves a long from 1.7 million rows on.
+    """
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d != 0").withColumn("size", F.abs("d"))
     ranked = d.join(average_ranks(d, "size").withColumnRenamed("value", "size"), "size")
     s = ranked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
-    n = F.col("n")
+    n = F.col("n").cast("double")
     return s.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
 
 

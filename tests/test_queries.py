@@ -183,3 +183,14 @@ def test_minhash_pairs_all_members_of_a_band(spark, tmp_path):
     assert set(zip(found.a[~found.member], found.b[~found.member])) == {(i, j) for i in range(6) for j in range(i + 1, 6)}
     assert set(zip(found.a[found.member], found.b[found.member])) == {(3, 10), (3, 11), (3, 12)}
     assert ((found.similarity * 128) % 1 == 0).all() and (found.similarity > 0.7).all()
+
+
+def test_signed_ranks_beyond_a_long(spark):
+    """n (n + 1) (2 n + 1) leaves a long at two million rows."""
+    from docweave.operators.analysis import signed_ranks
+
+    n = 2_000_000
+    r = signed_ranks(spark.range(n).selectExpr("CAST(id % 2 AS DOUBLE) AS a", "0.5D AS b"), "a", "b").first()
+    assert r.n == n and r.w_plus == r.w_minus == n / 2 * (n + 1) / 2 and r.z == 0
+    r = signed_ranks(spark.range(n).selectExpr("1.0D AS a", "0.0D AS b"), "a", "b").first()
+    assert r.z == pytest.approx(n * (n + 1) / 4 / (n * (n + 1) * (2 * n + 1) / 24) ** 0.5)
