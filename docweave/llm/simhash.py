@@ -11,10 +11,9 @@ A top node with over ``HOT`` members is split again by blocks of its remaining b
 A node gives star edges (member, smallest linked member), never all pairs, so output stays linear in the input.  A split parts
 members by 24 bits of 64 at distance three; those that agree on them meet in one task, where the index prunes them by groups.
 
-``similar_documents`` finds documents whose word shingles have a given Jaccard similarity, of which one fingerprint in three bits
-sees only the most similar.  It takes several fingerprints of the distinct words and pairs of words, in which an edit changes few
-features, has each indexed in the same way, and checks every linked pair exactly on the shingles.  How likely a pair is found grows with its
-similarity; it is never linked without the check.
+``similar_documents`` finds all documents whose word shingles have a given Jaccard similarity, of which one fingerprint in three bits
+sees only the most similar.  It puts a text's distinct shingles in an order that is the same for all texts; two sets that similar share
+one of so many first ones, and more of them the nearer in size.  Texts that share enough of these are compared on all shingles.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero and are linked like any other.  Texts with
 fewer words than a shingle give one shingle of all words.  Repeated rows link at distance zero.  Rows with a null id keep
@@ -23,6 +22,7 @@ their fingerprint, take part in links, and count after all other ids when the sm
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +43,10 @@ FAN = 16
 FRONTIER = 1 << 19
 #: Hot top nodes (twelve bytes each) that are broadcast.
 BROADCAST_NODES = 1 << 18
+#: Holders of a first shingle beyond which it is common: they are linked by stars before they are paired.
+FEW = 16
+#: One text in so many is looked at for common shingles; texts among these that hold one; common shingles (eight bytes each) at most.
+SOME, OFTEN, MOST_COMMON = 16, 3, 1 << 19
 LANES = np.uint64(0x0101010101010101)
 LOWER, SPACES = "abcdefghijklmnopqrstuvwxyz", r"[\x20\x09-\x0D]+"
 
@@ -250,33 +254,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(of, "fp").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
-        return h
-
-
-def word_fingerprints(texts: list[bytes], n: int) -> np.ndarray:
-    """``n`` fingerprints of each text: the majority bits of as many mixtures of the hashes of its distinct words, for every third
-    one, or of its distinct pairs of words, which tell texts of few words apart."""
-    known, words, pairs = WordHashes(), [], []
-    for text in texts:
-        split = text.lower().split()
-        h = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
-        words.append(np.unique(h))
-        # a word alone is a pair with nothing
-        both = h[:-1] * np.uint64(0x9FB21C651E98DF25) + (h[1:] ^ (h[1:] >> np.uint64(29))) if len(h) > 1 else h
-        pairs.append(np.unique(both))
-    out = np.empty((len(texts), n), dtype=np.uint64)
-    for first, hashed in ((True, words), (False, pairs)):
-        h, counts = joined(hashed), list(map(len, hashed))
-        for k in range(n):
-            if (k % 3 == 0) == first:
-                x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-                out[:, k] = majority((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), counts)
-    return out
-
-
 def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     """Of the sets of word shingles, lower case."""
     (x, y), _ = shingle_hashes([a, b], shingle)
@@ -284,38 +261,143 @@ def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     return both / (len(np.unique(x)) + len(np.unique(y)) - both)
 
 
-def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: int = 12, distance: int = 3) -> DataFrame:
+def least_common(n, m, similarity: float):
+    """Members that sets of ``n`` and ``m`` members have in common at least, if they are that similar."""
+    return F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
+def first_shingles(texts: list[bytes], shingle: int, similarity: float, common: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each text's distinct shingle hashes the first ones, so many that two texts that are that similar share one of them, and how
+    many distinct ones it has.  They are in ascending order, those in ``common`` (sorted) after all others."""
+    firsts, sizes = [], []
+    for text in texts:
+        (h,), _ = shingle_hashes([text], shingle)
+        h = np.unique(h)
+        keep = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+        if len(common):
+            often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+            h = np.concatenate([h[~often], h[often]])
+        firsts.append(h[:keep])
+        sizes.append(len(h))
+    return firsts, np.array(sizes, np.int32)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows sorted by the first one, cut only where that changes."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if not len(now[0]):
+            continue
+        cut = np.searchsorted(now[0], now[0][-1])
+        held = [x[cut:].copy() for x in now]
+        if cut:
+            yield tuple(x[:cut] for x in now)
+    if held:
+        yield tuple(held)
+
+
+MET = "h long, a long, b long, x int, y int"
+
+
+def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (h, id, n) sorted by h and id in; out all pairs (a, b, their sizes x, y) that share an h with at most ``FEW`` holders, and
+    for an h of more, its rows (h, a, x), each with the id before it (b, y)."""
+    for h, i, n in whole_groups(batches):
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(start, len(h)))
+        many = np.repeat(size > FEW, size)
+        if many.any():
+            k = np.flatnonzero(many)
+            before = np.where(np.isin(k, start), k, k - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[k], i[k], i[before], n[k], n[before])], ["h", "a", "b", "x", "y"])
+        for d in range(1, FEW):
+            k = np.flatnonzero((h[d:] == h[:-d]) & ~many[d:])
+            if not len(k):
+                break
+            p, q = k, k + d
+            k = np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]) - 1e-9
+            p, q = p[k], q[k]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(i[p]), pa.array(i[q]), pa.array(n[p]), pa.array(n[q])], ["h", "a", "b", "x", "y"])
+
+
+def across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (h, id, n, root) sorted by h and id in; out the pairs (a, b, x, y) of one h that have different roots."""
+    for h, i, n, root in whole_groups(batches):
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(h)]):
+            if (root[s:e] == root[s]).all():
+                continue
+            for at in range(s, e - 1):
+                k = at + 1 + np.flatnonzero((root[at + 1 : e] != root[at]) & (np.minimum(n[at + 1 : e], n[at]) >= similarity * np.maximum(n[at + 1 : e], n[at]) - 1e-9))
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i[at], len(k))), pa.array(i[k]), pa.array(np.repeat(n[at], len(k))), pa.array(n[k])], ["a", "b", "x", "y"])
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): component_id is the smallest id reachable over links, the row's own included.
 
-    Texts with the same words in the same order are linked; others by a pair of fingerprints within ``distance`` bits whose
-    shingles have the Jaccard similarity.  Null and empty texts are one group.
+    Texts with the same words in the same order are linked, and all others whose shingles have the Jaccard similarity.  Null and
+    empty texts are one group.
     """
+    spark = docs.sparkSession
     text = F.regexp_replace(F.translate(F.coalesce(text_column, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", LOWER), SPACES, " ")
     keyed = docs.select(F.col(id_column).alias("_id"), F.trim(text).alias("_text")).withColumn("_key", F.substring(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)), 1, 16))
     rows = materialize(keyed.select("_id", "_key"), "rows")
-    texts = materialize(keyed.select("_key", "_text").dropDuplicates(["_key"]), "texts")
+    # texts meet by a number of 64 bits, and are compared as texts
+    texts = materialize(keyed.select("_key", "_text").dropDuplicates(["_key"]).withColumn("n", F.xxhash64("_key")), "texts")
+    # an empty text has no word and no similarity: exact copies are all that it is like
+    full = texts.where("_text != ''")
 
-    def add(b: pa.RecordBatch) -> pa.RecordBatch:
-        codes = word_fingerprints(b.column(1).cast(pa.binary()).to_pylist(), fingerprints).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(codes.reshape(-1)), fingerprints).cast(pa.list_(pa.int64()))], ["_key", "codes"])
+    def every(b: pa.RecordBatch) -> pa.RecordBatch:
+        hashed, _ = shingle_hashes(b.column(0).cast(pa.binary()).to_pylist(), shingle)
+        return pa.RecordBatch.from_arrays([pa.array(joined([np.unique(h) for h in hashed]).view(np.int64))], ["h"])
 
-    # an empty text has no word and no similarity: exact copies are all that it is like
-    found = texts.where("_text != ''").mapInArrow(per_step(add, "_text"), "_key binary, codes array<long>")
-    prints = materialize(found.select("_key", F.posexplode("codes").alias("tag", "fp")), "fingerprints")
-    least = materialize(prints.groupBy("tag", "fp").agg(F.min("_key").alias("least"), F.count("*").alias("n")), "codes")
-    same = prints.join(least.where("n > 1"), ["tag", "fp"]).where("_key != least").select(F.col("_key").alias("a"), F.col("least").alias("b"))
-    near = links(least.select("fp", "tag"), distance, direct=True).distinct()
-    left, right = (least.select("tag", F.col("fp").alias(c), F.col("least").alias(x)) for c, x in (("u", "a"), ("v", "b")))
-    pairs = same.unionByName(near.join(left, ["tag", "u"]).join(right, ["tag", "v"]).select("a", "b"))
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
+    # what is common goes last, so that few texts meet by it; that is judged on some texts, as any order leads to the same links
+    some = full.where(F.pmod("n", F.lit(SOME)) == 0).select("_text").mapInArrow(per_step(every, "_text"), "h long")
+    often = some.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
+    common = spark.sparkContext.broadcast(np.sort(often.column(0).to_numpy().view(np.uint64)))
+
+    def first(b: pa.RecordBatch) -> pa.RecordBatch:
+        firsts, sizes = first_shingles(b.column(1).cast(pa.binary()).to_pylist(), shingle, similarity, common.value)
+        held = list(map(len, firsts))
+        return pa.RecordBatch.from_arrays([pa.array(joined(firsts).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), held)), pa.array(np.repeat(sizes, held))], ["h", "id", "size"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    firsts = full.select("n", "_text").mapInArrow(per_step(first, "_text"), "h long, id long, size int")
+    met = materialize(firsts.repartition(parts, "h").sortWithinPartitions("h", "id").mapInArrow(lambda b: meetings(b, similarity), MET), "met")
+    few, many = met.where("h IS NULL").select("a", "b", "x", "y"), met.where("h IS NOT NULL")
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-        return b.select([0, 1]).filter(pa.array([jaccard(p, q, shingle) >= similarity for p, q in zip(x, y)]))
-
-    of = lambda c: texts.select(F.col("_key").alias(c), F.col("_text").alias(f"{c}_text"))
-    alike = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(per_step(check, "a_text"), "a binary, b binary")
-    roots = components(alike.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return b.select([0, 1]).filter(pa.array([jaccard(p, q, shingle) >= similarity for p, q in zip(x, y)], pa.bool_()))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(u, v, a, b): keys, and their numbers, of the pairs (a, b) that are similar."""
+        pairs = materialize(pairs, "pairs")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        held = full.join(needed, "n", "left_semi")
+        of = lambda c, k: held.select(F.col("n").alias(c), F.col("_key").alias(k), F.col("_text").alias(f"{c}_text"))
+        return materialize(pairs.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v", "a_text", "b_text").mapInArrow(per_step(check, "a_text"), "u binary, v binary"), "alike")
+
+    # texts that share common shingles are compared with one neighbour each and with the first of all: what these links join needs no
+    # further pairs.  Then all pairs that they leave apart follow
+    near = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    lead = many.groupBy("h").agg(F.min(F.struct("a", "x")).alias("f")).select("h", F.col("f.a").alias("b"), F.col("f.x").alias("y"))
+    stars = many.select("a", "b", "x", "y").unionByName(many.select("h", "a", "x").join(lead, "h").select("a", "b", "x", "y"))
+    stars = stars.where((F.col("a") != F.col("b")) & near(F.col("x"), F.col("y"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = alike(stars)
+    number = lambda k: F.xxhash64(k)
+    roots = components(linked.select(number("u").alias("u"), number("v").alias("v")))
+    placed = many.select("h", F.col("a").alias("id"), F.col("x").alias("size")).join(roots, F.col("id") == roots.node, "left").select("h", "id", "size", F.coalesce("root", "id").alias("root"))
+    apart = placed.repartition(parts, "h").sortWithinPartitions("h", "id").mapInArrow(lambda b: across(b, similarity), "a long, b long, x int, y int")
+    # of two similar sets, the one whose first ones end first has all that they share but what follows its own
+    after = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
+    least = least_common(F.col("x"), F.col("y"), similarity) - F.greatest(after("x"), after("y"))
+    pairs = few.unionByName(apart).groupBy("a", "b", "x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b")
+    roots = components(linked.unionByName(alike(pairs)))
     placed = rows.join(roots, rows._key == roots.node, "left").select("_id", F.coalesce("root", "_key").alias("root"))
     # smallest ids are pre-aggregated before the shuffle, whatever the size of a group
     smallest = placed.groupBy("root").agg(F.min("_id").alias("component_id"))

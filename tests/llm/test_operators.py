@@ -890,6 +890,45 @@ def test_contract_queries_match_sql(spark, name):
     assert Counter(map(str, (tuple(r) for r in got))) == Counter(map(str, want.select(", ".join(columns)).fetchall()))
 
 
+@pytest.mark.parametrize("few, often", [(16, 3), (2, 1)])
+def test_similar_documents_find_every_pair(spark, monkeypatch, few, often):
+    """Also pairs that are just similar enough, and large groups of copies that are like the first one but not like one another."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    r = random.Random(17)
+    texts = []
+    for n in (*range(3, 40, 3), 60, 90, 150):
+        for _ in range(12):
+            words = [f"w{r.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(words))
+            for cuts in (1, 1, 2, 3):
+                other = list(words)
+                for _ in range(cuts):
+                    other[r.randrange(n)] = f"x{r.randrange(5000)}"
+                texts.append(" ".join(other[: n - r.randrange(1 + n // 8)]))
+    base = [f"b{i}" for i in range(60)]
+    for k in range(40):
+        other = list(base)
+        other[5 + k] = f"y{k}"
+        texts += [" ".join(other)]
+    r.shuffle(texts)
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    sets = [set(w[i : i + 5] if len(w) > 5 else w for i in range(max(1, len(w) - 4))) for w in (tuple(t.split()) for t in texts)]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                p, q = sorted((find(i), find(j)))
+                up[q] = p
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
