@@ -119,15 +119,34 @@ def fit_in_budget(items: DataFrame, by: str, order: list[Column], size: str, bud
 
 
 def spectrum(edges: DataFrame, by: str, k: int) -> DataFrame:
-    """(by, i, eigenvalue): least eigenvalues of each group's Laplacian; groups are single small graphs."""
+    """(by, i, eigenvalue): least eigenvalues of each group's Laplacian.
+
+    The m nodes that hang on one node alone by the same weight w give the eigenvalue w m - 1 times, on vectors that are zero
+    elsewhere; on all others they act as one node, tied by w times the root of m.  So leaves are counted, and a task holds only a
+    graph's other nodes.
+    """
+    e = edges.groupBy(by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
+    both = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))
+    ends = e.select(by, "weight", F.explode(both).alias("e")).groupBy(by, F.col("e.node").alias("node")).agg(F.count("*").alias("n"), F.min("e.other").alias("other"), F.min("weight").alias("weight"))
+    inner = ends.where("n > 1").select(by, F.col("node").alias("other"))
+    leaves = ends.where("n = 1").join(inner, [by, "other"], "left_semi")
+    twins = leaves.groupBy(by, F.col("other").alias("src"), "weight").agg(F.min("node").alias("dst"), F.count("*").alias("m"))
+    core = e
+    for c in ("src", "dst"):
+        core = core.join(leaves.select(by, F.col("node").alias(c)), [by, c], "left_anti")
+    held = core.withColumn("m", F.lit(1).cast("long")).unionByName(twins)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["src"]) | set(pdf["dst"]))
         at = {n: i for i, n in enumerate(names)}
-        a = np.zeros((len(names), len(names)))
-        for s, t, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
-            a[at[s], at[t]] = a[at[t], at[s]] = w
-        values = np.linalg.eigvalsh(np.diag(a.sum(0)) - a)[:k]
+        a, more = np.zeros((len(names), len(names))), []
+        for s, t, w, m in zip(pdf["src"], pdf["dst"], pdf["weight"], pdf["m"]):
+            if s != t:
+                a[at[s], at[t]] = a[at[t], at[s]] = -w * np.sqrt(m)
+                a[at[s], at[s]] += w * m
+                a[at[t], at[t]] += w
+                more += [w] * min(m - 1, k)
+        values = np.sort(np.concatenate([np.linalg.eigvalsh(a), more]))[:k]
         return pd.DataFrame({by: pdf[by].iloc[0], "i": np.arange(len(values), dtype=np.int32), "eigenvalue": np.round(values, 9)})
 
-    return edges.groupBy(by).applyInPandas(solve, f"{by} {dict(edges.dtypes)[by]}, i int, eigenvalue double")
+    return held.select(by, "src", "dst", "weight", "m").groupBy(by).applyInPandas(solve, f"{by} {dict(edges.dtypes)[by]}, i int, eigenvalue double")

@@ -194,3 +194,25 @@ def test_signed_ranks_beyond_a_long(spark):
     assert r.n == n and r.w_plus == r.w_minus == n / 2 * (n + 1) / 2 and r.z == 0
     r = signed_ranks(spark.range(n).selectExpr("1.0D AS a", "0.0D AS b"), "a", "b").first()
     assert r.z == pytest.approx(n * (n + 1) / 4 / (n * (n + 1) * (2 * n + 1) / 24) ** 0.5)
+
+
+def test_spectrum_counts_leaves(spark):
+    """Against the whole matrix, on trees, pairs, and graphs with cycles and leaves; stars of 100,000 leaves are not held by a task."""
+    r = np.random.RandomState(3)
+    rows = [("pair", "x", "y", 2.0), ("star", "h", "a", 1.0), ("star", "h", "b", 1.0), ("star", "h", "c", 3.0), ("loop", "p", "p", 1.0), ("loop", "p", "q", 1.0)]
+    rows += [("cycle", f"c{i}", f"c{(i + 1) % 6}", 1.0 + i) for i in range(6)] + [("cycle", f"c{r.randint(6)}", f"l{i}", float(r.randint(1, 3))) for i in range(25)]
+    got = {}
+    for x in numeric.spectrum(spark.createDataFrame(rows, "g string, src string, dst string, weight double"), "g", 30).collect():
+        got.setdefault(x.g, {})[x.i] = x.eigenvalue
+    for g in ("pair", "star", "loop", "cycle"):
+        names = sorted({n for h, s, t, _ in rows if h == g for n in (s, t)})
+        m = np.zeros((len(names), len(names)))
+        for h, s, t, w in rows:
+            if h == g and s != t:
+                i, j = names.index(s), names.index(t)
+                m[i, j] = m[j, i] = -w
+        np.fill_diagonal(m, -m.sum(0))
+        want = np.linalg.eigvalsh(m)[:30]
+        assert [got[g][i] for i in range(len(got[g]))] == pytest.approx(want.tolist(), abs=1e-8)
+    wide = spark.range(100_000).selectExpr("'w' AS g", "'h' AS src", "CAST(id AS STRING) AS dst", "1.0D AS weight")
+    assert [round(x.eigenvalue, 6) for x in numeric.spectrum(wide, "g", 4).orderBy("i").collect()] == [0, 1, 1, 1]
