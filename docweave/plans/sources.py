@@ -43,16 +43,39 @@ def conversation_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.length("text")).alias("chars"), F.min_by("text", "turn").alias("opening"))
 
 
-def packed(rows: DataFrame, kind: str, make: Callable[[object], bytes]) -> DataFrame:
-    """(path, content): an office file for each row (id, body), made where the row is."""
+#: Characters that a task makes files of, about; bounds the files that a worker is handed at once.
+TASK = 8 << 20
+
+
+def characters(rows: DataFrame, text: Column) -> int:
+    return rows.agg(F.sum(F.length(text))).first()[0] or 0
+
+
+def packed(rows: DataFrame, kind: str, make: Callable[[object], bytes], size: int) -> DataFrame:
+    """(path, content): an office file for each row (id, body), made where the row is; ``size``: characters of all bodies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # small files go on together: each batch has a price of its own
+        names: list[str] = []
+        made: list[bytes] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
         for b in batches:
             for i, body in zip(b.column(0).to_pylist(), b.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array([f"{i}.{kind}"]), pa.array([make(body.as_py())], pa.binary())], ["path", "content"])
+                names.append(f"{i}.{kind}")
+                made.append(make(body.as_py()))
+                held += len(made[-1])
+                if len(made) == 256 or held > 1 << 20:
+                    yield batch()
+                    names, made, held = [], [], 0
+        if made:
+            yield batch()
 
     # few bytes make much work: rows are dealt to all cores, whatever their size
-    dealt = rows.select("id", "body").repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+    dealt = rows.select("id", "body").repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK)))
     return dealt.mapInArrow(run, "path string, content binary")
 
 
@@ -68,7 +91,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS IN
 def office_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Every document written as DOCX, a paragraph for each line, and read back."""
     rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    files = packed(rows, "docx", lambda text: office.docx([("text" if i else "title", line) for i, line in enumerate(text.split("\n"))]))
+    files = packed(rows, "docx", lambda text: office.docx([("text" if i else "title", line) for i, line in enumerate(text.split("\n"))]), characters(rows, F.col("body")))
     return office.parsed(files).where("error IS NULL").select(number().alias("doc_id"), "seq", "type", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "y0")
 
 
@@ -86,7 +109,7 @@ def office_slides(spark: SparkSession, d: str) -> DataFrame:
             out[s["page"] - 1].append(("title" if s["type"] == "heading" else "text", s["content"], s["x0"] * 720, s["y0"] * 540, s["x1"] * 720, s["y1"] * 540))
         return office.pptx(out)
 
-    read = office.parsed(packed(rows, "pptx", slides)).where("error IS NULL")
+    read = office.parsed(packed(rows, "pptx", slides, characters(table(spark, d, "documents"), F.col("text")))).where("error IS NULL")
     return read.select(number().alias("doc_id"), "page", "seq", "type", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), *(F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
@@ -95,8 +118,9 @@ SELECT l_orderkey AS order_id, 'items' AS name, 20.0 * (1 + count(*)) AS used, s
 def office_sheets(spark: SparkSession, d: str) -> DataFrame:
     """Every order written as XLSX, a row for each of its items, and read back as tables."""
     item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("price"))
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("body"))
-    files = packed(rows, "xlsx", lambda items: office.xlsx([("items", [["item", "flag", "price"], *([i["n"], i["flag"], i["price"]] for i in items)])]))
+    lines = table(spark, d, "lineitem")
+    rows = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("body"))
+    files = packed(rows, "xlsx", lambda items: office.xlsx([("items", [["item", "flag", "price"], *([i["n"], i["flag"], i["price"]] for i in items)])]), 32 * lines.count())
     read = office.parsed(files).where("error IS NULL")
-    lines = F.size(F.split("text", "\n")) - 1
-    return read.select(number().alias("order_id"), "name", (lines * 20.0).alias("used"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    height = F.size(F.split("text", "\n")) - 1
+    return read.select(number().alias("order_id"), "name", (height * 20.0).alias("used"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))

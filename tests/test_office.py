@@ -115,3 +115,24 @@ def test_archives_are_streamed(spark):
     for r in O.rows_of("p.docx", io.BytesIO(many), "docx"):
         seen += 1
     assert seen == 20_000 and r[3] == 19_999
+
+
+def test_alike_members_are_packed_and_read_once():
+    """Packages share what is alike, and each keeps its own names, relations and styles."""
+    import io
+    import zipfile
+
+    from docweave.sources import office
+
+    files = {n: office.xlsx([(n, [["a", i], ["b", i + 1]])]) for i, n in enumerate(("one", "two", "one more", "two & <three>"))}
+    office.opening.cache_clear()
+    for i, (n, data) in enumerate(files.items()):
+        assert zipfile.ZipFile(io.BytesIO(data)).testzip() is None
+        (row,) = office.rows_of("x.xlsx", io.BytesIO(data), "xlsx")
+        assert row[5] == f"| a | {i} |\n|---|---|\n| b | {i + 1} |" and row[12] == n and row[13] is None
+    for _ in range(3):
+        office.xlsx([("one", [[1]])])
+    assert office.opening.cache_info().misses == 1
+    large = "x" * office.SMALL
+    (row,) = office.rows_of("x.xlsx", io.BytesIO(office.xlsx([(large, [["a"]])])), "xlsx")
+    assert row[12] == large
