@@ -113,3 +113,39 @@ def maximal_marginal(scored: DataFrame, k: int, weight: float = 0.7, key: str =
         return pd.DataFrame({key: pdf[key].to_numpy()[chosen], "pick": np.arange(1, len(chosen) + 1, dtype=np.int32)})
 
     return scored.groupBy().applyInPandas(pick, f"{key} long, pick int")
+
+
+#: Distances that a task holds at once.
+HELD = 1 << 22
+
+
+def near_lists(vectors: DataFrame, lists: DataFrame) -> DataFrame:
+    """(item_id, list, dist) of vectors (item_id, v) and the lists (list, cv) that may be nearest to each, the nearest among them.
+
+    Both hold vectors of one length, of finite doubles; lists are few and go to every task.  Products of matrices leave the lists
+    whose distance may round to the least; these distances are then taken coordinate by coordinate.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    found = lists.toArrow()
+    kind = dict(vectors.dtypes)["item_id"]
+    c = found.column("cv").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
+    held = vectors.sparkSession.sparkContext.broadcast((found.column("list").combine_chunks(), c, (c * c).sum(1)))
+
+    def assign(batches):
+        names, c, cc = held.value
+        step = max(1, HELD // len(c))
+        for b in batches:
+            every = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            for at in range(0, len(every), step):
+                x = every[at : at + step]
+                xx = (x * x).sum(1)
+                square = xx[:, None] + cc[None, :] - 2 * (x @ c.T)
+                i, j = np.nonzero(square <= square.min(1, keepdims=True) + 1e-8 * (1 + xx[:, None] + cc[None, :]))
+                total = np.zeros(len(i))
+                for k in range(x.shape[1]):
+                    total += (x[i, k] - c[j, k]) ** 2
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + at)), names.take(pa.array(j)), pa.array(np.sqrt(total))], ["item_id", "list", "dist"])
+
+    return vectors.select("item_id", "v").mapInArrow(assign, f"item_id {kind}, list {dict(lists.dtypes)['list']}, dist double")

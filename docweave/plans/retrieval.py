@@ -126,7 +126,16 @@ def inverted_lists(spark: SparkSession, d: str) -> DataFrame:
     """Vectors assigned to the nearest of strided centroids: list sizes and mean distances."""
     v = vectors(spark, d)
     c = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("list"), F.col("embedding").alias("cv"))
-    small = (c.agg(F.sum(F.size("cv"))).first()[0] or 0) <= 4 << 20
-    s = v.join(F.broadcast(c) if small else c).select(F.col("vec_id").alias("item_id"), "list", V.l2(F.col("embedding"), F.col("cv")).alias("dist"))
+    # plain vectors, all of the lists' length, go as matrices; any others, row by row
+    plain = lambda x, n: F.coalesce((F.size(x) == n) & F.forall(x, lambda y: y.isNotNull() & (F.abs(y) < 1e100)), F.lit(False))
+    seen = c.agg(F.sum(F.size("cv")).alias("numbers"), F.min(F.size("cv")).alias("least"), F.bool_and(plain("cv", F.size("cv"))).alias("plain"), F.max(F.size("cv")).alias("most")).first()
+    small = (seen.numbers or 0) <= 4 << 20
+    rows = lambda x: x.join(F.broadcast(c) if small else c).select(F.col("vec_id").alias("item_id"), "list", V.l2(F.col("embedding"), F.col("cv")).alias("dist"))
+    if small and seen.plain and seen.least == seen.most and seen.least > 0:
+        usual = plain("embedding", seen.least) & F.col("vec_id").isNotNull()
+        double = lambda x: F.col(x).cast("array<double>")
+        s = R.near_lists(v.where(usual).select(F.col("vec_id").alias("item_id"), double("embedding").alias("v")), c.select("list", double("cv").alias("cv"))).unionByName(rows(v.where(~usual)))
+    else:
+        s = rows(v)
     near = s.groupBy("item_id").agg(F.min_by(F.struct("list", "dist"), F.struct(F.round("dist", 9), "list")).alias("best"))
     return near.groupBy(F.col("best.list").alias("list")).agg(F.count("*").alias("members"), F.round(F.avg("best.dist"), 6).alias("mean_distance"))

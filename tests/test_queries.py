@@ -216,3 +216,20 @@ def test_spectrum_counts_leaves(spark):
         assert [got[g][i] for i in range(len(got[g]))] == pytest.approx(want.tolist(), abs=1e-8)
     wide = spark.range(100_000).selectExpr("'w' AS g", "'h' AS src", "CAST(id AS STRING) AS dst", "1.0D AS weight")
     assert [round(x.eigenvalue, 6) for x in numeric.spectrum(wide, "g", 4).orderBy("i").collect()] == [0, 1, 1, 1]
+
+
+def test_near_lists_hold_the_nearest_exactly(spark, monkeypatch):
+    from docweave.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "HELD", 64)
+    r = np.random.RandomState(5)
+    x = r.randn(200, 6)
+    x[50:60] = x[0]
+    v = spark.createDataFrame([(i, [float(y) for y in row]) for i, row in enumerate(x)], "item_id long, v array<double>")
+    c = v.where("item_id % 10 = 0").selectExpr("item_id AS list", "v AS cv")
+    found = {}
+    for row in retrieval.near_lists(v, c).collect():
+        found.setdefault(row.item_id, []).append((round(row.dist, 9), row.list))
+    want = {i: min((round(float(np.sqrt(((a - x[j]) ** 2).sum())), 9), j) for j in range(0, 200, 10)) for i, a in enumerate(x)}
+    assert {i: min(p) for i, p in found.items()} == want
+    assert sum(map(len, found.values())) < 250
