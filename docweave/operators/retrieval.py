@@ -149,3 +149,43 @@ def near_lists(vectors: DataFrame, lists: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + at)), names.take(pa.array(j)), pa.array(np.sqrt(total))], ["item_id", "list", "dist"])
 
     return vectors.select("item_id", "v").mapInArrow(assign, f"item_id {kind}, list {dict(lists.dtypes)['list']}, dist double")
+
+
+def near_cosines(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, item_id, score) of queries (qid, qv) and vectors (item_id, v) of other ids: the k greatest cosines among them.
+
+    Both hold vectors of one length, of finite doubles; queries are few and go to every task.  Products of matrices leave, in each
+    batch of vectors, those that may be among the k; their cosines are then taken coordinate by coordinate, 0 for zero vectors.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    found = asked.toArrow()
+    q = found.column("qv").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
+    held = vectors.sparkSession.sparkContext.broadcast((found.column("qid").combine_chunks(), q))
+
+    def unit(x):
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    def search(batches):
+        names, q = held.value
+        ids, uq = names.to_numpy(), unit(q)
+        for b in batches:
+            own = b.column(0).to_numpy()
+            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            ux, step = unit(x), max(1, HELD // max(1, len(x)))
+            for at in range(0, len(q) if len(x) else 0, step):
+                near = uq[at : at + step] @ ux.T
+                near[ids[at : at + step, None] == own[None, :]] = -2
+                last = max(0, len(x) - k)
+                i, j = np.nonzero((near >= np.partition(near, last, axis=1)[:, last : last + 1] - 1e-8) & (near > -1.5))
+                i += at
+                dot, nx, nq = np.zeros(len(i)), np.zeros(len(i)), np.zeros(len(i))
+                for d in range(x.shape[1]):
+                    a, c = x[j, d], q[i, d]
+                    dot, nx, nq = dot + a * c, nx + a * a, nq + c * c
+                n = np.sqrt(nx) * np.sqrt(nq)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(np.divide(dot, n, out=np.zeros_like(dot), where=n > 0))], ["qid", "item_id", "score"])
+
+    return vectors.select("item_id", "v").mapInArrow(search, f"qid {dict(asked.dtypes)['qid']}, item_id {dict(vectors.dtypes)['item_id']}, score double")

@@ -233,3 +233,19 @@ def test_near_lists_hold_the_nearest_exactly(spark, monkeypatch):
     want = {i: min((round(float(np.sqrt(((a - x[j]) ** 2).sum())), 9), j) for j in range(0, 200, 10)) for i, a in enumerate(x)}
     assert {i: min(p) for i, p in found.items()} == want
     assert sum(map(len, found.values())) < 250
+
+
+def test_near_cosines_hold_the_nearest_exactly(spark, monkeypatch):
+    from docweave.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "HELD", 64)
+    r = np.random.RandomState(6)
+    x = r.randn(120, 5)
+    x[50:60], x[70] = x[0], 0
+    v = spark.createDataFrame([(i, [float(y) for y in row]) for i, row in enumerate(x)], "item_id long, v array<double>")
+    found = {}
+    for row in retrieval.near_cosines(v, v.where("item_id % 10 = 0").selectExpr("item_id AS qid", "v AS qv"), 5).collect():
+        found.setdefault(row.qid, []).append((-round(row.score, 9) + 0.0, row.item_id))
+    n = np.linalg.norm(x, axis=1)
+    cosine = lambda a, b: float(x[a] @ x[b] / (n[a] * n[b])) if n[a] * n[b] > 0 else 0.0
+    assert {q: sorted(p)[:5] for q, p in found.items()} == {q: sorted((-round(cosine(q, j), 9) + 0.0, j) for j in range(120) if j != q)[:5] for q in range(0, 120, 10)}
