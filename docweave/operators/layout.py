@@ -39,10 +39,13 @@ def named(elements: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
 
 
 def page_pairs(elements: DataFrame) -> DataFrame:
-    """Pairs a_, b_ of elements of one page, in order: an equi-join on the page bounds each element's partners by its page."""
-    cols = ["doc_id", "seq", "page", "type", "x0", "y0", "x1", "y1"]
-    a, b = named(elements, "a_", cols), named(elements, "b_", cols)
-    return a.join(b, (F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_page") == F.col("b_page"))).where("a_seq != b_seq")
+    """Pairs a_, b_ of elements of one page, in order: a page's elements are shuffled once and paired with one another there."""
+    place, cols = ["doc_id", "page"], ["seq", "type", "x0", "y0", "x1", "y1"]
+    pages = elements.where("doc_id IS NOT NULL AND page IS NOT NULL").groupBy(*place).agg(F.collect_list(F.struct(*cols)).alias("e"))
+    a = pages.select(*place, F.explode("e").alias("a"), "e")
+    pairs = a.select(*place, "a", F.explode("e").alias("b")).where("a.seq != b.seq")
+    both = lambda p: [F.col(c).alias(f"{p}_{c}") if c in place else F.col(f"{p}.{c}").alias(f"{p}_{c}") for c in ["doc_id", "seq", "page", *cols[1:]]]
+    return pairs.select(*both("a"), *both("b"))
 
 
 def reading_order(elements: DataFrame) -> DataFrame:

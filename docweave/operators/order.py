@@ -1,17 +1,17 @@
 """Reading order as a topological order of a page's graph.
 
 ``reading_graph`` gives the edges in Spark.  ``topological_order`` orders each group (a page) by Kahn's algorithm with a priority queue, exactly;
-``topological_levels`` orders graphs of any size by rounds of joins, all ready nodes at once.  Both are defined on graphs with cycles:
+``group_levels`` and ``forward_edges`` work likewise; ``topological_levels`` orders graphs of any size by rounds of joins, all ready nodes at once.  Both are defined on graphs with cycles:
 where no node is ready, the first by priority of those left is taken (in each group), which breaks a cycle there.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,27 +84,93 @@ def kahn(nodes: list, priority: dict, edges: list[tuple]) -> list:
     return out
 
 
+def levels_of(nodes: list, priority: dict, edges: list[tuple]) -> dict:
+    """The round in which each node of one group is ready, from 0; where none is, the first by priority is taken."""
+    left, out, level = set(nodes), {}, 0
+    before = {n: set() for n in nodes}
+    for a, b in edges:
+        if a in left and b in left and a != b:
+            before[b].add(a)
+    while left:
+        now = [n for n in left if not before[n]] or [min(left, key=lambda n: (priority[n], n))]
+        for n in now:
+            out[n] = level
+        left.difference_update(now)
+        for n in left:
+            before[n].difference_update(now)
+        level += 1
+    return out
+
+
+def by_group(nodes: DataFrame, edges: DataFrame, group: list[str], node: str, priority: list[str], solve: Callable[[list, dict, list], tuple[list, list]], out: dict[str, bool]) -> DataFrame:
+    """(group, *out): ``solve`` takes a group's nodes, their priorities and edges, and gives the two columns of its rows: nodes, and nodes or
+    whole numbers.  ``out``: their names, and whether they are numbers.  Nodes and edges are shuffled once, together; a group is held by one task, a batch of them at a time.
+    """
+    types = nodes.select(*group, node).schema
+    (kind,), number = types.fields[len(group):], list(out.values())[1]
+    types_out = {c: "int" if is_number else kind.dataType.simpleString() for c, is_number in out.items()}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in types.fields[: len(group)]), *(f"`{c}` {t}" for c, t in types_out.items())])
+    rank = F.struct(F.col(node).alias("node"), *(F.coalesce(F.col(p), F.lit(0.0)).cast("double").alias(f"p{i}") for i, p in enumerate(priority)))
+    link = F.struct("src", "dst")
+    both = nodes.select(*group, rank.alias("n")).unionByName(edges.select(*group, link.alias("e")), allowMissingColumns=True)
+    held = both.groupBy(*group).agg(F.collect_list("n").alias("n"), F.collect_list("e").alias("e")).where("size(n) > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            members, links = b.column(len(group)), b.column(len(group) + 1)
+            at, upto = members.offsets.to_pylist(), links.offsets.to_pylist()
+            first, base = at[0], upto[0]
+            members, links = members.flatten(), links.flatten()
+            ids, ranks = members.field("node").to_pylist(), list(zip(*(members.field(f"p{i}").to_pylist() for i in range(len(priority)))))
+            pairs = list(zip(links.field("src").to_pylist(), links.field("dst").to_pylist()))
+            rows, one, two = [], [], []
+            for i in range(b.num_rows):
+                s, e = at[i] - first, at[i + 1] - first
+                place = {n: k for k, n in enumerate(ids[s:e], s)}
+                x, y = solve(list(place), {n: ranks[k] for n, k in place.items()}, pairs[upto[i] - base : upto[i + 1] - base])
+                rows += [i] * len(x)
+                one += [place[n] for n in x]
+                two += y if number else [place[n] for n in y]
+            values = members.field("node")
+            second = pa.array(two, pa.int32()) if number else values.take(pa.array(two, pa.int64()))
+            kept = [b.column(g).take(pa.array(rows, pa.int64())) for g in range(len(group))]
+            yield pa.RecordBatch.from_arrays([*kept, values.take(pa.array(one, pa.int64())), second], [*group, *out])
+
+    return held.mapInArrow(run, schema)
+
+
 def topological_order(nodes: DataFrame, edges: DataFrame, group: list[str], node: str, priority: list[str]) -> DataFrame:
     """(group, node, position): each group's nodes by Kahn's algorithm, the ready one of least (priority, node) first; from 1.
 
     edges: (group, src, dst); those that leave the group, repeat or lead back to their own node do not count.  A group is a page, or as
     much as one task may hold.  Null priorities count as 0.
     """
-    types = nodes.select(*group, node).schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in types), "position int"])
-    ends = edges.groupBy(*group).agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
-    held = nodes.groupBy(*group).agg(F.collect_list(F.struct(F.col(node).alias("node"), *(F.coalesce(F.col(p), F.lit(0.0)).cast("double").alias(f"p{i}") for i, p in enumerate(priority)))).alias("nodes"))
 
-    def run(batches):
-        for b in batches:
-            for _, r in b.iterrows():
-                rank = {n["node"]: tuple(n[f"p{i}"] for i in range(len(priority))) for n in r["nodes"]}
-                pairs = list(zip(r["src"], r["dst"])) if r["src"] is not None else []
-                order = kahn(list(rank), rank, pairs)
-                yield pd.DataFrame({**{g: [r[g]] * len(order) for g in group}, node: order, "position": range(1, len(order) + 1)}, dtype=object)
+    def solve(ids: list, rank: dict, pairs: list) -> tuple[list, list]:
+        return kahn(ids, rank, pairs), list(range(1, len(ids) + 1))
+
+    return by_group(nodes, edges, group, node, priority, solve, {node: False, "position": True})
+
+
+def group_levels(nodes: DataFrame, edges: DataFrame, group: list[str], node: str, priority: list[str]) -> DataFrame:
+    """``topological_levels`` of groups that one task may hold, such as pages: one shuffle instead of joins in rounds."""
+
+    def solve(ids: list, rank: dict, pairs: list) -> tuple[list, list]:
+        level = levels_of(ids, rank, pairs)
+        return ids, [level[n] for n in ids]
+
+    return by_group(nodes, edges, group, node, priority, solve, {node: False, "level": True})
+
+
+def forward_edges(nodes: DataFrame, edges: DataFrame, group: list[str], node: str, priority: list[str]) -> DataFrame:
+    """(group, src, dst): the edges that lead forward in ``topological_order``, as ``acyclic`` gives them, found where that order is."""
+
+    def solve(ids: list, rank: dict, pairs: list) -> tuple[list, list]:
+        at = {n: i for i, n in enumerate(kahn(ids, rank, pairs))}
+        kept = [(a, b) for a, b in pairs if a in at and b in at and at[a] < at[b]]
+        return [a for a, _ in kept], [b for _, b in kept]
 
-    same = reduce(lambda a, b: a & b, (held[g].eqNullSafe(ends[g]) for g in group))
-    return held.join(ends, same, "left").select(*(held[g] for g in group), "nodes", "src", "dst").mapInPandas(run, schema)
+    return by_group(nodes, edges, group, node, priority, solve, {"src": False, "dst": False})
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, group: list[str], node: str, priority: list[str], each: Callable[[int], None] | None = None) -> DataFrame:
@@ -145,9 +211,11 @@ def acyclic(edges: DataFrame, order: DataFrame, group: list[str], node: str) ->
 def alignment(found: DataFrame, wanted: DataFrame, group: list[str], node: str) -> DataFrame:
     """(group, distance): mean distance between each node's places in two orders (group, node, position), as a share of the longer one;
     a node that the wanted order lacks counts 1, as does a group that only one of them has."""
-    a = found.select(*group, node, F.row_number().over(Window.partitionBy(*group).orderBy("position")).alias("a"))
-    b = wanted.select(*group, node, F.row_number().over(Window.partitionBy(*group).orderBy("position")).alias("b"))
-    both = a.join(b, [*group, node], "full").groupBy(*group).agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.abs(F.col("a") - F.col("b")))).alias("moved"), F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("alone"))
+    ends = found.select(*group, node, F.col("position").alias("fa")).unionByName(wanted.select(*group, node, F.col("position").alias("fb")), allowMissingColumns=True)
+    # all that follows is within a group, so one shuffle by groups serves it
+    at = ends.repartition(*group).groupBy(*group, node).agg(F.max("fa").alias("fa"), F.max("fb").alias("fb"))
+    place = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy(*group).orderBy(F.asc_nulls_last(c))))
+    both = at.select(*group, place("fa").alias("a"), place("fb").alias("b")).groupBy(*group).agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("moved"), F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("alone"))
     distance = F.when((F.col("na") == 0) | (F.col("nb") == 0), 1.0).otherwise((F.coalesce("moved", F.lit(0)) / F.greatest("na", "nb") + F.col("alone")) / F.col("na"))
     return both.select(*group, distance.alias("distance"))
 

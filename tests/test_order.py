@@ -119,3 +119,19 @@ def test_curvatures(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (1, "a", "d"), (1, "z", "a"), (2, "a", "b")], "g int, src string, dst string")
     got = {(r.g, r.src, r.dst): (r.curvature, r.is_fragile) for r in O.curvatures(edges, nodes, ["g"], "n").collect()}
     assert got == {(1, "a", "b"): (-4.0, True), (1, "a", "c"): (1.0, False), (1, "a", "d"): (0.0, False), (1, "z", "a"): (0.0, False), (2, "a", "b"): (0.0, False)}
+
+
+def test_pages_are_solved_in_one_shuffle(spark):
+    """Levels and forward edges of a page equal those by joins over all of them."""
+    rng = random.Random(8)
+    nodes = [(g, n, rng.random()) for g in ("a", "b", None) for n in range(9)]
+    links = [(g, rng.randrange(10), rng.randrange(10)) for g in ("a", "b", None) for _ in range(14)]
+    v, e = spark.createDataFrame(nodes, "g string, n long, p double"), spark.createDataFrame(links, "g string, src long, dst long")
+    kept = "g IS NOT NULL"
+    levels = {(r.g, r.n, r.level) for r in O.group_levels(v, e, ["g"], "n", ["p"]).where(kept).collect()}
+    assert levels == {(r.g, r.n, r.level) for r in O.topological_levels(v.where(kept), e, ["g"], "n", ["p"]).collect()}
+    order = O.topological_order(v, e, ["g"], "n", ["p"]).where(kept)
+    forward = sorted((r.g, r.src, r.dst) for r in O.forward_edges(v, e, ["g"], "n", ["p"]).where(kept).collect())
+    assert forward == sorted((r.g, r.src, r.dst) for r in O.acyclic(e, order, ["g"], "n").collect())
+    plan = O.group_levels(v, e, ["g"], "n", ["p"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
