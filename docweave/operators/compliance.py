@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from docweave.functions import text as T
-from docweave.operators.text_stats import rarest
+from docweave.operators.graphs import written
+from docweave.operators.text_stats import meeting_sets
 
 #: What screening looks for.
 INJECTION = ["ignore (all )?(previous|prior) instructions", "disregard (the )?(above|system)", "you are now"]
@@ -92,22 +93,24 @@ def broken_links(chain: DataFrame, by: str, order: list[str], payload: Column) -
 def best_evidence(claims: DataFrame, known: DataFrame, least: float = 0.3, partial: float = 0.4, full: float = 0.75) -> DataFrame:
     """(claim_id, known_id, similarity, status): the known text nearest to each claim by Jaccard of words, at least ``least``.
 
-    Two sets that similar share one of the rarest words of each, down to the bound: only texts that share one of these meet.
+    Claims of equal words are compared once, and of known texts of equal words the one of smallest id stands for all.  Only texts that
+    share several of their rarest words meet (``meeting_sets``).
     """
 
     def sets(df: DataFrame, key: str, text: str) -> DataFrame:
-        return df.select(F.col(key).alias("id"), F.array_distinct(T.words(F.col(text))).alias("w")).where("size(w) > 0")
+        w = F.array_sort(F.array_distinct(T.words(F.col(text))))
+        return df.select(F.col(key).alias("id"), w.alias("w")).where("size(w) > 0").withColumn("words", F.sha2(F.array_join("w", "\x01").cast("binary"), 256))
 
     c, k = sets(claims, "claim_id", "claim"), sets(known, "known_id", "known")
-    seen = c.select(F.explode("w").alias("x")).unionByName(k.select(F.explode("w").alias("x"))).groupBy("x").agg(F.count("*").alias("df"))
-
-    pairs = rarest(c, seen, least).withColumnRenamed("id", "claim_id").join(rarest(k, seen, least).withColumnRenamed("id", "known_id"), "x").select("claim_id", "known_id").distinct()
-    j = pairs.join(c.select(F.col("id").alias("claim_id"), F.col("w").alias("cw")), "claim_id").join(k.select(F.col("id").alias("known_id"), F.col("w").alias("kw")), "known_id")
+    once = lambda df, side: df.groupBy("words").agg(F.min(F.struct("id", "w")).alias("m")).select("words", "m.id", "m.w", F.lit(side).alias("side"))
+    both_sides = written(once(c, 0).unionByName(once(k, 1)), "sets")
+    met = written(meeting_sets(both_sides.select("id", "side", "w"), least), "met")
+    x, y = both_sides.where("side = 0").select(F.col("id").alias("a"), "words", F.col("w").alias("cw")), both_sides.where("side = 1").select(F.col("id").alias("b"), F.col("w").alias("kw"))
     both = F.size(F.array_intersect("cw", "kw"))
-    scored = j.select("claim_id", "known_id", (both / (F.size("cw") + F.size("kw") - both)).alias("s")).where(F.col("s") >= least)
-    best = scored.groupBy("claim_id").agg(F.min_by(F.struct("known_id", "s"), F.struct(-F.round("s", 9), F.col("known_id"))).alias("b"))
+    scored = met.join(x, "a").join(y, "b").select("words", F.col("b").alias("known_id"), (both / (F.size("cw") + F.size("kw") - both)).alias("s")).where(F.col("s") >= least)
+    best = scored.groupBy("words").agg(F.min_by(F.struct("known_id", "s"), F.struct(-F.round("s", 9), F.col("known_id"))).alias("b"))
     status = F.when(F.col("s") >= full, "supported").when(F.col("s") >= partial, "partially_supported").otherwise("unverified")
-    found = best.select("claim_id", "b.known_id", "b.s").select("claim_id", "known_id", F.col("s").alias("similarity"), status.alias("status"))
+    found = c.select(F.col("id").alias("claim_id"), "words").join(best, "words").select("claim_id", "b.known_id", "b.s").select("claim_id", "known_id", F.col("s").alias("similarity"), status.alias("status"))
     return claims.select("claim_id").join(found, "claim_id", "left").select("claim_id", "known_id", F.coalesce("similarity", F.lit(0.5)).alias("similarity"), F.coalesce("status", F.lit("unverified")).alias("status"))
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
+from docweave.operators.graphs import written
 
 
 def postings(docs: DataFrame, text: str, by: list[str]) -> DataFrame:
@@ -115,26 +121,108 @@ def signature_classes(signatures: DataFrame, by: str) -> DataFrame:
     return signatures.groupBy("signature").agg(F.min(by).alias(by)).select(by, "signature")
 
 
-def rarest(sets: DataFrame, seen: DataFrame, least: float) -> DataFrame:
-    """(id, x): of each set the rarest members, so many that two sets of a Jaccard similarity of ``least`` share one of them."""
-    ranked = sets.select("id", F.explode("w").alias("x")).join(seen, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
-    keep = F.size("r") - F.ceil(least * F.size("r") - 1e-9) + 1
-    return ranked.select("id", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("r")).select("id", "r.x")
+#: Parts that a set's rarest members are dealt to, members in common that are asked for, pairs of one step.
+PARTS, ASKED, STEP_PAIRS = 8, 17, 1 << 22
+
+
+def meeting_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of sets (id, w) whose Jaccard similarity is ``least`` or more, and some others, the smaller id first.  With a column
+    ``side`` (0 or 1), ids of which are told apart by side, the pairs of a set of side 0 and one of side 1.
+
+    Two such sets of at most n members have k = ceil(least * n) in common.  With members in one order, rare ones first, any 1 + PARTS * (r - 1) <= k of
+    these are among the first n - ceil(least * n) + 1 + PARTS * (r - 1) of each.  Members are dealt to PARTS parts by hash, so in one part the pair
+    shares r: only pairs that do leave a task, r being as large as ASKED and k allow.  A task holds one part of the sets of similar size, as numbers of 32 bits; equal numbers of different
+    members add pairs, and lose none.
+    """
+    if not 0 < least < 1:
+        raise ValueError("least lies between 0 and 1")
+    one_side = "side" not in sets.columns
+    members = sets.select("id", (F.lit(-1) if one_side else F.col("side")).alias("side"), F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
+    seen = members.groupBy("h").agg(F.count("*").alias("df"))
+    held = members.join(seen, "h").groupBy("id", "side", "n").agg(F.collect_list("df").alias("df"), F.collect_list("h").alias("h"))
+    kind = dict(sets.dtypes)["id"]
+    asked = lambda n: np.ceil(np.minimum(ASKED, n) / PARTS)
+    common = lambda n: np.ceil(least * n - 1e-9)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n, lists = t.column(2).to_numpy().astype(np.int64), t.column(4)
+            doc, h, df = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), t.column(3).flatten().to_numpy()
+            order = np.lexsort((h, df, doc))
+            h, df = h[order], df[order]
+            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            # a partner has n / least members at most, so at most n are asked for; a member of one set only meets none
+            keep = (place < n[doc] - common(n[doc]) + 1 + PARTS * (asked(n[doc]) - 1)) & (df > 1)
+            doc, h, place = doc[keep], h[keep], place[keep]
+            part = h.view(np.uint64) % PARTS
+            order = np.lexsort((part, doc))
+            doc, h, place, part = (x[order] for x in (doc, h, place, part))
+            start = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])))) if len(doc) else np.zeros(0, np.int64)
+            ends = pa.array(np.append(start, len(doc)), pa.int32())
+            of = pa.array(doc[start])
+            # a set meets those of its own class of sizes and of the next
+            level = np.floor(np.log(n[doc[start]]) / -math.log(least) + 1e-9).astype(np.int32)
+            rest = [t.column(0).take(of), t.column(1).take(of), t.column(2).take(of), pa.ListArray.from_arrays(ends, pa.array((h >> 32).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.array(part[start].astype(np.int32))]
+            for own in (True, False):
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.full(len(start), own)), pa.array(level - (not own))], ["id", "side", "n", "h", "place", "part", "own", "level"])
+
+    groups = held.select("id", "side", "n", "df", "h").mapInArrow(deal, f"id {kind}, side int, n int, h array<int>, place array<int>, part int, own boolean, level int")
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("n")
+        n, own = t.column("n").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
+        side = t.column("side").to_numpy()
+        n = n.astype(np.int64)
+        lists = t.column("h").combine_chunks()
+        doc, member = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        after = n[doc] - t.column("place").combine_chunks().flatten().to_numpy()  # members from this one on
+        order = np.lexsort((doc, member))
+        member, post, after = member[order], doc[order], after[order]
+        end = np.searchsorted(member, member, "right")
+        by_doc = np.argsort(post, kind="stable")
+        by_doc = by_doc[own[post[by_doc]]]
+        follow = end[by_doc] - by_doc - 1  # the postings of larger sets that hold the member
+        upto = np.cumsum(follow)
+        pairs, at = [], 0
+        while at < len(by_doc):
+            stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP_PAIRS, "right"))
+            stop = min(len(by_doc), max(stop, at + 1))
+            # all of one set's members are in one step
+            stop = int(np.searchsorted(post[by_doc], post[by_doc[stop - 1]], "right"))
+            k, f = by_doc[at:stop], follow[at:stop]
+            there = np.repeat(k + 1 - (np.cumsum(f) - f), f) + np.arange(f.sum())
+            a, b = np.repeat(post[k], f), post[there]
+            fit = (a != b) & (least * n[b] <= n[a] + 1e-9) & ((side[a] != side[b]) | (side[a] < 0))
+            # where one is asked for it may be the first that they share: all others follow it in both
+            fit &= (asked(common(n[b])) > 1) | (np.minimum(np.repeat(after[k], f), after[there]) >= np.ceil(least / (1 + least) * (n[a] + n[b]) - 1e-9))
+            code, shared = np.unique(a[fit] * len(n) + b[fit], return_counts=True)
+            b = code % len(n)
+            pairs.append(code[shared >= asked(common(n[b]))])
+            at = stop
+        code = np.concatenate([np.zeros(0, np.int64), *pairs])
+        ids = t.column("id").combine_chunks()
+        a, b = code // len(n), code % len(n)
+        a, b = np.where(side[a] > side[b], b, a), np.where(side[a] > side[b], a, b)
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+
+    met = groups.groupBy("level", "part").applyInArrow(meet, f"a {kind}, b {kind}")
+    if one_side:
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.distinct()
 
 
 def similar_sets(docs: DataFrame, by: str, tokens: Column, least: float) -> DataFrame:
     """(a, b, jaccard): every pair of different sets of that similarity, between the smallest ids of equal sets, and each other id of
     equal sets with the smallest (1.0).  Empty sets are left out.
 
-    Sets meet by their rarest members only, which loses no pair; equal sets count once, so copies are not paired with one another.
+    Only sets that share several of their rarest members are compared (``meeting_sets``), which loses no pair; equal sets count once,
+    so copies are not paired with one another.
     """
     rows = docs.select(F.col(by).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("w")).where("size(w) > 0").withColumn("key", F.sha2(F.array_join("w", "\x01").cast("binary"), 256))
-    first = rows.groupBy("key").agg(F.min(F.struct("id", "w")).alias("m")).select("key", "m.id", "m.w")
+    first = written(rows.groupBy("key").agg(F.min(F.struct("id", "w")).alias("m")).select("key", "m.id", "m.w"), "sets")
     members = rows.select("id", "key").join(first.select("key", F.col("id").alias("a")), "key").where("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    seen = first.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-    few = rarest(first, seen, least)
-    met = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "x").where("a < b").select("a", "b").distinct()
+    met = written(meeting_sets(first.select("id", "w"), least), "met")
     x, y = (first.select(F.col("id").alias(i), F.col("w").alias(w)) for i, w in (("a", "x"), ("b", "y")))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = met.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard"))
+    both = met.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    scored = both.select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("jaccard"))
     return scored.where(F.col("jaccard") >= least).unionByName(members)
