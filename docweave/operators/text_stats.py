@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,18 +66,44 @@ def capitalised_spans(docs: DataFrame, text: str) -> DataFrame:
 
 
 def keyphrases(docs: DataFrame, text: str, by: str, k: int) -> DataFrame:
-    """Top phrases of each document: words by tf x smooth idf, neighbouring pairs by the product of their counts x 1.5."""
-    tokens = docs.select(by, T.without(T.words(F.col(text)), T.STOP_WORDS).alias("w"))
-    uni = tokens.select(by, F.explode("w").alias("term")).groupBy(by, "term").agg(F.count("*").alias("tf"))
+    """Top phrases of each document: words by tf x smooth idf, neighbouring pairs by the product of their counts x 1.5.
+
+    Pairs need a document's own counts only, so its best ones are found in its row.  An idf lies between 1 and that of a word of one
+    document, so of the words only those go on to the join with their idf that may still be among the first ``k``.
+    """
+    kind = dict(docs.dtypes)[by]
     n = docs.count()
-    idf = uni.groupBy("term").agg(smooth_idf(F.lit(n), F.count("*")).alias("idf"))
-    single = uni.join(idf, "term").select(by, F.col("term").alias("phrase"), (F.col("tf") * F.col("idf")).alias("score"))
-    # pairs are formed inside a row, so no window or shuffle is needed for them
-    most = F.greatest(F.size("w") - 1, F.lit(0))
-    pair = F.zip_with(F.slice("w", 1, most), F.slice("w", 2, most), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = tokens.select(by, F.explode(pair).alias("p")).groupBy(by, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
-    a, b = (uni.select(by, F.col("term").alias(x), F.col("tf").alias(f"tf_{x}")) for x in "ab")
-    double = pairs.join(a, [by, "a"]).join(b, [by, "b"]).select(by, F.concat_ws(" ", "a", "b").alias("phrase"), (F.col("tf_a") * F.col("tf_b") * 1.5).alias("score"))
+    most = math.log((1 + n) / 2) + 1 if n else 1.0
+    tokens = docs.select(by, T.without(T.words(F.col(text)), T.STOP_WORDS).alias("w")).where("w IS NOT NULL")
+    # rows of one id are one document; only ids that repeat are shuffled with their words
+    again = docs.groupBy(by).agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select(by)
+    alone = tokens.where(F.col(by).isNotNull()).join(again, by, "left_anti").select(by, F.array("w").alias("w"))
+    shared = tokens.join(again, by, "left_semi").unionByName(tokens.where(F.col(by).isNull())).groupBy(by).agg(F.collect_list("w").alias("w"))
+    held = alone.unionByName(shared)
+    df = held.select(F.explode(F.array_distinct(F.flatten("w"))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("df"))
+    idf = df.select("phrase", smooth_idf(F.lit(n), F.col("df")).alias("idf"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                rows, phrases, counts, scores = [], [], [], []
+                for i, (key, texts) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                    tf = Counter(x for w in texts for x in w)
+                    pairs = {(x, y) for w in texts for x, y in zip(w, w[1:])} if key is not None else ()
+                    best = heapq.nsmallest(k, ((-tf[x] * tf[y] * 1.5, f"{x} {y}") for x, y in pairs))
+                    sure = heapq.nlargest(k, [*(-s for s, _ in best), *map(float, heapq.nlargest(k, tf.values()))])
+                    least = sure[-1] - 1e-6 if len(sure) == k else 0.0
+                    words = [(x, c) for x, c in tf.items() if c * most >= least]
+                    rows += [i] * (len(best) + len(words))
+                    phrases += [p for _, p in best] + [x for x, _ in words]
+                    counts += [None] * len(best) + [c for _, c in words]
+                    scores += [-s for s, _ in best] + [None] * len(words)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(phrases, pa.string()), pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], [by, "phrase", "tf", "score"])
+
+    rows = written(held.mapInArrow(found, f"`{by}` {kind}, phrase string, tf long, score double"), "phrases")
+    single = rows.where("tf IS NOT NULL").join(idf, "phrase").select(by, "phrase", (F.col("tf") * F.col("idf")).alias("score"))
+    double = rows.where("tf IS NULL").select(by, "phrase", "score")
     return top_within(single.unionByName(double), [by], k, [F.desc(F.round("score", 9)), F.asc("phrase")])
 
 
