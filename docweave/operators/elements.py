@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as T
 from docweave.functions import vectors as V
 from docweave.operators import layout as L
+from docweave.operators.graphs import written
 from docweave.operators.ranks import with_below
 
 # fixed values: weights of element types, words that tie a paragraph to a table
@@ -15,6 +16,8 @@ TYPE_WEIGHTS = {"heading": 1.5, "table": 1.8, "caption": 0.7}
 TABLE_WORDS = "table|tbl|above|below"
 GROUP_WEIGHT = 0.9
 NEAR = 0.12
+#: Words whose counts are sent to all tasks at most.
+COMMON_WORDS = 100_000
 
 
 def token_entropy(tokens: Column) -> Column:
@@ -44,12 +47,16 @@ def densities(elements: DataFrame) -> DataFrame:
 def importance(elements: DataFrame, alpha: float = 0.5, beta: float = 0.3, gamma: float = 0.2) -> DataFrame:
     """(doc_id, seq, raw, weight): rare words, type and area; text that recurs is damped; weights are scaled to 0..1.
 
-    A word's corpus count meets the elements by word; each element's words are counted before that shuffle.
+    The counts of the commonest words go to all tasks, where the words that they cover are added up; only the others are shuffled to meet
+    their counts.  What is found is written, as more than one pass over it follows.
     """
     base = elements.withColumn("w", T.words(F.col("content")))
-    counted = base.select("doc_id", "seq", F.explode("w").alias("word")).groupBy("doc_id", "seq", "word").agg(F.count("*").alias("n"))
-    tf = counted.groupBy("word").agg(F.sum("n").alias("tf"))
-    rarity = counted.join(tf, "word").groupBy("doc_id", "seq").agg((F.sum(F.col("n") * F.col("tf")) / F.sum("n")).alias("mean_tf"))
+    words = base.select("doc_id", "seq", F.explode("w").alias("word"))
+    tf = written(words.groupBy("word").agg(F.count("*").alias("tf")), "words")
+    common = F.broadcast(tf.orderBy(F.desc("tf"), "word").limit(COMMON_WORDS))
+    known = words.join(common, "word", "left").groupBy("doc_id", "seq").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"), F.count("tf").alias("n"))
+    others = words.join(common.select("word"), "word", "left_anti").join(tf, "word").groupBy("doc_id", "seq").agg(F.sum("tf").alias("tf"), F.count("*").alias("n"))
+    rarity = known.unionByName(others).groupBy("doc_id", "seq").agg((F.sum("tf") / F.sum("n")).alias("mean_tf"))
     copies = elements.groupBy(T.normal_hash(F.col("content")).alias("hash")).agg(F.count("*").alias("copies"))
     e = base.drop("w").withColumn("hash", T.normal_hash(F.col("content"))).join(copies, "hash").join(rarity, ["doc_id", "seq"], "left")
     of_type = F.lit(1.0)
@@ -58,7 +65,7 @@ def importance(elements: DataFrame, alpha: float = 0.5, beta: float = 0.3, gamma
     rare = F.when(F.col("mean_tf").isNull(), 0.0).otherwise(1 / (1 + F.log1p("mean_tf")))
     raw = alpha * rare + beta * F.least(F.lit(1.0), of_type / 2) + gamma * F.least(F.lit(1.0), L.area() * 2)
     raw = F.when(F.col("copies") > 1, raw / F.log(2.0 + F.col("copies"))).otherwise(raw)
-    scored = e.select("doc_id", "seq", "section", F.round(raw, 9).alias("raw"))
+    scored = written(e.select("doc_id", "seq", "section", F.round(raw, 9).alias("raw")), "scored")
     ends = scored.agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
     return scored.crossJoin(F.broadcast(ends)).select("doc_id", "seq", "section", "raw", F.round((F.col("raw") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9), 4).alias("weight"))
 
