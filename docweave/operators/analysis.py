@@ -25,19 +25,33 @@ def chunks(elements: DataFrame, by: str, budget: int, protected: list[str]) -> D
     """(by, chunk, first, last, tokens): runs of elements; a protected type stands alone, and a chunk ends before its budget is
     exceeded.  The budget starts anew with each chunk, so a document is folded in order."""
     kind = dict(elements.dtypes)[by]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        alone = True
-        for seq, t, n in pdf.sort_values("seq")[["seq", "type", "tokens"]].itertuples(index=False):
-            if alone or t in protected or out[-1][2] + n > budget:
-                out.append([seq, seq, n])
-            else:
-                out[-1][1], out[-1][2] = seq, out[-1][2] + n
-            alone = t in protected
-        return pd.DataFrame({by: pdf[by].iloc[0], "chunk": np.arange(len(out), dtype=np.int32), "first": [c[0] for c in out], "last": [c[1] for c in out], "tokens": [c[2] for c in out]})
-
-    return elements.select(by, "seq", "type", "tokens").groupBy(by).applyInPandas(fold, f"{by} {kind}, chunk int, first long, last long, tokens long")
+    row = F.struct("seq", F.coalesce(F.col("type").isin(protected), F.lit(False)).alias("alone"), "tokens")
+    held = elements.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            at, rows = lists.offsets.to_pylist(), lists.flatten()
+            base = at[0]
+            seq, alone, tokens = (rows.field(c).to_pylist() for c in ("seq", "alone", "tokens"))
+            of, chunk, first, last, size = [], [], [], [], []
+            for i in range(b.num_rows):
+                ended, number = True, -1
+                for k in range(at[i] - base, at[i + 1] - base):
+                    if ended or alone[k] or size[-1] + tokens[k] > budget:
+                        number += 1
+                        of.append(i)
+                        chunk.append(number)
+                        first.append(seq[k])
+                        last.append(seq[k])
+                        size.append(tokens[k])
+                    else:
+                        last[-1], size[-1] = seq[k], size[-1] + tokens[k]
+                    ended = alone[k]
+            numbers = [pa.array(chunk, pa.int32()), *(pa.array(c, pa.int64()) for c in (first, last, size))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *numbers], [by, "chunk", "first", "last", "tokens"])
+
+    return held.mapInArrow(fold, f"`{by}` {kind}, chunk int, first long, last long, tokens long")
 
 
 def text_rank(sentences: DataFrame, by: str, rounds: int = 50, damping: float = 0.85) -> DataFrame:
