@@ -60,25 +60,31 @@ def text_rank(sentences: DataFrame, by: str, rounds: int = 50, damping: float =
     Similarity is shared distinct words over the sum of logarithms of the counts; a sentence linked to none gets the base score.
     """
     kind = dict(sentences.dtypes)[by]
+    held = sentences.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "words"))).alias("s"))
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        words = [set(w) for w in pdf["words"]]
-        ids = {w: k for k, w in enumerate(sorted(set().union(*words)))}
-        m = np.zeros((len(words), max(1, len(ids))))
-        for r, ws in enumerate(words):
-            m[r, [ids[w] for w in ws]] = 1
+    def rank(count: int, of: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        m = np.zeros((count, max(1, int(ids.max(initial=-1)) + 1)))
+        m[of, ids] = 1
         n = np.log(np.maximum(m.sum(1), 1) + 1)
         sim = (m @ m.T) / (n[:, None] + n[None, :])
         np.fill_diagonal(sim, 0)
         total = sim.sum(1, keepdims=True)
         step = np.divide(sim, total, out=np.zeros_like(sim), where=total > 0)
-        score = np.full(len(words), 1 / len(words))
+        score = np.full(count, 1 / count)
         for _ in range(rounds):
-            score = (1 - damping) / len(words) + damping * step.T @ score
-        return pd.DataFrame({by: pdf[by].iloc[0], "i": pdf["i"].to_numpy(), "score": score})
+            score = (1 - damping) / count + damping * step.T @ score
+        return score
 
-    return sentences.groupBy(by).applyInPandas(rank, f"{by} {kind}, i int, score double")
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                s = b.column(1).slice(row, 1).flatten()
+                words = s.field("words")
+                codes = words.flatten().dictionary_encode().indices.to_numpy()
+                score = rank(len(s), np.repeat(np.arange(len(s)), np.diff(words.offsets.to_numpy())), codes)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(s), row))), s.field("i"), pa.array(score)], [by, "i", "score"])
+
+    return held.mapInArrow(ranked, f"`{by}` {kind}, i int, score double")
 
 
 def co_members(incidence: DataFrame, edge: str, node: str) -> DataFrame:
