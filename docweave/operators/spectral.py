@@ -123,6 +123,13 @@ def spectral_clusters(edges: DataFrame, k: int, **how) -> DataFrame:
     return found.join(F.broadcast(first), "cluster").select(F.col("id").alias("node"), F.col("number").alias("cluster"))
 
 
+def passed_on(e: DataFrame, now: DataFrame) -> DataFrame:
+    """(node, got): what nodes (node, x) give along edges (src, dst, w).  Joins are by sorted shuffles: a broadcast would lead all nodes
+    through the driver in each round."""
+    got = e.join(now.hint("merge"), e.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("got"))
+    return got.hint("merge")
+
+
 def eigenvector_centrality(edges: DataFrame, directed: bool = True, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """(node, centrality): of unit length, in proportion to the sum of the nodes that point at it (all neighbours if not ``directed``).
 
@@ -137,8 +144,7 @@ def eigenvector_centrality(edges: DataFrame, directed: bool = True, rounds: int
     n = nodes.count()
     now = written(nodes.withColumn("x", F.lit(1.0 / max(1, n))), "centrality")
     for _ in range(rounds):
-        got = e.join(now, e.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("got"))
-        raw = written(now.join(got, "node", "left").select("node", F.col("x").alias("old"), (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("x")), "raw")
+        raw = written(now.join(passed_on(e, now), "node", "left").select("node", F.col("x").alias("old"), (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("x")), "raw")
         size = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
         if not size:
             break

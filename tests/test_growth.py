@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as T
 from docweave.operators import analysis as A
 from docweave.operators import elements as E
+from docweave.operators import spectral
 from docweave.operators import text_stats as S
 
 
@@ -53,3 +54,19 @@ def test_chunks_take_many_documents_a_batch(spark):
     want = [(0, 0, 1, 10), (1, 2, 2, 9), (2, 3, 3, 1), (3, 4, 5, 10)]
     for d in (1, None):
         assert sorted(tuple(r)[1:] for r in found.where(F.col("d").eqNullSafe(F.lit(d))).collect()) == want
+
+
+def test_centrality_sends_no_table_through_the_driver(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0)], "src string, dst string, w double")
+    now = spark.createDataFrame([("a", 1.0), ("b", 0.5), ("c", 0.0)], "node string, x double")
+    found = spectral.passed_on(e, now)
+    assert {r.node: r.got for r in found.collect()} == {"a": 0.5, "b": 1.0, "c": 1.0}
+    assert "BroadcastExchange" not in plan(found) + plan(now.join(found, "node", "left"))
+
+
+def test_sentences_are_ranked_many_texts_a_batch(spark):
+    s = spark.createDataFrame([(1, 0, ["a", "b", "a"]), (1, 1, ["b", "c"]), (1, 2, ["d"]), (2, 0, []), (None, 0, ["x"]), (None, 1, ["x"])], "d long, i int, words array<string>")
+    found = A.text_rank(s, "d")
+    assert "FlatMapGroups" not in plan(found)
+    got = {(r.d, r.i): round(r.score, 6) for r in found.collect()}
+    assert got[1, 0] == got[1, 1] == round(0.05 / (1 - 0.85), 6) and got[1, 2] == 0.05 and got[2, 0] == 0.15 and got[None, 0] == 0.5
