@@ -13,7 +13,9 @@ members by 24 bits of 64 at distance three; those that agree on them meet in one
 
 ``similar_documents`` finds all documents whose word shingles have a given Jaccard similarity, of which one fingerprint in three bits
 sees only the most similar.  It puts a text's distinct shingles in an order that is the same for all texts; two sets that similar share
-one of so many first ones, and more of them the nearer in size.  Texts that share enough of these are compared on all shingles.
+one of so many first ones, and more of them the nearer in size.  Pairs that share enough of these are first held against each other by
+parity sketches, whose differing bits are no more than the shingles that only one of two texts has, so no similar pair is lost; those
+left are compared on all shingles.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero and are linked like any other.  Texts with
 fewer words than a shingle give one shingle of all words.  Repeated rows link at distance zero.  Rows with a null id keep
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,8 @@ BROADCAST_NODES = 1 << 18
 FEW = 16
 #: One text in so many is looked at for common shingles; texts among these that hold one; common shingles (eight bytes each) at most.
 SOME, OFTEN, MOST_COMMON = 16, 3, 1 << 19
+#: Words of 64 bits of a parity sketch.
+WORDS = 8
 LANES = np.uint64(0x0101010101010101)
 LOWER, SPACES = "abcdefghijklmnopqrstuvwxyz", r"[\x20\x09-\x0D]+"
 
@@ -323,17 +328,37 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(i[p]), pa.array(i[q]), pa.array(n[p]), pa.array(n[q])], ["h", "a", "b", "x", "y"])
 
 
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """Of distinct hashes: each bit says whether an odd number of them falls on it."""
+    bits = np.bincount((h & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def may_be_alike(differ, n, m, similarity: float):
+    """Whether sets of ``n`` and ``m`` members whose sketches differ in so many bits may be that similar."""
+    return differ <= n + m - 2 * least_common(n, m, similarity)
+
+
 def across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (h, id, n, root) sorted by h and id in; out the pairs (a, b, x, y) of one h that have different roots."""
-    for h, i, n, root in whole_groups(batches):
+    """Rows (h, id, n, root, sketch) sorted by h and id in; out the pairs (a, b, x, y) of one h that have different roots and by their
+    sketches may be similar."""
+    for h, i, n, root, *words in whole_groups(batches):
+        sketch = np.stack(words, axis=1).view(np.uint64)
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         for s, e in zip(start.tolist(), [*start[1:].tolist(), len(h)]):
             if (root[s:e] == root[s]).all():
                 continue
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for at in range(s, e - 1):
                 k = at + 1 + np.flatnonzero((root[at + 1 : e] != root[at]) & (np.minimum(n[at + 1 : e], n[at]) >= similarity * np.maximum(n[at + 1 : e], n[at]) - 1e-9))
+                both = n[k].astype(np.int64) + n[at]
+                k = k[np.bitwise_count(sketch[k] ^ sketch[at]).sum(axis=1) <= both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9)]
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i[at], len(k))), pa.array(i[k]), pa.array(np.repeat(n[at], len(k))), pa.array(n[k])], ["a", "b", "x", "y"])
+                    found.append((np.full(len(k), at), k))
+                if found and (at == e - 2 or sum(len(k) for _, k in found) >= FRONTIER):
+                    p, q = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i[p], i[q], n[p], n[q])], ["a", "b", "x", "y"])
+                    found = []
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -374,9 +399,20 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         x, y = (b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
         return b.select([0, 1]).filter(pa.array([jaccard(p, q, shingle) >= similarity for p, q in zip(x, y)], pa.bool_()))
 
+    def sketch(b: pa.RecordBatch) -> pa.RecordBatch:
+        hashed = [np.unique(h) for h in shingle_hashes(b.column(1).cast(pa.binary()).to_pylist(), shingle)[0]]
+        bits = np.stack([parity_sketch(h) for h in hashed])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, hashed)), pa.int32()), *map(pa.array, bits.T)], ["n", "size", *words])
+
+    words = [f"w{j}" for j in range(WORDS)]
+    sketches = materialize(full.select("n", "_text").mapInArrow(per_step(sketch, "_text"), ", ".join(["n long, size int", *(f"{w} long" for w in words)])), "sketches")
+
     def alike(pairs: DataFrame) -> DataFrame:
-        """(u, v, a, b): keys, and their numbers, of the pairs (a, b) that are similar."""
-        pairs = materialize(pairs, "pairs")
+        """(u, v): keys of the pairs (a, b) that are similar."""
+        p, q = (sketches.select(F.col("n").alias(k), *(F.col(c).alias(k + c) for c in ("size", *words))) for k in "ab")
+        differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in words))
+        pairs = pairs.join(p, "a").join(q, "b").where(may_be_alike(differ, F.col("asize"), F.col("bsize"), similarity))
+        pairs = materialize(pairs.select("a", "b"), "pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         held = full.join(needed, "n", "left_semi")
         of = lambda c, k: held.select(F.col("n").alias(c), F.col("_key").alias(k), F.col("_text").alias(f"{c}_text"))
@@ -392,6 +428,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     number = lambda k: F.xxhash64(k)
     roots = components(linked.select(number("u").alias("u"), number("v").alias("v")))
     placed = many.select("h", F.col("a").alias("id"), F.col("x").alias("size")).join(roots, F.col("id") == roots.node, "left").select("h", "id", "size", F.coalesce("root", "id").alias("root"))
+    placed = placed.join(sketches.select(F.col("n").alias("id"), *words), "id").select("h", "id", "size", "root", *words)
     apart = placed.repartition(parts, "h").sortWithinPartitions("h", "id").mapInArrow(lambda b: across(b, similarity), "a long, b long, x int, y int")
     # of two similar sets, the one whose first ones end first has all that they share but what follows its own
     after = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
