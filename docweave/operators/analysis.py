@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docweave.functions import vectors as V
-from docweave.operators.graphs import written
+from docweave.operators.graphs import parts_for, written
 from docweave.operators.tables import average_ranks
 
 #: Blocks at least, vectors of a block about at most, and rows of a block that are multiplied at once.
 BLOCKS, BLOCK, STRIP = 8, 16384, 256
+#: Pairs of nodes that one task counts, about.
+PAIRS = 1 << 21
 
 
 def chunks(elements: DataFrame, by: str, budget: int, protected: list[str]) -> DataFrame:
@@ -88,9 +90,19 @@ def text_rank(sentences: DataFrame, by: str, rounds: int = 50, damping: float =
 
 
 def co_members(incidence: DataFrame, edge: str, node: str) -> DataFrame:
-    """(a, b, shared): nodes that share hyperedges, a < b."""
-    a, b = incidence.select(edge, F.col(node).alias("a")), incidence.select(edge, F.col(node).alias("b"))
-    return a.join(b, edge).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """(a, b, shared): nodes that share hyperedges, a < b.
+
+    Tasks are as many as their pairs ask for, and an edge of many nodes is dealt to several, so none counts over about twice ``PAIRS``.
+    """
+    members = written(incidence.where(F.col(edge).isNotNull() & F.col(node).isNotNull()).select(edge, node), "members")
+    sizes = members.groupBy(edge).agg((F.count("*").cast("double") * F.count("*") / 2).alias("met"))
+    shares = written(sizes.select(edge, F.ceil(F.col("met") / PAIRS).cast("int").alias("shares"), "met"), "sizes")
+    n = parts_for(incidence.sparkSession, shares.agg(F.sum("met")).first()[0] or 0, PAIRS)
+    both = written(members.join(shares.select(edge, "shares"), edge), "dealt")
+    a = both.select(edge, F.pmod(F.xxhash64(node), F.col("shares")).cast("int").alias("share"), F.col(node).alias("a"))
+    b = both.select(edge, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col(node).alias("b"))
+    met = a.repartition(n, edge, "share").join(b.repartition(n, edge, "share"), [edge, "share"]).where("a < b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def signed_ranks(pairs: DataFrame, a: str, b: str) -> DataFrame:

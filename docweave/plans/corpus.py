@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from docweave.functions import text as T
 from docweave.operators import compliance as C
 from docweave.operators import layout as L
+from docweave.operators.graphs import parts_for
 from docweave.plans.base import query
 from docweave.plans.compliance import _ENTITIES, _FAMILIES
 from docweave.sources.relations import EDGES_SQL, ELEMENTS_SQL, edges, elements, table
 
 _E = f"WITH {ELEMENTS_SQL}"
 
+#: Line items of a task, about.
+REFERENCES = 1 << 20
+
 
 @query(f"""WITH {EDGES_SQL}, d AS (SELECT count(*) AS documents, avg(n_chars) AS mean_chars, count(*) FILTER (n_chars = 0) AS empty FROM documents), g AS (SELECT count(*) AS m FROM edges), n AS (SELECT count(*) AS n FROM (SELECT src FROM edges UNION SELECT dst FROM edges)),
 v AS (SELECT count(*) FILTER (event_type = 'click') / CAST(greatest(1, count(*) FILTER (event_type = 'view')) AS DOUBLE) AS ctr, avg(1 / (1 + CAST(event_id % 10 AS DOUBLE))) FILTER (event_type = 'click') AS mrr FROM events)
@@ -41,9 +45,11 @@ def entity_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'REFERS_TO' AS edge_type, count(*) AS mentions FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
 def reference_edges(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    known = refs.join(table(spark, d, "orders"), refs.l_orderkey == F.col("o_orderkey"), "left_semi").join(table(spark, d, "part"), refs.l_partkey == F.col("p_partkey"), "left_semi")
-    pair = known.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("mentions"))
+    refs = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL")
+    n = parts_for(spark, refs.count(), REFERENCES)
+    pair = refs.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("mentions"))
+    pair = pair.join(table(spark, d, "orders").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    pair = pair.repartition(n, "l_partkey").join(table(spark, d, "part").repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     return pair.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("REFERS_TO").alias("edge_type"), "mentions")
 
 
