@@ -18,7 +18,7 @@ from docweave.operators.graphs import parts_for, written
 from docweave.operators.tables import average_ranks
 
 #: Blocks at least, vectors of a block about at most, and rows of a block that are multiplied at once.
-BLOCKS, BLOCK, STRIP = 8, 16384, 256
+BLOCKS, BLOCK, STRIP = 8, 16384, 64
 #: Pairs of nodes that one task counts, about.
 PAIRS = 1 << 21
 
