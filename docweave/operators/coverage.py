@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,23 +23,33 @@ def lazy_greedy(items: list[tuple], weights: dict, capacity: float) -> list[tupl
     The item of most new weight for its size is next, the smaller item of equal ones.  A gain only falls as more is covered, so an old
     one is a bound: only the item on top of the heap is measured again.
     """
-    heap = [(-sum(weights[c] for c in set(cs)) / max(1, size), i, size, set(cs)) for i, size, cs in items if size <= capacity]
+    held = [(i, size, set(cs)) for i, size, cs in items]
+    bounds = [math.fsum(weights[c] for c in cs) for _, _, cs in held]
+    chosen = choose([i for i, _, _ in held], [size for _, size, _ in held], bounds, lambda at: {c: weights[c] for c in held[at][2]}, capacity)
+    return [(*held[at][:2], gain) for at, gain in chosen]
+
+
+def choose(ids: list, sizes: list, bounds: list[float], concepts: Callable[[int], dict], capacity: float) -> list[tuple[int, float]]:
+    """(place, gain) in the order of choice.  ``bounds`` are no less than the weights of an item's ``concepts``, which are asked for only
+    where a bound is on top of the heap, so few items of many become objects."""
+    heap = [(-bound / max(1, size), i, at) for at, (i, size, bound) in enumerate(zip(ids, sizes, bounds)) if size <= capacity]
     heapq.heapify(heap)
     covered, left, out = set(), capacity, []
     while heap:
-        _, i, size, cs = heapq.heappop(heap)
-        if size > left:
+        _, i, at = heapq.heappop(heap)
+        if sizes[at] > left:
             continue
-        gain = sum(weights[c] for c in cs - covered)
-        entry = (-gain / max(1, size), i, size, cs)
+        own = concepts(at)
+        gain = math.fsum(w for c, w in own.items() if c not in covered)
+        entry = (-gain / max(1, sizes[at]), i, at)
         if heap and entry[:2] > heap[0][:2]:
             heapq.heappush(heap, entry)
             continue
         if gain <= 0:
             break
-        out.append((i, size, gain))
-        covered |= cs
-        left -= size
+        out.append((at, gain))
+        covered |= own.keys()
+        left -= sizes[at]
     return out
 
 
@@ -55,21 +69,27 @@ def best_coverage(items: DataFrame, covers: DataFrame, weights: DataFrame, capac
     id_type, concept_type = now.schema["item"].dataType.simpleString(), now.schema["concepts"].dataType.simpleString()
     schema = f"item {id_type}, size double, concepts {concept_type}, position int, gain double, part int"
 
-    def solve(key, group):
-        import pandas as pd
-
-        rows = {r.item: (r.size, r.concepts) for r in group.itertuples()}
-        worth = {c["concept"]: c["w"] for _, cs in rows.values() for c in cs}
-        chosen = lazy_greedy([(i, size, [c["concept"] for c in cs]) for i, (size, cs) in rows.items()], worth, capacity)
-        out = [(i, size, list(rows[i][1]), n, gain, key[0]) for n, (i, size, gain) in enumerate(chosen, 1)]
-        return pd.DataFrame(out, columns=["item", "size", "concepts", "position", "gain", "part"], dtype=object)
+    def solve(key: tuple, group: pa.Table) -> pa.Table:
+        lists = group.column("concepts").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        starts, flat = lists.offsets.to_numpy(), lists.values
+        names, w = flat.field("concept"), flat.field("w").to_numpy(zero_copy_only=False)
+        sums = np.add.reduceat(np.append(w, 0.0), starts[:-1]) if len(lists) else np.zeros(0)
+        parts = lambda at: dict(zip(names.slice(starts[at], starts[at + 1] - starts[at]).to_pylist(), w[starts[at] : starts[at + 1]].tolist()))
+        # sums of any order are off by less than this, and a bound may be too high
+        found = choose(group.column("item").to_pylist(), group.column("size").to_pylist(), (sums * (1 + 1e-9)).tolist(), parts, capacity)
+        out = group.select(["item", "size", "concepts"]).take(pa.array([at for at, _ in found], pa.int64()))
+        rest = {"position": pa.array(range(1, len(found) + 1), pa.int32()), "gain": pa.array([g for _, g in found], pa.float64()), "part": pa.array([key[0].as_py()] * len(found), pa.int32())}
+        for name, column in rest.items():
+            out = out.append_column(name, column)
+        return out
 
     best, value = None, -1.0
     while True:
         n = now.count()
         parts = max(1, -(-n // part))
         dealt = now.select("item", "size", "concepts").withColumn("part", F.pmod(F.xxhash64("item", F.lit(n)), F.lit(parts)).cast("int"))
-        chosen = written(dealt.groupBy("part").applyInPandas(solve, schema), "chosen")
+        chosen = written(dealt.groupBy("part").applyInArrow(solve, schema), "chosen")
         top = chosen.groupBy("part").agg(F.sum("gain").alias("value")).orderBy(F.desc("value"), "part").first()
         if top is not None and top.value > value:
             best, value = chosen.where(F.col("part") == top.part), top.value
