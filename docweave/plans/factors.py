@@ -27,7 +27,7 @@ def vector_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def document_topics(spark: SparkSession, d: str) -> DataFrame:
     """Five topics of all documents: the terms that weigh most in the tf-idf matrix's first right vectors."""
-    return X.topics(X.tfidf(table(spark, d, "documents").where("text IS NOT NULL")), 5, rounds=12, tolerance=1e-8)
+    return X.text_topics(table(spark, d, "documents").where("text IS NOT NULL"), 5, rounds=12, tolerance=1e-8)
 
 
 @query()

@@ -139,3 +139,22 @@ def test_factor_queries_over_tables(spark):
     best = brute_search(m.T, m[0], 10, 10)
     assert max(abs(r.score - x) for r, (_, _, x) in zip(found, best)) < 1e-9
     assert plans.document_topics(spark, SF).count() == 25
+
+
+def test_topics_of_blocks_equal_those_of_entries(spark, monkeypatch):
+    """Texts in blocks: no product is joined entry by entry; words of one text or block, and texts without words, count as they do there."""
+    rng = random.Random(6)
+    themes = [[f"{a}{i}" for i in range(8)] for a in "xyz"]
+    texts = [" ".join(rng.choices(themes[i % 3], k=20 + 10 * (i % 3)) + [f"once{i}", "the"]) for i in range(60)] + ["", None, "the of"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {(r.topic, r.rank): r for r in X.topics(X.tfidf(docs), 3).collect()}
+    monkeypatch.setattr(X, "product", None)
+    monkeypatch.setattr(X, "TEXTS", 7)
+    monkeypatch.setattr(X, "PACKED", 50)
+    for tolerance in (1e-12, 1e-9):
+        got = {(r.topic, r.rank): r for r in X.text_topics(docs, 3, tolerance=tolerance).collect()}
+        assert {at: (r.term, r.name) for at, r in got.items()} == {at: (r.term, r.name) for at, r in want.items()}
+        assert max(abs(got[at].loading - r.loading) + abs(got[at].weight - r.weight) for at, r in want.items()) < (1e-6 if tolerance == 1e-12 else 1e-4)
+    assert X.text_topics(docs.where("text = ''"), 3).count() == 0
+    one = X.text_topics(spark.createDataFrame([(1, "pear")], "doc_id long, text string"), 3).collect()
+    assert [(r.term, round(abs(r.loading), 9)) for r in one] == [("pear", 1.0)]
