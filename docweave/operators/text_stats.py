@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 from collections import Counter
@@ -9,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
-from docweave.operators.graphs import written
+from docweave.operators.graphs import parts_for, written
 
 
 def postings(docs: DataFrame, text: str, by: list[str]) -> DataFrame:
@@ -137,16 +139,107 @@ def minhash(tokens: Column, n: int = 64) -> Column:
     return F.aggregate(h, F.array_repeat(F.lit(prime).cast("long"), n), lambda least, x: F.zip_with(least, pairs, lambda m, c: F.least(m, (c["a"] * x + c["b"]) % prime)))
 
 
-def band_candidates(signatures: DataFrame, by: str, bands: int, rows: int) -> DataFrame:
-    """(a, b): all pairs of ids that share a band, smaller first.  Rows of equal signatures should be one row: see ``signature_classes``."""
-    banded = signatures.select(by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, F.lit(rows))))).alias("band", "h"))
-    a, b = (banded.select(F.col(by).alias(x), "band", "h") for x in "ab")
-    return a.join(b, ["band", "h"]).where("a < b").select("a", "b").distinct()
+def min_signatures(docs: DataFrame, by: str, tokens: Column, n: int) -> DataFrame:
+    """(by, signature array<int>): ``minhash`` of each row's words, a batch at a time; rows without words are left out."""
+    prime = (1 << 31) - 1
+    a = [(2654435761 * (i + 1)) % prime | 1 for i in range(n)]
+    b = [(40503 * (i + 7) * (i + 3)) % prime for i in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                part = part.filter(pc.greater(pc.list_value_length(part.column(1)), 0))
+                if not part.num_rows:
+                    continue
+                words = part.column(1).flatten().dictionary_encode()
+                h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) & prime for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+                lens = pc.list_value_length(part.column(1)).to_numpy().astype(np.int64)
+                start = np.cumsum(lens) - lens
+                least = np.stack([np.minimum.reduceat((x * h + y) % prime, start) for x, y in zip(a, b)], axis=1).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, least.size + 1, n, dtype=np.int32)), pa.array(least.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], [by, "signature"])
+
+    return docs.select(by, F.array_distinct(tokens).alias("w")).mapInArrow(run, f"`{by}` {dict(docs.dtypes)[by]}, signature array<int>")
+
+
+#: Members of a band that one task holds against as many others, rows of a task.
+MEMBERS, BANDED = 2048, 200_000
+
+
+def band_pairs(signatures: DataFrame, by: str, bands: int, rows: int) -> DataFrame:
+    """(a, b, similarity): all pairs of ids that share a band, smaller first, each once, and the share of equal places.  Rows of equal signatures
+    should be one row: see ``signature_classes``.
+
+    Only ids go to the bands at first; those that meet another take their signature along, so no pair is shuffled: a task that sees both
+    signatures gives the pair in the first band that it shares.  Bands of over MEMBERS are dealt to tasks by pairs of their parts.
+    """
+    kind = dict(signatures.dtypes)[by]
+    keys = signatures.select(by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, F.lit(rows))))).alias("band", "h"))
+    met = written(keys.withColumn("n", F.count("*").over(Window.partitionBy("band", "h"))).where("n > 1").withColumn("parts", F.ceil(F.col("n") / MEMBERS)), "met")
+    size = met.agg(F.sum("parts")).first()[0] or 0
+    held = met.withColumn("own", F.pmod(F.xxhash64(by), "parts")).join(signatures, by)
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cell = ["band", "h", "i", "j"]
+    held = held.select(F.col(by).alias("id"), "signature", "band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids, band, own = (t.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 6))
+            s = t.column(1).flatten().to_numpy().reshape(t.num_rows, -1)
+            key = cell_numbers(t)
+            across = t.column(4).to_numpy() != t.column(5).to_numpy()
+            at, out, n = np.arange(t.num_rows), [], 0
+            for step in range(1, t.num_rows):
+                at = at[at + step < t.num_rows]
+                at = at[key[at] == key[at + step]]
+                if not len(at):
+                    break
+                x = at[~across[at] | (own[at] != own[at + step])]
+                y = x + step
+                equal = s[x] == s[y]
+                shared = equal[:, : bands * rows].reshape(len(x), bands, rows).all(axis=2)
+                keep = shared.any(axis=1) & (shared.argmax(axis=1) == band[x])
+                x, y, similar = x[keep], y[keep], equal[keep].mean(axis=1)
+                first = ids[x] < ids[y]
+                out.append((np.where(first, x, y), np.where(first, y, x), similar))
+                n += len(x)
+                if n > 1 << 16:
+                    yield found(t, out)
+                    out, n = [], 0
+            if n:
+                yield found(t, out)
+
+        def found(t: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+            a, b, similar = (np.concatenate(x) for x in zip(*out))
+            return pa.RecordBatch.from_arrays([t.column(0).take(pa.array(a)), t.column(0).take(pa.array(b)), pa.array(similar)], ["a", "b", "similarity"])
+
+        def cell_numbers(t: pa.RecordBatch) -> np.ndarray:
+            c = np.stack([t.column(k).to_numpy().astype(np.int64) for k in (2, 3, 4, 5)])
+            return np.cumsum(np.concatenate([[0], (c[:, 1:] != c[:, :-1]).any(axis=0)]))
+
+        left: list[pa.RecordBatch] = []  # the last cell so far; it may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left.append(batch)
+            if sum(x.num_rows for x in left) < 4 * MEMBERS:
+                continue
+            t = pa.Table.from_batches(left).combine_chunks().to_batches()[0]
+            last = int(np.searchsorted(number := cell_numbers(t), number[-1]))
+            if last:
+                yield from pairs(t.slice(0, last))
+            left = [t.slice(last)]
+        if left:
+            yield from pairs(pa.Table.from_batches(left).combine_chunks().to_batches()[0])
+
+    dealt = held.repartition(parts_for(signatures.sparkSession, size, BANDED), *cell).sortWithinPartitions(*cell)
+    return dealt.mapInArrow(compared, f"a {kind}, b {kind}, similarity double")
 
 
 def signature_classes(signatures: DataFrame, by: str) -> DataFrame:
-    """(by, signature): each distinct signature once, under its smallest id."""
-    return signatures.groupBy("signature").agg(F.min(by).alias(by)).select(by, "signature")
+    """(by, signature, n): each distinct signature once, under its smallest id, and its number of rows."""
+    return signatures.groupBy("signature").agg(F.min(by).alias(by), F.count("*").alias("n")).select(by, "signature", "n")
 
 
 #: Parts that a set's rarest members are dealt to, members in common that are asked for, pairs of one step.

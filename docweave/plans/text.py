@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
-from docweave.functions import vectors as V
 from docweave.operators import text_stats as S
 from docweave.operators.graphs import written
 from docweave.plans.base import query
@@ -197,12 +196,11 @@ def minhash_candidates(spark: SparkSession, d: str) -> DataFrame:
     Pairs are between the smallest ids of distinct signatures; each other id of a signature is paired with its smallest
     (``member``, similarity 1), so all pairs of ids can be had from these.
     """
-    s = written(docs(spark, d).select("doc_id", S.minhash(T.words(F.col("text")), 128).alias("signature")).where("signature[0] < 2147483647"), "signatures")
+    s = written(S.min_signatures(docs(spark, d), "doc_id", T.words(F.col("text")), 128), "signatures")
     classes = written(S.signature_classes(s, "doc_id"), "classes")
-    a, b = (classes.select(F.col("doc_id").alias(k), F.col("signature").alias(v)) for k, v in ("ax", "by"))
-    both = S.band_candidates(classes, "doc_id", 32, 4).join(a, "a").join(b, "b")
-    pairs = both.select("a", "b", (V.total(F.zip_with("x", "y", lambda p, q: (p == q).cast("int"))) / 128).alias("similarity"), F.lit(False).alias("member"))
-    members = s.join(a, s.signature == a.x).where("doc_id != a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("member"))
+    pairs = S.band_pairs(classes.select("doc_id", "signature"), "doc_id", 32, 4).withColumn("member", F.lit(False))
+    first = classes.where("n > 1").select(F.col("doc_id").alias("a"), F.col("signature").alias("x"))
+    members = s.join(first, s.signature == first.x).where("doc_id != a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(True).alias("member"))
     return pairs.unionByName(members)
 
 

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
@@ -70,3 +71,28 @@ def test_sentences_are_ranked_many_texts_a_batch(spark):
     assert "FlatMapGroups" not in plan(found)
     got = {(r.d, r.i): round(r.score, 6) for r in found.collect()}
     assert got[1, 0] == got[1, 1] == round(0.05 / (1 - 0.85), 6) and got[1, 2] == 0.05 and got[2, 0] == 0.15 and got[None, 0] == 0.5
+
+
+def test_band_pairs_shuffle_no_pairs(spark, monkeypatch):
+    """Each pair that shares a band once, with its similarity, also of bands that are dealt to several tasks; before, all pairs met again by joins."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i) * 3, [int(x) for x in rng.integers(0, 3, 8)]) for i in rng.permutation(60)] + [(1000 + i, [1, 1, i, 50 + i, 100 + i, i, i, i]) for i in range(40)]
+    rows = [(i, s) for i, s in rows if s not in [x for j, x in rows if j < i]]
+    for members in (2048, 7):
+        monkeypatch.setattr(S, "MEMBERS", members)
+        found = S.band_pairs(spark.createDataFrame(rows, "id long, signature array<int>").repartition(3), "id", 4, 2)
+        assert "Join" not in plan(found).split("MapInArrow")[0]
+        got = sorted((r.a, r.b, r.similarity) for r in found.collect())
+        want = []
+        for i, x in rows:
+            for j, y in rows:
+                if i < j and any(x[k : k + 2] == y[k : k + 2] for k in range(0, 8, 2)):
+                    want.append((i, j, sum(p == q for p, q in zip(x, y)) / 8))
+        assert got == sorted(want) and len(got) > 700
+    assert S.band_pairs(spark.createDataFrame([], "id long, signature array<int>"), "id", 4, 2).count() == 0
+
+
+def test_signatures_of_batches_equal_minhash(spark):
+    docs = spark.createDataFrame([(1, "a b \u00e9t\u00e9 b"), (2, ""), (3, None), (4, "x"), (5, "\u4e2d\u6587 a")], "id long, t string")
+    want = {r.id: r.s for r in docs.select("id", S.minhash(T.words(F.col("t")), 16).alias("s")).collect() if r.id in (1, 4, 5)}
+    assert {r.id: r.signature for r in S.min_signatures(docs, "id", T.words(F.col("t")), 16).collect()} == want
