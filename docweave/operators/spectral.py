@@ -12,17 +12,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.operators.factors import matrices, orthonormal, product, signs, transformed
+from docweave.operators.factors import EPS, matrices, orthonormal, product, signs, transformed, triangular
 from docweave.operators.graphs import written
 
+#: Nodes that all edges may lead to for the rounds to be taken without the edges.
+TARGETS = 64
+
 
 def laplacian_vectors(edges: DataFrame, k: int, oversample: int = 4, rounds: int = 60, tolerance: float = 1e-9, seed: int = 3) -> tuple[np.ndarray, DataFrame]:
     """(the k smallest eigenvalues of the normalised Laplacian, rising; their vectors as (id, v)), of an undirected graph.
 
     edges: (src, dst, weight); both directions add up, weights that are not positive and loops do not count, nodes without edges are left out.
     Iterates with (I + D^-1/2 W D^-1/2) / 2, whose eigenvalues lie in [0, 1], until none of the k moves by more than ``tolerance``.
+    Where all edges lead to one of a few nodes that have none outwards, see ``few_targets``.
     """
     e = edges.where("weight > 0 AND src != dst").select("src", "dst", "weight")
+    width = min(k + oversample, 63)
+    if dict(e.dtypes)["src"] == dict(e.dtypes)["dst"]:
+        e = written(e.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "summed")
+        targets = sorted(r.dst for r in e.select("dst").distinct().limit(TARGETS + 1).collect())
+        if 0 < len(targets) <= TARGETS and e.where(F.col("src").isin(targets)).isEmpty():
+            return few_targets(e, targets, k, width, rounds, tolerance, seed)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     both = written(both, "both")
     degree = both.groupBy("src").agg(F.sum("w").alias("d"))
@@ -30,7 +40,6 @@ def laplacian_vectors(edges: DataFrame, k: int, oversample: int = 4, rounds: int
     scaled = both.join(degree, "src").join(of, "dst").select(F.col("src").alias("row"), F.col("dst").alias("col"), (F.col("w") / F.sqrt(F.col("d") * F.col("dd")) / 2).alias("value"))
     loops = degree.select(F.col("src").alias("row"), F.col("src").alias("col"), F.lit(0.5).alias("value"))
     m = written(scaled.unionByName(loops), "laplacian")
-    width = min(k + oversample, 63)
     q, _, n = orthonormal(written(degree.select(F.col("src").alias("id"), F.array(*signs(F.col("src"), width, seed)).alias("v")), "start"), width)
     last, c = np.zeros(0), np.zeros((0, 0))
     for _ in range(rounds):
@@ -52,6 +61,59 @@ def laplacian_vectors(edges: DataFrame, k: int, oversample: int = 4, rounds: int
     return 2 - 2 * values[order], written(transformed(q, vectors[:, order]), "vectors")
 
 
+def few_targets(e: DataFrame, targets: list, k: int, width: int, rounds: int, tolerance: float, seed: int) -> tuple[np.ndarray, DataFrame]:
+    """``laplacian_vectors`` of edges (src, dst, weight), one of a kind, from any number of nodes to a few others.
+
+    With B the scaled weights, a row for each source, and S its start, the sources' part of every round is S X + B Y: the others have as many rows as
+    there are targets.  So the same rounds are taken in the coordinates of one QR of (S, B), by X, Y and the targets' part, and no round reads the edges.
+    """
+    spark, m = e.sparkSession, len(targets)
+    number = {t: j for j, t in enumerate(targets)}
+    sums = e.groupBy("dst").agg(F.sum("weight").alias("d")).collect()  # one for each target
+    reach = np.ones(m)
+    for r in sums:
+        reach[number[r.dst]] = r.d
+    weights = [F.coalesce(F.sum(F.when(F.col("dst") == F.lit(t), F.col("weight"))), F.lit(0.0)).cast("double").alias(f"w{j}") for j, t in enumerate(targets)]
+    each = e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d"), *weights)
+    scaled = [F.col(f"w{j}") / F.sqrt(F.col("d") * F.lit(float(reach[j]))) for j in range(m)]
+    rows = written(each.select("id", F.array(*signs(F.col("id"), width, seed), *scaled).alias("v")), "sources")
+    r = triangular(rows, width + m)  # isometric to the sources' rows
+    b = r[:, width:]
+    start = spark.createDataFrame([(t,) for t in targets], f"id {dict(e.dtypes)['dst']}").select("id", F.array(*signs(F.col("id"), width, seed)).alias("v")).collect()
+    low = np.zeros((m, width))
+    for x in start:
+        low[number[x.id]] = x.v
+
+    def basis(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(T, C): P T is orthonormal and P = (P T) C, as ``orthonormal`` has it for a table."""
+        _, s, vt = np.linalg.svd(np.linalg.qr(p, mode="r"))
+        rank = int((s > p.shape[1] * EPS * 8 * s[0]).sum())
+        turn = vt[:rank].T / s[:rank]
+        again = np.linalg.qr(p @ turn, mode="r")
+        return turn @ np.linalg.inv(again), again @ (s[:rank, None] * vt[:rank])
+
+    def stack(c: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return np.vstack([r @ c, low])
+
+    c = np.vstack([np.eye(width), np.zeros((m, width))])  # sources' part: (S, B) c
+    turn, _ = basis(stack(c, low))
+    c, low, last = c @ turn, low @ turn, np.zeros(0)
+    step = lambda c, low: (np.vstack([c[:width] / 2, (c[width:] + low) / 2]), (low + b.T @ (r @ c)) / 2)
+    for _ in range(rounds):
+        c, low = step(c, low)
+        turn, factor = basis(stack(c, low))
+        c, low = c @ turn, low @ turn
+        s = np.linalg.svd(factor, compute_uv=False)[:k]
+        if len(s) == len(last) and np.abs(s - last).max() <= tolerance:
+            break
+        last = s
+    h = stack(c, low).T @ stack(*step(c, low))
+    values, vectors = np.linalg.eigh((h + h.T) / 2)
+    order = np.argsort(-values)[:k]
+    ends = spark.createDataFrame([(t, [float(x) for x in low[number[t]] @ vectors[:, order]]) for t in targets], f"id {dict(e.dtypes)['dst']}, v array<double>")
+    return 2 - 2 * values[order], written(transformed(rows, c @ vectors[:, order]).unionByName(ends), "vectors")
+
+
 def unit_rows(dense: DataFrame) -> DataFrame:
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return dense.withColumn("size", size).select("id", F.when(F.col("size") > 0, F.transform("v", lambda x: x / F.col("size"))).otherwise(F.col("v")).alias("v"))

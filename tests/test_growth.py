@@ -96,3 +96,25 @@ def test_signatures_of_batches_equal_minhash(spark):
     docs = spark.createDataFrame([(1, "a b \u00e9t\u00e9 b"), (2, ""), (3, None), (4, "x"), (5, "\u4e2d\u6587 a")], "id long, t string")
     want = {r.id: r.s for r in docs.select("id", S.minhash(T.words(F.col("t")), 16).alias("s")).collect() if r.id in (1, 4, 5)}
     assert {r.id: r.signature for r in S.min_signatures(docs, "id", T.words(F.col("t")), 16).collect()} == want
+
+
+def test_few_targets_take_the_same_rounds_without_edges(spark, monkeypatch):
+    """Against the rounds over the whole matrix, stopped before they settle; no round multiplies by the edges."""
+    rng = np.random.default_rng(8)
+    rows = [(f"c{i}", f"b{int(j)}", float(rng.integers(1, 9))) for i in range(40) for j in rng.choice(6, 3, replace=False)] + [("c1", "b1", 2.0), ("c1", "b2", 0.0), ("c2", "c2", 1.0), ("lone", "end", 1.0)]
+    monkeypatch.setattr(spectral, "product", None)
+    values, vectors = spectral.laplacian_vectors(spark.createDataFrame(rows, "src string, dst string, weight double"), 3, rounds=3, tolerance=0.0)
+    got = {r.id: r.v for r in vectors.collect()}
+    nodes = sorted({x for a, b, w in rows if w > 0 and a != b for x in (a, b)})
+    w = np.zeros((len(nodes),) * 2)
+    for a, b, x in rows:
+        if a != b:
+            w[nodes.index(a), nodes.index(b)] += x
+    w += w.T
+    m = (np.eye(len(nodes)) + w / np.sqrt(np.outer(w.sum(axis=0), w.sum(axis=0)))) / 2
+    start = {r.id: r.v for r in spark.createDataFrame([(n,) for n in nodes], "id string").select("id", F.array(*spectral.signs(F.col("id"), 7, 3)).alias("v")).collect()}
+    q = np.linalg.qr(np.linalg.matrix_power(m, 3) @ np.array([start[n] for n in nodes]))[0]
+    want, turn = np.linalg.eigh(q.T @ m @ q)
+    assert got.keys() == set(nodes) and np.abs(values - (2 - 2 * want[::-1][:3])).max() < 1e-9
+    a, b = np.array([got[n] for n in nodes]), (q @ turn)[:, ::-1][:, :3]
+    assert np.abs(a.T @ a - np.eye(3)).max() < 1e-9 and np.abs(np.abs((a * b).sum(axis=0)) - 1).max() < 1e-9
