@@ -71,3 +71,22 @@ def test_layouts_of_the_tables(spark):
         got[r.doc_id].append((r.dimension, r.birth, r.death))
     some = [d for d in points if len(points[d]) < 25][:40]
     assert set(got) == set(points) and all(sorted(got[d], key=str) == plain(points[d], 0.35) for d in some)
+
+
+def test_small_groups_take_no_rounds(spark, monkeypatch):
+    """Groups of few points are solved in their rows, to the same results as by rounds over all edges; repeated ids and null groups go the long way."""
+    rng = random.Random(9)
+    groups = {g: {i: [rng.uniform(-1, 1), rng.uniform(-1, 1)] for i in range(n)} for g, n in ((1, 18), (2, 1), (3, 9))}
+    rows = [(g, i, v) for g, ps in groups.items() for i, v in ps.items()]
+    few = spark.createDataFrame(rows + [(1, 900, None), (4, None, [0.0, 0.0])], "g int, id long, v array<double>").repartition(3)
+
+    def found(df):
+        return sorted(((r.g, r.dimension, round(r.birth, 9), None if r.death is None else round(r.death, 9)) for r in T.persistence(df, ["g"], 2, 0.6).collect()), key=str)
+
+    want = sorted(((g, *x) for g, ps in groups.items() for x in plain(ps, 0.6)), key=str)
+    with monkeypatch.context() as m:
+        m.setattr(T, "spanning_forest", None)
+        assert found(few) == want
+    monkeypatch.setattr(T, "POINTS", 12)
+    more = few.unionByName(spark.createDataFrame([(5, 1, [0.0, 0.0]), (5, 1, [0.0, 0.0]), (None, 1, [0.0, 0.0])], "g int, id long, v array<double>"))
+    assert found(more) == sorted([*want, (5, 0, 0.0, None), (None, 0, 0.0, None)], key=str)
