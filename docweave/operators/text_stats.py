@@ -242,102 +242,152 @@ def signature_classes(signatures: DataFrame, by: str) -> DataFrame:
     return signatures.groupBy("signature").agg(F.min(by).alias(by), F.count("*").alias("n")).select(by, "signature", "n")
 
 
-#: Parts that a set's rarest members are dealt to, members in common that are asked for, pairs of one step.
-PARTS, ASKED, STEP_PAIRS = 8, 17, 1 << 22
+#: Dimensions that the commonest members of two blocks have to themselves, cells of one dense strip, sets of one strip at most.
+OWN, CELLS, STRIP = 512, 1 << 22, 2048
+#: Weight of a block of sets at least and at most (a set weighs the root of its size), blocks' pairs for each core.
+LIGHT, HEAVY, PAIRS_EACH = 20_000, 500_000, 8
+
+
+def size_blocks(sizes: list[tuple[int, int]], most: int) -> tuple[list[tuple[int, float, float]], list[tuple[int, int]]]:
+    """Sets in order of size are cut into blocks of equal weight, ``most`` of them unless they grow too heavy.
+
+    sizes: (n, sets), ascending.  Gives (n, start, width) in widths of a block, and the smallest and largest size in each block.
+    """
+    weights = [c * math.sqrt(256 + n) for n, c in sizes]
+    total = math.fsum(weights)
+    each = total / max(min(most, math.ceil(total / LIGHT)), math.ceil(total / HEAVY), 1)
+    last = max(0, round(total / each) - 1)
+    places, ends, at = [], {}, 0.0
+    for (n, _), w in zip(sizes, weights):
+        places.append((n, at / each, w / each))
+        for k in range(min(last, int(at / each)), min(last, int((at + w) / each)) + 1):
+            ends[k] = (ends.get(k, (n,))[0], n)
+        at += w
+    return places, [ends[k] for k in range(last + 1)]
 
 
 def meeting_sets(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): all pairs of sets (id, w) whose Jaccard similarity is ``least`` or more, and some others, the smaller id first.  With a column
+    """(a, b): all pairs of sets (id, w) whose Jaccard similarity is ``least`` or more, and hardly any other, the smaller id first.  With a column
     ``side`` (0 or 1), ids of which are told apart by side, the pairs of a set of side 0 and one of side 1.
 
-    Two such sets of at most n members have k = ceil(least * n) in common.  With members in one order, rare ones first, any 1 + PARTS * (r - 1) <= k of
-    these are among the first n - ceil(least * n) + 1 + PARTS * (r - 1) of each.  Members are dealt to PARTS parts by hash, so in one part the pair
-    shares r: only pairs that do leave a task, r being as large as ASKED and k allow.  A task holds one part of the sets of similar size, as numbers of 32 bits; equal numbers of different
-    members add pairs, and lose none.
+    Sets in order of size are cut into blocks; a task holds two blocks whose sizes allow the similarity, as numbers of 32 bits, however large the
+    table is.  In it, strips of sets become matrices of counts, in which the commonest members have columns of their own and the rest share
+    some; one product bounds what all pairs of two strips have in common from above, and pairs that may be similar are counted again
+    member by member.  Equal numbers of different members, like shared columns, add to what is in common, so no pair is lost.  The work is that of all pairs of similar size.
     """
     if not 0 < least < 1:
         raise ValueError("least lies between 0 and 1")
-    one_side = "side" not in sets.columns
-    members = sets.select("id", (F.lit(-1) if one_side else F.col("side")).alias("side"), F.size("w").alias("n"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
-    seen = members.groupBy("h").agg(F.count("*").alias("df"))
-    held = members.join(seen, "h").groupBy("id", "side", "n").agg(F.collect_list("df").alias("df"), F.collect_list("h").alias("h"))
+    spark, one_side = sets.sparkSession, "side" not in sets.columns
     kind = dict(sets.dtypes)["id"]
-    asked = lambda n: np.ceil(np.minimum(ASKED, n) / PARTS)
-    common = lambda n: np.ceil(least * n - 1e-9)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            n, lists = t.column(2).to_numpy().astype(np.int64), t.column(4)
-            doc, h, df = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), t.column(3).flatten().to_numpy()
-            order = np.lexsort((h, df, doc))
-            h, df = h[order], df[order]
-            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            # a partner has n / least members at most, so at most n are asked for; a member of one set only meets none
-            keep = (place < n[doc] - common(n[doc]) + 1 + PARTS * (asked(n[doc]) - 1)) & (df > 1)
-            doc, h, place = doc[keep], h[keep], place[keep]
-            part = h.view(np.uint64) % PARTS
-            order = np.lexsort((part, doc))
-            doc, h, place, part = (x[order] for x in (doc, h, place, part))
-            start = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])))) if len(doc) else np.zeros(0, np.int64)
-            ends = pa.array(np.append(start, len(doc)), pa.int32())
-            of = pa.array(doc[start])
-            # a set meets those of its own class of sizes and of the next
-            level = np.floor(np.log(n[doc[start]]) / -math.log(least) + 1e-9).astype(np.int32)
-            rest = [t.column(0).take(of), t.column(1).take(of), t.column(2).take(of), pa.ListArray.from_arrays(ends, pa.array((h >> 32).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.array(part[start].astype(np.int32))]
-            for own in (True, False):
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.full(len(start), own)), pa.array(level - (not own))], ["id", "side", "n", "h", "place", "part", "own", "level"])
-
-    groups = held.select("id", "side", "n", "df", "h").mapInArrow(deal, f"id {kind}, side int, n int, h array<int>, place array<int>, part int, own boolean, level int")
-
-    def meet(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by("n")
-        n, own = t.column("n").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
-        side = t.column("side").to_numpy()
-        n = n.astype(np.int64)
-        lists = t.column("h").combine_chunks()
-        doc, member = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-        after = n[doc] - t.column("place").combine_chunks().flatten().to_numpy()  # members from this one on
-        order = np.lexsort((doc, member))
-        member, post, after = member[order], doc[order], after[order]
-        end = np.searchsorted(member, member, "right")
-        by_doc = np.argsort(post, kind="stable")
-        by_doc = by_doc[own[post[by_doc]]]
-        follow = end[by_doc] - by_doc - 1  # the postings of larger sets that hold the member
-        upto = np.cumsum(follow)
-        pairs, at = [], 0
-        while at < len(by_doc):
-            stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP_PAIRS, "right"))
-            stop = min(len(by_doc), max(stop, at + 1))
-            # all of one set's members are in one step
-            stop = int(np.searchsorted(post[by_doc], post[by_doc[stop - 1]], "right"))
-            k, f = by_doc[at:stop], follow[at:stop]
-            there = np.repeat(k + 1 - (np.cumsum(f) - f), f) + np.arange(f.sum())
-            a, b = np.repeat(post[k], f), post[there]
-            fit = (a != b) & (least * n[b] <= n[a] + 1e-9) & ((side[a] != side[b]) | (side[a] < 0))
-            # where one is asked for it may be the first that they share: all others follow it in both
-            fit &= (asked(common(n[b])) > 1) | (np.minimum(np.repeat(after[k], f), after[there]) >= np.ceil(least / (1 + least) * (n[a] + n[b]) - 1e-9))
-            code, shared = np.unique(a[fit] * len(n) + b[fit], return_counts=True)
-            b = code % len(n)
-            pairs.append(code[shared >= asked(common(n[b]))])
-            at = stop
-        code = np.concatenate([np.zeros(0, np.int64), *pairs])
-        ids = t.column("id").combine_chunks()
-        a, b = code // len(n), code % len(n)
-        a, b = np.where(side[a] > side[b], b, a), np.where(side[a] > side[b], a, b)
-        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
-
-    met = groups.groupBy("level", "part").applyInArrow(meet, f"a {kind}, b {kind}")
-    if one_side:
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return met.distinct()
+    rows = sets.where("size(w) > 0").select("id", (F.lit(0) if one_side else F.col("side").cast("int")).alias("side"), F.size("w").alias("n"), F.transform("w", lambda x: F.hash(x)).alias("h"))
+    found: dict[int, list[tuple[int, int]]] = {0: [], 1: []}
+    for r in rows.groupBy("side", "n").agg(F.count("*").alias("c")).orderBy("side", "n").collect():
+        found[r.side].append((r.n, r.c))
+    if not found[0] or not (one_side or found[1]):
+        return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    # about a half of the pairs of blocks differ too much in size, a half of the rest is the same the other way round
+    wanted = PAIRS_EACH * max(8, spark.sparkContext.defaultParallelism)
+    most = math.ceil(math.sqrt((4 if one_side else 2) * wanted))
+    blocks = {s: size_blocks(c, most) for s, c in found.items() if c}
+    left, right = blocks[0][1], blocks[0 if one_side else 1][1]
+    pairs = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if (i <= j or not one_side) and least * y[0] <= x[1] and least * x[0] <= y[1]]
+    if not pairs:
+        return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    roles = [(0, i, p, False) for p, (i, _) in enumerate(pairs)] + [(0 if one_side else 1, j, p, True) for p, (i, j) in enumerate(pairs) if not (one_side and i == j)]
+    places = spark.createDataFrame([(s, n, start, width, len(b)) for s, (at, b) in blocks.items() for n, start, width in at], "side int, n int, start double, width double, blocks int")
+    roles = spark.createDataFrame(roles, "side int, block int, pair int, right boolean")
+    within = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    block = F.least(F.floor(F.col("start") + F.col("width") * within).cast("int"), F.col("blocks") - 1)
+    dealt = rows.join(F.broadcast(places), ["side", "n"]).select("side", block.alias("block"), "id", "n", "h").join(F.broadcast(roles), ["side", "block"])
+    dealt = dealt.select("pair", "right", "id", "n", "h").repartitionById(len(pairs), F.col("pair"))
+    share, bits = least / (1 + least), (1 << 20) - 1
+
+    class Sets:
+        """Sets in order of size: ids, sizes, members one after another, and strips of them."""
+
+        def __init__(self, t: pa.Table):
+            t = t.combine_chunks().sort_by("n").combine_chunks()
+            self.ids, self.n = t.column("id"), t.column("n").to_numpy().astype(np.int64)
+            members = np.concatenate([np.zeros(0, np.uint32), *(c.flatten().to_numpy().view(np.uint32) for c in t.column("h").chunks)])
+            # a set's members ascend
+            self.members = np.sort((np.repeat(np.arange(len(self.n)), self.n) << 32) | members).astype(np.uint32)
+            self.start = np.concatenate(([0], np.cumsum(self.n)))
+            self.strips, at = [], 0
+            while at < len(self.n):
+                stop = min(len(self.n), at + STRIP)
+                while stop > at + 1 and (stop - at) * (OWN + self.n[stop - 1] / least) > CELLS:
+                    stop = at + (stop - at) // 2
+                self.strips.append((at, stop))
+                at = stop
+
+        def counts(self, strip: tuple[int, int], own: np.ndarray, wide: int, first: bool) -> np.ndarray:
+            """Counts by column; the last two columns make a product fall by the least number in common."""
+            at, stop = strip
+            n, h = self.n[at:stop], self.members[self.start[at] : self.start[stop]]
+            column = own[h & bits]
+            column = np.where(column >= 0, column, OWN + (h >> np.uint32(7)) % np.uint32(wide))
+            cells = np.bincount(np.repeat(np.arange(stop - at), n) * (OWN + wide) + column, minlength=(stop - at) * (OWN + wide))
+            out = np.empty((stop - at, OWN + wide + 2), np.float32)
+            out[:, :-2] = cells.reshape(stop - at, -1)
+            out[:, -2], out[:, -1] = (-share * n, -share) if first else (1, n)
+            return out
+
+    def crossed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = Sets(t.filter(pc.invert(t.column("right"))))
+        alike = not pc.any(t.column("right")).as_py()
+        y = x if alike else Sets(t.filter(t.column("right")))
+        often = np.bincount(x.members & bits, minlength=bits + 1)
+        if not alike:
+            often += np.bincount(y.members & bits, minlength=bits + 1)
+        own = np.full(bits + 1, -1, np.int64)
+        own[np.argpartition(often, -OWN)[-OWN:]] = np.arange(OWN)
+        for i, p in enumerate(x.strips):
+            made: dict[int, np.ndarray] = {}
+            for q in y.strips[i if alike else 0 :]:
+                if least * y.n[q[0]] > x.n[p[1] - 1] or least * x.n[p[0]] > y.n[q[1] - 1]:
+                    continue
+                wide = 256 * math.ceil(math.sqrt(x.n[p[1] - 1] * y.n[q[1] - 1]) / least / 256)
+                if wide not in made:
+                    made = {wide: x.counts(p, own, wide, True)}
+                product = made[wide] @ y.counts(q, own, wide, False).T
+                # half a member is more than single precision errs by
+                a, b = np.nonzero(product > -0.5)
+                if p == q and alike:
+                    a, b = a[a < b], b[a < b]
+                if len(a):
+                    yield from similar(x, y, p[0] + a, q, b)
+
+    def similar(x: Sets, y: Sets, a: np.ndarray, strip: tuple[int, int], b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of the pairs of set a of x and the b-th set of a strip of y, those that have enough members in common."""
+        at, stop = strip
+        held = (np.repeat(np.arange(stop - at), y.n[at:stop]) << 32) | y.members[y.start[at] : y.start[stop]]
+        upto = np.cumsum(x.n[a])
+        done = 0
+        while done < len(a):
+            end = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + CELLS, "right")))
+            n, u, v = x.n[a[done:end]], a[done:end], b[done:end]
+            begin = np.cumsum(n) - n
+            asked = (np.repeat(v, n) << 32) | x.members[np.repeat(x.start[u] - begin, n) + np.arange(n.sum())]
+            hit = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
+            keep = np.add.reduceat(hit, begin, dtype=np.int64) >= share * (n + y.n[at + v]) - 1e-6
+            if keep.any():
+                yield from pa.table({"a": x.ids.take(pa.array(u[keep])), "b": y.ids.take(pa.array(at + v[keep]))}).combine_chunks().to_batches()
+            done = end
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one pair of blocks lies in a partition
+        if held:
+            yield from crossed(pa.Table.from_batches(held))
+
+    met = dealt.mapInArrow(compared, f"a {kind}, b {kind}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if one_side else met
 
 
 def similar_sets(docs: DataFrame, by: str, tokens: Column, least: float) -> DataFrame:
     """(a, b, jaccard): every pair of different sets of that similarity, between the smallest ids of equal sets, and each other id of
     equal sets with the smallest (1.0).  Empty sets are left out.
 
-    Only sets that share several of their rarest members are compared (``meeting_sets``), which loses no pair; equal sets count once,
-    so copies are not paired with one another.
+    Sets are compared in blocks (``meeting_sets``), which loses no pair; equal sets count once, so copies are not paired with one another.
     """
     rows = docs.select(F.col(by).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("w")).where("size(w) > 0").withColumn("key", F.sha2(F.array_join("w", "\x01").cast("binary"), 256))
     first = written(rows.groupBy("key").agg(F.min(F.struct("id", "w")).alias("m")).select("key", "m.id", "m.w"), "sets")

@@ -38,3 +38,40 @@ def test_evidence_of_copies_is_compared_once(spark):
     got = {r.claim_id: (r.known_id, r.similarity, r.status) for r in C.best_evidence(claims, known).collect()}
     assert all(got[i] == (140, 1.0, "supported") for i in range(40))
     assert got[90] == got[91] == (None, 0.5, "unverified")
+
+
+def test_blocks_of_sets_stay_light():
+    """One group held all sets of similar size before, however many there were."""
+    sizes = [(1, 40_000), (50, 900_000), (51, 3), (3000, 20_000)]
+    places, ends = S.size_blocks(sizes, 4)
+    weight = {n: c * (256 + n) ** 0.5 for n, c in sizes}
+    assert len(ends) >= sum(weight.values()) / S.HEAVY > 4
+    assert [n for n, _, _ in places] == [n for n, _ in sizes]
+    for n, start, width in places:
+        assert abs(weight[n] / width - sum(weight.values()) / len(ends)) < 1
+        assert all(ends[min(k, len(ends) - 1)][0] <= n <= ends[min(k, len(ends) - 1)][1] for k in range(int(start), int(start + width) + 1))
+    assert S.size_blocks([(9, 5)], 4)[1] == [(9, 9)]
+
+
+def test_pairs_are_whole_over_many_blocks_and_sides(spark, monkeypatch):
+    monkeypatch.setattr(S, "LIGHT", 300)
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        if i % 3:  # like one of those before
+            w = [x for x in rng.choice(rows)[1] if rng.random() < 0.8] + [f"own{i}"]
+        else:
+            w = [f"r{x}" for x in rng.sample(range(900), rng.choice([1, 2, 5, 12, 13, 60, 300]))]
+        rows.append((i, w))
+    df = spark.createDataFrame(rows, "id long, w array<string>")
+    similar = lambda x, y, least: len(set(x) & set(y)) >= least * len(set(x) | set(y)) - 1e-9
+    for least in (0.3, 0.5):
+        met = [(r.a, r.b) for r in S.meeting_sets(df, least).collect()]
+        want = {(a, b) for a, x in rows for b, y in rows if a < b and similar(x, y, least)}
+        assert len(want) > 100 and set(met) == want and len(met) == len(want)
+        # ids of the two sides may be the same
+        sides = df.selectExpr("id div 2 AS id", "CAST(id % 2 AS int) AS side", "w")
+        met = [(r.a, r.b) for r in S.meeting_sets(sides, least).collect()]
+        want = {(a // 2, b // 2) for a, x in rows for b, y in rows if a % 2 == 0 and b % 2 == 1 and similar(x, y, least)}
+        assert set(met) == want and len(met) == len(want)
+    assert S.meeting_sets(df.limit(0), 0.5).count() == 0 and S.meeting_sets(sides.where("side = 1"), 0.5).count() == 0
