@@ -79,6 +79,17 @@ def packed(rows: DataFrame, kind: str, make: Callable[[object], bytes], size: in
     return dealt.mapInArrow(run, "path string, content binary")
 
 
+def read_back(rows: DataFrame, kind: str, make: Callable[[pa.Array], list[bytes]], size: int) -> DataFrame:
+    """Blocks of an office file for each row (id, body), made and read where the row is; ``make`` makes files of many bodies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256))
+        return office.blocks_of((f"{i}.{kind}", file) for b in slices for i, file in zip(b.column(0).to_pylist(), make(b.column(1))))
+
+    dealt = rows.select("id", "body").repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK)))
+    return dealt.mapInArrow(run, office.SCHEMA)
+
+
 def number() -> Column:
     """The id that a file is named by; null for none."""
     return F.regexp_extract("path", r"^(-?\d+)\.", 1).try_cast("long")
@@ -120,7 +131,14 @@ def office_sheets(spark: SparkSession, d: str) -> DataFrame:
     item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("price"))
     lines = table(spark, d, "lineitem")
     rows = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("body"))
-    files = packed(rows, "xlsx", lambda items: office.xlsx([("items", [["item", "flag", "price"], *([i["n"], i["flag"], i["price"]] for i in items)])]), 32 * lines.count())
-    read = office.parsed(files).where("error IS NULL")
+    head = ("item", "flag", "price")
+
+    def books(orders: pa.Array) -> list[bytes]:
+        items = orders.flatten()
+        cells = list(zip(*(items.field(c).to_pylist() for c in ("n", "flag", "price"))))
+        starts = orders.offsets.to_numpy() - orders.offsets[0].as_py()
+        return [office.xlsx([("items", [head, *cells[a:b]])]) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+
+    read = read_back(rows, "xlsx", books, 32 * lines.count()).where("error IS NULL")
     height = F.size(F.split("text", "\n")) - 1
     return read.select(number().alias("order_id"), "name", (height * 20.0).alias("used"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))

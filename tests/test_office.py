@@ -1,6 +1,7 @@
 """Office files through the data source and from rows: whole, damaged, missing and odd ones."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -136,3 +137,44 @@ def test_alike_members_are_packed_and_read_once():
     large = "x" * office.SMALL
     (row,) = office.rows_of("x.xlsx", io.BytesIO(office.xlsx([(large, [["a"]])])), "xlsx")
     assert row[12] == large
+
+
+def blocks(data, kind):
+    """By the plain reader and by ZipFile."""
+    plain = list(O.rows_of(f"a.{kind}", data, kind))
+    assert [repr(r) for r in plain] == [repr(r) for r in O.rows_of(f"a.{kind}", io.BytesIO(data), kind)]
+    return plain
+
+
+def test_plain_packages_are_read_without_zipfile_and_others_alike(monkeypatch):
+    """Every small file was opened by ZipFile and its sheet parsed before."""
+    rows = [["item", "flag", "price"], [1, "A", 1.5], [2, None, -3], ["a<b", "x|y", True], ["", " é ", 1e300], [], ["]]>", "a\r\nb", "\u0001"]]
+    for sheets in ([("items", rows[:3])], [("items", rows), ("other", [])], [("s", [["n"], [7]])]):
+        data = O.xlsx(sheets)
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            assert z.testzip() is None and len(z.namelist()) == 4 + len(sheets)
+        got = blocks(data, "xlsx")
+        assert [g[12] for g in got] == [n for n, _ in sheets] and all(g[13] is None for g in got)
+    data = O.xlsx([("items", rows[:3])])
+    assert blocks(data, "xlsx")[0][5] == "| item | flag | price |\n|---|---|---|\n| 1 | A | 1.5 |\n| 2 |  | -3 |"
+    # bytes changed, cut and added anywhere give the same rows or the same error
+    rng = random.Random(3)
+    for _ in range(400):
+        at, torn = rng.randrange(len(data)), bytearray(data)
+        how = rng.randrange(3)
+        if how == 0:
+            torn[at] ^= 1 << rng.randrange(8)
+        elif how == 1:
+            del torn[at : at + rng.randrange(1, 40)]
+        else:
+            torn[at:at] = b"x" * rng.randrange(1, 9)
+        blocks(bytes(torn), "xlsx")
+    for sheet in ('<row><c><v>4</v></c><c r="D1" t="b"><v>1</v></c></row>', '<row r="3"><c r="B3" s="0"><v>5</v></c></row>', '<row r="1"><c r="A1" t="s"><v>9</v></c></row>', '<row r="1"><c r="A1" t="inlineStr"><v>5</v></c><c r="B1"><is><t>x</t></is></c></row>', '<row r="1"><c r="A1"><v>5</c></row>', '<row r="1"><c r="A1" t="str"><v>a]]&gt;b</v></c></row>'):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+            for name in old.namelist():
+                new.writestr(name, f'<worksheet xmlns="m"><sheetData>{sheet}</sheetData></worksheet>' if "sheet1" in name else old.read(name))
+        blocks(out.getvalue(), "xlsx")
+    monkeypatch.setattr(zipfile, "ZipFile", None)
+    monkeypatch.setattr(O.ET, "fromstring", None)
+    assert list(O.rows_of("a.xlsx", data, "xlsx"))[0][13] is None
