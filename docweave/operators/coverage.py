@@ -62,10 +62,16 @@ def best_coverage(items: DataFrame, covers: DataFrame, weights: DataFrame, capac
     part; an item without concepts is never chosen; sizes under one count as one where gains are compared.
     """
     known = weights.where("concept IS NOT NULL").groupBy("concept").agg(F.max("weight").alias("weight"))
-    weighed = covers.where("item IS NOT NULL AND concept IS NOT NULL").select("item", "concept").distinct().join(known, "concept", "left")
-    held = weighed.groupBy("item").agg(F.collect_list(F.struct("concept", F.greatest(F.lit(0.0), F.coalesce("weight", F.lit(1.0))).alias("w"))).alias("concepts"))
     sizes = items.where("item IS NOT NULL AND size IS NOT NULL AND size >= 0").groupBy("item").agg(F.min("size").cast("double").alias("size")).where(F.col("size") <= capacity)
-    now = written(sizes.join(held, "item"), "items")
+    named = covers.where("item IS NOT NULL AND concept IS NOT NULL").select("item", "concept")
+    n = sizes.join(named.select("item").distinct(), "item", "left_semi").count()
+    parts = max(1, -(-n // part))
+    dealt = lambda df: df.withColumn("part", F.pmod(F.xxhash64("item", F.lit(n)), F.lit(parts)).cast("int"))
+    # rows dealt by concept are made distinct and meet their weights where they lie, and are dealt once more, to the parts that solve them
+    weighed = named.repartition("concept").distinct().join(known, "concept", "left").select("item", F.struct("concept", F.greatest(F.lit(0.0), F.coalesce("weight", F.lit(1.0))).alias("w")).alias("c"))
+    both = dealt(weighed.withColumn("size", F.lit(None).cast("double")).unionByName(sizes.withColumn("c", F.lit(None)), allowMissingColumns=True))
+    held = both.repartition(max(parts, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").groupBy("part", "item").agg(F.max("size").alias("size"), F.collect_list("c").alias("concepts"))
+    now = held.where("size IS NOT NULL AND size(concepts) > 0").select("item", "size", "concepts", "part")
     id_type, concept_type = now.schema["item"].dataType.simpleString(), now.schema["concepts"].dataType.simpleString()
     schema = f"item {id_type}, size double, concepts {concept_type}, position int, gain double, part int"
 
@@ -75,33 +81,44 @@ def best_coverage(items: DataFrame, covers: DataFrame, weights: DataFrame, capac
         starts, flat = lists.offsets.to_numpy(), lists.values
         names, w = flat.field("concept"), flat.field("w").to_numpy(zero_copy_only=False)
         sums = np.add.reduceat(np.append(w, 0.0), starts[:-1]) if len(lists) else np.zeros(0)
-        parts = lambda at: dict(zip(names.slice(starts[at], starts[at + 1] - starts[at]).to_pylist(), w[starts[at] : starts[at + 1]].tolist()))
+        parts_of = lambda at: dict(zip(names.slice(starts[at], starts[at + 1] - starts[at]).to_pylist(), w[starts[at] : starts[at + 1]].tolist()))
         # sums of any order are off by less than this, and a bound may be too high
-        found = choose(group.column("item").to_pylist(), group.column("size").to_pylist(), (sums * (1 + 1e-9)).tolist(), parts, capacity)
+        ids = group.column("item").to_pylist()
+        ranks = {at: k for k, at in enumerate(sorted(range(len(ids)), key=ids.__getitem__))}
+        found = choose(ids, group.column("size").to_pylist(), (sums * (1 + 1e-9)).tolist(), parts_of, capacity)
+        # at place 0 stands the best single item
+        heaviest = np.flatnonzero(sums >= sums.max() * (1 - 1e-9)).tolist()
+        gain, single = max(((math.fsum(parts_of(at).values()), at) for at in heaviest), key=lambda x: (x[0], -ranks[x[1]]))
+        found = [(single, gain), *found]
         out = group.select(["item", "size", "concepts"]).take(pa.array([at for at, _ in found], pa.int64()))
-        rest = {"position": pa.array(range(1, len(found) + 1), pa.int32()), "gain": pa.array([g for _, g in found], pa.float64()), "part": pa.array([key[0].as_py()] * len(found), pa.int32())}
+        # the result's fields may be null, the rows' may not
+        free = pa.list_(pa.field("element", pa.struct([pa.field(f.name, f.type) for f in flat.type])))
+        out = out.set_column(2, "concepts", out.column("concepts").cast(free))
+        rest = {"position": pa.array(range(len(found)), pa.int32()), "gain": pa.array([g for _, g in found], pa.float64()), "part": pa.array([key[0].as_py()] * len(found), pa.int32())}
         for name, column in rest.items():
             out = out.append_column(name, column)
         return out
 
-    best, value = None, -1.0
+    best, value, first = None, -1.0, None
     while True:
-        n = now.count()
-        parts = max(1, -(-n // part))
-        dealt = now.select("item", "size", "concepts").withColumn("part", F.pmod(F.xxhash64("item", F.lit(n)), F.lit(parts)).cast("int"))
-        chosen = written(dealt.groupBy("part").applyInArrow(solve, schema), "chosen")
+        solved = written(now.groupBy("part").applyInArrow(solve, schema), "chosen")
+        chosen = solved.where("position > 0")
+        if first is None:
+            single = solved.where("position = 0").orderBy(F.desc("gain"), "item").limit(1).select("item", F.lit(1).alias("position"), "size", "gain")
+            first = single.first()
+            if first is None:
+                return single
         top = chosen.groupBy("part").agg(F.sum("gain").alias("value")).orderBy(F.desc("value"), "part").first()
         if top is not None and top.value > value:
             best, value = chosen.where(F.col("part") == top.part), top.value
         if parts == 1:
             break
-        if chosen.count() >= n:  # parts keep all they hold: larger ones are needed
+        left = chosen.count()
+        if left >= n:  # parts keep all they hold: larger ones are needed
             part *= 2
-        now = chosen
-    single = sizes.join(held, "item").select("item", "size", F.aggregate("concepts", F.lit(0.0), lambda a, c: a + c["w"]).alias("gain")).orderBy(F.desc("gain"), "item").limit(1)
-    first = single.first()
-    if first is not None and first.gain > value:
-        return single.select("item", F.lit(1).alias("position"), "size", "gain")
-    if best is None:
-        return now.select("item", F.lit(1).alias("position"), "size", F.lit(0.0).alias("gain")).limit(0)
+        n = left
+        parts = max(1, -(-n // part))
+        now = dealt(chosen.select("item", "size", "concepts"))
+    if best is None or first.gain > value:
+        return single
     return best.select("item", "position", "size", "gain")
